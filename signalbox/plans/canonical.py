@@ -282,3 +282,61 @@ class Tables:
             F.when(p % 7 != 0, F.timestamp_seconds(day)).alias("start_at"),
             F.timestamp_seconds(day + F.col("p_size") * 86400).alias("end_at"),
         )
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """Every trip update as a snapshot with a three-stop update window."""
+        k, second = F.col("k"), F.floor(F.col("ts_us") / 1_000_000).cast("bigint")
+        base = self._events.filter(F.col("event_type").isin("purchase", "signup"))
+        user = F.col("user_id")
+        delay = F.floor(F.col("value") * 10).cast("bigint") - 200
+
+        def update(i: int):
+            sequence = k % 12 + 1 + i
+            return F.struct(
+                sequence.alias("stop_sequence"),
+                F.concat(F.lit("S"), ((user + sequence) % 10).cast("string")).alias("stop_id"),
+                F.when((k + i) % 13 == 0, "SKIPPED").otherwise("SCHEDULED").alias("relationship"),
+                F.when((k + i) % 6 != 0, (second + i * 300 - 200).cast("string")).alias("arr_time"),
+                F.when((k + i) % 8 != 0, (second + i * 300 - 170).cast("string")).alias("dep_time"),
+                F.when((k + i) % 5 != 0, delay.cast("int")).alias("arr_delay"),
+                F.when((k + i) % 4 != 0, (delay + 10).cast("int")).alias("dep_delay"),
+            )
+
+        return base.select(
+            "event_id", "ts_us",
+            user.cast("string").alias("trip_id"),
+            F.when(k % 31 != 0, F.concat(F.lit("R"), (user % 20).cast("string"), F.lit(":"))).alias("route_id"),
+            F.when(k % 25 == 0, "CANCELED").when(k % 25 == 1, "ADDED").otherwise("SCHEDULED").alias("relationship"),
+            F.timestamp_seconds(second + (k * 7) % 900 - 300).alias("now_at"),
+            F.date_format(F.timestamp_seconds(second), "yyyyMMdd").alias("start_date"),
+            F.array(*[update(i) for i in range(3)]).alias("stop_time_updates"),
+            (F.lit(-37.82) + (k % 20) * F.lit(0.001)).alias("lat"),
+            (F.lit(144.955) + (user % 25) * F.lit(0.001)).alias("lon"),
+        )
+
+    @cached_property
+    def latest_snapshots(self) -> DataFrame:
+        """Newest snapshot per trip."""
+        rest = [c for c in self.snapshots.columns if c != "trip_id"]
+        newest = F.max_by(F.struct(*rest), F.struct("ts_us", "event_id"))
+        return self.snapshots.groupBy("trip_id").agg(newest.alias("_s")).select("trip_id", "_s.*")
+
+    @cached_property
+    def shapes(self) -> DataFrame:
+        c = F.col("c_custkey")
+        return self.raw("customer").select(
+            F.concat(F.lit("SH"), (c % 6).cast("string")).alias("shape_id"),
+            F.floor(c / 6).cast("bigint").alias("shape_pt_sequence"),
+            (F.lit(-37.9) + (c % 97) * F.lit(0.001)).alias("lat"),
+            (F.lit(144.9) + (c % 89) * F.lit(0.001)).alias("lon"),
+        )
+
+    @cached_property
+    def alert_stops(self) -> DataFrame:
+        """Stop lists of alerts that name no route."""
+        p = F.col("p_partkey")
+        ordinals = F.explode(F.sequence(F.lit(0), (p % 3).cast("int")))
+        return self.raw("part").select(p.cast("string").alias("alert_id"), p, ordinals.alias("ordinal")).select(
+            "alert_id", "ordinal", F.concat(F.lit("S"), ((p + F.col("ordinal") * 7) % 10).cast("string")).alias("stop_id")
+        )

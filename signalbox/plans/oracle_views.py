@@ -130,6 +130,88 @@ select cast(p_partkey as varchar) as id, p_partkey as pos, p_type as effect, p_n
  case when p_partkey % 7 <> 0 then TIMESTAMP '2024-01-01' + to_days(cast(p_partkey % 30 as integer)) end as start_at,
  TIMESTAMP '2024-01-01' + to_days(cast(p_partkey % 30 + p_size as integer)) as end_at
 from part""",
+    "v_snaps": """
+select event_id, ts_us, cast(user_id as varchar) as trip_id,
+ case when k % 31 <> 0 then 'R'||(user_id % 20)||':' end as route_id,
+ case when k % 25 = 0 then 'CANCELED' when k % 25 = 1 then 'ADDED' else 'SCHEDULED' end as relationship,
+ ts_us // 1000000 + (k * 7) % 900 - 300 as now_s, strftime(ts, '%Y%m%d') as start_date, k, user_id,
+ cast(floor(value * 10) as bigint) - 200 as delay, ts_us // 1000000 as sec,
+ cast(-37.82 as double) + (k % 20) * cast(0.001 as double) as lat,
+ cast(144.955 as double) + (user_id % 25) * cast(0.001 as double) as lon
+from v_events where event_type in ('purchase', 'signup')""",
+    "v_snap_stus": """
+select s.*, i as idx, k % 12 + 1 + i as stop_sequence, 'S'||((user_id + k % 12 + 1 + i) % 10) as stop_id,
+ case when (k + i) % 13 = 0 then 'SKIPPED' else 'SCHEDULED' end as stu_relationship,
+ case when (k + i) % 6 <> 0 then sec + i * 300 - 200 end as arr_time,
+ case when (k + i) % 8 <> 0 then sec + i * 300 - 170 end as dep_time,
+ case when (k + i) % 5 <> 0 then delay end as arr_delay, case when (k + i) % 4 <> 0 then delay + 10 end as dep_delay
+from v_snaps s, (values (0), (1), (2)) as x(i)""",
+    "v_latest_snaps": """
+select * from v_snaps qualify row_number() over (partition by trip_id order by ts_us desc, event_id desc) = 1""",
+    "v_latest_stus": """
+select * from v_snap_stus where event_id in (select event_id from v_latest_snaps)""",
+    "v_shapes": """
+select 'SH'||(c_custkey % 6) as shape_id, c_custkey // 6 as shape_pt_sequence,
+ cast(-37.9 as double) + (c_custkey % 97) * cast(0.001 as double) as lat,
+ cast(144.9 as double) + (c_custkey % 89) * cast(0.001 as double) as lon from customer""",
+    "v_alert_stops": """
+select cast(p_partkey as varchar) as alert_id, i as ordinal, 'S'||((p_partkey + i * 7) % 10) as stop_id
+from part, (values (0), (1), (2)) as x(i) where i <= p_partkey % 3""",
+    "v_platforms": """
+select parent_station as station_id, stop_id from v_stops where parent_station is not null
+union all select stop_id, stop_id from v_stops
+where stop_id not in (select parent_station from v_stops where parent_station is not null)""",
+    "v_stop_routes": """
+with c as (select distinct stop_id, route_id from v_stop_times join v_trips using (trip_id))
+select stop_id, route_id from c union
+select parent_station, route_id from c join v_stops using (stop_id) where parent_station is not null""",
+    "v_trips_today": """
+select * from v_trips where service_id in (select service_id from v_service_days where service_date = DATE '1998-06-15')""",
+    "v_departures": """
+select station_id, s.trip_id, route_id, direction_id, headsign,
+ cast(epoch(timezone('Australia/Melbourne', TIMESTAMP '1998-06-15 12:00:00')) as bigint) - 43200
+  + coalesce(dep_s, arr_s) as scheduled_s, s.stop_id
+from v_stop_times s join v_trips_today t on s.trip_id = t.trip_id join v_platforms p on p.stop_id = s.stop_id
+where cast(epoch(timezone('Australia/Melbourne', TIMESTAMP '1998-06-15 12:00:00')) as bigint) - 43200
+  + coalesce(dep_s, arr_s) > epoch(TIMESTAMP '1998-06-15 02:00:00')""",
+    "v_top_departures": """
+select * from v_departures qualify row_number() over
+ (partition by station_id, direction_id order by scheduled_s, trip_id, stop_id) <= 3""",
+    "v_added": """
+select station_id, trip_id, route_id, cast(null as integer) as direction_id,
+ coalesce((select max(name) from v_stops f where f.stop_id = final_stop), final_stop, 'Extra service') as headsign,
+ scheduled_s, stop_id
+from (select p.station_id, u.trip_id, u.route_id, u.stop_id, coalesce(u.dep_time, u.arr_time) as scheduled_s,
+  (select stop_id from v_latest_stus l where l.trip_id = u.trip_id and idx = 2) as final_stop
+ from v_latest_stus u join v_platforms p on p.stop_id = u.stop_id
+ where relationship = 'ADDED' and route_id is not null
+ qualify row_number() over (partition by p.station_id, u.trip_id order by idx) = 1)
+where scheduled_s > 0
+qualify row_number() over (partition by station_id order by scheduled_s, trip_id) <= 3""",
+    "v_overlay": """
+select d.*, coalesce(u.dep_time, u.arr_time, d.scheduled_s + coalesce(u.dep_delay, u.arr_delay)) as predicted_s,
+ coalesce(u.dep_delay, u.arr_delay) as delay_seconds,
+ coalesce(u.dep_time, u.arr_time, u.dep_delay, u.arr_delay) is not null as is_live,
+ coalesce(l.relationship = 'CANCELED', false) or coalesce(u.stu_relationship = 'SKIPPED', false) as is_cancelled,
+ coalesce(l.relationship = 'ADDED', false) as is_added, s.platform_code
+from v_departures d left join v_latest_snaps l on l.trip_id = d.trip_id
+ left join (select * from v_latest_stus qualify row_number() over (partition by trip_id, stop_id order by idx) = 1) u
+  on u.trip_id = d.trip_id and u.stop_id = d.stop_id
+ left join v_stops s on s.stop_id = d.stop_id""",
+    "v_rep_trips": """
+select route_id, trip_id, shape_id, n as n_stops from
+ (select t.*, count(*) as n from v_trips t join v_stop_times s on s.trip_id = t.trip_id
+  where not ends_with(route_id, '-R:') group by all)
+qualify row_number() over (partition by route_id order by n desc, trip_no) = 1""",
+    "v_route_stations": """
+select route_id, stop_sequence, x.station_id, replace(s.name, ' Railway Station', '') as station_name, s.lat, s.lon,
+ s.stop_id is null as is_dangling
+from (select r.route_id, st.stop_sequence, coalesce(p.parent_station, st.stop_id) as station_id,
+  lag(coalesce(p.parent_station, st.stop_id)) over (partition by r.route_id order by st.stop_sequence) as before
+ from v_rep_trips r join v_stop_times st on st.trip_id = r.trip_id
+ left join v_stops p on p.stop_id = st.stop_id and p.location_type <> 1) x
+left join v_stops s on s.stop_id = x.station_id and s.location_type = 1
+where before is distinct from x.station_id""",
     "v_line_days": """
 with f as (select f.*, coalesce(r.short_name = 'Replacement Bus', false) as is_bus
   from v_first_completions f left join v_routes r using (route_id) where f.route_id is not null),
