@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalbox.session import checkpointed
+
 HOT_ROWS = 1_000_000
 
 
@@ -151,7 +153,8 @@ def exact_quantiles(
     two neighbours of each fractional rank are picked by a plain aggregate.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    # one row per distinct value; read several times below, so the input is evaluated once
+    counts = checkpointed(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k")))
     running = ordered_scan(
         counts, keys, [value], F.floor(F.col(value) / chunk_width), sums={"_upto": "_k"}, hot_rows=hot_rows
     )

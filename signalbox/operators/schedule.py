@@ -22,6 +22,7 @@ from signalbox.functions.punctuality import (
     station_display_name,
 )
 from signalbox.operators.ordered import HOT_ROWS, ordered_scan
+from signalbox.session import checkpointed
 
 # fixed values
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -336,9 +337,11 @@ def skip_stop_counts(
     )
     group = ["route_id", "_direction", "via_loop", "first_stop", "last_stop"]
     pattern = ["_h1", "_h2", "_n"]
-    keyed = running.join(patterns, "trip_id").withColumn(
-        "_direction", F.coalesce("direction_id", F.lit(-1))
-    ).select("trip_id", *group, *pattern)
+    # one row per trip, read several times below: materialise instead of re-ranking stop_times each time
+    keyed = checkpointed(
+        running.join(patterns, "trip_id").withColumn("_direction", F.coalesce("direction_id", F.lit(-1)))
+        .select("trip_id", *group, *pattern)
+    )
     variants = keyed.groupBy(*group, *pattern).agg(
         F.count(F.lit(1)).alias("_trips"), F.min("trip_id").alias("_sample")
     )

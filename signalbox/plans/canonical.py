@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from signalbox.functions.gtfstime import gtfs_text
 from signalbox.functions.punctuality import punctuality_status
 from signalbox.operators.ordered import ordered_scan
+from signalbox.schemas import CAPTURE, struct
 
 # request instants used by the point-in-time queries
 SCHEDULE_NOW = datetime(1998, 6, 15, 2, 0, 0, tzinfo=timezone.utc)  # a Monday, local noon
@@ -56,6 +57,11 @@ def _route_of(nation):
     )
 
 
+def _entity_types() -> dict:
+    entity = struct(CAPTURE)["feed"].dataType["entity"].dataType.elementType
+    return {f.name: f.dataType for f in entity.fields}
+
+
 class Tables:
     """Lazy access to the driver tables and the views over them."""
 
@@ -281,6 +287,133 @@ class Tables:
             F.when(p % 4 != 0, (p % 2).cast("int")).alias("direction_id"),
             F.when(p % 7 != 0, F.timestamp_seconds(day)).alias("start_at"),
             F.timestamp_seconds(day + F.col("p_size") * 86400).alias("end_at"),
+            (p % 14 == 0).alias("no_period"),
+            (p % 11 == 0).alias("no_entity"),
+        )
+
+    @cached_property
+    def alert_rows(self) -> DataFrame:
+        """Alerts with their period and entity arrays."""
+        none = lambda kind: F.array().cast(kind)
+        period, entity = F.array(F.struct("start_at", "end_at")), F.array(F.struct("route_id", "stop_id", "direction_id"))
+        return self.alerts.select(
+            "id", "pos", "effect", "header_text",
+            F.when(F.col("no_period"), none("array<struct<start_at: timestamp, end_at: timestamp>>")).otherwise(period)
+            .alias("active_periods"),
+            F.when(F.col("no_entity"), none("array<struct<route_id: string, stop_id: string, direction_id: int>>"))
+            .otherwise(entity).alias("informed_entities"),
+        )
+
+    def _capture(self, stamp, header, entities):
+        return F.struct(
+            F.struct(
+                F.lit("2.0").alias("gtfs_realtime_version"), F.lit("FULL_DATASET").alias("incrementality"),
+                header.cast("string").alias("timestamp"),
+            ).alias("header"),
+            entities.alias("entity"),
+        ).alias("feed")
+
+    @cached_property
+    def update_captures(self) -> DataFrame:
+        """One trip-update poll per purchase/signup: two updates (at times the same trip) and an empty entity."""
+        kinds = _entity_types()
+        none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+        k, user = F.col("k"), F.col("user_id")
+        second = F.floor(F.col("ts_us") / 1_000_000).cast("bigint")
+
+        def update(label: str, trip, shift: int):
+            stu = F.struct(
+                (k % 12 + 1).cast("int").alias("stop_sequence"), F.lit("S1").alias("stop_id"),
+                F.lit("SCHEDULED").alias("schedule_relationship"),
+                F.when(k % 4 != 0, F.struct((k.cast("int") + shift).alias("delay"), second.cast("string").alias("time")))
+                .alias("arrival"),
+                F.when(k % 5 != 0, F.struct((k.cast("int") - shift).alias("delay"), second.cast("string").alias("time")))
+                .alias("departure"),
+            )
+            body = F.struct(
+                F.struct(
+                    trip.cast("string").alias("trip_id"), F.lit("08:00:00").alias("start_time"),
+                    F.date_format(F.timestamp_seconds(second), "yyyyMMdd").alias("start_date"),
+                    F.when(k % 25 == 0, "CANCELED").otherwise("SCHEDULED").alias("schedule_relationship"),
+                    F.concat(F.lit("R"), ((user + shift) % 20).cast("string"), F.lit(":")).alias("route_id"),
+                ).alias("trip"),
+                F.array(stu).alias("stop_time_update"),
+            )
+            return F.struct(
+                F.lit(label).alias("id"), body.cast(kinds["trip_update"]).alias("trip_update"), none("vehicle"), none("alert")
+            )
+
+        empty = F.struct(F.lit("c").alias("id"), none("trip_update"), none("vehicle"), none("alert"))
+        other = F.when(k % 3 == 0, user).otherwise(user + 1000)
+        return self._events.filter(F.col("event_type").isin("purchase", "signup")).select(
+            F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("fetch_timestamp"),
+            self._capture(second, second - k, F.array(update("a", user, 0), update("b", other, 1), empty)),
+        )
+
+    @cached_property
+    def vehicle_captures(self) -> DataFrame:
+        """One vehicle-position poll per view/click."""
+        kinds = _entity_types()
+        none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+        k, user = F.col("k"), F.col("user_id")
+        second = F.floor(F.col("ts_us") / 1_000_000).cast("bigint")
+        vehicle = F.struct(
+            F.struct(
+                user.cast("string").alias("trip_id"),
+                F.when(k % 10 != 0, F.concat(F.lit("R"), (user % 20).cast("string"), F.lit(":"))).alias("route_id"),
+                F.lit("").alias("start_time"), F.lit(None).cast("string").alias("start_date"),
+                (user % 2).cast("int").alias("direction_id"), F.lit(None).cast("string").alias("schedule_relationship"),
+            ).alias("trip"),
+            F.struct(
+                (F.lit(-37.82) + (k % 20) * F.lit(0.001)).alias("latitude"), F.lit(144.96).alias("longitude"),
+                F.when(k % 2 == 0, k.cast("double")).alias("bearing"), F.lit(None).cast("double").alias("speed"),
+            ).alias("position"),
+            F.when(k % 3 != 0, (second - 5).cast("string")).alias("timestamp"),
+            F.when(k % 4 == 0, "S1").otherwise("").alias("stop_id"),
+            F.when(k % 7 != 0, "IN_TRANSIT_TO").alias("current_status"), F.lit(None).cast("string").alias("occupancy_status"),
+            F.struct(user.cast("string").alias("id"), F.when(k % 6 != 0, F.lit("car")).alias("label")).alias("vehicle"),
+        )
+        entity = F.struct(
+            F.lit("v").alias("id"), none("trip_update"), vehicle.cast(kinds["vehicle"]).alias("vehicle"), none("alert")
+        )
+        return self._events.filter(F.col("event_type").isin("view", "click")).select(
+            F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("fetch_timestamp"),
+            self._capture(second, second, F.array(entity)),
+        )
+
+    @cached_property
+    def alert_captures(self) -> DataFrame:
+        """One alert poll per part: an alert, and at times a later one of the same id or one without an id."""
+        kinds = _entity_types()
+        none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+        p = F.col("p_partkey")
+        say = lambda text, lang: F.struct(text.alias("text"), F.lit(lang).alias("language"))
+        name, brand = F.col("p_name"), F.col("p_brand")
+        words = F.when(p % 3 == 0, F.array(say(brand, "fr"), say(name, "en"))).when(p % 3 == 1, F.array(say(brand, "fr")))
+        start = F.lit(1704067200) + (p % 30) * 86400
+
+        def alert(effect):
+            return F.struct(
+                F.lit("UNKNOWN").alias("cause"), effect.alias("effect"),
+                F.struct(words.alias("translation")).alias("header_text"),
+                F.struct(F.array(say(name, "en")).alias("translation")).alias("description_text"),
+                F.lit(None).cast("struct<translation: array<struct<text: string, language: string>>>").alias("url"),
+                F.when(p % 14 != 0, F.array(F.struct(
+                    F.when(p % 7 != 0, start.cast("string")).alias("start"),
+                    (start + F.col("p_size") * 86400).cast("string").alias("end")))).alias("active_period"),
+                F.when(p % 11 != 0, F.array(F.struct(
+                    F.when(p % 3 != 0, F.concat(F.lit("R"), (p % 20).cast("string"), F.lit(":"))).alias("route_id"),
+                    F.lit(None).cast("string").alias("stop_id"), F.lit(None).cast("int").alias("direction_id"))))
+                .alias("informed_entity"),
+            ).cast(kinds["alert"]).alias("alert")
+
+        entry = lambda ident, effect: F.struct(
+            ident.alias("id"), none("trip_update"), none("vehicle"), alert(effect)
+        )
+        later = F.when(p % 6 == 0, p.cast("string"))
+        return self.raw("part").select(
+            F.date_format(F.timestamp_seconds(F.lit(1704067200) + p), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("fetch_timestamp"),
+            self._capture(p, p, F.array(entry(p.cast("string"), F.col("p_type")), entry(later, F.lit("REPLACED")))),
         )
 
     @cached_property
@@ -340,3 +473,11 @@ class Tables:
         return self.raw("part").select(p.cast("string").alias("alert_id"), p, ordinals.alias("ordinal")).select(
             "alert_id", "ordinal", F.concat(F.lit("S"), ((p + F.col("ordinal") * 7) % 10).cast("string")).alias("stop_id")
         )
+
+    @cached_property
+    def stop_home_lines(self) -> DataFrame:
+        """(stop_id, route_id): the line of the nation a supplier belongs to."""
+        return self.raw("supplier").select(
+            F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("stop_id"),
+            _route_of(F.col("s_nationkey")).alias("route_id"),
+        )

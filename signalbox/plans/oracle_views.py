@@ -122,14 +122,75 @@ select coalesce(t.cycle, v.cycle) as cycle, coalesce(t.trip_id, v.trip_id) as tr
  v.route_id as vp_route_id, v.start_date as vp_start_date, v.start_time as vp_start_time,
  t.trip_id is not null as in_tu, v.trip_id is not null as in_vp
 from v_cycle_tu t full join v_cycle_vp v on t.cycle = v.cycle and t.trip_id = v.trip_id""",
+    "v_discrepancies": """
+select cycle, trip_id, kind as discrepancy_type, tu_value, vp_value from (
+ select cycle, trip_id, 'vp_without_tu' as kind, cast(null as varchar) as tu_value, vp_route_id as vp_value
+  from v_merged where in_vp and not in_tu
+ union all select cycle, trip_id, 'route_id_mismatch', route_id, vp_route_id from v_merged
+  where in_tu and vp_route_id is not null and route_id is distinct from vp_route_id
+ union all select cycle, trip_id, 'start_time_mismatch', start_time, vp_start_time from v_merged
+  where in_tu and vp_start_time is not null and start_time is distinct from vp_start_time
+ union all select cycle, trip_id, 'start_date_mismatch', start_date, vp_start_date from v_merged
+  where in_tu and vp_start_date is not null and start_date is distinct from vp_start_date)""",
+    "v_gaps": """
+select * from (select event_id, trip_id, ts_us // 1000000 as at, lat, lon,
+ lead(ts_us // 1000000) over w as next_at, lead(lat) over w as next_lat, lead(lon) over w as next_lon,
+ lead(ts_us // 1000000) over w - ts_us // 1000000 as gap_s,
+ 2 * 6371000.0 * asin(sqrt(pow(sin(radians(lead(lat) over w - lat) / 2), 2) + cos(radians(lat))
+  * cos(radians(lead(lat) over w)) * pow(sin(radians(lead(lon) over w - lon) / 2), 2))) as distance_m
+ from v_positions window w as (partition by trip_id order by ts_us // 1000000, event_id)) where next_at is not null""",
+    "v_freezes": """
+select trip_id, count(*) as fixes, min(at) as started_at, max(at) as ended_at, max(at) - min(at) as duration_s
+from (select *, sum(case when moved then 1 else 0 end) over (partition by trip_id order by at, event_id) as run
+ from (select event_id, trip_id, ts_us // 1000000 as at, lat, lon,
+   (lat is distinct from lag(lat) over w or lon is distinct from lag(lon) over w) as moved
+  from v_positions where lat between -37.815 and -37.808 and lon between 144.962 and 144.975
+  window w as (partition by trip_id order by ts_us // 1000000, event_id)))
+group by trip_id, run having count(*) >= 2""",
+    "v_header_changes": """
+select *, case when is_change then header - last_value(case when is_change then header end ignore nulls)
+ over (partition by feed order by at, poll_id rows between unbounded preceding and 1 preceding) end as step
+from (select poll_id, feed, ts_us / 1000000.0 as at, header_ts as header,
+  row_number() over w = 1 or header_ts is distinct from lag(header_ts) over w as is_change
+ from v_polls where ok window w as (partition by feed order by ts_us))""",
+    "v_outages": """
+select ended_at, min(at) as started_at, count(*) as bad_cycles, count(*) filter (not ok) as consecutive_failures
+from (select ts_us // 1000000 as at, ok, not ok or remaining <= 5 as is_bad,
+  min(case when ok and remaining > 5 then ts_us // 1000000 end)
+   over (order by ts_us rows between 1 following and unbounded following) as ended_at from v_polls)
+where is_bad and ended_at is not null group by ended_at""",
+    "v_spans": """
+select trip_id, service_id, min(arr_s) as start_s, max(dep_s) as end_s
+from v_stop_times join v_trips using (trip_id) group by all""",
+    "v_live": """
+select distinct ts_us // 3600000000 * 3600 - 806198400 as at, trip_id from v_positions""",
+    "v_samples": """
+select unnest(generate_series(min(at), max(at), 300)) as sample_at from v_live""",
+    "v_running": """
+with l as (select sample_at, timezone('Australia/Melbourne', to_timestamp(sample_at)) as t from v_samples),
+ x as (select sample_at, cast(t as date) as d, hour(t)*3600 + minute(t)*60 + cast(floor(second(t)) as bigint) as s, 0 as lo
+  from l union all select sample_at, cast(t as date) - 1, hour(t)*3600 + minute(t)*60 + second(t) + 86400, 86400 from l)
+select sample_at, trip_id from x join v_all_service_days a on a.service_date = x.d
+join v_spans p on p.service_id = a.service_id and p.start_s <= s and s <= p.end_s and p.start_s >= lo""",
+    "v_all_service_days": """
+select d as service_date, service_id from (select cast(unnest(generate_series(TIMESTAMP '1995-01-01',
+  TIMESTAMP '2001-12-31', interval 1 day)) as date) as d) x, v_calendar
+where list_extract([monday, tuesday, wednesday, thursday, friday, saturday, sunday], cast(isodow(d) as integer))
+ and not exists (select 1 from v_calendar_dates e where e.date = d and e.service_id = v_calendar.service_id
+   and exception_type = 2)
+union select date, service_id from v_calendar_dates where exception_type = 1""",
     "v_alerts": """
 select cast(p_partkey as varchar) as id, p_partkey as pos, p_type as effect, p_name as header_text,
  case when p_partkey % 3 <> 0 then 'R'||(p_partkey % 20)||':' end as route_id,
  case when p_partkey % 5 = 0 then 'S'||(p_partkey % 10) end as stop_id,
  case when p_partkey % 4 <> 0 then cast(p_partkey % 2 as integer) end as direction_id,
  case when p_partkey % 7 <> 0 then TIMESTAMP '2024-01-01' + to_days(cast(p_partkey % 30 as integer)) end as start_at,
- TIMESTAMP '2024-01-01' + to_days(cast(p_partkey % 30 + p_size as integer)) as end_at
+ TIMESTAMP '2024-01-01' + to_days(cast(p_partkey % 30 + p_size as integer)) as end_at,
+ p_partkey % 14 = 0 as no_period, p_partkey % 11 = 0 as no_entity
 from part""",
+    "v_active_alerts": """
+select * from v_alerts where no_period
+ or ((start_at is null or start_at <= TIMESTAMP '2024-01-16') and end_at >= TIMESTAMP '2024-01-16')""",
     "v_snaps": """
 select event_id, ts_us, cast(user_id as varchar) as trip_id,
  case when k % 31 <> 0 then 'R'||(user_id % 20)||':' end as route_id,
@@ -157,6 +218,9 @@ select 'SH'||(c_custkey % 6) as shape_id, c_custkey // 6 as shape_pt_sequence,
     "v_alert_stops": """
 select cast(p_partkey as varchar) as alert_id, i as ordinal, 'S'||((p_partkey + i * 7) % 10) as stop_id
 from part, (values (0), (1), (2)) as x(i) where i <= p_partkey % 3""",
+    "v_home_lines": """
+select 'S'||s_suppkey as stop_id, case when s_nationkey < 20 then 'R'||s_nationkey||':'
+ else 'R'||(s_nationkey-20)||'-R:' end as route_id from supplier""",
     "v_platforms": """
 select parent_station as station_id, stop_id from v_stops where parent_station is not null
 union all select stop_id, stop_id from v_stops
@@ -244,23 +308,27 @@ from (select f.*, f.route_id is not null and coalesce(r.short_name <> 'Replaceme
 _NAME = re.compile(r"\bv_[a-z_]+\b")
 
 
-def _needed(sql: str, seen: set[str]) -> set[str]:
-    for name in set(_NAME.findall(sql)) & VIEWS.keys():
-        if name not in seen:
-            seen.add(name)
-            _needed(VIEWS[name], seen)
-    return seen
+def _needed(sql: str, ordered: list[str]) -> list[str]:
+    """Views a statement uses, dependencies first."""
+    for name in sorted(set(_NAME.findall(sql)) & VIEWS.keys()):
+        if name not in ordered:
+            _needed(VIEWS[name], ordered)
+            ordered.append(name)
+    return ordered
+
+
+def _quoted(sql: str) -> str:
+    """The column name ``at`` is a reserved word in SQL."""
+    return re.sub(r'(?<!")\bat\b(?!")', '"at"', sql)
 
 
 def with_views(sql: str) -> str:
     """Prefix a statement with the canonical views it uses."""
-    used = _needed(sql, set())
-    body = sql.strip()
+    used, body = _needed(sql, []), _quoted(sql.strip())
     if not used:
         return body
-    ctes = ",\n".join(f"{name} as materialized ({VIEWS[name].strip()})" for name in VIEWS if name in used)
-    if body.lower().startswith("with recursive "):
-        return f"with recursive {ctes},\n{body[15:]}"
-    if body.lower().startswith("with "):
-        return f"with {ctes},\n{body[5:]}"
+    ctes = ",\n".join(f"{name} as materialized ({_quoted(VIEWS[name].strip())})" for name in used)
+    for opening in ("with recursive ", "with "):
+        if body.lower().startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
     return f"with {ctes}\n{body}"

@@ -229,8 +229,7 @@ def _(t):
 
 
 @query("agg13_likely_line", """
-with n as (select distinct stop_id, long_name from v_stop_routes join v_routes using (route_id)
-  where stop_id in (select stop_id from v_alert_stops)),
+with n as (select distinct stop_id, long_name from v_home_lines join v_routes using (route_id)),
  v as (select alert_id, long_name, count(*) as votes from v_alert_stops join n using (stop_id) group by all),
  s as (select alert_id, count(*) as listed from v_alert_stops group by all),
  r as (select *, lead(votes) over w as runner from v
@@ -238,7 +237,7 @@ with n as (select distinct stop_id, long_name from v_stop_routes join v_routes u
 select alert_id, long_name, votes, listed from r join s using (alert_id)
 where votes * 2 > listed and votes > coalesce(runner, 0)""")
 def _(t):
-    return sc.likely_lines(t.alert_stops, sc.stop_routes(t.stop_times, t.trips, t.stops), t.routes)
+    return sc.likely_lines(t.alert_stops, t.stop_home_lines, t.routes)
 
 
 _SKIP = """
