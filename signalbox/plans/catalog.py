@@ -1,6 +1,6 @@
 """Imports every query module so that all queries are registered."""
 
-from signalbox.plans import feed_queries, rollup_queries, schedule_queries  # noqa: F401
+from signalbox.plans import feed_queries, rollup_queries, schedule_queries, state_queries  # noqa: F401
 from signalbox.plans.registry import all_oracle_sql, all_queries
 
 __all__ = ["all_oracle_sql", "all_queries"]

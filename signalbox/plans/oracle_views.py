@@ -319,7 +319,7 @@ def _needed(sql: str, ordered: list[str]) -> list[str]:
 
 def _quoted(sql: str) -> str:
     """The column name ``at`` is a reserved word in SQL."""
-    return re.sub(r'(?<!")\bat\b(?!")', '"at"', sql)
+    return re.sub(r"""(?<!["'])\bat\b(?!["'])""", '"at"', sql)
 
 
 def with_views(sql: str) -> str:
