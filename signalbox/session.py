@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +36,21 @@ def build_session(app: str = "signalbox", master: str | None = None, **conf: str
     return configure(builder.getOrCreate())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
-
-    The folder is the one the session already names; a private one is set only where
-    there is none (local tests), so the data outlives any single executor.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a private one only where none is set (local tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.mkdtemp(prefix="signalbox-ckpt-")))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="signalbox-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Evaluate once and cut lineage through the shared folder, so a lost executor costs nothing."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path in the shared folder for an intermediate table."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
