@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.gtfstime import parse_start_date
 from signalbox.functions.punctuality import ON_TIME_MAX_S, punctuality_status, terminus_delay
-from signalbox.operators.ordered import HOT_ROWS, nearest_instant, ordered_scan
+from signalbox.operators.ordered import HOT_ROWS, greedy_chain, nearest_instant, ordered_scan
 from signalbox.session import checkpointed
 
 # fixed values
@@ -56,60 +56,63 @@ def trip_completions(
 ) -> DataFrame:
     """One outcome per run of a trip.
 
-    A run is cut where the trip is missing for ``timeout_s``.  It starts at its first row
-    with a known terminus and ends at its first cancelled or terminus row, else as
-    undetermined at the first cycle after the timeout (or at the end of the capture).  A
-    run that begins within ``retention_s`` of the previous outcome of the same trip id is
-    the same run still showing, and is ignored.
+    A run starts at a row with a known terminus and ends at its first cancelled or
+    terminus row, else as undetermined at the first cycle after the trip has been missing
+    for ``timeout_s`` (or at the end of the capture).  After an outcome the trip id is
+    ignored for ``retention_s``.
+
+    Rows are first reduced to stretches that end in the same outcome, wherever the run
+    began in them; which stretches count is then a chain of choices over those few.
     """
-    known = checkpointed(candidate_rows(rows, termini))
-    cut = ordered_scan(
-        known, ["trip_id"], ["at"], F.floor(F.col("at") / 3600), lags={"_before": "at"}, hot_rows=hot_rows
-    ).withColumn("_starts", F.when(
-        F.col("_before").isNull() | (F.col("at") - F.col("_before") >= timeout_s), F.col("at")
-    ))
-    runs = ordered_scan(
-        checkpointed(cut), ["trip_id"], ["at"], F.floor(F.col("at") / 3600), fills={"run_at": "_starts"}, hot_rows=hot_rows
-    )
-    registered = F.when(F.col("has_terminus"), F.col("at"))
-    ordered_outcome = F.when(F.col("outcome").isNotNull(), F.col("at"))
-    per_run = runs.groupBy("trip_id", "run_at").agg(
-        F.min(registered).alias("registered_at"),
-        F.min_by("service_date", registered).alias("service_date"),
+    hour = F.floor(F.col("at") / 3600)
+    line = ordered_scan(cycles.select("at"), [], ["at"], F.floor(F.col("at") / 86_400), lags={"prev_at": "at"})
+    known = checkpointed(candidate_rows(rows, termini).join(line, "at"))
+    cut = ordered_scan(known, ["trip_id"], ["at"], hour, lags={"_before": "at"}, hot_rows=hot_rows).withColumns({
+        "_starts": F.when(F.col("_before").isNull() | (F.col("prev_at") - F.col("_before") >= timeout_s), F.col("at")),
+        "_decides": F.col("outcome").isNotNull().cast("bigint"),
+    })
+    rows_in = checkpointed(ordered_scan(
+        checkpointed(cut), ["trip_id"], ["at"], hour, fills={"run_at": "_starts"}, sums={"_decided": "_decides"},
+        hot_rows=hot_rows,
+    ).withColumn("part", F.col("_decided") - F.col("_decides")))
+    stretch = ["trip_id", "run_at", "part"]
+
+    registrable = F.when(F.col("has_terminus"), F.col("at"))
+    parts = rows_in.groupBy(*stretch).agg(
+        F.max(F.when(F.col("has_terminus"), F.coalesce("prev_at", F.col("at") - 1))).alias("can_start"),
         F.max("at").alias("last_at"),
-        F.min(ordered_outcome).alias("decided_at"),
-        F.min_by(F.struct("outcome", "actual_arrival", "delay_seconds"), ordered_outcome).alias("_o"),
-    ).filter(F.col("registered_at").isNotNull()).withColumn("_target", F.col("last_at") + timeout_s)
-    near = nearest_instant(per_run, "_target", cycles, "at").select("_target", F.col("next_point").alias("_expired_at"))
+        F.max(F.when(F.col("outcome").isNotNull(), F.col("at"))).alias("decided_at"),
+        F.max(F.when(F.col("outcome").isNotNull(), F.struct("outcome", "actual_arrival", "delay_seconds"))).alias("_o"),
+    ).filter(F.col("can_start").isNotNull()).withColumn("_target", F.col("last_at") + timeout_s)
+    near = nearest_instant(parts, "_target", cycles, "at").select("_target", F.col("next_point").alias("_expired_at"))
     final = cycles.agg(F.max("at").alias("_final_at"), F.lit(1).alias("_one"))
-    ended = per_run.join(near, "_target", "left").withColumn("_one", F.lit(1)).join(final, "_one").withColumn(
-        "finalized_at", F.coalesce("decided_at", "_expired_at", "_final_at")
+    ended = checkpointed(
+        parts.join(near, "_target", "left").withColumn("_one", F.lit(1)).join(final, "_one").withColumns({
+            "finalized_at": F.coalesce("decided_at", "_expired_at", "_final_at"),
+            "is_open": F.col("decided_at").isNull() & F.col("_expired_at").isNull(),
+        }).drop("_one", "_target", "_expired_at", "_final_at")
     )
-    if not flush:
-        ended = ended.filter(F.col("decided_at").isNotNull() | F.col("_expired_at").isNotNull())
-    ended = checkpointed(ended.drop("_one", "_target"))
-
-    # runs of one trip id lie at least timeout_s apart, so its list is bounded by the capture's length
-    listed = ended.groupBy("trip_id").agg(
-        F.array_sort(F.collect_list(F.struct("registered_at", "finalized_at", "run_at"))).alias("_runs")
+    resume = F.col("finalized_at") + int(retention_s)
+    chunk_s = max(int(timeout_s + retention_s), 86_400)
+    counted = greedy_chain(ended, ["trip_id"], "can_start", resume, span_s=chunk_s, chunk_s=chunk_s)
+    counted = ordered_scan(
+        counted, ["trip_id"], ["can_start"], F.floor(F.col("can_start") / 86_400), lags={"blocked_until": resume},
+        hot_rows=hot_rows,
+    )
+    free = rows_in.join(counted.select(*stretch, "blocked_until"), stretch).filter(
+        F.col("blocked_until").isNull() | (F.col("prev_at") >= F.col("blocked_until"))
     )
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, run):
-        free = acc["last"].isNull() | (run["registered_at"] - acc["last"] > retention_s)
-        return F.when(
-            free, F.struct(run["finalized_at"].alias("last"), F.array_append(acc["kept"], run["run_at"]).alias("kept"))
-        ).otherwise(acc)
-
-    kept = listed.select("trip_id", F.explode(F.aggregate("_runs", start, step)["kept"]).alias("run_at"))
-    accepted = ended.join(kept, ["trip_id", "run_at"])
-    # the route is the latest one named up to the outcome
-    routes = runs.select("trip_id", "run_at", "at", "route_id").join(
-        accepted.select("trip_id", "run_at", "registered_at", "finalized_at"), ["trip_id", "run_at"]
-    ).filter(F.col("at").between(F.col("registered_at"), F.col("finalized_at"))).groupBy("trip_id", "run_at").agg(
-        F.max_by("route_id", F.when(F.col("route_id").isNotNull(), F.col("at"))).alias("route_id")
+    begun = free.groupBy(*stretch).agg(
+        F.min(registrable).alias("registered_at"), F.min_by("service_date", registrable).alias("service_date")
     )
-    return accepted.join(routes, ["trip_id", "run_at"], "left").select(
+    # the route is the latest one named between start and outcome
+    routes = free.join(begun.select(*stretch, "registered_at"), stretch).filter(
+        F.col("at") >= F.col("registered_at")
+    ).groupBy(*stretch).agg(F.max_by("route_id", F.when(F.col("route_id").isNotNull(), F.col("at"))).alias("route_id"))
+    done = counted.join(begun, stretch).join(routes, stretch, "left")
+    if not flush:
+        done = done.filter(~F.col("is_open"))
+    return done.select(
         "trip_id", "route_id", "service_date", "finalized_at",
         F.coalesce("_o.outcome", F.lit("undetermined_gap")).alias("status"),
         F.col("_o.actual_arrival").alias("actual_at"), F.col("_o.delay_seconds").alias("delay_seconds"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.geo import haversine_m
 from signalbox.operators.ordered import HOT_ROWS, ordered_scan
+from signalbox.session import checkpointed
 
 # fixed values
 MISMATCH_FIELDS = ("route_id", "start_time", "start_date", "schedule_relationship")
@@ -133,7 +134,7 @@ def newly_raised(
 def header_changes(
     polls: DataFrame, feed: str, at: str, header: str, *, chunk_s: int = 86_400, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Flag polls whose header differs from the feed's previous poll (the first one counts).
+    """Flag polls whose header is missing or differs from the feed's previous poll (the first one counts).
 
     ``at`` is a number (seconds); ``interval`` is the step since the previous change.
     """
@@ -141,12 +142,43 @@ def header_changes(
         polls, [feed], [at], F.floor(F.col(at) / chunk_s), lags={"_seen": F.lit(True), "_before": header},
         hot_rows=hot_rows,
     )
-    changed = F.col("_seen").isNull() | ~F.equal_null("_before", header)
+    changed = F.col("_seen").isNull() | F.col(header).isNull() | ~F.equal_null("_before", header)
     # the previous poll still shows the header of the previous change
     step = F.when(changed, F.col(header) - F.col("_before"))
     return scanned.withColumns({"is_change": changed, "interval": step}).drop("_seen", "_before")
 
 
+def reused_content(
+    polls: DataFrame, feed: str, at: str, header: str, *, chunk_s: int = 86_400, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Which poll's content stands for each poll: its own when the header changed, else that of the last change."""
+    flagged = checkpointed(header_changes(polls, feed, at, header, chunk_s=chunk_s, hot_rows=hot_rows))
+    return ordered_scan(
+        flagged, [feed], [at], F.floor(F.col(at) / chunk_s),
+        fills={"content_at": F.when(F.col("is_change"), F.col(at))}, hot_rows=hot_rows,
+    )
+
+
+def delta_log(snapshots: DataFrame, cycle: str, key: str = "trip_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Changes between consecutive full snapshots: rows new or different, and keys gone, per cycle.
+
+    ``cycle`` numbers the snapshots without holes.
+    """
+    fields = F.struct(*[c for c in snapshots.columns if c not in (cycle, key)])
+    last = snapshots.agg(F.max(cycle).alias("_last"), F.lit(1).alias("_one"))
+    scanned = ordered_scan(
+        snapshots.withColumn("_value", fields), [key], [cycle], F.floor(F.col(cycle) / 360),
+        lags={"_prev": cycle, "_before": "_value"}, leads={"_next": cycle}, hot_rows=hot_rows,
+    ).withColumn("_one", F.lit(1)).join(last, "_one")
+    same = (F.col("_prev") == F.col(cycle) - 1) & F.equal_null("_before", "_value")
+    gone = (F.col(cycle) < F.col("_last")) & (F.col("_next").isNull() | (F.col("_next") > F.col(cycle) + 1))
+    events = F.array_compact(F.array(
+        F.when(~F.coalesce(same, F.lit(False)), F.struct(F.col(cycle).alias("c"), F.lit("changed").alias("change"))),
+        F.when(gone, F.struct((F.col(cycle) + 1).alias("c"), F.lit("removed").alias("change"))),
+    ))
+    return scanned.select(key, F.explode(events).alias("_e")).select(F.col("_e.c").alias(cycle), key, "_e.change")
+
+
 def consecutive_fixes(
     fixes: DataFrame, key: str, at: str, tie: str | None = None, *, chunk_s: float = 3600.0, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

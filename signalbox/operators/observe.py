@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.gtfstime import parse_start_date
 from signalbox.operators.alerts import is_active
-from signalbox.operators.ordered import HOT_ROWS, ordered_scan
+from signalbox.operators.ordered import HOT_ROWS, greedy_chain, ordered_scan
 
 # fixed values
 OBSERVATION_INTERVAL_S = 120
@@ -59,57 +59,8 @@ def paced(
     rows: DataFrame, keys: Sequence[str] = ("trip_id",), at: str = "at", *, interval_s: int = OBSERVATION_INTERVAL_S,
     chunk_s: int = 3600,
 ) -> DataFrame:
-    """Keep a key's first row, then each first row at least ``interval_s`` after the last kept one.
-
-    Pacing depends on all earlier choices, so each chunk of a key is reduced to a small
-    table "first choice in the chunk -> last choice", of which only starts within one
-    interval of the chunk's begin can matter; those tables are chained per key, and each
-    chunk then replays its own choices.  ``at`` is whole seconds and unique per key, so a
-    chunk list has at most ``chunk_s`` entries however many rows a key has.
-    """
-    keys = list(keys)
-    chunk = F.floor(F.col(at) / chunk_s)
-    times = rows.select(*keys, at).groupBy(*keys, chunk.alias("_chunk")).agg(F.array_sort(F.collect_set(at)).alias("_t"))
-    begin = F.col("_chunk") * chunk_s
-
-    def choose(after: Column) -> Column:
-        """Choices in the chunk when nothing before ``after`` may be taken."""
-        start = F.struct(after.cast("bigint").alias("next"), F.array().cast("array<bigint>").alias("taken"))
-        step = lambda acc, t: F.when(
-            t >= acc["next"],
-            F.struct((t + interval_s).cast("bigint").alias("next"), F.array_append(acc["taken"], t).alias("taken")),
-        ).otherwise(acc)
-        return F.aggregate(F.col("_t").cast("array<bigint>"), start, step)
-
-    # starts that can occur: any time in the first interval, or the first one after it
-    early = F.filter("_t", lambda t: t < begin + interval_s)
-    late = F.slice(F.filter("_t", lambda t: t >= begin + interval_s), 1, 1)
-    exits = F.transform(
-        F.concat(early, late), lambda s: F.struct(s.cast("bigint").alias("start"), choose(s)["next"].alias("next"))
-    )
-    table = times.withColumn("_exits", exits)
-    chained = table.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_exits"))).alias("_all"))
-    begin_all = F.struct(
-        F.lit(None).cast("bigint").alias("next"), F.array().cast("array<struct<_chunk: bigint, _from: bigint>>").alias("entries")
-    )
-
-    def follow(acc, part):
-        usable = F.filter(part["_exits"], lambda e: acc["next"].isNull() | (e["start"] >= acc["next"]))
-        first = F.get(usable, 0)
-        entry = F.struct(part["_chunk"].alias("_chunk"), first["start"].alias("_from"))
-        return F.when(
-            F.size(usable) > 0,
-            F.struct(first["next"].alias("next"), F.array_append(acc["entries"], entry).alias("entries")),
-        ).otherwise(acc)
-
-    entries = chained.select(*keys, F.explode(F.aggregate("_all", begin_all, follow)["entries"]).alias("_e")).select(
-        *keys, "_e.*"
-    )
-    kept = times.join(entries, [*keys, "_chunk"]).select(
-        *keys, F.explode(choose(F.col("_from"))["taken"]).alias("_kept")
-    )
-    right = kept.select(*keys, F.col("_kept").alias(at))
-    return rows.join(right, [*keys, at], "left_semi")
+    """Keep a key's first row, then each first row at least ``interval_s`` after the last kept one."""
+    return greedy_chain(rows, keys, at, F.col(at) + interval_s, span_s=interval_s, chunk_s=chunk_s)
 
 
 def with_last_good(

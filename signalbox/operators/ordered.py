@@ -196,3 +196,60 @@ def nearest_instant(
         "prev_point",
         F.coalesce(here, F.col("_following")).alias("next_point"),
     )
+
+
+def greedy_chain(
+    rows: DataFrame, keys: Sequence[str], at: str, next_at: Column, *, span_s: int, chunk_s: int
+) -> DataFrame:
+    """Per key, take the first row, then always the first row not before the taken row's ``next_at``.
+
+    Each choice depends on all earlier ones, so a chunk of a key is reduced to a small
+    table "first choice in the chunk -> where the chain resumes"; those tables are chained
+    per key, and each chunk then replays its own choices.  Only starts within ``span_s``
+    (the most ``next_at`` can reach past its row) of the chunk's begin can occur, plus the
+    first one after it.  ``at`` is whole seconds and unique per key, so a chunk list has at
+    most ``chunk_s`` entries however many rows a key has.
+    """
+    keys = list(keys)
+    chunk = F.floor(F.col(at) / chunk_s)
+    item = F.struct(F.col(at).cast("bigint").alias("t"), next_at.cast("bigint").alias("n"))
+    lists = rows.groupBy(*keys, chunk.alias("_chunk")).agg(F.array_sort(F.collect_set(item)).alias("_t"))
+    begin = F.col("_chunk") * chunk_s
+
+    def choose(after: Column) -> Column:
+        """Choices in the chunk when nothing before ``after`` may be taken."""
+        start = F.struct(after.cast("bigint").alias("next"), F.array().cast("array<bigint>").alias("taken"))
+        step = lambda acc, i: F.when(
+            i["t"] >= acc["next"],
+            F.struct(i["n"].alias("next"), F.array_append(acc["taken"], i["t"]).alias("taken")),
+        ).otherwise(acc)
+        return F.aggregate("_t", start, step)
+
+    early = F.filter("_t", lambda i: i["t"] < begin + span_s)
+    late = F.slice(F.filter("_t", lambda i: i["t"] >= begin + span_s), 1, 1)
+    exits = F.transform(
+        F.concat(early, late), lambda i: F.struct(i["t"].alias("start"), choose(i["t"])["next"].alias("next"))
+    )
+    chained = lists.withColumn("_exits", exits).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "_exits"))).alias("_all")
+    )
+    nothing = F.struct(
+        F.lit(None).cast("bigint").alias("next"), F.array().cast("array<struct<_chunk: bigint, _from: bigint>>").alias("entries")
+    )
+
+    def follow(acc, part):
+        usable = F.filter(part["_exits"], lambda e: acc["next"].isNull() | (e["start"] >= acc["next"]))
+        first = F.get(usable, 0)
+        entry = F.struct(part["_chunk"].alias("_chunk"), first["start"].alias("_from"))
+        return F.when(
+            F.size(usable) > 0,
+            F.struct(first["next"].alias("next"), F.array_append(acc["entries"], entry).alias("entries")),
+        ).otherwise(acc)
+
+    entries = chained.select(*keys, F.explode(F.aggregate("_all", nothing, follow)["entries"]).alias("_e")).select(
+        *keys, "_e.*"
+    )
+    kept = lists.join(entries, [*keys, "_chunk"]).select(
+        *keys, F.explode(choose(F.col("_from"))["taken"]).alias(at)
+    )
+    return rows.join(kept, [*keys, at], "left_semi")

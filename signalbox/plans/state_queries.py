@@ -270,11 +270,12 @@ def _completions(t: Tables):
 
 
 _COMPLETION = """
-with tm as (select trip_id, stop_id as terminus from v_snap_stus where idx = 1
+with recursive tm as (select trip_id, stop_id as terminus from v_snap_stus where idx = 1
   qualify row_number() over (partition by trip_id order by ts_us, event_id) = 1),
  r as (select s.event_id, s.trip_id, s.sec as c, s.route_id, s.relationship, v.start_date, tm.terminus,
-   s.sec - lag(s.sec) over (partition by s.trip_id order by s.sec) as gap
-  from v_snaps s join v_trips v on v.trip_id = s.trip_id join tm on tm.trip_id = s.trip_id),
+   lag(s.sec) over (partition by s.trip_id order by s.sec) as before, p.prev_c
+  from v_snaps s join (select c, lag(c) over (order by c) as prev_c from (select distinct sec as c from v_snaps
+    where trip_id in (select trip_id from v_trips))) p on p.c = s.sec join v_trips v on v.trip_id = s.trip_id join tm on tm.trip_id = s.trip_id),
  u as (select event_id, stop_id, arr_time, dep_time, arr_delay from v_snap_stus
   qualify row_number() over (partition by event_id, stop_id order by idx) = 1),
  q as (select r.*, case when relationship = 'CANCELED' then 'cancelled'
@@ -282,25 +283,26 @@ with tm as (select trip_id, stop_id as terminus from v_snap_stus where idx = 1
     coalesce(u.arr_delay, u.arr_time - (cast(epoch(cast(start_date as timestamp)) as bigint) + 43200)) <= 299
     then 'on_time' else 'late' end end as outcome,
    case when relationship <> 'CANCELED' and u.dep_time is null then coalesce(u.arr_delay, u.arr_time - (cast(epoch(cast(start_date as timestamp)) as bigint) + 43200)) end as delay,
-   sum(case when gap is null or gap >= 259200 then 1 else 0 end) over (partition by r.trip_id order by c) as run
+   sum(case when before is null or prev_c - before >= 259200 then 1 else 0 end) over (partition by r.trip_id order by c) as run
   from r left join u on u.event_id = r.event_id and u.stop_id = r.terminus),
- g as (select trip_id, run, min(c) as reg, max(c) as last_c, min(c) filter (outcome is not null) as dec_c,
-   arg_min(outcome, c) filter (outcome is not null) as outcome,
-   (arg_min({'d': delay}, c) filter (outcome is not null)).d as delay,
-   max(start_date) as service_date from q group by all),
- e as (select *, coalesce(dec_c, (select min(c) from r where c >= last_c + 259200), (select max(c) from r)) as fin from g),
- o as (select *, row_number() over (partition by trip_id order by run) as i from e)
+ fin as (select q.*, coalesce(min(case when outcome is not null then c end) over (partition by trip_id, run order by c
+    rows between current row and unbounded following), x.expired, (select max(c) from r)) as fin
+  from q join (select trip_id as x_trip, run as x_run, (select min(c) from r where c >= max(q.c) + 259200) as expired
+   from q group by 1, 2) x on x_trip = trip_id and x_run = run),
+ nx as (select f.trip_id, f.c, (select min(g.c) from fin g where g.trip_id = f.trip_id and g.prev_c >= f.fin + 345600) as next_c
+  from fin f),
+ w as (select trip_id, min(c) as c from fin group by trip_id
+  union all select w.trip_id, nx.next_c from w join nx on nx.trip_id = w.trip_id and nx.c = w.c where nx.next_c is not null)
+select f.trip_id, strftime(f.start_date, '%Y-%m-%d') as service_date, f.fin as finalized_at,
+ coalesce(o.outcome, 'undetermined_gap') as status, o.delay as delay_seconds,
+ (select arg_max(route_id, c) from q where q.trip_id = f.trip_id and q.c between f.c and f.fin and q.run = f.run
+  and route_id is not null) as route_id
+from fin f join w on w.trip_id = f.trip_id and w.c = f.c
+left join q o on o.trip_id = f.trip_id and o.c = f.fin and o.run = f.run and o.outcome is not null
 """
 
 
-@query("str06_trip_completions", _COMPLETION.replace("with tm", "with recursive tm") + """,
- w as (select trip_id, i, fin as last_fin, true as kept from o where i = 1
-  union all select o.trip_id, o.i, case when o.reg - w.last_fin > 345600 then o.fin else w.last_fin end,
-   o.reg - w.last_fin > 345600 from w join o on o.trip_id = w.trip_id and o.i = w.i + 1)
-select o.trip_id, strftime(service_date, '%Y-%m-%d') as service_date, fin as finalized_at,
- coalesce(outcome, 'undetermined_gap') as status, delay as delay_seconds,
- (select arg_max(route_id, c) from q where q.trip_id = o.trip_id and q.run = o.run and c <= fin and route_id is not null) as route_id
-from o join w on w.trip_id = o.trip_id and w.i = o.i and w.kept""")
+@query("str06_trip_completions", _COMPLETION)
 def _(t):
     return _completions(t).select("trip_id", F.col("service_date").cast("string").alias("service_date"), "finalized_at",
                                   "status", F.col("delay_seconds").cast("bigint").alias("delay_seconds"), "route_id")
