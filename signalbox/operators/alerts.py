@@ -109,23 +109,17 @@ def match_alerts(alerts: DataFrame, requests: DataFrame, now: Column, key: str =
     )
     entities = current.select("id", F.explode(whole).alias("_e")).select("id", "_e.*").distinct()
 
-    shapes = ["".join(bits) for bits in product("01", repeat=len(AXES))]
+    shapes = F.array(*[F.lit("".join(bits)) for bits in product("01", repeat=len(AXES))])
 
     def filed(df: DataFrame, own: str, other: str) -> DataFrame:
         """One row per shape the other side may have, keyed by the axes both of them name."""
         own_shape = F.concat(*[F.when(F.col(a).isNotNull(), "1").otherwise("0") for a in AXES])
-
-        def key_for(mine: str, theirs: str) -> Column:
-            shared = [F.col(a).cast("string") for a, m, t in zip(AXES, mine, theirs) if m == t == "1"]
-            return F.concat_ws("|", *shared) if shared else F.lit("")
-
-        options = F.lit(None)
-        for mine in shapes:
-            row = F.array(*[F.struct(F.lit(o).alias("shape"), key_for(mine, o).alias("key")) for o in shapes])
-            options = F.when(F.col(own) == mine, row).otherwise(options)
-        return df.withColumn(own, own_shape).withColumn("_o", F.explode(options)).withColumns(
-            {other: F.col("_o.shape"), "_k": F.col("_o.key")}
-        ).drop("_o")
+        spread = df.withColumns({own: own_shape, other: F.explode(shapes)})
+        shared = [
+            F.when(F.substring(other, i + 1, 1) == "1", F.coalesce(F.col(a).cast("string"), F.lit(""))).otherwise("")
+            for i, a in enumerate(AXES)
+        ]
+        return spread.withColumn("_k", F.concat_ws("|", *shared))
 
     left = filed(entities, "_es", "_rs").select("id", "_es", "_rs", "_k")
     right = filed(requests, "_rs", "_es").select(key, "_es", "_rs", "_k")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.gtfstime import parse_start_date
 from signalbox.functions.punctuality import ON_TIME_MAX_S, punctuality_status, terminus_delay
-from signalbox.operators.ordered import HOT_ROWS, greedy_chain, nearest_instant, ordered_scan
+from signalbox.operators.ordered import HOT_ROWS, greedy_chain, let, nearest_instant, ordered_scan
 from signalbox.session import checkpointed
 
 # fixed values
@@ -23,7 +23,7 @@ FINALIZED_RETENTION_S = 21_600
 def terminus_update(updates: Column, stop_id: Column) -> Column:
     """First update of the stop, if it has an arrival and no departure (a genuine terminus)."""
     first = F.get(F.filter(updates, lambda s: s["stop_id"] == stop_id), 0)
-    return F.when(first["arr_time"].isNotNull() & first["dep_time"].isNull(), first)
+    return let(first, lambda u: F.when(u["arr_time"].isNotNull() & u["dep_time"].isNull(), u))
 
 
 def candidate_rows(rows: DataFrame, termini: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def candidate_rows(rows: DataFrame, termini: DataFrame) -> DataFrame:
     dated = rows.withColumn("service_date", parse_start_date("start_date")).filter(F.col("service_date").isNotNull())
     static = termini.select("trip_id", "service_date", "terminus_stop_id", "scheduled_arrival")
     joined = dated.join(static, ["trip_id", "service_date"], "left")
-    update = terminus_update(F.col("stop_time_updates"), F.col("terminus_stop_id"))
+    # a column of its own, so that the array is searched once per row
+    joined = joined.withColumn("_u", terminus_update(F.col("stop_time_updates"), F.col("terminus_stop_id")))
+    update = F.col("_u")
     actual = F.timestamp_seconds(update["arr_time"].try_cast("bigint"))
     delay = terminus_delay(update["arr_delay"], actual, F.col("scheduled_arrival"))
     cancelled = F.col("relationship") == "CANCELED"

@@ -24,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once per row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: at most rows/hot_rows of them, so small enough to broadcast."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -72,11 +77,10 @@ def ordered_scan(
     # named so that an input already hashed on the key alone is spread over its chunks too
     local = base.repartition(*[F.col(c) for c in group])
     ahead = Window.partitionBy(*group).orderBy(*order)
-    upto, strictly_before, strictly_after = (
-        ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow),
-        ahead.rowsBetween(Window.unboundedPreceding, -1),
-        ahead.rowsBetween(1, Window.unboundedFollowing),
-    )
+    upto = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    strictly_before = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    # looking ahead walks the rows backwards: a frame ending unbounded would be rescanned for every row
+    strictly_after = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
     fill_values = {**{("f", n): c for n, c in fills.items()}, **{("b", n): c for n, c in before.items()}}
     pack = lambda cols: F.struct(*[_col(c).alias(n) for n, c in cols.items()])
@@ -93,7 +97,7 @@ def ordered_scan(
     for name, c in before.items():
         columns[f"_b_{name}"] = F.last(_col(c), ignorenulls=True).over(strictly_before)
     for name, c in after.items():
-        columns[f"_a_{name}"] = F.first(_col(c), ignorenulls=True).over(strictly_after)
+        columns[f"_a_{name}"] = F.last(_col(c), ignorenulls=True).over(strictly_after)
     local = local.withColumns(columns)
 
     summary = []
@@ -111,7 +115,8 @@ def ordered_scan(
 
     across = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys) if keys else Window
+    later = back.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = [F.col(k) for k in group]
     if lags:
         carry.append(F.lag("_t_lag").over(across).alias("_c_lag"))
@@ -122,7 +127,7 @@ def ordered_scan(
     for kind, name in fill_values:
         carry.append(F.last(f"_t_{kind}_{name}", ignorenulls=True).over(earlier).alias(f"_c_{kind}_{name}"))
     for name in after:
-        carry.append(F.first(f"_t_a_{name}", ignorenulls=True).over(later).alias(f"_c_a_{name}"))
+        carry.append(F.last(f"_t_a_{name}", ignorenulls=True).over(later).alias(f"_c_a_{name}"))
     joined = local.join(tails.select(*carry), group, "left")
 
     result: dict[str, Column] = {}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbox.functions.geo import degrees_for, grid_cell, haversine_m
+from signalbox.operators.ordered import let
 
 # fixed values
 GEOFENCE_RADIUS_M = 100.0
@@ -60,47 +61,60 @@ def station_state(updates: Column, now: Column, last_dwell_is_at: bool = False)
     A dwell at the last known stop that has a real departure comes out unknown unless
     ``last_dwell_is_at``; origin and terminus are told by the missing side of the feed.
     """
-    a = anchors(updates)
-    head, tail = F.get(a, 0), F.element_at(a, -1)
-    pair = _first_pair(a, now)
-    cur, nxt = pair["cur"], pair["nxt"]
-    span = nxt["arr"] - cur["dep"]
-    share = F.when(span <= 0, F.lit(0.0)).otherwise((now - cur["dep"]) / span)
-    progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
-    result = (
-        F.when(F.size(a) <= 0, _state("unknown"))
-        .when((now < head["arr"]) & ~head["had_arr"], _state("at", head["stop_id"]))
-        .when(now < head["arr"], _state("between", target=head["stop_id"]))
-        .when((now >= tail["dep"]) & ~tail["had_dep"], _state("at", tail["stop_id"]))
-        .when(now >= tail["dep"], _state("between", origin=tail["stop_id"]))
-        .when(pair["dwell"], _state("at", cur["stop_id"]))
-        .when(pair.isNotNull(), _state("between", None, cur["stop_id"], nxt["stop_id"], progress))
-    )
-    if last_dwell_is_at:
-        result = result.when((tail["arr"] <= now) & (now <= tail["dep"]), _state("at", tail["stop_id"]))
-    return F.when(updates.isNull(), _state("unknown")).otherwise(result.otherwise(_state("unknown")))
+
+    def judge(a: Column, pair: Column) -> Column:
+        head, tail = F.get(a, 0), F.element_at(a, -1)
+        cur, nxt = pair["cur"], pair["nxt"]
+        span = nxt["arr"] - cur["dep"]
+        share = F.when(span <= 0, F.lit(0.0)).otherwise((now - cur["dep"]) / span)
+        progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
+        result = (
+            F.when(F.size(a) <= 0, _state("unknown"))
+            .when((now < head["arr"]) & ~head["had_arr"], _state("at", head["stop_id"]))
+            .when(now < head["arr"], _state("between", target=head["stop_id"]))
+            .when((now >= tail["dep"]) & ~tail["had_dep"], _state("at", tail["stop_id"]))
+            .when(now >= tail["dep"], _state("between", origin=tail["stop_id"]))
+            .when(pair["dwell"], _state("at", cur["stop_id"]))
+            .when(pair.isNotNull(), _state("between", None, cur["stop_id"], nxt["stop_id"], progress))
+        )
+        if last_dwell_is_at:
+            result = result.when((tail["arr"] <= now) & (now <= tail["dep"]), _state("at", tail["stop_id"]))
+        return result.otherwise(_state("unknown"))
+
+    known = let(anchors(updates), lambda a: let(_first_pair(a, now), lambda pair: judge(a, pair)))
+    return F.when(updates.isNull(), _state("unknown")).otherwise(known)
 
 
 def next_stop(updates: Column, now: Column) -> Column:
     """Struct of next stop id and its delay (arrival side first); null when not known yet."""
-    a = anchors(updates)
-    head, tail = F.get(a, 0), F.element_at(a, -1)
-    target = F.when(now < head["arr"], head["stop_id"]).when(now < tail["dep"], _first_pair(a, now)["nxt"]["stop_id"])
-    stop = F.when(F.size(a) > 0, target)
-    update = F.get(F.filter(updates, lambda s: s["stop_id"] == stop), 0)
-    return F.struct(stop.alias("next_stop_id"), F.coalesce(update["arr_delay"], update["dep_delay"]).alias("next_stop_delay"))
+
+    def target(a: Column) -> Column:
+        head, tail = F.get(a, 0), F.element_at(a, -1)
+        ahead = F.when(now < head["arr"], head["stop_id"]).when(now < tail["dep"], _first_pair(a, now)["nxt"]["stop_id"])
+        return F.when(F.size(a) > 0, ahead)
+
+    def with_delay(stop: Column) -> Column:
+        update = F.get(F.filter(updates, lambda s: s["stop_id"] == stop), 0)
+        return let(update, lambda u: F.struct(
+            stop.alias("next_stop_id"), F.coalesce(u["arr_delay"], u["dep_delay"]).alias("next_stop_delay")
+        ))
+
+    return let(let(anchors(updates), target), with_delay)
 
 
 def progress_sequence(updates: Column, now: Column) -> Column:
     """Sequence of the stop most recently reached: one below the first known before it, the last after it."""
-    a = anchors(updates)
-    head, tail = F.get(a, 0), F.element_at(a, -1)
-    return F.when(
-        F.size(a) > 0,
-        F.when(now < head["arr"], head["stop_sequence"] - 1)
-        .when(now >= tail["dep"], tail["stop_sequence"])
-        .otherwise(_first_pair(a, now)["cur"]["stop_sequence"]),
-    )
+
+    def reached(a: Column) -> Column:
+        head, tail = F.get(a, 0), F.element_at(a, -1)
+        return F.when(
+            F.size(a) > 0,
+            F.when(now < head["arr"], head["stop_sequence"] - 1)
+            .when(now >= tail["dep"], tail["stop_sequence"])
+            .otherwise(_first_pair(a, now)["cur"]["stop_sequence"]),
+        )
+
+    return let(anchors(updates), reached)
 
 
 def geofence(states: DataFrame, stops: DataFrame, radius_m: float = GEOFENCE_RADIUS_M) -> DataFrame:
