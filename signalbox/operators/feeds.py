@@ -132,14 +132,16 @@ def newly_raised(
 
 
 def header_changes(
-    polls: DataFrame, feed: str, at: str, header: str, *, chunk_s: int = 86_400, hot_rows: int = HOT_ROWS
+    polls: DataFrame, feed: str, at: str, header: str, *, tie: str | None = None, chunk_s: int = 86_400,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Flag polls whose header is missing or differs from the feed's previous poll (the first one counts).
 
     ``at`` is a number (seconds); ``interval`` is the step since the previous change.
     """
+    order = [at] + ([tie] if tie else [])
     scanned = ordered_scan(
-        polls, [feed], [at], F.floor(F.col(at) / chunk_s), lags={"_seen": F.lit(True), "_before": header},
+        polls, [feed], order, F.floor(F.col(at) / chunk_s), lags={"_seen": F.lit(True), "_before": header},
         hot_rows=hot_rows,
     )
     changed = F.col("_seen").isNull() | F.col(header).isNull() | ~F.equal_null("_before", header)
@@ -149,12 +151,13 @@ def header_changes(
 
 
 def reused_content(
-    polls: DataFrame, feed: str, at: str, header: str, *, chunk_s: int = 86_400, hot_rows: int = HOT_ROWS
+    polls: DataFrame, feed: str, at: str, header: str, *, tie: str | None = None, chunk_s: int = 86_400,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Which poll's content stands for each poll: its own when the header changed, else that of the last change."""
-    flagged = checkpointed(header_changes(polls, feed, at, header, chunk_s=chunk_s, hot_rows=hot_rows))
+    flagged = checkpointed(header_changes(polls, feed, at, header, tie=tie, chunk_s=chunk_s, hot_rows=hot_rows))
     return ordered_scan(
-        flagged, [feed], [at], F.floor(F.col(at) / chunk_s),
+        flagged, [feed], [at] + ([tie] if tie else []), F.floor(F.col(at) / chunk_s),
         fills={"content_at": F.when(F.col("is_change"), F.col(at))}, hot_rows=hot_rows,
     )
 

@@ -64,14 +64,15 @@ def paced(
 
 
 def with_last_good(
-    features: DataFrame, at: str = "at", *, max_age_s: float = FEATURE_MAX_AGE_S, hot_rows: int = HOT_ROWS
+    features: DataFrame, at: str = "at", *, tie: str | None = None, max_age_s: float = FEATURE_MAX_AGE_S,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Fill a cycle without features from the trip's last good ones when young enough, flagged stale.
 
     ``features``: trip_id, ``at`` and the struct column ``features`` (null when underivable).
     """
     scanned = ordered_scan(
-        features, ["trip_id"], [at], F.floor(F.col(at) / 3600),
+        features, ["trip_id"], [at] + ([tie] if tie else []), F.floor(F.col(at) / 3600),
         fills_before={"_good": F.when(F.col("features").isNotNull(), F.struct(F.col(at).alias("at"), "features"))},
         hot_rows=hot_rows,
     )

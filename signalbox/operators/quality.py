@@ -137,18 +137,19 @@ def poll_outcomes(polls: DataFrame, window_s: int) -> DataFrame:
 
 
 def outage_episodes(
-    polls: DataFrame, keys: Sequence[str] = (), *, low: int = LOW_REMAINING,
+    polls: DataFrame, keys: Sequence[str] = (), *, tie: str | None = None, low: int = LOW_REMAINING,
     ladder: Sequence[int] = BACKOFF_LADDER_S, chunk_s: int = 86_400, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Runs of bad cycles closed by the next good one.
 
     A cycle is bad when it failed or its quota is at most ``low``.  A run still open at
-    the end of the data is not reported.
+    the end of the data is not reported.  ``tie`` orders cycles of the same second.
     """
+    order = ["at"] + ([tie] if tie else [])
     bad = ~F.col("ok") | F.coalesce(F.col("remaining") <= low, F.lit(False))
-    flagged = polls.select(*keys, "at", "ok", bad.alias("is_bad"))
+    flagged = polls.select(*keys, *order, "ok", bad.alias("is_bad"))
     scanned = ordered_scan(
-        flagged, list(keys), ["at"], F.floor(F.col("at") / chunk_s),
+        flagged, list(keys), order, F.floor(F.col("at") / chunk_s),
         fills_after={"ended_at": F.when(~F.col("is_bad"), F.col("at"))}, hot_rows=hot_rows,
     )
     runs = scanned.filter(F.col("is_bad") & F.col("ended_at").isNotNull()).groupBy(*keys, "ended_at").agg(

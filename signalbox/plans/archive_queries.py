@@ -365,7 +365,7 @@ def _ghosts(t: Tables):
 
 def _gap_events(t: Tables):
     polls = t.polls.withColumn("at", F.floor(F.col("ts_us") / 1_000_000).cast("bigint"))
-    gaps = qu.outage_episodes(polls)
+    gaps = qu.outage_episodes(polls, tie="poll_id")
     return gaps.select(
         F.timestamp_seconds("ended_at").alias("recorded_at"), F.timestamp_seconds("started_at").alias("started_at"),
         F.timestamp_seconds("ended_at").alias("ended_at"), F.lit("circuit_breaker").alias("reason"),

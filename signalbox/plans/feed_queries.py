@@ -308,7 +308,7 @@ select started_at, ended_at, bad_cycles, consecutive_failures,
  cast(case when bad_cycles = 1 then 30 when bad_cycles = 2 then 60 else 300 end as double) as max_level_reached_s
 from v_outages""")
 def _(t):
-    return qu.outage_episodes(_polls(t))
+    return qu.outage_episodes(_polls(t), tie="poll_id")
 
 
 @query("flt11_valid_fixes", """

@@ -371,7 +371,7 @@ def _(t):
     rows = t._events.filter(F.col("event_type").isin("purchase", "signup")).select(
         "event_id", F.col("user_id").cast("string").alias("trip_id"), F.floor(F.col("ts_us") / 1_000_000).cast("bigint").alias("at"),
         F.when(F.col("k") % 4 != 0, F.struct("k")).alias("features"))
-    filled = ob.with_last_good(rows, max_age_s=86_400)
+    filled = ob.with_last_good(rows, tie="event_id", max_age_s=86_400)
     return filled.select("event_id", F.col("features.k").alias("value"), "stale")
 
 

@@ -66,8 +66,8 @@ def _(t):
 @query("str01_header_content_batch", _CONTENT)
 def _(t):
     second = F.floor(F.col("ts_us") / 1_000_000).cast("bigint")
-    polls = t.polls.select("feed", second.alias("at_s"), F.col("header_ts").alias("header"))
-    return fd.reused_content(polls, "feed", "at_s", "header").select(
+    polls = t.polls.select("poll_id", "feed", second.alias("at_s"), F.col("header_ts").alias("header"))
+    return fd.reused_content(polls, "feed", "at_s", "header", tie="poll_id").select(
         "feed", "at_s", "header", F.col("content_at").alias("content_s"), "is_change")
 
 
