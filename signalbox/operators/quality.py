@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbox.functions.geo import in_box
-from signalbox.functions.gtfstime import gtfs_seconds, local_hour, time_band
+from signalbox.functions.gtfstime import gtfs_seconds, local_hour, local_time, time_band
 from signalbox.operators.feeds import consecutive_fixes, header_changes
 from signalbox.operators.ordered import HOT_ROWS, exact_quantiles, nearest_instant, ordered_scan
 from signalbox.schemas import RATE_LIMIT
@@ -256,7 +256,7 @@ def scheduled_running(
     Spans are laid into ``bucket_s`` wide buckets so that the range test is only a
     residual of an equality join.
     """
-    local = F.from_utc_timestamp(F.timestamp_seconds("sample_at"), "Australia/Melbourne")
+    local = local_time(F.timestamp_seconds("sample_at"))
     second = (F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)).cast("bigint")
     looks = F.array(
         F.struct(F.to_date(local).alias("service_date"), second.alias("x"), F.lit(0).cast("bigint").alias("floor_s")),
