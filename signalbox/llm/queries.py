@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, quality_rules
+from signalbox.llm import common, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,37 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - lost_words) >= 50 * n_words AS kept
 FROM stats
 """
+
+
+@registered
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).select("doc_id", *mixing.RESULTS)
+
+
+SQL["op10_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS s, md5('mix-' || coalesce(doc_id::VARCHAR, '')) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), src AS (
+  SELECT s, sum(size)::DOUBLE AS source_size, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY s) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY s
+), ranked AS (
+  SELECT *, 2 * source_size AS cap, sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, s ROWS UNBOUNDED PRECEDING) AS used,
+         sum(w) OVER () - sum(w) OVER (ORDER BY 2 * source_size / w, s ROWS UNBOUNDED PRECEDING) AS rest,
+         1.5 * sum(source_size) OVER () AS budget, sum(w) OVER () AS all_w
+  FROM src
+), level AS (
+  SELECT greatest(max(CASE WHEN rest > 0 THEN (budget - used) / rest END), max(budget / all_w)) AS lam FROM ranked
+), t AS (
+  SELECT s, source_size, round(least(cap, w * lam), 6) AS target FROM ranked CROSS JOIN level
+), p AS (
+  SELECT doc_id, size, source_size::BIGINT AS source_size, target, floor(target)::BIGINT AS budget,
+         CASE WHEN source_size > 0 THEN floor(floor(target) / source_size)::BIGINT ELSE 0 END AS epochs,
+         coalesce(sum(size) OVER (PARTITION BY s ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t USING (s)
+)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
+FROM p
+"""
