@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, mixing, quality_rules
+from signalbox.llm import common, mixing, quality_rules, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +94,25 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
 FROM p
 """
+
+
+@registered
+def op7_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
+    back = web_archive.converted(spark, pages)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op7_web_archive"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), s AS (
+  SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM s
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
