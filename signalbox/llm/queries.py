@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, mixing, quality_rules, web_archive
+from signalbox.llm import common, mixing, quality_rules, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,58 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM m
 """
+
+
+@registered
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_sql() -> str:
+    level = "SELECT gram, 1.0::DOUBLE / 37 AS pg, 1.0::DOUBLE / 37 AS pb FROM seen"
+    tables = []
+    for k in range(url_filter.ORDER + 1):
+        tables.append(f"c{k} AS (SELECT substr(gram, {url_filter.ORDER - k + 1}) AS tail, sum(good) AS g, sum(bad) AS b FROM seen GROUP BY 1)")
+        tables.append(f"s{k} AS (SELECT substr(tail, 1, {k}) AS ctx, sum(g) AS sg, sum(b) AS sb, count(*) FILTER (WHERE g > 0) AS tg, count(*) FILTER (WHERE b > 0) AS tb FROM c{k} GROUP BY 1)")
+        tables.append(f"""p{k} AS (SELECT gram, CASE WHEN sg > 0 THEN (g + tg * pg) / (sg + tg) ELSE pg END AS pg, CASE WHEN sb > 0 THEN (b + tb * pb) / (sb + tb) ELSE pb END AS pb
+          FROM ({level}) q JOIN c{k} ON tail = substr(gram, {url_filter.ORDER - k + 1}) JOIN s{k} ON ctx = substr(tail, 1, {k}))""")
+        level = f"SELECT * FROM p{k}"
+    return rf"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u
+), q AS (
+  SELECT page_id, rest, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h
+), rules(kind, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), parts AS (
+  SELECT page_id, host, path, max_by(rules.h || rules.p, length(rules.h || rules.p)) AS rule, max_by(kind, length(rules.h || rules.p)) AS kind,
+         any_value(regexp_replace(regexp_replace(translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^a-z0./\-_?=&#]', '~', 'g')) AS t
+  FROM q LEFT JOIN rules ON (host = rules.h OR suffix(host, '.' || rules.h)) AND starts_with(path, rules.p) GROUP BY page_id, host, path
+), strings AS (
+  SELECT t, count(*) FILTER (WHERE kind = 'allow') AS good, count(*) FILTER (WHERE kind = 'block') AS bad FROM parts GROUP BY t
+), held AS (
+  SELECT t, good, bad, substr(md5(t), 1, 1) IN ('0', '1', '2') AS held FROM strings
+), grams AS (
+  SELECT t, good, bad, held, substr('^^^' || t || '$', i, 4) AS gram FROM (SELECT *, unnest(range(1, length(t) + 2)) AS i FROM held)
+), seen AS (
+  SELECT gram, coalesce(sum(good) FILTER (WHERE NOT held), 0)::DOUBLE AS good, coalesce(sum(bad) FILTER (WHERE NOT held), 0)::DOUBLE AS bad FROM grams GROUP BY gram
+), {", ".join(tables)}, scores AS (
+  SELECT t, any_value(good) AS good, any_value(bad) AS bad, any_value(held) AS held, sum(ln(pg) - ln(pb)) / count(*) AS score
+  FROM grams JOIN p{url_filter.ORDER} USING (gram) GROUP BY t
+), bins AS (
+  SELECT floor(greatest(-20.0, least(20.0, score)) * 100) AS bin, sum(good) AS good, sum(bad) AS bad FROM scores WHERE held GROUP BY 1
+), errors AS (
+  SELECT bin, coalesce(sum(good) OVER w, 0) / nullif(sum(good) OVER (), 0) + 1 - coalesce(sum(bad) OVER w, 0) / nullif(sum(bad) OVER (), 0) AS error
+  FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT coalesce((SELECT bin FROM errors WHERE error IS NOT NULL ORDER BY error, abs(bin), bin LIMIT 1) / 100, 0) AS cut
+)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM parts JOIN scores USING (t) CROSS JOIN cut
+"""
+
+
+SQL["op5_url_filter"] = _url_sql()
