@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, fingerprints, mixing, quality_rules, url_filter, web_archive
+from signalbox.llm import common, fingerprints, mixing, packing, quality_rules, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,3 +176,8 @@ SQL["op5_url_filter"] = _url_sql()
 @registered
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@registered
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
