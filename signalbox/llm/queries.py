@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, fingerprints, mixing, packing, quality_rules, url_filter, web_archive
+from signalbox.llm import common, fingerprints, mixing, packing, quality_model, quality_rules, toxicity, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,3 +181,19 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@registered
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels")
+    held = common.crc_of_id() % 3 == 1
+    out = quality_model.scored(docs, quality_model.fitted(docs, labels, ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@registered
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels")
+    held = common.crc_of_id() % 4 == 2
+    out = toxicity.scored(docs, toxicity.fitted(docs, labels, ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
