@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, fingerprints, mixing, packing, quality_model, quality_rules, toxicity, url_filter, web_archive
+from signalbox.llm import common, fingerprints, jaccard_join, mixing, packing, quality_model, quality_rules, toxicity, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,3 +197,29 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = common.crc_of_id() % 4 == 2
     out = toxicity.scored(docs, toxicity.fitted(docs, labels, ~held))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@registered
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op9_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[p:p + 4], ' ') END AS shingle
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), links AS (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.r <> y.r GROUP BY ALL) JOIN n na ON na.r = a JOIN n nb ON nb.r = b
+  WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+), reach AS (
+  SELECT r, r AS other FROM w UNION SELECT reach.r, b FROM reach JOIN links ON a = other
+)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM w JOIN reach USING (r) JOIN w o ON o.r = other LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
+"""
