@@ -57,7 +57,8 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64, element by element."""
+    """Finaliser of splitmix64, element by element, modulo 2**64."""
+    h = np.atleast_1d(h)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))

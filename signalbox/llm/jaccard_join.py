@@ -10,11 +10,15 @@ What a segment costs decides how it is used:
 - empty segments would meet everywhere and are passed over; a set with too few others also indexes the one-deletion
   neighbourhoods of its segments (each covers one difference more), and its empty ones only if that is not enough;
 - segments that more than ``HOT`` sets share are passed over by every set that has no more of them than it indexed
-  beyond ``H + 1``: such a set still shares another segment with each partner.
-
-Pairs are verified on the whole sets (64-bit hashes of the shingles). Equal sets are one class throughout. In a group of sets
-with one segment in common all are compared with one of them first; what that links need not be compared
-again, and the rest goes on until no group spans several components with an uncompared pair. So no link between different
+  beyond ``H + 1``: such a set still shares another segment with each partner;
+- sets with more hot segments than that (passages that many documents share, large groups of near copies) are also
+  indexed by single shingles, the finest partition: of ``n`` shingles the ``n - ceil(0.75 n) + 1`` rarest ones, of which two
+  similar sets have one in common.
+
+All pairs of a cold segment are formed; a pair counts as a candidate if it shares as many segments as the spare ones
+demand. Pairs are verified on the whole sets (64-bit hashes of the shingles). Equal sets are one class throughout. Where many
+sets share a single shingle, all are compared with one of them first; what that links need not be compared again, and
+the rest goes on until no group spans several components with an uncompared pair. So no link between different
 components is lost, and a large group of near copies costs about one comparison per member.
 
 Edge cases: a null text and one without words have an empty set and are linked with nothing, not even each other; fewer
@@ -29,14 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.llm.common import mixed, row_batches, shingles_of, stored
 from signalbox.llm.components import components
 
-#: Sets that share a segment before it counts as hot; group size up to which all pairs are compared at once.
-HOT, SMALL_GROUP, HUB_ROUNDS = 64, 12, 6
+#: Sets that share a segment before it counts as hot; rounds of comparisons with one member before all that is left is compared.
+HOT, HUB_ROUNDS = 12, 6
 #: Bits of the filter that keeps texts of documents without a candidate from being shuffled; its size is fixed.
 FILTER_BITS = 1 << 24
 NO_ID = 2**63 - 1
@@ -103,8 +107,9 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 def set_key(h: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit hashes of a set, as signed integers."""
-    a, b = mixed(mixed(h).sum(dtype=np.uint64) + np.uint64(len(h))), mixed(mixed(h ^ _SEGMENT).sum(dtype=np.uint64))
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+    sums = np.array([mixed(h).sum(dtype=np.uint64), mixed(h ^ _SEGMENT).sum(dtype=np.uint64)]) + np.uint64(len(h))
+    a, b = mixed(sums).view(np.int64).tolist()
+    return a, b
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -166,23 +171,56 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(owner[out])], names=["sig", "owner"])
 
 
-def shared_segments(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (``sig``, ``owner``) of the segments that several sets have and need."""
+def _segments(docs: DataFrame) -> DataFrame:
+    """Rows (``sig``, ``owner``) of the segments that several sets have."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _index(docs).repartition(n, "sig").sortWithinPartitions("sig", "owner").mapInArrow(_shared, "sig bigint, owner bigint")
-    rows = stored(rows, "shared-segments")
-    hot = rows.groupBy("sig").count().filter(F.col("count") > HOT).select("sig")
-    in_hot = stored(rows.join(hot, "sig"), "hot-segments")
-    band = F.col("sig").bitwiseAND(63).cast("int")
-    # a hash of a set that two sets share counts with the smaller reserve
-    reserve = classes.groupBy(F.col("h1").alias("owner")).agg(F.min("spare_own").alias("own"), F.min("spare_next").alias("next"), F.min("band").alias("band"))
-    burdened = (
-        in_hot.groupBy("owner", band.alias("scheme")).count().join(reserve, "owner")
-        .filter(F.col("count") > F.when(F.col("scheme") == F.col("band"), F.col("own")).otherwise(F.coalesce("next", F.lit(-1))))
-        .select("owner", "scheme")
-    )
-    keep = in_hot.withColumn("scheme", band).join(burdened, ["owner", "scheme"], "left_semi").select("sig", "owner")
-    return rows.join(hot, "sig", "left_anti").select("sig", "owner").union(keep)
+    return stored(rows, "segments")
+
+
+def _reserves(classes: DataFrame) -> DataFrame:
+    """``owner``, ``scheme``, ``n`` and ``spare``; a hash that two sets share counts with the smaller reserve."""
+    either = F.explode(F.array(F.struct(F.col("band").alias("scheme"), F.col("spare_own").alias("spare")), F.struct((F.col("band") + 1).alias("scheme"), F.col("spare_next").alias("spare"))))
+    rows = classes.select(F.col("h1").alias("owner"), "n", either.alias("_of")).select("owner", "n", "_of.*").filter("spare IS NOT NULL")
+    return rows.groupBy("owner", "scheme").agg(F.min("spare").alias("spare"), F.min("n").alias("n"))
+
+
+def segment_candidates(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (``a``, ``b``) from cold segments, and the owners with too many hot ones."""
+    rows = _segments(docs)
+    hot = stored(rows.groupBy("sig").count().filter(F.col("count") > HOT).select("sig"), "hot-segments")
+    scheme = F.col("sig").bitwiseAND(63).cast("int")
+    burden = rows.join(hot, "sig", "left_semi").groupBy("owner", scheme.alias("scheme")).agg(F.count(F.lit(1)).alias("hot"))
+    known = stored(_reserves(classes).join(burden, ["owner", "scheme"], "left").fillna(0, ["hot"]), "reserves")
+    cold = rows.join(hot, "sig", "left_anti").withColumn("scheme", scheme).join(known, ["owner", "scheme"]).drop("scheme")
+    cold = stored(cold, "cold-segments")
+    left = cold.select("sig", *(F.col(c).alias(f"{c}_a") for c in ("owner", "n", "spare", "hot")))
+    right = cold.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("owner", "n", "spare", "hot")))
+    near = (F.col("owner_a") < F.col("owner_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+    demand = 1 + F.least("spare_a", "spare_b") - F.least("hot_a", "hot_b")
+    # a group has at most HOT members, so at most HOT / 2 pairs a row
+    met = left.join(right, "sig").filter(near).groupBy("owner_a", "owner_b", F.col("sig").bitwiseAND(63).alias("scheme")).agg(F.count(F.lit(1)).alias("shared"), F.min(demand).alias("demand"))
+    pairs = met.filter("shared >= demand").select(F.col("owner_a").alias("a"), F.col("owner_b").alias("b")).distinct()
+    return stored(pairs, "pairs"), known.filter("hot > spare").select("owner").distinct()
+
+
+def rarest_shingles(texts: DataFrame) -> DataFrame:
+    """Rows (``sig``, ``owner``, ``n``): the shingles of each set that it must index, rarest first, where shared."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches):
+            sets = [shingles_of(t) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(h) for h in sets])
+            if len(sets):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.repeat(sizes, sizes))],
+                    names=["sig", "owner", "n"])
+
+    rows = stored(texts.select("owner", "text").mapInArrow(explode, "sig bigint, owner bigint, n bigint"), "single-shingles")
+    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("owner").orderBy("sets", "sig"))  # a set's own shingles
+    needed = F.col("n") - F.ceil(F.lit(0.75) * F.col("n")) + 1
+    return rows.join(counts, "sig").withColumn("_rank", rank).filter((F.col("_rank") <= needed) & (F.col("sets") > 1)).select("sig", "owner", "n")
 
 
 def _filter_of(keys: DataFrame, column: str) -> np.ndarray:
@@ -244,37 +282,35 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) between owners that connect all components of similar sets."""
-    spark = docs.sparkSession
-    groups = stored(shared_segments(docs, classes), "segments")
-    wanted = classes.join(groups.select(F.col("owner").alias("h1")).distinct(), "h1", "left_semi").select("h1", "h2", "rep")
-    texts = stored(_texts(docs, stored(wanted, "wanted")), "texts")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    active = groups.withColumn("component", F.col("owner"))
-    done = None
+    pairs, burdened = segment_candidates(docs, classes)
+    burdened = stored(burdened, "burdened")
+    owners = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(burdened).distinct()
+    wanted = stored(classes.join(owners, "h1", "left_semi").select("h1", "h2", "rep"), "wanted")
+    texts = stored(_texts(docs, wanted), "texts")
+    links, done = stored(verified(pairs, texts), "links"), pairs
+    active = stored(rarest_shingles(texts.join(burdened, "owner", "left_semi")), "rarest-shingles")
     for step in range(HUB_ROUNDS + 1):
-        size = active.groupBy("sig").agg(F.min("owner").alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-        open_groups = stored(active.join(size.filter("lo <> hi"), "sig").drop("lo", "hi"), "open-segments")
-        if open_groups.isEmpty():
+        labels = components(links).withColumnRenamed("node", "owner")
+        labelled = active.join(labels, "owner", "left").withColumn("component", F.coalesce("component", "owner"))
+        groups = labelled.groupBy("sig").agg(F.min("owner").alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
+        labelled = stored(labelled.join(groups.filter("lo <> hi").drop("lo", "hi"), "sig"), "open-groups")
+        if labelled.isEmpty():
             break
-        final = step == HUB_ROUNDS
-        few = open_groups if final else open_groups.filter(F.col("n") <= SMALL_GROUP)
-        pairs = few.select("sig", F.col("owner").alias("a"), F.col("component").alias("ca")).join(few.select("sig", F.col("owner").alias("b"), F.col("component").alias("cb")), "sig").filter("a < b AND ca <> cb")
-        many = open_groups.filter(F.col("n") > SMALL_GROUP)
-        if not final:
-            hubs = many.filter("owner = hub").select("sig", "hub", F.col("component").alias("ca"))
-            to_hub = many.drop("hub").join(hubs, "sig").filter("component <> ca AND owner <> hub").select(F.col("hub").alias("a"), F.col("owner").alias("b"))
-            pairs = pairs.select("a", "b").union(to_hub)
-        pairs = pairs.select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        whole = labelled if step == HUB_ROUNDS else labelled.filter(F.col("members") <= HOT)
+        side = [F.col("sig"), F.col("owner"), F.col("n"), F.col("component")]
+        pairs = whole.select(*side).alias("x").join(whole.select(*side).alias("y"), "sig").filter("x.owner < y.owner AND x.component <> y.component AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)")
+        pairs = pairs.select(F.col("x.owner").alias("a"), F.col("y.owner").alias("b"))
+        many = labelled.filter(F.col("members") > HOT)
+        if step < HUB_ROUNDS:
+            hubs = many.filter("owner = hub").select("sig", F.col("n").alias("n_hub"), F.col("component").alias("of_hub"))
+            to_hub = many.join(hubs, "sig").filter("component <> of_hub AND 4 * least(n, n_hub) >= 3 * greatest(n, n_hub)")
+            pairs = pairs.union(to_hub.select(F.col("hub").alias("a"), F.col("owner").alias("b")))
+        pairs = stored(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         links = stored(links.union(verified(pairs, texts)), "links")
-        done = pairs if done is None else stored(done.union(pairs), "compared")
-        if final:
+        if step == HUB_ROUNDS:
             break
-        labels = components(links)
-        left = many.filter("owner <> hub").select("sig", "owner").join(labels.withColumnRenamed("node", "owner"), "owner", "left")
-        active = stored(left.select("sig", "owner", F.coalesce("component", "owner").alias("component")), "active-segments")
+        done = stored(done.union(pairs), "compared")
+        active = stored(many.filter("owner <> hub").select("sig", "owner", "n"), "rarest-shingles")
     return links
 
 
@@ -285,7 +321,7 @@ def joined(docs: DataFrame) -> DataFrame:
     full = sets.filter("n_shingles > 0")
     classes = stored(
         full.groupBy("h1", "h2").agg(F.min(_id()).alias("rep"), F.min("spare_own").alias("spare_own"), F.min("spare_next").alias("spare_next"),
-                                     F.floor(F.log2(F.min("n_shingles") + 0.5)).cast("int").alias("band")), "classes")
+                                     F.min("n_shingles").alias("n"), F.floor(F.log2(F.min("n_shingles") + 0.5)).cast("int").alias("band")), "classes")
     labels = components(linked(docs, classes))
     whole = classes.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     names = whole.groupBy("component").agg(F.min("rep").alias("name"))
