@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, fingerprints, jaccard_join, mixing, packing, quality_model, quality_rules, toxicity, url_filter, web_archive
+from signalbox.llm import common, fingerprints, jaccard_join, lm_scoring, mixing, packing, quality_model, quality_rules, toxicity, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -223,3 +223,10 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
 FROM w JOIN reach USING (r) JOIN w o ON o.r = other LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
 """
+
+
+@registered
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = common.crc_of_id()
+    return lm_scoring.scored(docs, crc % 7 == 2, F.floor(crc / 7) % lm_scoring.SLICE == 0)
