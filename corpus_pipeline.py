@@ -1,7 +1,64 @@
-"""Corpus pipeline: quality rules, quality classifier, near duplicates, mixing, packing."""
+"""Corpus pipeline: quality rules, quality classifier, near duplicates, source mixing, sequence packing.
 
-STAGES, ORACLE_SQL = [], None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. ``run``
+writes what a stage returns to the shared folder and reads it back as the next one's input.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from signalbox.llm import common, jaccard_join, mixing, packing, quality_model, quality_rules
+
+
+def follow_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, unchanged. Null and empty texts go."""
+    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds good. It learns from the labelled documents of the
+    whole table, as the stages before have removed most bad examples."""
+    trees = quality_model.fitted(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return quality_model.scored(docs, trees).filter("predicted = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id; repeated rows of it once. Rows without an id stay."""
+    groups = jaccard_join.joined(docs)
+    dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    marks = common.stored(dropped.withColumn("_drop", F.lit(True)).join(repeated.withColumn("_again", F.lit(True)), "doc_id", "full"), "marks")
+    marked = docs.join(marks, "doc_id", "left").filter("_drop IS NULL")
+    once = marked.filter("_again").dropDuplicates(["doc_id", "text"])
+    return marked.filter("_again IS NULL").union(once).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes; the document at a source's cut has its first words only."""
+    return mixing.copies(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", follow_quality_rules),
+    ("quality classifier", classify_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Trees, components and token ids are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
