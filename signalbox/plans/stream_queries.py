@@ -24,10 +24,24 @@ from signalbox.streaming import jobs, trips
 NOW = datetime(2024, 1, 16, 2, 0, tzinfo=timezone.utc)  # 13:00 local on a Tuesday
 
 
+SLICES = 3
+
+
+def _arriving(t: Tables) -> str:
+    """The event table as files that arrive one after the other, each a slice of time."""
+    events, path = t.raw("events"), scratch_path(t.spark, "arriving")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(at.alias("at")).stat.approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.01)
+    part = sum((F.when(at > int(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(SLICES):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _stream(t: Tables, build):
-    """Run a stream over the whole event table to its end and read what it wrote."""
+    """Run a stream over the whole event table, a few files a micro-batch, to its end and read what it wrote."""
     spark = trips.use_state_store(t.spark)
-    events = spark.readStream.schema(t.raw("events").schema).parquet(f"{t.sf_dir}/events*.parquet")
+    events = spark.readStream.schema(t.raw("events").schema).option("maxFilesPerTrigger", 1).parquet(_arriving(t))
     k = F.get_json_object("props", "$.k").cast("bigint")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.select(
@@ -43,6 +57,13 @@ def _stream(t: Tables, build):
     return spark.read.schema(out.schema).parquet(path)
 
 
+
+
+def _passed(kept: str = "true") -> str:
+    """Rows the stream has answered: those above the last watermark, of the rows it keeps, wait for more input."""
+    return f"""(select * from v_events where {kept} and ts_us // 1000000 * 1000 <= (select max(ts_us) // 1000 - 1800000 from v_events where {kept}))"""
+
+
 _FEED = """case event_id % 3 when 0 then 'vehicle_positions' when 1 then 'trip_updates' else 'service_alerts' end"""
 _CONTENT = f"""
 select feed, s as at_s, header, max(case when is_change then s end) over (partition by feed order by s, event_id
@@ -57,7 +78,7 @@ def _feed():
         "service_alerts")
 
 
-@query("str01_header_content_stream", _CONTENT)
+@query("str01_header_content_stream", _CONTENT.replace("from v_events", f"from {_passed()}"))
 def _(t):
     header = (F.floor(F.col("at_s") / 3600) * 3600).cast("bigint")
     return _stream(t, lambda rows: trips.header_changes(rows.select(_feed().alias("feed"), "at_s", header.alias("header"), "ev")))
@@ -72,7 +93,7 @@ def _(t):
 
 
 @query("str08_paced_stream", """
-with s as (select user_id, list(distinct ts_us // 1000000 order by ts_us // 1000000) as l from v_events
+with s as (select user_id, list(distinct ts_us // 1000000 order by ts_us // 1000000) as l from """ + _passed("event_type in ('purchase', 'signup')") + """
   where event_type in ('purchase', 'signup') group by user_id)
 select cast(user_id as varchar) as trip_id, unnest(list_reduce(l, lambda acc, x: case when x >= acc[1] + 43200
  then list_prepend(x, acc) else acc end, [-1000000000])[:-2]) as at_s from s""")
@@ -84,18 +105,18 @@ def _(t):
 
 @query("str10_edge_trigger_stream", """
 select trip_id, discrepancy_type, cycle from (select *, lag(cycle) over (partition by trip_id, discrepancy_type order by cycle) as p
- from (select distinct cast(user_id as varchar) as trip_id, event_type as discrepancy_type, ts_us // 21600000000 as cycle from v_events))
+ from (select distinct cast(user_id as varchar) as trip_id, event_type as discrepancy_type, ts_us // 21600000000 as cycle from """ + _passed() + """))
 where p is null or cycle - p > 1""")
 def _(t):
     cycle = F.floor(F.col("at_s") / 21_600).cast("bigint")
     return _stream(t, lambda rows: trips.newly_raised(rows.select(
-        F.col("user_id").cast("string").alias("trip_id"), F.col("event_type").alias("discrepancy_type"), cycle.alias("cycle"), "at_s", "ev")))
+        F.col("user_id").cast("string").alias("trip_id"), F.col("event_type").alias("discrepancy_type"), cycle.alias("cycle"), "at_s", "ev"), keep_s=2 * 21_600))
 
 
 @query("str09_dwell_stream", """
 select trip_id, stop_id, direction_id, at_s from (select *, lag(st) over w as p, lag(at_s) over w as pa from (
  select event_id, cast(user_id as varchar) as trip_id, ts_us // 1000000 as at_s, case when event_type = 'view' then 'S'||(k % 3) end as st,
-  'S'||(k % 3) as stop_id, cast(user_id % 2 as integer) as direction_id from v_events where event_type in ('view', 'click'))
+  'S'||(k % 3) as stop_id, cast(user_id % 2 as integer) as direction_id from """ + _passed("event_type in ('view', 'click')") + """ where event_type in ('view', 'click'))
  window w as (partition by trip_id order by at_s, event_id)) where st is not null
  and not coalesce(st = p and at_s - pa < 172800, false) and at_s > (select min(ts_us // 1000000) from v_events)""")
 def _(t):

@@ -1,9 +1,10 @@
 """Keyed streaming state: lifecycle, completion, pacing, dwell, headway and edge triggers.
 
-Each processor keeps a few numbers per key and sorts only the rows of one key in one
-micro-batch, whose size ``maxFilesPerTrigger`` limits.  They need the RocksDB state store
-(``use_state_store``) and an upstream watermark; state leaves by event-time timers, so
-nothing grows with the length of the stream.
+Rows of a key wait in state until the watermark has passed them and are then applied in event-time order,
+whatever order files and micro-batches bring them in; what arrives within the declared delay is never
+out of place. Each processor otherwise keeps a few numbers per key. They need the RocksDB state store
+(``use_state_store``) and an upstream watermark; state leaves by event-time timers, so nothing grows with the
+length of the stream.
 """
 
 from __future__ import annotations
@@ -29,45 +30,66 @@ def use_state_store(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _plain(value):
+    """Numbers of pandas as JSON, instants (not used by the processors) as text."""
+    return value.item() if hasattr(value, "item") else str(value)
+
+
 class _Keyed(StatefulProcessor):
-    """One JSON value of state per key and one timer that clears or closes it."""
+    """Rows that wait for the watermark, one JSON value of state, and one timer for whatever is due first."""
 
     columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("s", "data string")
+        self.waiting = handle.getListState("w", "at_s long, data string")
 
     def load(self) -> dict[str, Any]:
         return json.loads(self.value.get()[0]) if self.value.exists() else {}
 
-    def save(self, state: dict[str, Any], expires_s: float | None) -> None:
+    def save(self, state: dict[str, Any], first_waiting_s: float | None) -> None:
+        if state:
+            self.value.update((json.dumps(state),))
+        else:
+            self.value.clear()
+        due = [s for s in (first_waiting_s, self.expiry(state) if state else None) if s is not None]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if not state:
-            self.value.clear()
-            return
-        self.value.update((json.dumps(state),))
-        if expires_s is not None:
-            self.handle.registerTimer(int(expires_s * 1000))
+        if due:
+            self.handle.registerTimer(int(min(due) * 1000))
 
     def frame(self, rows: list[dict]) -> Iterator[pd.DataFrame]:
         if rows:
             yield pd.DataFrame(rows, columns=list(self.columns))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        order = [c for c in ("at_s", "kind") if c in batch.columns]
-        state, out = self.load(), []
-        for row in batch.sort_values(order).to_dict("records"):
-            self.step(key, {k: (None if pd.isna(v) else v) for k, v in row.items()}, state, out)
-        self.save(state, self.expiry(state))
-        yield from self.frame(out)
+        first = None
+        for part in rows:  # one bounded frame after the other
+            records = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in part.to_dict("records")]
+            self.waiting.appendList([(int(r["at_s"]), json.dumps(r, default=_plain)) for r in records])
+            first = min([r["at_s"] for r in records] + ([] if first is None else [first]))
+        # the least waiting instant is at the timer already, unless the state's own end is nearer
+        timers = [t / 1000 for t in self.handle.listTimers()]
+        self.save(self.load(), min([s for s in (first, *timers) if s is not None], default=None))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_s = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) / 1000
         state, out = self.load(), []
-        self.expire(key, expiredTimerInfo.getExpiryTimeInMs() / 1000, state, out)
-        self.save(state, self.expiry(state))
+        held = [(at, data) for at, data in self.waiting.get()] if self.waiting.exists() else []
+        ready = [json.loads(data) for at, data in held if at <= now_s]
+        held = [(at, data) for at, data in held if at > now_s]
+        ready.sort(key=lambda r: (r["at_s"], r.get("kind") or 0))
+        for row in ready:  # a step itself notices what has ended before its row
+            self.step(key, row, state, out)
+        while state and (end := self.expiry(state)) is not None and end <= now_s:
+            self.expire(key, end, state, out)
+        if held:
+            self.waiting.put(held)
+        else:
+            self.waiting.clear()
+        self.save(state, min((at for at, _ in held), default=None))
         yield from self.frame(out)
 
     def step(self, key, row, state, out) -> None:
@@ -324,15 +346,20 @@ CHANGED = "feed string, at_s long, header long, content_s long, is_change boolea
 
 
 class Raised(_Keyed):
+    """Forgets a pair after ``keep_s``, which must be more than a cycle."""
+
     columns = ("trip_id", "discrepancy_type", "cycle")
 
+    def __init__(self, keep_s: float):
+        self.keep_s = keep_s
+
     def step(self, key, row, state, out):
         if state.get("cycle") is None or row["cycle"] - state["cycle"] > 1:
             out.append(dict(trip_id=key[0], discrepancy_type=key[1], cycle=row["cycle"]))
         state.update(cycle=row["cycle"], at=row["at_s"])
 
     def expiry(self, state):
-        return state["at"] + 3600 if state else None
+        return state["at"] + self.keep_s if state else None
 
 
 class HeaderChange(_Keyed):
@@ -350,9 +377,9 @@ class HeaderChange(_Keyed):
         out.append(dict(zip(self.columns, (key[0], row["at_s"], row["header"], state["content"], changed))))
 
 
-def newly_raised(rows: DataFrame) -> DataFrame:
+def newly_raised(rows: DataFrame, keep_s: float = 3600) -> DataFrame:
     """``rows``: trip_id, discrepancy_type, cycle, at_s."""
-    return _run(rows, ["trip_id", "discrepancy_type"], Raised(), RAISED)
+    return _run(rows, ["trip_id", "discrepancy_type"], Raised(keep_s), RAISED)
 
 
 def header_changes(polls: DataFrame) -> DataFrame:

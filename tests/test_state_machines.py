@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -128,8 +129,8 @@ def test_ghost_episodes_match_simulation(spark, seed, resolved, hot_rows):
         assert tracked == sorted(((k, s["status"], s.get("seen"), s.get("start")) for k, s in state.items()), key=repr)
 
 
-def play(spark, tmp_path, data, schema, build, name, files=4):
-    """Feed rows file by file through a streaming operator and collect its output."""
+def play(spark, tmp_path, data, schema, build, name, files=4, order=None, delay_s=10):
+    """Feed rows file by file, in ``order``, through a streaming operator and collect its output."""
     data = sorted(data, key=lambda r: r["at_s"])
     src = tmp_path / name
     src.mkdir()
@@ -137,13 +138,15 @@ def play(spark, tmp_path, data, schema, build, name, files=4):
     # a late marker row moves the watermark on at the end, so that timers fire
     for i in range(files):
         (src / f"{i}.json").write_text("\n".join(json.dumps(r) for r in data[i * size:(i + 1) * size]))
+    for turn, i in enumerate(order or range(files)):
+        os.utime(src / f"{i}.json", (1_700_000_000 + turn, 1_700_000_000 + turn))
     for i, later in enumerate((100_000, 200_000)):
         marker = {"trip_id": "end", "at_s": data[-1]["at_s"] + later, "kind": 9}
         (src / f"{files + i}.json").write_text(json.dumps(marker))
     stream.use_state_store(spark)
     df = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-        .withColumn("ev", F.timestamp_seconds("at_s")).withWatermark("ev", "10 seconds")
+        .withColumn("ev", F.timestamp_seconds("at_s")).withWatermark("ev", f"{delay_s} seconds")
     )
     query = build(df).writeStream.format("memory").queryName(name) \
         .outputMode("append").option("checkpointLocation", str(tmp_path / (name + "-ck"))).trigger(availableNow=True).start()
@@ -277,7 +280,8 @@ def test_pacing_stream_equals_batch(spark, tmp_path):
     assert rows(got) == sorted(((k, t) for k, ts in times.items() for t in greedy(ts, 120)), key=repr)
 
 
-def test_headway_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 3, 2), (3, 1, 2, 0)])
+def test_headway_stream_equals_batch(spark, tmp_path, order):
     rng = random.Random(4)
     data = []
     for n in range(6):
@@ -289,7 +293,7 @@ def test_headway_stream_equals_batch(spark, tmp_path):
     schema = "trip_id string, at_s long, status string, at_stop_id string, route_id string, direction_id int"
     first = min(r["at_s"] for r in data)
     batch = spark.createDataFrame(data, schema).withColumnRenamed("at_s", "at")
-    got = play(spark, tmp_path, data, schema, lambda df: stream.arrivals(df, first), "arrivals")
+    got = play(spark, tmp_path, data, schema, lambda df: stream.arrivals(df, first), f"arrivals_{order[0]}", order=order, delay_s=20_000)
     want = hw.arrivals(batch)
     assert rows(got, "trip_id", "stop_id", "at_s") == rows(want, "trip_id", "stop_id", "arrived_at")
 
