@@ -128,4 +128,4 @@ def vectors(sampled: DataFrame, features: Callable[[list[str | None]], np.ndarra
 
     rows = sampled.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(measure, "doc_id bigint, label int, x array<double>").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return np.array([r["x"] for r in rows], float).reshape(len(rows), -1), np.array([r["label"] for r in rows], int)
+    return np.array([r["x"] for r in rows], float).reshape(len(rows), len(rows[0]["x"]) if rows else 0), np.array([r["label"] for r in rows], int)

@@ -233,6 +233,8 @@ def scored(docs: DataFrame, held_out: Column, lends: Column) -> DataFrame:
     answers = answers.filter("chunk >= 0")
     trained = docs.filter(~held_out).count()
     weights = learned_weights(held_out_counts(chunks, answers, n, trained), distinct)
+    if not n:  # nothing was counted: the uniform estimate alone
+        weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
     def score(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         chunk, totals = _with_totals(rows, own)

@@ -109,9 +109,9 @@ def threshold(scores: DataFrame) -> float:
     bins = scores.filter("_held").groupBy(F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) * BINS).alias("bin")).agg(
         F.sum("_good").alias("good"), F.sum("_bad").alias("bad"))
     below, everything = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    lost = F.coalesce(F.sum("good").over(below), F.lit(0)) / F.sum("good").over(everything)
-    passed = 1 - F.coalesce(F.sum("bad").over(below), F.lit(0)) / F.sum("bad").over(everything)
-    best = bins.select("bin", F.try_add(lost, passed).alias("error")).filter("error IS NOT NULL").agg(F.min_by("bin", F.struct("error", F.abs("bin"), "bin"))).first()
+    lost = F.try_divide(F.coalesce(F.sum("good").over(below), F.lit(0)), F.sum("good").over(everything))
+    passed = 1 - F.try_divide(F.coalesce(F.sum("bad").over(below), F.lit(0)), F.sum("bad").over(everything))
+    best = bins.select("bin", (lost + passed).alias("error")).filter("error IS NOT NULL").agg(F.min_by("bin", F.struct("error", F.abs("bin"), "bin"))).first()
     return 0.0 if best[0] is None else best[0] / BINS
 
 
