@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.gtfstime import parse_start_date
 from signalbox.functions.punctuality import ON_TIME_MAX_S, punctuality_status, terminus_delay
-from signalbox.operators.ordered import HOT_ROWS, greedy_chain, let, nearest_instant, ordered_scan
+from signalbox.operators.ordered import greedy_chain, let, nearest_instant, ordered_scan
 from signalbox.session import checkpointed
 
 # fixed values
@@ -54,7 +54,6 @@ def trip_completions(
     timeout_s: float = UNDETERMINED_TIMEOUT_S,
     retention_s: float = FINALIZED_RETENTION_S,
     flush: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One outcome per run of a trip.
 
@@ -69,13 +68,12 @@ def trip_completions(
     hour = F.floor(F.col("at") / 3600)
     line = ordered_scan(cycles.select("at"), [], ["at"], F.floor(F.col("at") / 86_400), lags={"prev_at": "at"})
     known = checkpointed(candidate_rows(rows, termini).join(line, "at"))
-    cut = ordered_scan(known, ["trip_id"], ["at"], hour, lags={"_before": "at"}, hot_rows=hot_rows).withColumns({
+    cut = ordered_scan(known, ["trip_id"], ["at"], hour, lags={"_before": "at"}).withColumns({
         "_starts": F.when(F.col("_before").isNull() | (F.col("prev_at") - F.col("_before") >= timeout_s), F.col("at")),
         "_decides": F.col("outcome").isNotNull().cast("bigint"),
     })
     rows_in = checkpointed(ordered_scan(
         checkpointed(cut), ["trip_id"], ["at"], hour, fills={"run_at": "_starts"}, sums={"_decided": "_decides"},
-        hot_rows=hot_rows,
     ).withColumn("part", F.col("_decided") - F.col("_decides")))
     stretch = ["trip_id", "run_at", "part"]
 
@@ -99,7 +97,6 @@ def trip_completions(
     counted = greedy_chain(ended, ["trip_id"], "can_start", resume, span_s=chunk_s, chunk_s=chunk_s)
     counted = ordered_scan(
         counted, ["trip_id"], ["can_start"], F.floor(F.col("can_start") / 86_400), lags={"blocked_until": resume},
-        hot_rows=hot_rows,
     )
     free = rows_in.join(counted.select(*stretch, "blocked_until"), stretch).filter(
         F.col("blocked_until").isNull() | (F.col("prev_at") >= F.col("blocked_until"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbox.functions.geo import haversine_m
-from signalbox.operators.ordered import HOT_ROWS, ordered_scan
+from signalbox.operators.ordered import ordered_scan
 from signalbox.session import checkpointed
 
 # fixed values
@@ -121,19 +121,18 @@ def discrepancies(
 
 
 def newly_raised(
-    events: DataFrame, cycle_no: str, keys: Sequence[str] = ("trip_id", "discrepancy_type"), hot_rows: int = HOT_ROWS
+    events: DataFrame, cycle_no: str, keys: Sequence[str] = ("trip_id", "discrepancy_type")
 ) -> DataFrame:
     """Keep a condition only in the first of consecutive cycles that report it."""
     scanned = ordered_scan(
-        events, list(keys), [cycle_no], F.floor(F.col(cycle_no) / 360), lags={"_before": cycle_no}, hot_rows=hot_rows
+        events, list(keys), [cycle_no], F.floor(F.col(cycle_no) / 360), lags={"_before": cycle_no},
     )
     fresh = F.col("_before").isNull() | (F.col(cycle_no) - F.col("_before") > 1)
     return scanned.filter(fresh).drop("_before")
 
 
 def header_changes(
-    polls: DataFrame, feed: str, at: str, header: str, *, tie: str | None = None, chunk_s: int = 86_400,
-    hot_rows: int = HOT_ROWS,
+    polls: DataFrame, feed: str, at: str, header: str, *, tie: str | None = None, chunk_s: int = 3_600,
 ) -> DataFrame:
     """Flag polls whose header is missing or differs from the feed's previous poll (the first one counts).
 
@@ -142,7 +141,6 @@ def header_changes(
     order = [at] + ([tie] if tie else [])
     scanned = ordered_scan(
         polls, [feed], order, F.floor(F.col(at) / chunk_s), lags={"_seen": F.lit(True), "_before": header},
-        hot_rows=hot_rows,
     )
     changed = F.col("_seen").isNull() | F.col(header).isNull() | ~F.equal_null("_before", header)
     # the previous poll still shows the header of the previous change
@@ -151,18 +149,17 @@ def header_changes(
 
 
 def reused_content(
-    polls: DataFrame, feed: str, at: str, header: str, *, tie: str | None = None, chunk_s: int = 86_400,
-    hot_rows: int = HOT_ROWS,
+    polls: DataFrame, feed: str, at: str, header: str, *, tie: str | None = None, chunk_s: int = 3_600,
 ) -> DataFrame:
     """Which poll's content stands for each poll: its own when the header changed, else that of the last change."""
-    flagged = checkpointed(header_changes(polls, feed, at, header, tie=tie, chunk_s=chunk_s, hot_rows=hot_rows))
+    flagged = checkpointed(header_changes(polls, feed, at, header, tie=tie, chunk_s=chunk_s))
     return ordered_scan(
         flagged, [feed], [at] + ([tie] if tie else []), F.floor(F.col(at) / chunk_s),
-        fills={"content_at": F.when(F.col("is_change"), F.col(at))}, hot_rows=hot_rows,
+        fills={"content_at": F.when(F.col("is_change"), F.col(at))},
     )
 
 
-def delta_log(snapshots: DataFrame, cycle: str, key: str = "trip_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+def delta_log(snapshots: DataFrame, cycle: str, key: str = "trip_id") -> DataFrame:
     """Changes between consecutive full snapshots: rows new or different, and keys gone, per cycle.
 
     ``cycle`` numbers the snapshots without holes.
@@ -171,7 +168,7 @@ def delta_log(snapshots: DataFrame, cycle: str, key: str = "trip_id", hot_rows:
     last = snapshots.agg(F.max(cycle).alias("_last"), F.lit(1).alias("_one"))
     scanned = ordered_scan(
         snapshots.withColumn("_value", fields), [key], [cycle], F.floor(F.col(cycle) / 360),
-        lags={"_prev": cycle, "_before": "_value"}, leads={"_next": cycle}, hot_rows=hot_rows,
+        lags={"_prev": cycle, "_before": "_value"}, leads={"_next": cycle},
     ).withColumn("_one", F.lit(1)).join(last, "_one")
     same = (F.col("_prev") == F.col(cycle) - 1) & F.equal_null("_before", "_value")
     gone = (F.col(cycle) < F.col("_last")) & (F.col("_next").isNull() | (F.col("_next") > F.col(cycle) + 1))
@@ -183,13 +180,13 @@ def delta_log(snapshots: DataFrame, cycle: str, key: str = "trip_id", hot_rows:
 
 
 def consecutive_fixes(
-    fixes: DataFrame, key: str, at: str, tie: str | None = None, *, chunk_s: float = 3600.0, hot_rows: int = HOT_ROWS
+    fixes: DataFrame, key: str, at: str, tie: str | None = None, *, chunk_s: float = 3600.0
 ) -> DataFrame:
     """Each fix with the trip's next fix, the gap in seconds and the distance in metres."""
     order = [at] + ([tie] if tie else [])
     scanned = ordered_scan(
         fixes, [key], order, F.floor(F.col(at) / chunk_s),
-        leads={"next_at": at, "next_lat": "lat", "next_lon": "lon"}, hot_rows=hot_rows,
+        leads={"next_at": at, "next_lat": "lat", "next_lon": "lon"},
     ).filter(F.col("next_at").isNotNull())
     return scanned.withColumns({
         "gap_s": F.col("next_at") - F.col(at),

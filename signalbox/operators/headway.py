@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalbox.operators.ordered import HOT_ROWS, ordered_scan
+from signalbox.operators.ordered import ordered_scan
 from signalbox.session import checkpointed
 
 # fixed values
@@ -16,7 +16,7 @@ DWELL_RETENTION_S = 21_600
 GROUP = ("stop_id", "route_id", "direction_id")
 
 
-def arrivals(states: DataFrame, *, retention_s: float = DWELL_RETENTION_S, hot_rows: int = HOT_ROWS) -> DataFrame:
+def arrivals(states: DataFrame, *, retention_s: float = DWELL_RETENTION_S) -> DataFrame:
     """First cycle of each dwell.
 
     ``states``: one row per (trip_id, at) with a schedule, with ``status``, ``at_stop_id``,
@@ -27,7 +27,7 @@ def arrivals(states: DataFrame, *, retention_s: float = DWELL_RETENTION_S, hot_r
     first = states.agg(F.min("at").alias("_first"), F.lit(1).alias("_one"))
     scanned = ordered_scan(
         states.withColumn("_stop", dwelling), ["trip_id"], ["at"], F.floor(F.col("at") / 3600),
-        lags={"_prev_stop": "_stop", "_prev_at": "at"}, hot_rows=hot_rows,
+        lags={"_prev_stop": "_stop", "_prev_at": "at"},
     )
     resumed = F.equal_null("_stop", "_prev_stop") & (F.col("at") - F.col("_prev_at") < retention_s)
     return (
@@ -62,14 +62,14 @@ def headways_at(arrived: DataFrame, now: Column) -> DataFrame:
     return sums.select(*GROUP, *_info(F.col("_n"), F.col("_a"), F.col("_b"), now))
 
 
-def rolling_headways(arrived: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rolling_headways(arrived: DataFrame) -> DataFrame:
     """Headway as it stood right after each arrival, over the last few arrivals of its group.
 
     The arrival five places back is found by equality on the running number.
     """
     numbered = checkpointed(ordered_scan(
         arrived, list(GROUP), ["arrived_at", "trip_id"], F.floor(F.col("arrived_at") / 3600),
-        sums={"n": F.lit(1)}, hot_rows=hot_rows,
+        sums={"n": F.lit(1)},
     ))
     oldest = numbered.select(
         *GROUP, (F.col("n") + MAX_ARRIVALS - 1).alias("n"), F.col("arrived_at").alias("_sixth_back")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbox.functions.geo import loop_contained
-from signalbox.operators.ordered import HOT_ROWS, nearest_instant, ordered_scan
+from signalbox.operators.ordered import nearest_instant, ordered_scan
 from signalbox.session import checkpointed
 
 # fixed values
@@ -58,7 +58,7 @@ def _first_reaching(rows: DataFrame, target: str, points: DataFrame, point: str,
 
 
 def _interesting(
-    touches: DataFrame, marks: DataFrame | None, line: DataFrame, coasting_s: float, max_age_s: float, hot_rows: int
+    touches: DataFrame, marks: DataFrame | None, line: DataFrame, coasting_s: float, max_age_s: float
 ) -> DataFrame:
     """Segment borders, possible reappearances and marks of each trip, with their last fix.
 
@@ -84,7 +84,6 @@ def _interesting(
             "next_touch": F.when(F.col("kind") == 0, F.struct("at", "prev_at")),
             "next_forget": F.when(F.col("kind") == 2, F.col("at")), "next_fix": F.when(fix.isNotNull(), F.col("at")),
         },
-        hot_rows=hot_rows,
     )
     is_touch = F.col("kind") == 0
     aged = F.coalesce(F.col("prev_at") - F.col("prev_touch") >= max_age_s, F.lit(False))
@@ -107,7 +106,7 @@ def _interesting(
     kept = checkpointed(kept)
     seg = ordered_scan(
         kept, ["trip_id"], ["at", "kind"], F.floor(F.col("at") / 3600),
-        fills={"segment_at": F.when(F.col("starts"), F.col("at"))}, hot_rows=hot_rows,
+        fills={"segment_at": F.when(F.col("starts"), F.col("at"))},
     )
     return seg.withColumn("fix", F.when(F.col("fix.at") >= F.col("segment_at"), F.col("fix")))
 
@@ -127,11 +126,11 @@ def _episode(rows: DataFrame, reason: Column, at: Column, fix: str, start: Colum
 
 
 def _applied_resolutions(
-    touches: DataFrame, resolutions: DataFrame, line: DataFrame, coasting_s, max_age_s, retention_s, hot_rows
+    touches: DataFrame, resolutions: DataFrame, line: DataFrame, coasting_s, max_age_s, retention_s
 ) -> DataFrame:
     """Episodes closed by a known outcome, at once or at the next ghost transition."""
     marks = resolutions.select("trip_id", "at", "reason", F.lit(1).alias("kind"))
-    rows = _interesting(touches, marks, line, coasting_s, max_age_s, hot_rows).filter("kind = 1")
+    rows = _interesting(touches, marks, line, coasting_s, max_age_s).filter("kind = 1")
     tracked = F.col("prev_touch").isNotNull() & (F.col("at") - F.col("prev_touch") < max_age_s)
     rows = rows.withColumns({
         "fix": F.when(tracked, F.col("fix")), "tracked": tracked,
@@ -167,17 +166,16 @@ def ghost_episodes(
     max_age_s: float = MAX_GHOST_AGE_S,
     retention_s: float = RESOLUTION_RETENTION_S,
     flush: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every closed ghost episode: reappeared, timed_out, resolved, and flushed at the end of the capture."""
     line = timeline(cycles)
     applied, forgets = None, None
     if resolutions is not None:
         applied = checkpointed(_applied_resolutions(
-            touches, resolutions, line, coasting_s, max_age_s, retention_s, hot_rows
+            touches, resolutions, line, coasting_s, max_age_s, retention_s
         ))
         forgets = applied.select("trip_id", F.col("emitted_at").alias("at"), F.lit(2).alias("kind"), "reason").distinct()
-    rows = checkpointed(_interesting(touches, forgets, line, coasting_s, max_age_s, hot_rows).filter("kind = 0"))
+    rows = checkpointed(_interesting(touches, forgets, line, coasting_s, max_age_s).filter("kind = 0"))
     firsts = line.groupBy("active_s").agg(F.min("at").alias("at"))
     none = F.lit(None).cast("bigint")
 
@@ -220,11 +218,10 @@ def ghost_episodes(
 
 def tracked_trips(
     touches: DataFrame, cycles: DataFrame, *, coasting_s: float = COASTING_TIMEOUT_S, max_age_s: float = MAX_GHOST_AGE_S,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """State of every trip still tracked after the last cycle: status, last fix, last touch, ghost start."""
     line = timeline(cycles)
-    rows = _interesting(touches, None, line, coasting_s, max_age_s, hot_rows).filter(
+    rows = _interesting(touches, None, line, coasting_s, max_age_s).filter(
         F.col("ends") & F.col("next_touch").isNull()
     )
     own = F.when(F.col("has_position"), F.struct("at", "lat", "lon", "active_s", "backoffs")).otherwise(F.col("fix"))

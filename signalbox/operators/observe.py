@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.gtfstime import parse_start_date
 from signalbox.operators.alerts import is_active
-from signalbox.operators.ordered import HOT_ROWS, greedy_chain, ordered_scan
+from signalbox.operators.ordered import greedy_chain, ordered_scan
 
 # fixed values
 OBSERVATION_INTERVAL_S = 120
@@ -65,7 +65,6 @@ def paced(
 
 def with_last_good(
     features: DataFrame, at: str = "at", *, tie: str | None = None, max_age_s: float = FEATURE_MAX_AGE_S,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Fill a cycle without features from the trip's last good ones when young enough, flagged stale.
 
@@ -74,7 +73,6 @@ def with_last_good(
     scanned = ordered_scan(
         features, ["trip_id"], [at] + ([tie] if tie else []), F.floor(F.col(at) / 3600),
         fills_before={"_good": F.when(F.col("features").isNotNull(), F.struct(F.col(at).alias("at"), "features"))},
-        hot_rows=hot_rows,
     )
     young = F.col(at) - F.col("_good.at") <= max_age_s
     stale = F.col("features").isNull() & F.coalesce(young, F.lit(False))

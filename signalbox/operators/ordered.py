@@ -1,11 +1,9 @@
 """Ordered per-key operators that do not funnel a hot key through one task.
 
-A plain window over ``partitionBy(key).orderBy(time)`` sends every row of a key to one
-task.  Here a key holding more than ``hot_rows`` rows is cut into consecutive chunks of
-its order (for example hours); each chunk is windowed on its own, and one summary row
-per (hot key, chunk) carries the previous/next row, running totals and last known
-values across chunk borders.  Keys below the limit keep the single plain window, so
-normal data pays for one count per key and nothing else.
+A plain window over ``partitionBy(key).orderBy(time)`` sends every row of a key to one task. Here every
+key is cut into consecutive chunks of its order (for example hours); each chunk is windowed on its own,
+and one summary row per (key, chunk) carries the previous/next row, running totals and last known values
+across chunk borders. There is one plan whatever the size of a key, and the input is not counted first.
 """
 
 from __future__ import annotations
@@ -17,8 +15,6 @@ from pyspark.sql import functions as F
 
 from signalbox.session import checkpointed
 
-HOT_ROWS = 1_000_000
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -29,12 +25,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most rows/hot_rows of them, so small enough to broadcast."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-
-
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,7 +37,6 @@ def ordered_scan(
     fills: Mapping[str, Column | str] | None = None,
     fills_before: Mapping[str, Column | str] | None = None,
     fills_after: Mapping[str, Column | str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ordered columns per key.
 
@@ -56,26 +45,19 @@ def ordered_scan(
     ``fills_before``/``fills_after``: last/first non-null value strictly before/after it.
 
     ``order`` must be non-null and unique per key, and ``chunk`` an integer that never
-    decreases along it.  Without keys every row belongs to one sequence, which is then
-    always chunked; its carry table has one row per chunk.  ``hot_rows`` below zero
-    chunks every key.
+    decreases along it.  Without keys every row belongs to one sequence; its carry table
+    has one row per chunk.
     """
     lags, leads, sums = dict(lags or {}), dict(leads or {}), dict(sums or {})
     fills, before, after = dict(fills or {}), dict(fills_before or {}), dict(fills_after or {})
     keys, order = list(keys), list(order)
     out_names = [*df.columns, *lags, *leads, *sums, *fills, *before, *after]
 
-    if keys and hot_rows >= 0:
-        # at most rows/hot_rows keys by construction
-        flagged = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
-        base = flagged.withColumn("_chunk", F.when(F.col("_hot"), chunk.cast("bigint")).otherwise(F.lit(0)))
-        split = base.filter(F.col("_hot"))
-    else:
-        base = split = df.withColumn("_chunk", chunk.cast("bigint"))
+    base = df.withColumn("_chunk", chunk.cast("bigint"))
     group = [*keys, "_chunk"]
 
     # named so that an input already hashed on the key alone is spread over its chunks too
-    local = base.repartition(*[F.col(c) for c in group])
+    local_in = base.repartition(*[F.col(c) for c in group])
     ahead = Window.partitionBy(*group).orderBy(*order)
     upto = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strictly_before = ahead.rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +80,7 @@ def ordered_scan(
         columns[f"_b_{name}"] = F.last(_col(c), ignorenulls=True).over(strictly_before)
     for name, c in after.items():
         columns[f"_a_{name}"] = F.last(_col(c), ignorenulls=True).over(strictly_after)
-    local = local.withColumns(columns)
+    local = local_in.withColumns(columns)
 
     summary = []
     if lags:
@@ -111,7 +93,7 @@ def ordered_scan(
         summary.append(F.max_by(_col(c), F.when(_col(c).isNotNull(), position)).alias(f"_t_{kind}_{name}"))
     for name, c in after.items():
         summary.append(F.min_by(_col(c), F.when(_col(c).isNotNull(), position)).alias(f"_t_a_{name}"))
-    tails = split.groupBy(*group).agg(*summary)
+    tails = local_in.groupBy(*group).agg(*summary)
 
     across = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -150,7 +132,6 @@ def exact_quantiles(
     probs: Mapping[str, float],
     *,
     chunk_width: float = 60.0,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key without gathering a key's values.
 
@@ -161,7 +142,7 @@ def exact_quantiles(
     # one row per distinct value; read several times below, so the input is evaluated once
     counts = checkpointed(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k")))
     running = ordered_scan(
-        counts, keys, [value], F.floor(F.col(value) / chunk_width), sums={"_upto": "_k"}, hot_rows=hot_rows
+        counts, keys, [value], F.floor(F.col(value) / chunk_width), sums={"_upto": "_k"}
     )
     totals = counts.groupBy(*keys).agg(F.sum("_k").alias("_total"))
     ranked = running.join(totals, keys)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from signalbox.functions.geo import in_box
 from signalbox.functions.gtfstime import gtfs_seconds, local_hour, local_time, time_band
 from signalbox.operators.feeds import consecutive_fixes, header_changes
-from signalbox.operators.ordered import HOT_ROWS, exact_quantiles, nearest_instant, ordered_scan
+from signalbox.operators.ordered import exact_quantiles, nearest_instant, ordered_scan
 from signalbox.schemas import RATE_LIMIT
 from signalbox.session import checkpointed
 
@@ -66,11 +66,11 @@ def field_population(vehicles: DataFrame, fields: Sequence[str] = VEHICLE_FIELDS
     )
 
 
-def cadence(polls: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def cadence(polls: DataFrame) -> DataFrame:
     """Per feed: header refresh intervals and data age, exact linear quantiles."""
     usable = polls.filter(F.col("header").isNotNull()).select("feed", "at", "header")
     changes = checkpointed(
-        header_changes(usable, "feed", "at", "header", hot_rows=hot_rows).withColumn("age", F.col("at") - F.col("header"))
+        header_changes(usable, "feed", "at", "header").withColumn("age", F.col("at") - F.col("header"))
     )
     counts = changes.groupBy("feed").agg(
         F.count(F.lit(1)).alias("n_polls"), F.count_if("is_change").alias("n_header_changes"),
@@ -78,10 +78,10 @@ def cadence(polls: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.max("age").cast("double").alias("age_max"),
     )
     intervals = exact_quantiles(
-        changes, ["feed"], "interval", {"interval_p50": 0.5, "interval_p90": 0.9}, chunk_width=60, hot_rows=hot_rows
+        changes, ["feed"], "interval", {"interval_p50": 0.5, "interval_p90": 0.9}, chunk_width=60,
     )
     ages = exact_quantiles(
-        changes, ["feed"], "age", {"age_p50": 0.5, "age_p90": 0.9, "age_p99": 0.99}, chunk_width=1, hot_rows=hot_rows
+        changes, ["feed"], "age", {"age_p50": 0.5, "age_p90": 0.9, "age_p99": 0.99}, chunk_width=1,
     )
     return counts.join(intervals, "feed", "left").join(ages, "feed", "left")
 
@@ -138,7 +138,7 @@ def poll_outcomes(polls: DataFrame, window_s: int) -> DataFrame:
 
 def outage_episodes(
     polls: DataFrame, keys: Sequence[str] = (), *, tie: str | None = None, low: int = LOW_REMAINING,
-    ladder: Sequence[int] = BACKOFF_LADDER_S, chunk_s: int = 86_400, hot_rows: int = HOT_ROWS,
+    ladder: Sequence[int] = BACKOFF_LADDER_S, chunk_s: int = 3_600,
 ) -> DataFrame:
     """Runs of bad cycles closed by the next good one.
 
@@ -150,7 +150,7 @@ def outage_episodes(
     flagged = polls.select(*keys, *order, "ok", bad.alias("is_bad"))
     scanned = ordered_scan(
         flagged, list(keys), order, F.floor(F.col("at") / chunk_s),
-        fills_after={"ended_at": F.when(~F.col("is_bad"), F.col("at"))}, hot_rows=hot_rows,
+        fills_after={"ended_at": F.when(~F.col("is_bad"), F.col("at"))},
     )
     runs = scanned.filter(F.col("is_bad") & F.col("ended_at").isNotNull()).groupBy(*keys, "ended_at").agg(
         F.min("at").alias("started_at"), F.count(F.lit(1)).alias("bad_cycles"),
@@ -191,17 +191,17 @@ def loop_gap_share(gaps: DataFrame, thresholds: Sequence[int] = GHOST_THRESHOLDS
 
 
 def freeze_runs(
-    fixes: DataFrame, at: str = "at", tie: str | None = None, *, chunk_s: float = 3600.0, hot_rows: int = HOT_ROWS
+    fixes: DataFrame, at: str = "at", tie: str | None = None, *, chunk_s: float = 3600.0
 ) -> DataFrame:
     """Runs of at least two consecutive in-box fixes with identical coordinates."""
     order = [at] + ([tie] if tie else [])
     chunk = F.floor(F.col(at) / chunk_s)
     inside = fixes.filter(in_box(F.col("lat"), F.col("lon"))).select("trip_id", *order, "lat", "lon")
     moved = checkpointed(
-        ordered_scan(inside, ["trip_id"], order, chunk, lags={"_lat": "lat", "_lon": "lon"}, hot_rows=hot_rows)
+        ordered_scan(inside, ["trip_id"], order, chunk, lags={"_lat": "lat", "_lon": "lon"})
         .withColumn("_new", (~(F.equal_null("lat", "_lat") & F.equal_null("lon", "_lon"))).cast("int"))
     )
-    runs = ordered_scan(moved, ["trip_id"], order, chunk, sums={"run": "_new"}, hot_rows=hot_rows)
+    runs = ordered_scan(moved, ["trip_id"], order, chunk, sums={"run": "_new"})
     return runs.groupBy("trip_id", "run").agg(
         F.count(F.lit(1)).alias("fixes"), F.min(at).alias("started_at"), F.max(at).alias("ended_at")
     ).filter("fixes >= 2").withColumn("duration_s", F.col("ended_at") - F.col("started_at"))

@@ -21,7 +21,7 @@ from signalbox.functions.punctuality import (
     is_replacement,
     station_display_name,
 )
-from signalbox.operators.ordered import HOT_ROWS, ordered_scan
+from signalbox.operators.ordered import ordered_scan
 from signalbox.session import checkpointed
 
 # fixed values
@@ -313,7 +313,6 @@ def skip_stop_counts(
     stops: DataFrame,
     routes: DataFrame,
     loop_stations: Sequence[str] = CITY_LOOP_STATIONS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Stops each trip leaves out against the commonest pattern of comparable trips.
 
@@ -327,7 +326,7 @@ def skip_stop_counts(
     ).select("trip_id", "route_id", "direction_id")
     ranked = ordered_scan(
         stop_times.select("trip_id", "stop_sequence", "stop_id"), ["trip_id"], ["stop_sequence"],
-        F.floor(F.col("stop_sequence") / 1024), sums={"_rank": F.lit(1)}, hot_rows=hot_rows,
+        F.floor(F.col("stop_sequence") / 1024), sums={"_rank": F.lit(1)},
     ).join(loop, "stop_id", "left")
     code = lambda salt: F.sum(F.xxhash64(F.lit(salt), "_rank", "stop_id").cast("decimal(20,0)"))
     patterns = ranked.groupBy("trip_id").agg(

@@ -66,8 +66,8 @@ def test_merge_and_discrepancies(captures):
 
 def test_header_changes(spark):
     polls = spark.createDataFrame([("v", 1, 10), ("v", 2, 10), ("v", 3, 40), ("v", 4, 30), ("v", 5, None), ("v", 6, None)], "feed string, at long, header long")
-    for hot in (-1, 100):
-        got = fd.header_changes(polls, "feed", "at", "header", hot_rows=hot)
+    for chunk_s in (2, 3600):
+        got = fd.header_changes(polls, "feed", "at", "header", chunk_s=chunk_s)
         assert [(r[1], r[3], r[4]) for r in rows(got)] == [
             (1, True, None), (2, False, None), (3, True, 30), (4, True, -10), (5, True, None), (6, True, None)]
     reused = fd.reused_content(polls, "feed", "at", "header")

@@ -90,15 +90,14 @@ def test_votes(spark, net):
     assert rows(sc.likely_lines(listed, stop_route, net["routes"]), "alert_id", "long_name") == [("win", "Alpha Line")]
 
 
-@pytest.mark.parametrize("hot_rows", [-1, 10**6])
-def test_skip_counts(spark, hot_rows):
+def test_skip_counts(spark):
     make = spark.createDataFrame
     patterns = {"a": "ABCD", "b": "ABCD", "c": "ACD", "d": "AD", "lone": "AE", "bus": "ABCD"}
     trips = make([(t, "X:" if t != "bus" else "X-R:", 0) for t in patterns], "trip_id string, route_id string, direction_id int")
     times = make([(t, i * 3, s) for t, p in patterns.items() for i, s in enumerate(p)], "trip_id string, stop_sequence long, stop_id string")
     stops = make([(s, None) for s in "ABCDE"], "stop_id string, parent_station string")
     routes = make([("X:", "X"), ("X-R:", "Replacement Bus")], "route_id string, short_name string")
-    got = sc.skip_stop_counts(trips, times, stops, routes, hot_rows=hot_rows)
+    got = sc.skip_stop_counts(trips, times, stops, routes)
     assert rows(got) == [("a", 0), ("b", 0), ("c", 1), ("d", 2), ("lone", None)]
 
 

@@ -117,15 +117,15 @@ def frames(spark, cycles, touches, resolutions):
 COLUMNS = ["trip_id", "reason", "emitted_at", "last_seen_at", "ghost_started_at", "ghost_duration_s", "backoff_overlapped"]
 
 
-@pytest.mark.parametrize("seed,resolved,hot_rows", [(1, False, -1), (2, False, 10**6), (3, True, 10**6), (4, True, 10**6), (5, True, -1)])
-def test_ghost_episodes_match_simulation(spark, seed, resolved, hot_rows):
+@pytest.mark.parametrize("seed,resolved", [(1, False), (2, False), (3, True), (4, True), (5, True)])
+def test_ghost_episodes_match_simulation(spark, seed, resolved):
     cycles, touches, resolutions = capture(seed, resolved)
     want, state = simulate_ghosts(cycles, touches, resolutions)
     t, c, r = frames(spark, cycles, touches, resolutions)
-    got = lc.ghost_episodes(t, c, r if resolved else None, hot_rows=hot_rows)
+    got = lc.ghost_episodes(t, c, r if resolved else None)
     assert rows(got, *COLUMNS) == want
     if not resolved:
-        tracked = rows(lc.tracked_trips(t, c, hot_rows=hot_rows), "trip_id", "status", "last_seen_at", "ghost_started_at")
+        tracked = rows(lc.tracked_trips(t, c), "trip_id", "status", "last_seen_at", "ghost_started_at")
         assert tracked == sorted(((k, s["status"], s.get("seen"), s.get("start")) for k, s in state.items()), key=repr)
 
 
@@ -300,8 +300,7 @@ def test_headway_stream_equals_batch(spark, tmp_path, order):
 
 def test_edge_trigger(spark):
     df = spark.createDataFrame([("a", "x", c) for c in (1, 2, 3, 5, 9, 10)], "trip_id string, discrepancy_type string, cycle long")
-    for hot in (-1, 100):
-        assert [r[2] for r in rows(newly_raised(df, "cycle", hot_rows=hot))] == [1, 5, 9]
+    assert [r[2] for r in rows(newly_raised(df, "cycle"))] == [1, 5, 9]
 
 
 def test_headway_info_boundaries(spark):
