@@ -87,7 +87,7 @@ def trip_completions(
     near = nearest_instant(parts, "_target", cycles, "at").select("_target", F.col("next_point").alias("_expired_at"))
     final = cycles.agg(F.max("at").alias("_final_at"), F.lit(1).alias("_one"))
     ended = checkpointed(
-        parts.join(near, "_target", "left").withColumn("_one", F.lit(1)).join(final, "_one").withColumns({
+        parts.join(near, "_target", "left").withColumn("_one", F.lit(1)).join(F.broadcast(final), "_one").withColumns({
             "finalized_at": F.coalesce("decided_at", "_expired_at", "_final_at"),
             "is_open": F.col("decided_at").isNull() & F.col("_expired_at").isNull(),
         }).drop("_one", "_target", "_expired_at", "_final_at")

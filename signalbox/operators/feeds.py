@@ -169,7 +169,7 @@ def delta_log(snapshots: DataFrame, cycle: str, key: str = "trip_id") -> DataFra
     scanned = ordered_scan(
         snapshots.withColumn("_value", fields), [key], [cycle], F.floor(F.col(cycle) / 360),
         lags={"_prev": cycle, "_before": "_value"}, leads={"_next": cycle},
-    ).withColumn("_one", F.lit(1)).join(last, "_one")
+    ).withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
     same = (F.col("_prev") == F.col(cycle) - 1) & F.equal_null("_before", "_value")
     gone = (F.col(cycle) < F.col("_last")) & (F.col("_next").isNull() | (F.col("_next") > F.col(cycle) + 1))
     events = F.array_compact(F.array(
@@ -194,16 +194,27 @@ def consecutive_fixes(
     })
 
 
-def snapshot_diff(previous: DataFrame, current: DataFrame, key: str = "trip_id") -> tuple[DataFrame, DataFrame]:
-    """(changed rows of ``current``, keys only in ``previous``)."""
-    fields = [c for c in current.columns if c != key]
-    before = previous.select(key, F.struct(*fields).alias("_before"), F.lit(True).alias("_was"))
+def with_previous_cycle(snapshots: DataFrame, cycle: str = "cycle") -> tuple[DataFrame, DataFrame]:
+    """(every snapshot under the number of the cycle after it, every snapshot but those of the first cycle)."""
+    cycles = snapshots.select(cycle).distinct()
+    steps = ordered_scan(cycles, [], [cycle], F.floor(F.col(cycle) / 360), leads={"_next": cycle}, lags={"_before": cycle})
+    previous = snapshots.join(steps.filter("_next IS NOT NULL").select(cycle, "_next"), cycle).drop(cycle).withColumnRenamed("_next", cycle)
+    current = snapshots.join(steps.filter("_before IS NOT NULL").select(cycle), cycle, "left_semi")
+    return previous.select(*snapshots.columns), current
+
+
+def snapshot_diff(previous: DataFrame, current: DataFrame, key: str | Sequence[str] = "trip_id") -> tuple[DataFrame, DataFrame]:
+    """(changed rows of ``current``, keys only in ``previous``); with a cycle in the key, of all cycles at once."""
+    key = [key] if isinstance(key, str) else list(key)
+    fields = [c for c in current.columns if c not in key]
+    before = previous.select(*key, F.struct(*fields).alias("_before"), F.lit(True).alias("_was"))
     joined = current.join(before, key, "left")
     changed = joined.filter(F.col("_was").isNull() | ~F.equal_null(F.struct(*fields), F.col("_before")))
-    return changed.select(*current.columns), previous.select(key).join(current.select(key), key, "left_anti")
+    return changed.select(*current.columns), previous.select(*key).join(current.select(*key), key, "left_anti")
 
 
-def apply_delta(state: DataFrame, changed: DataFrame, removed: DataFrame, key: str = "trip_id") -> DataFrame:
+def apply_delta(state: DataFrame, changed: DataFrame, removed: DataFrame, key: str | Sequence[str] = "trip_id") -> DataFrame:
     """Upsert the changed rows and drop the removed keys."""
-    touched = changed.select(key).unionByName(removed.select(key))
+    key = [key] if isinstance(key, str) else list(key)
+    touched = changed.select(*key).unionByName(removed.select(*key))
     return state.join(touched, key, "left_anti").unionByName(changed)

@@ -32,7 +32,7 @@ def arrivals(states: DataFrame, *, retention_s: float = DWELL_RETENTION_S) -> Da
     resumed = F.equal_null("_stop", "_prev_stop") & (F.col("at") - F.col("_prev_at") < retention_s)
     return (
         scanned.filter(F.col("_stop").isNotNull() & ~F.coalesce(resumed, F.lit(False)) & F.col("direction_id").isNotNull())
-        .withColumn("_one", F.lit(1)).join(first, "_one").filter(F.col("at") > F.col("_first"))
+        .withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").filter(F.col("at") > F.col("_first"))
         .select(F.col("_stop").alias("stop_id"), "route_id", "direction_id", "trip_id", F.col("at").alias("arrived_at"))
     )
 

@@ -196,7 +196,7 @@ def ghost_episodes(
         "_evicted_at", F.when(F.col("next_touch").isNull() | (F.col("_evicted_at") < F.col("next_touch.at")), F.col("_evicted_at"))
     )
     final = line.agg(F.max("at").alias("_final_at"), F.lit(1).alias("_one"))
-    last = last.withColumn("_one", F.lit(1)).join(final, "_one").withColumn(
+    last = last.withColumn("_one", F.lit(1)).join(F.broadcast(final), "_one").withColumn(
         "_close", F.coalesce("_evicted_at", "_final_at")
     ).filter(F.col("next_forget").isNull() | (F.col("next_forget") > F.col("_close")) | (
         F.col("next_touch").isNotNull() & (F.col("next_forget") >= F.col("next_touch.at"))
@@ -228,7 +228,7 @@ def tracked_trips(
     final = line.agg(
         F.max("at").alias("_now"), F.max_by("active_s", "at").alias("_a"), F.lit(1).alias("_one")
     )
-    rows = rows.withColumns({"_own": own, "_one": F.lit(1)}).join(final, "_one").filter(
+    rows = rows.withColumns({"_own": own, "_one": F.lit(1)}).join(F.broadcast(final), "_one").filter(
         F.col("_now") - F.col("at") < max_age_s
     ).withColumn("_target", F.col("_own.active_s") + coasting_s)
     firsts = line.groupBy("active_s").agg(F.min("at").alias("at"))

@@ -36,7 +36,7 @@ def delay_features(rows: DataFrame, termini: DataFrame, alerts: DataFrame, now:
     joined = (
         rows.join(termini.select("trip_id", "service_date", "terminus_sequence"), ["trip_id", "service_date"])
         .join(named.withColumn("_named", F.lit(True)), "route_id", "left")
-        .withColumn("_one", F.lit(1)).join(everywhere, "_one")
+        .withColumn("_one", F.lit(1)).join(F.broadcast(everywhere), "_one")
     )
     flag = F.col("route_id").isNotNull() & (F.col("_everywhere") | F.coalesce("_named", F.lit(False)))
     return joined.select(

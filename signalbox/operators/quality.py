@@ -117,9 +117,10 @@ def lowest_remaining_per_cycle(polls: DataFrame, cycle: str, header: str) -> Dat
     return polls.groupBy(cycle).agg(F.min(lowest_remaining(parse_rate_limits(F.col(header)))).alias("lowest_remaining"))
 
 
-def feed_age(polls: DataFrame, now: Column, stale_after_s: int = STALE_AFTER_S) -> DataFrame:
-    """Per feed: last header change, its age at ``now`` and whether the feed is stale."""
-    changed = header_changes(polls.select("feed", "at", "header"), "feed", "at", "header")
+def feed_age(polls: DataFrame, now: Column, stale_after_s: int = STALE_AFTER_S, tie: str | None = None) -> DataFrame:
+    """Per feed: last header change, its age at ``now`` and whether the feed is stale; ``tie`` orders polls of one second."""
+    ties = [tie] if tie else []
+    changed = header_changes(polls.select("feed", "at", "header", *ties), "feed", "at", "header", tie=tie)
     last = changed.groupBy("feed").agg(F.max(F.when(F.col("is_change"), F.col("at"))).alias("last_changed_at"))
     age = now - F.col("last_changed_at")
     return last.select(

@@ -396,7 +396,8 @@ def representative_trips(trips: DataFrame, stop_times: DataFrame, tie: str = "tr
     """Trip with the most stop rows per non-replacement route."""
     sizes = stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).alias("_n"))
     lines = trips.filter(~F.endswith("route_id", F.lit(REPLACEMENT_SUFFIX)))
-    best = F.max_by(F.struct("trip_id", "shape_id", "_n"), F.struct("_n", F.negative(F.col(tie).cast("bigint"))))
+    # the lower number wins where ids are numbers, else the first in text order
+    best = F.min_by(F.struct("trip_id", "shape_id", "_n"), F.struct(F.negative("_n"), F.col(tie).try_cast("bigint"), F.col(tie)))
     return lines.join(sizes, "trip_id").groupBy("route_id").agg(best.alias("_b")).select(
         "route_id", "_b.trip_id", "_b.shape_id", F.col("_b._n").alias("n_stops")
     )

@@ -275,7 +275,7 @@ select feed, max(at) filter (is_change) as last_changed_at, 1705363200 - max(at)
  select feed, ts_us // 1000000 as at, row_number() over w = 1 or header_ts is distinct from lag(header_ts) over w as is_change
  from v_polls window w as (partition by feed order by ts_us)) group by feed""")
 def _(t):
-    return qu.feed_age(_polls(t), F.lit(int(FEED_NOW.timestamp())))
+    return qu.feed_age(_polls(t), F.lit(int(FEED_NOW.timestamp())), tie="poll_id")
 
 
 @query("flt12_stale_feeds", """
@@ -283,7 +283,7 @@ select feed from (select feed, max(ts_us // 1000000) filter (is_change) as c fro
  select *, row_number() over w = 1 or header_ts is distinct from lag(header_ts) over w as is_change
  from v_polls window w as (partition by feed order by ts_us)) group by feed) where 1706659200 - c > 600""")
 def _(t):
-    return qu.feed_age(_polls(t), F.lit(1706659200), stale_after_s=600).filter("is_stale").select("feed")
+    return qu.feed_age(_polls(t), F.lit(1706659200), stale_after_s=600, tie="poll_id").filter("is_stale").select("feed")
 
 
 @query("agg37_poll_outcomes", """
@@ -497,27 +497,32 @@ def _(t):
     return qu.integrity_by_relationship(_last_relationships(t), _known(t))
 
 
-@query("set02_snapshot_diff", """
+_STEPS = """
 with c as (select cycle, trip_id, route_id, delay, round(lat, 6) as lat from v_merged),
- a as (select * from c where cycle = 78930), b as (select * from c where cycle = 78931)
-select 'changed' as change, b.trip_id from b left join a using (trip_id) where a.trip_id is null
+ o as (select cycle, lag(cycle) over (order by cycle) as before from (select distinct cycle from c)),
+ b as (select c.* from c join o using (cycle) where before is not null),
+ a as (select o.cycle, c.trip_id, c.route_id, c.delay, c.lat from c join o on c.cycle = o.before)"""
+
+
+@query("set02_snapshot_diff", f"""{_STEPS}
+select 'changed' as change, b.cycle, b.trip_id from b left join a on a.cycle = b.cycle and a.trip_id = b.trip_id where a.trip_id is null
  or a.route_id is distinct from b.route_id or a.delay is distinct from b.delay or a.lat is distinct from b.lat
-union all select 'removed', trip_id from a where trip_id not in (select trip_id from b)""")
+union all select 'removed', a.cycle, a.trip_id from a where not exists (select 1 from b where b.cycle = a.cycle and b.trip_id = a.trip_id)""")
 def _(t):
-    changed, removed = fd.snapshot_diff(*_two_cycles(t))
-    return changed.select(F.lit("changed").alias("change"), "trip_id").unionByName(
-        removed.select(F.lit("removed").alias("change"), "trip_id"))
+    changed, removed = fd.snapshot_diff(*_steps(t), key=("cycle", "trip_id"))
+    return changed.select(F.lit("changed").alias("change"), "cycle", "trip_id").unionByName(
+        removed.select(F.lit("removed").alias("change"), "cycle", "trip_id"))
 
 
-def _two_cycles(t: Tables):
-    rows = merged(t).select("cycle", "trip_id", "route_id", "delay", F.round("lat", 6).alias("lat"))
-    return tuple(rows.filter(F.col("cycle") == c).drop("cycle") for c in (78930, 78931))
+def _steps(t: Tables):
+    """Every cycle's rows against those of the cycle before."""
+    return fd.with_previous_cycle(merged(t).select("cycle", "trip_id", "route_id", "delay", F.round("lat", 6).alias("lat")))
 
 
-@query("set03_apply_delta", "select trip_id, route_id, delay, round(lat, 6) as lat from v_merged where cycle = 78931")
+@query("set03_apply_delta", f"{_STEPS} select * from b")
 def _(t):
-    before, after = _two_cycles(t)
-    return fd.apply_delta(before, *fd.snapshot_diff(before, after))
+    before, after = _steps(t)
+    return fd.apply_delta(before, *fd.snapshot_diff(before, after, key=("cycle", "trip_id")), key=("cycle", "trip_id"))
 
 
 # --- alerts ---
@@ -553,11 +558,11 @@ def _(t):
 
 
 @query("join12_alerts_for_line", """
-select id, 'R1:' as matched_route_id from v_active_alerts where no_entity or route_id is null or route_id = 'R1:'""")
+select id, case when no_entity or route_id is null or route_id = 'R1-R:' then 'R1-R:' else 'R1:' end as matched_route_id
+from v_active_alerts where no_entity or route_id is null or route_id in ('R1:', 'R1-R:')""")
 def _(t):
-    # the base id sorts after its replacement, so wildcard matches are found under both and kept once
-    return al.alerts_for_line(t.alert_rows, t.routes, "NATION_1", _now()).select(
-        "id", F.lit("R1:").alias("matched_route_id"))
+    # the base id sorts after its replacement, so wildcard matches are first found under that
+    return al.alerts_for_line(t.alert_rows, t.routes, "NATION_1", _now()).select("id", "matched_route_id")
 
 
 def _inferred(t: Tables):
