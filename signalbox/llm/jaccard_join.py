@@ -13,12 +13,12 @@ What a segment costs decides how it is used:
   beyond ``H + 1``: such a set still shares another segment with each partner;
 - sets with more hot segments than that (passages that many documents share, large groups of near copies) are also
   indexed by single shingles, the finest partition: of ``n`` shingles the ``n - ceil(0.75 n) + 1`` rarest ones, of which two
-  similar sets have one in common.
+  similar sets have one in common; how many shingles follow it in both limits what they can share.
 
 All pairs of a cold segment are formed; a pair counts as a candidate if it shares as many segments as the spare ones
 demand. Pairs are verified on the whole sets (64-bit hashes of the shingles). Equal sets are one class throughout. Where many
-sets share a single shingle, all are compared with one of them first; what that links need not be compared again, and
-the rest goes on until no group spans several components with an uncompared pair. So no link between different
+sets share a single shingle, all are compared with one of them first, twice; what that links need not be compared again.
+Then all pairs between components are compared that sizes and ranks leave. So no link between different
 components is lost, and a large group of near copies costs about one comparison per member.
 
 Edge cases: a null text and one without words have an empty set and are linked with nothing, not even each other; fewer
@@ -28,6 +28,7 @@ null; repeated rows are exact copies; further columns are ignored; an empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,9 @@ from signalbox.llm.common import mixed, row_batches, shingles_of, stored
 from signalbox.llm.components import components
 
 #: Sets that share a segment before it counts as hot; rounds of comparisons with one member before all that is left is compared.
-HOT, HUB_ROUNDS = 12, 6
+HOT, HUB_ROUNDS = 12, 2
+#: Ratio of neighbouring size classes when what is left of large groups is compared.
+SIZE_STEP = 1.03
 #: Bits of the filter that keeps texts of documents without a candidate from being shuffled; its size is fixed.
 FILTER_BITS = 1 << 24
 NO_ID = 2**63 - 1
@@ -220,7 +223,29 @@ def rarest_shingles(texts: DataFrame) -> DataFrame:
     counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
     rank = F.row_number().over(Window.partitionBy("owner").orderBy("sets", "sig"))  # a set's own shingles
     needed = F.col("n") - F.ceil(F.lit(0.75) * F.col("n")) + 1
-    return rows.join(counts, "sig").withColumn("_rank", rank).filter((F.col("_rank") <= needed) & (F.col("sets") > 1)).select("sig", "owner", "n")
+    ranked = rows.join(counts, "sig").withColumn("_rank", rank).filter((F.col("_rank") <= needed) & (F.col("sets") > 1))
+    return ranked.select("sig", "owner", "n", (F.col("n") - F.col("_rank") + 1).alias("rest"))
+
+
+def _close_enough(one: str, two: str) -> Column:
+    """Whether two sets may be similar that have this shingle as their first one in common, rarest first: all
+    others they share come after it in both."""
+    n, m, rest, other = F.col(f"n{one}"), F.col(f"n{two}"), F.col(f"rest{one}"), F.col(f"rest{two}")
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(rest, other) >= 3 * (n + m))
+
+
+def _left_over(groups: DataFrame) -> DataFrame:
+    """All pairs of different components that may be similar; partners meet by shingle and class of size, so sets
+    that a common passage brings together, but not their sizes and the rest of their shingles, do not meet."""
+    size_class = lambda n: F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+    largest = F.least(F.floor(F.lit(4) * F.col("n_a") / 3), F.floor(F.lit(7) * F.col("rest_a") / 3) - F.col("n_a"))
+    side = lambda c: groups.select("sig", *(F.col(x).alias(f"{x}_{c}") for x in ("owner", "n", "rest", "component")))
+    smaller = side("a").withColumn("_most", largest).filter(F.col("_most") >= F.col("n_a"))
+    smaller = smaller.withColumn("_class", F.explode(F.sequence(size_class(F.col("n_a")), size_class(F.col("_most") + 0.5)))).drop("_most")
+    larger = side("b").filter(7 * F.col("rest_b") >= 3 * F.ceil(1.75 * F.col("n_b"))).withColumn("_class", size_class(F.col("n_b")))
+    before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("owner_a") < F.col("owner_b")))
+    met = smaller.join(larger, ["sig", "_class"]).filter(before & (F.col("component_a") != F.col("component_b")) & _close_enough("_a", "_b"))
+    return met.select(F.least("owner_a", "owner_b").alias("a"), F.greatest("owner_a", "owner_b").alias("b"))
 
 
 def _filter_of(keys: DataFrame, column: str) -> np.ndarray:
@@ -294,23 +319,19 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         labelled = active.join(labels, "owner", "left").withColumn("component", F.coalesce("component", "owner"))
         groups = labelled.groupBy("sig").agg(F.min("owner").alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
         labelled = stored(labelled.join(groups.filter("lo <> hi").drop("lo", "hi"), "sig"), "open-groups")
-        if labelled.isEmpty():
-            break
-        whole = labelled if step == HUB_ROUNDS else labelled.filter(F.col("members") <= HOT)
-        side = [F.col("sig"), F.col("owner"), F.col("n"), F.col("component")]
-        pairs = whole.select(*side).alias("x").join(whole.select(*side).alias("y"), "sig").filter("x.owner < y.owner AND x.component <> y.component AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)")
-        pairs = pairs.select(F.col("x.owner").alias("a"), F.col("y.owner").alias("b"))
-        many = labelled.filter(F.col("members") > HOT)
-        if step < HUB_ROUNDS:
-            hubs = many.filter("owner = hub").select("sig", F.col("n").alias("n_hub"), F.col("component").alias("of_hub"))
-            to_hub = many.join(hubs, "sig").filter("component <> of_hub AND 4 * least(n, n_hub) >= 3 * greatest(n, n_hub)")
-            pairs = pairs.union(to_hub.select(F.col("hub").alias("a"), F.col("owner").alias("b")))
+        if step == HUB_ROUNDS:
+            pairs = _left_over(labelled)
+        else:
+            many = labelled.filter(F.col("members") > HOT)
+            hubs = many.filter("owner = hub").select("sig", F.col("n").alias("n_hub"), F.col("rest").alias("rest_hub"), F.col("component").alias("of_hub"))
+            to_hub = many.join(hubs, "sig").filter((F.col("component") != F.col("of_hub")) & _close_enough("", "_hub"))
+            pairs = _left_over(labelled.filter(F.col("members") <= HOT)).union(to_hub.select(F.col("hub").alias("a"), F.col("owner").alias("b")))
         pairs = stored(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         links = stored(links.union(verified(pairs, texts)), "links")
         if step == HUB_ROUNDS:
             break
         done = stored(done.union(pairs), "compared")
-        active = stored(many.filter("owner <> hub").select("sig", "owner", "n"), "rarest-shingles")
+        active = stored(many.filter("owner <> hub").select("sig", "owner", "n", "rest"), "rarest-shingles")
     return links
 
 
