@@ -17,7 +17,7 @@ What a segment costs decides how it is used:
 
 All pairs of a cold segment are formed; a pair counts as a candidate if it shares as many segments as the spare ones
 demand. Pairs are verified on the whole sets (64-bit hashes of the shingles). Equal sets are one class throughout. Where many
-sets share a single shingle, all are compared with one of them first, twice; what that links need not be compared again.
+sets share a single shingle, all are compared with one of them first; what that links need not be compared again.
 Then all pairs between components are compared that sizes and ranks leave. So no link between different
 components is lost, and a large group of near copies costs about one comparison per member.
 
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from signalbox.llm.common import mixed, row_batches, shingles_of, stored
 from signalbox.llm.components import components
 
-#: Sets that share a segment before it counts as hot; rounds of comparisons with one member before all that is left is compared.
-HOT, HUB_ROUNDS = 12, 2
+#: Sets that share a segment (or a single shingle) before it counts as hot.
+HOT = 12
 #: Ratio of neighbouring size classes when what is left of large groups is compared.
 SIZE_STEP = 1.03
 #: Bits of the filter that keeps texts of documents without a candidate from being shuffled; its size is fixed.
@@ -314,25 +314,21 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = stored(_texts(docs, wanted), "texts")
     links, done = stored(verified(pairs, texts), "links"), pairs
     active = stored(rarest_shingles(texts.join(burdened, "owner", "left_semi")), "rarest-shingles")
-    for step in range(HUB_ROUNDS + 1):
-        labels = components(links).withColumnRenamed("node", "owner")
-        labelled = active.join(labels, "owner", "left").withColumn("component", F.coalesce("component", "owner"))
-        groups = labelled.groupBy("sig").agg(F.min("owner").alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
-        labelled = stored(labelled.join(groups.filter("lo <> hi").drop("lo", "hi"), "sig"), "open-groups")
-        if step == HUB_ROUNDS:
-            pairs = _left_over(labelled)
-        else:
-            many = labelled.filter(F.col("members") > HOT)
-            hubs = many.filter("owner = hub").select("sig", F.col("n").alias("n_hub"), F.col("rest").alias("rest_hub"), F.col("component").alias("of_hub"))
-            to_hub = many.join(hubs, "sig").filter((F.col("component") != F.col("of_hub")) & _close_enough("", "_hub"))
-            pairs = _left_over(labelled.filter(F.col("members") <= HOT)).union(to_hub.select(F.col("hub").alias("a"), F.col("owner").alias("b")))
-        pairs = stored(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.union(verified(pairs, texts)), "links")
-        if step == HUB_ROUNDS:
-            break
-        done = stored(done.union(pairs), "compared")
-        active = stored(many.filter("owner <> hub").select("sig", "owner", "n", "rest"), "rarest-shingles")
-    return links
+    alone = active.withColumn("component", F.col("owner"))
+    groups = alone.groupBy("sig").agg(F.min("owner").alias("hub"), F.count(F.lit(1)).alias("members"))
+    many = alone.join(groups.filter(F.col("members") > HOT), "sig")
+    hubs = many.filter("owner = hub").select("sig", F.col("n").alias("n_hub"), F.col("rest").alias("rest_hub"))
+    to_hub = many.filter("owner <> hub").join(hubs, "sig").filter(_close_enough("", "_hub")).select(F.col("hub").alias("a"), F.col("owner").alias("b"))
+    few = alone.join(groups.filter((F.col("members") > 1) & (F.col("members") <= HOT)).select("sig"), "sig", "left_semi")
+    pairs = stored(_left_over(few).union(to_hub).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    links, done = stored(links.union(verified(pairs, texts)), "links"), stored(done.union(pairs), "compared")
+    # what is linked by now needs no comparison; a hub has met all of its group
+    labels = components(links).withColumnRenamed("node", "owner")
+    labelled = many.filter("owner <> hub").drop("component").join(labels, "owner", "left").withColumn("component", F.coalesce("component", "owner"))
+    still_open = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+    left = stored(labelled.join(still_open, "sig", "left_semi"), "open-groups")
+    pairs = stored(_left_over(left).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    return links.union(verified(pairs, texts))
 
 
 def joined(docs: DataFrame) -> DataFrame:
