@@ -44,6 +44,8 @@ from signalbox.llm.components import components
 HOT = 12
 #: Ratio of neighbouring size classes when what is left of large groups is compared.
 SIZE_STEP = 1.03
+#: Words of 64 parity bits that a set is reduced to; each shingle in which two sets differ changes one bit at most.
+PARITY = tuple(f"p{k}" for k in range(8))
 #: Bits of the filter that keeps texts of documents without a candidate from being shuffled; its size is fixed.
 FILTER_BITS = 1 << 24
 NO_ID = 2**63 - 1
@@ -227,11 +229,27 @@ def rarest_shingles(texts: DataFrame) -> DataFrame:
     return ranked.select("sig", "owner", "n", (F.col("n") - F.col("_rank") + 1).alias("rest"))
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """``owner`` and the parity bits of its set."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches):
+            bits = np.zeros((batch.num_rows, 64 * len(PARITY)), np.uint8)
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                place = (mixed(shingles_of(text)) % np.uint64(64 * len(PARITY))).astype(np.int64)
+                bits[row] = np.bincount(place, minlength=64 * len(PARITY)) % 2
+            words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, k]) for k in range(len(PARITY)))], names=["owner", *PARITY])
+
+    return texts.select("owner", "text").mapInArrow(reduce, "owner bigint, " + ", ".join(f"{c} bigint" for c in PARITY))
+
+
 def _close_enough(one: str, two: str) -> Column:
     """Whether two sets may be similar that have this shingle as their first one in common, rarest first: all
-    others they share come after it in both."""
+    others they share come after it in both, and their parities differ in no more bits than the sets may."""
+    apart = sum((F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{two}"))) for c in PARITY), F.lit(0))
     n, m, rest, other = F.col(f"n{one}"), F.col(f"n{two}"), F.col(f"rest{one}"), F.col(f"rest{two}")
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(rest, other) >= 3 * (n + m))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(rest, other) >= 3 * (n + m)) & (7 * apart <= n + m)
 
 
 def _left_over(groups: DataFrame) -> DataFrame:
@@ -239,7 +257,7 @@ def _left_over(groups: DataFrame) -> DataFrame:
     that a common passage brings together, but not their sizes and the rest of their shingles, do not meet."""
     size_class = lambda n: F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
     largest = F.least(F.floor(F.lit(4) * F.col("n_a") / 3), F.floor(F.lit(7) * F.col("rest_a") / 3) - F.col("n_a"))
-    side = lambda c: groups.select("sig", *(F.col(x).alias(f"{x}_{c}") for x in ("owner", "n", "rest", "component")))
+    side = lambda c: groups.select("sig", *(F.col(x).alias(f"{x}_{c}") for x in ("owner", "n", "rest", "component", *PARITY)))
     smaller = side("a").withColumn("_most", largest).filter(F.col("_most") >= F.col("n_a"))
     smaller = smaller.withColumn("_class", F.explode(F.sequence(size_class(F.col("n_a")), size_class(F.col("_most") + 0.5)))).drop("_most")
     larger = side("b").filter(7 * F.col("rest_b") >= 3 * F.ceil(1.75 * F.col("n_b"))).withColumn("_class", size_class(F.col("n_b")))
@@ -313,11 +331,12 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = stored(classes.join(owners, "h1", "left_semi").select("h1", "h2", "rep"), "wanted")
     texts = stored(_texts(docs, wanted), "texts")
     links, done = stored(verified(pairs, texts), "links"), pairs
-    active = stored(rarest_shingles(texts.join(burdened, "owner", "left_semi")), "rarest-shingles")
+    hot_texts = texts.join(burdened, "owner", "left_semi")
+    active = stored(rarest_shingles(hot_texts).join(parities(hot_texts).dropDuplicates(["owner"]), "owner"), "rarest-shingles")
     alone = active.withColumn("component", F.col("owner"))
     groups = alone.groupBy("sig").agg(F.min("owner").alias("hub"), F.count(F.lit(1)).alias("members"))
     many = alone.join(groups.filter(F.col("members") > HOT), "sig")
-    hubs = many.filter("owner = hub").select("sig", F.col("n").alias("n_hub"), F.col("rest").alias("rest_hub"))
+    hubs = many.filter("owner = hub").select("sig", F.col("n").alias("n_hub"), F.col("rest").alias("rest_hub"), *(F.col(c).alias(f"{c}_hub") for c in PARITY))
     to_hub = many.filter("owner <> hub").join(hubs, "sig").filter(_close_enough("", "_hub")).select(F.col("hub").alias("a"), F.col("owner").alias("b"))
     few = alone.join(groups.filter((F.col("members") > 1) & (F.col("members") <= HOT)).select("sig"), "sig", "left_semi")
     pairs = stored(_left_over(few).union(to_hub).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
