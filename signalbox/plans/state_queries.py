@@ -17,7 +17,7 @@ from signalbox.operators import views as vw
 from signalbox.plans.canonical import FEED_NOW, Tables, epoch, ts
 from signalbox.plans.feed_queries import merged
 from signalbox.plans.registry import query
-from signalbox.plans.schedule_queries import _departures, _today
+from signalbox.plans.schedule_queries import _SKIP, _departures, _today
 
 CYCLE_S = 21_600
 COAST, EVICT = 21_600, 172_800  # events of one trip are hours apart, so thresholds scale with them
@@ -462,30 +462,37 @@ def _now_s():
     return F.lit(1706659200)
 
 
+_LIVE = """l as (select * from v_latest_snaps where trip_id in
+  (select trip_id from v_merged where cycle = (select max(cycle) from v_merged)))"""
+
+
 def _live_snapshots(t: Tables):
-    """Newest snapshot of trips seen in the second half of the month."""
-    return t.latest_snapshots.filter(F.col("ts_us") >= 1_705_968_000_000_000)
+    """Newest snapshot of the trips in the latest merged cycle."""
+    cycles = merged(t).select("cycle", "trip_id")
+    latest = cycles.join(F.broadcast(cycles.agg(F.max("cycle").alias("cycle"))), "cycle", "left_semi")
+    return t.latest_snapshots.join(latest, "trip_id", "left_semi")
 
 
 @query("join25_current_trains", f"""
-{_TRACKED}, {_ANCHORS.strip()[5:]}, l as (select * from v_latest_snaps where ts_us >= 1705968000000000),
- n as (select trip_id, max(stop_sequence) as total from v_stop_times group by 1)
+{_TRACKED}, {_ANCHORS.strip()[5:]}, {_LIVE},
+ n as (select trip_id, max(stop_sequence) as total from v_stop_times group by 1), sk as ({_SKIP})
 select tr.trip_id, tr.status, l.route_id, nullif(t.headsign, '') as headsign, t.direction_id,
  y.next_stop_id, s.name as next_stop_name,
  case when l.trip_id is not null and y.progress_sequence is not null then n.total end as progress_total_stops,
- case when l.trip_id is not null and n.total is not null then y.progress_sequence end as progress_stop_sequence
-from tr left join l on l.trip_id = tr.trip_id left join v_trips t on t.trip_id = tr.trip_id left join n on n.trip_id = tr.trip_id
+ case when l.trip_id is not null and n.total is not null then y.progress_sequence end as progress_stop_sequence,
+ case when l.trip_id is not null then sk.skipped_stop_count end as skipped_stop_count
+from tr left join l on l.trip_id = tr.trip_id left join sk on sk.trip_id = tr.trip_id left join v_trips t on t.trip_id = tr.trip_id left join n on n.trip_id = tr.trip_id
 left join (select event_id, next_stop_id, progress_sequence from z) y on y.event_id = l.event_id
 left join v_stops s on s.stop_id = y.next_stop_id""")
 def _(t):
     # each snapshot is judged at its own instant here
-    skips = t.trips.select("trip_id").limit(0).withColumn("skipped_stop_count", F.lit(None).cast("bigint"))
+    skips = sc.skip_stop_counts(t.trips, t.stop_times, t.stops, t.routes, loop_stations=("P3", "P7", "P11"))
     termini = sc.trip_termini(t.stop_times).select("trip_id", "terminus_sequence")
     live = _live_snapshots(t)
     trains = vw.current_trains(_tracked(t), live, t.trips.select("trip_id", "headsign", "direction_id"), t.stops, termini,
                                skips, epoch("now_at"))
     return trains.select("trip_id", "status", "route_id", "headsign", "direction_id", "next_stop_id", "next_stop_name",
-                         "progress_total_stops", "progress_stop_sequence")
+                         "progress_total_stops", "progress_stop_sequence", "skipped_stop_count")
 
 
 @query("join26_network_state", f"""
@@ -506,7 +513,7 @@ def _(t):
 
 
 @query("join27_trip_details", f"""
-{_TRACKED}, l as (select * from v_latest_snaps where ts_us >= 1705968000000000)
+{_TRACKED}, {_LIVE}
 select coalesce(l.trip_id, tr.trip_id) as trip_id, tr.status, case when l.trip_id is not null then 'live'
  when tr.last_seen_at is not null then 'last_confirmed' end as position_source, l.route_id,
  case when l.trip_id is not null then l.relationship = 'CANCELED' end as is_cancelled,
