@@ -35,6 +35,8 @@ PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 # Fixed values of the vocabulary file: how it splits words, and characters on which all libraries agree.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[!-~¡-ɏ]*\Z")
+# Python's split() takes these for white space, the tokenizer does not.
+SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,11 +59,15 @@ class WordTokens:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "<|" in text:  # may hold a special token, which the library finds before it splits
+        # a special token, which the library finds before it splits, may be there in the first case
+        if "<|" in text or SEPARATORS.search(text):
             return self._whole(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        words = text.replace("Σ", "σ").lower().split()
+        lower = text.replace("Σ", "σ").lower()
+        if not unicodedata.is_normalized("NFC", lower):  # words would be composed again
+            return self._whole(text)
+        words = lower.split()
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         known = self.words

@@ -210,6 +210,17 @@ def test_packing_round_trip(docs, nothing):
     assert packing.packed(nothing).count() == 0
 
 
+def test_word_tokens_equal_the_tokenizer():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    real, mine = Tokenizer.from_file(path("word_bpe_49k.json")), packing.WordTokens(path("word_bpe_49k.json"))
+    texts = [f"one a{chr(c)}b two" for c in range(1, 0x3100)] + ["a\x1cb", "\x1f", "J\u030c", "some J\u030c words", "T\u0308 W\u030a Y\u030a H\u0331", "\u0130\u0307 \u01c5"]
+    texts += [f"{chr(c)}{m}x" for c in range(65, 0x250) for m in "\u0300\u0301\u0308\u030a\u030c\u0331"]
+    wrong = [t for t in texts if np.frombuffer(mine.ids(t), "<u4").tolist() != real.encode(t, add_special_tokens=False).ids]
+    assert not wrong
+
+
 def test_sum_of_squares_step():
     numbers, offsets = packing.place(np.array([6, 6, 4, 4, 10, 3]), 10)
     assert numbers.tolist()[:2] == [0, 1] and sorted(numbers.tolist()[2:4]) == [0, 1] and offsets.tolist()[2:4] == [6, 6]
