@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import common, fill_in_middle, fingerprints, jaccard_join, lm_scoring, mixing, packing, quality_model, quality_rules, toxicity, url_filter, web_archive
+from signalbox.llm import common, fill_in_middle, fingerprints, jaccard_join, language_id, lm_scoring, mixing, packing, periodic_runs, quality_model, quality_rules, toxicity, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -256,3 +256,35 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(text) AS restored_sha256
 FROM s
 """
+
+
+@registered
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = common.crc_of_id() % 3 == 1
+    out = language_id.predicted(docs.select("doc_id", "text"), language_id.fitted(docs, ~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of which one in ten repeats its words from some word on; the others are as they are."""
+    h = common.crc_of_id()
+    g, n = F.floor(F.col("_h") / 10), F.size("_words").cast("long")
+    # the words of chosen texts only; a text is split once, as later columns use what this one made
+    split = docs.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all(common.text_of(), F.lit(f"({common.WORD})"), F.lit(1))))
+    cut = split.withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)))
+    rest = (n - F.col("_a")).cast("int")
+    root = F.slice("_words", F.col("_a").cast("int") + 1, F.col("_p").cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(root, (F.floor(rest / F.col("_p")) + 1).cast("int"))), F.lit(1), rest)
+    head = F.slice("_words", F.lit(1), F.col("_a").cast("int"))
+    return cut.select("doc_id", F.when(n > 0, F.array_join(F.concat(head, tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@registered
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return periodic_runs.with_runs(docs).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
