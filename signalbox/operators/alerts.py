@@ -6,7 +6,6 @@ start_at/end_at) and ``informed_entities`` (array of route_id/stop_id/direction_
 
 from __future__ import annotations
 
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,36 +93,55 @@ def alerts_matching(
     )
 
 
-def match_alerts(alerts: DataFrame, requests: DataFrame, now: Column, key: str = "request_id") -> DataFrame:
-    """(request, alert id) for many requests at once, wildcards on both sides.
+def shape_of() -> Column:
+    """Which axes a row names: a digit per axis."""
+    return F.concat(*[F.when(F.col(a).isNotNull(), "1").otherwise("0") for a in AXES])
+
+
+def match_by_shape(alerts: DataFrame, requests: DataFrame, now: Column, key: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """Alerts of many requests at once, wildcards on both sides: (``key``, id) pairs, and (shape, id) classes.
 
-    ``requests`` has ``key`` and non-null or null route_id/stop_id/direction_id.  Each
-    alert entity is filed under the combination of axes it names, each request under
-    every combination with the other axes masked, and the pairs are found by equality;
-    an axis the request leaves open is masked on the alert side as well.
+    ``requests`` has ``key`` and non-null or null route_id/stop_id/direction_id. Rows of both sides are told apart
+    by shape, the axes they name. Two shapes that name an axis in common meet by equality on the axes that both name. Where they
+    name none in common, as with a network-wide alert, every request of that shape matches: such an alert is one class row per
+    request shape, valid for all requests with ``shape_of()`` equal to it, and is left out of the pairs. Only shapes that occur
+    are filed, eight on each side at most.
     """
     current = alerts.filter(is_active(now))
     nothing = F.struct(*[F.lit(None).cast(t).alias(a) for a, t in zip(AXES, ("string", "string", "int"))])
     whole = F.when(F.size("informed_entities") == 0, F.array(nothing)).otherwise(
         F.transform("informed_entities", lambda e: F.struct(*[e[a].alias(a) for a in AXES]))
     )
-    entities = current.select("id", F.explode(whole).alias("_e")).select("id", "_e.*").distinct()
-
-    shapes = F.array(*[F.lit("".join(bits)) for bits in product("01", repeat=len(AXES))])
-
-    def filed(df: DataFrame, own: str, other: str) -> DataFrame:
-        """One row per shape the other side may have, keyed by the axes both of them name."""
-        own_shape = F.concat(*[F.when(F.col(a).isNotNull(), "1").otherwise("0") for a in AXES])
-        spread = df.withColumns({own: own_shape, other: F.explode(shapes)})
-        shared = [
-            F.when(F.substring(other, i + 1, 1) == "1", F.coalesce(F.col(a).cast("string"), F.lit(""))).otherwise("")
-            for i, a in enumerate(AXES)
-        ]
-        return spread.withColumn("_k", F.concat_ws("|", *shared))
-
-    left = filed(entities, "_es", "_rs").select("id", "_es", "_rs", "_k")
-    right = filed(requests, "_rs", "_es").select(key, "_es", "_rs", "_k")
-    return left.join(right, ["_es", "_rs", "_k"]).select(key, "id").distinct()
+    entities = current.select("id", F.explode(whole).alias("_e")).select("id", "_e.*").distinct().withColumn("_es", shape_of())
+    asking = requests.select(key, *AXES, shape_of().alias("_rs"))
+    shapes = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())  # noqa: E731  at most eight
+    named, asked = shapes(entities, "_es"), shapes(asking, "_rs")
+    shared = {(e, r): [a for a, x, y in zip(AXES, e, r) if x == y == "1"] for e in named for r in asked}
+
+    def filed(df: DataFrame, own: str, other: str, met: dict[str, list[tuple[str, list[str]]]]) -> DataFrame:
+        """A row per shape of the other side that has axes in common, with their values."""
+        values = lambda axes: F.concat_ws("|", *[F.coalesce(F.col(a).cast("string") if a in axes else F.lit(""), F.lit("")) for a in AXES])
+        entry = lambda o, axes: F.struct(F.lit(o).alias(other), values(axes).alias("_k"))
+        none = F.array().cast(f"array<struct<{other}: string, _k: string>>")
+        out = none
+        for shape, others in met.items():
+            out = F.when(F.col(own) == shape, F.array(*[entry(o, axes) for o, axes in others]) if others else none).otherwise(out)
+        return df.withColumn("_f", F.explode(out)).select("*", "_f.*").drop("_f")
+
+    left = filed(entities, "_es", "_rs", {e: [(r, shared[e, r]) for r in asked if shared[e, r]] for e in named})
+    right = filed(asking, "_rs", "_es", {r: [(e, shared[e, r]) for e in named if shared[e, r]] for r in asked})
+    spark = alerts.sparkSession
+    open_pairs = spark.createDataFrame([(e, r) for (e, r), axes in shared.items() if not axes], "_es string, shape string")
+    classes = entities.select("id", "_es").distinct().join(F.broadcast(open_pairs), "_es").select("shape", "id").distinct()
+    pairs = left.select("id", "_es", "_rs", "_k").join(right.select(key, "_es", "_rs", "_k"), ["_es", "_rs", "_k"]).select(key, "_rs", "id").distinct()
+    by_rule = classes.withColumnRenamed("shape", "_rs")
+    return pairs.join(by_rule, ["_rs", "id"], "left_anti").select(key, "id"), classes
+
+
+def match_alerts(alerts: DataFrame, requests: DataFrame, now: Column, key: str = "request_id") -> DataFrame:
+    """(request, alert id) for many requests, written out in full: with many requests, work on ``match_by_shape`` instead."""
+    pairs, classes = match_by_shape(alerts, requests, now, key)
+    return pairs.unionByName(classes.join(requests.select(key, shape_of().alias("shape")), "shape").select(key, "id"))
 
 
 def alerts_for_line(alerts: DataFrame, routes: DataFrame, name: str, now: Column) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.operators.ordered import ordered_scan
-from signalbox.session import checkpointed
 
 # fixed values
 MAX_ARRIVALS = 6
@@ -62,22 +61,31 @@ def headways_at(arrived: DataFrame, now: Column) -> DataFrame:
     return sums.select(*GROUP, *_info(F.col("_n"), F.col("_a"), F.col("_b"), now))
 
 
-def rolling_headways(arrived: DataFrame) -> DataFrame:
+def rolling_headways(arrived: DataFrame, chunk_s: int = 3600) -> DataFrame:
     """Headway as it stood right after each arrival, over the last few arrivals of its group.
 
-    The arrival five places back is found by equality on the running number.
+    A group is cut into chunks of time. Each chunk hands on its own last few arrivals, and as every chunk has one arrival at
+    least, the few chunks before it hold all that a chunk's first rows need: no group is windowed as a whole.
     """
-    numbered = checkpointed(ordered_scan(
-        arrived, list(GROUP), ["arrived_at", "trip_id"], F.floor(F.col("arrived_at") / 3600),
-        sums={"n": F.lit(1)},
-    ))
-    oldest = numbered.select(
-        *GROUP, (F.col("n") + MAX_ARRIVALS - 1).alias("n"), F.col("arrived_at").alias("_sixth_back")
+    back, group = MAX_ARRIVALS - 1, [*GROUP, "_chunk"]
+    cut = arrived.withColumn("_chunk", F.floor(F.col("arrived_at") / chunk_s)).repartition(*[F.col(c) for c in group])
+    inside = Window.partitionBy(*group).orderBy("arrived_at", "trip_id")
+    placed = cut.withColumns({
+        "_p": F.row_number().over(inside), "_n": F.count(F.lit(1)).over(Window.partitionBy(*group)),
+        "_back": F.lag("arrived_at", back).over(inside), "_first": F.first("arrived_at").over(inside),
+    })
+    tails = placed.filter(F.col("_n") - F.col("_p") < back).groupBy(*group).agg(
+        F.array_sort(F.collect_list("arrived_at")).alias("_tail"), F.max("_n").alias("_n"))
+    before = Window.partitionBy(*GROUP).orderBy("_chunk")
+    recent = F.flatten(F.collect_list("_tail").over(before.rowsBetween(-back, -1)))  # a few of a few each
+    carried = tails.select(
+        *group, F.reverse(F.slice(F.reverse(recent), 1, back)).alias("_tail"),
+        F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
     )
-    firsts = numbered.filter("n = 1").select(*GROUP, F.col("arrived_at").alias("_first"))
-    joined = numbered.join(oldest, [*GROUP, "n"], "left").join(firsts, list(GROUP))
-    start = F.coalesce("_sixth_back", "_first")
-    size = F.least(F.col("n"), F.lit(MAX_ARRIVALS))
+    joined = placed.drop("_n").join(carried, group)
+    missing = F.size("_tail") - (MAX_ARRIVALS - F.col("_p"))  # place in the tail, which has fewer entries at the group's begin
+    start = F.coalesce("_back", F.get("_tail", F.greatest(missing, F.lit(0))), "_first")
+    size = F.least(F.coalesce("_before", F.lit(0)) + F.col("_p"), F.lit(MAX_ARRIVALS))
     return joined.select(
         *GROUP, "trip_id", "arrived_at",
         *_info(size, start, F.col("arrived_at"), F.col("arrived_at"))[:2],

@@ -233,6 +233,9 @@ def city_loop_summary(
 
 # --- coverage against the timetable ---
 
+DAY_S = 86_400
+LEVELS = 18  # block sizes of two to the power of 0 to 17, which holds two days of seconds
+
 
 def trip_spans(stop_times: DataFrame) -> DataFrame:
     """First arrival and last departure per trip in elapsed seconds."""
@@ -247,32 +250,62 @@ def sample_grid(polls: DataFrame, at: str = "at", step_s: int = 300) -> DataFram
     return ends.select(F.explode(F.sequence("a", "b", F.lit(step_s).cast("bigint"))).alias("sample_at"))
 
 
-def scheduled_running(
-    samples: DataFrame, spans: DataFrame, trips: DataFrame, active: DataFrame, bucket_s: int = 3600
-) -> DataFrame:
-    """(sample_at, trip_id) of trips scheduled to be running at each sample.
+def _looks(samples: DataFrame, active: DataFrame) -> DataFrame:
+    """(sample_at, service_id, x): where to look a sample up among the spans of a service.
 
-    Uses local wall-clock seconds.  A sample is looked up on its own date and, a day
-    later on the clock, among the previous date's trips that start after midnight.
-    Spans are laid into ``bucket_s`` wide buckets so that the range test is only a
-    residual of an equality join.
+    A sample is looked up at its local second of the day on its own date, and a day later on the clock for the
+    services of the previous date.
     """
     local = local_time(F.timestamp_seconds("sample_at"))
     second = (F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)).cast("bigint")
     looks = F.array(
-        F.struct(F.to_date(local).alias("service_date"), second.alias("x"), F.lit(0).cast("bigint").alias("floor_s")),
-        F.struct(F.date_sub(F.to_date(local), 1).alias("service_date"), (second + 86400).alias("x"),
-                 F.lit(86400).cast("bigint").alias("floor_s")),
+        F.struct(F.to_date(local).alias("service_date"), second.alias("x")),
+        F.struct(F.date_sub(F.to_date(local), 1).alias("service_date"), (second + DAY_S).alias("x")),
     )
-    lookups = samples.select("sample_at", F.explode(looks).alias("_l")).select("sample_at", "_l.*").join(
+    return samples.select("sample_at", F.explode(looks).alias("_l")).select("sample_at", "_l.*").join(
         active, "service_date"
-    ).withColumn("bucket", F.floor(F.col("x") / bucket_s))
-    laid = spans.filter(F.col("start_s") <= F.col("end_s")).join(trips.select("trip_id", "service_id"), "trip_id").select(
-        "trip_id", "service_id", "start_s", "end_s",
-        F.explode(F.sequence(F.floor(F.col("start_s") / bucket_s), F.floor(F.col("end_s") / bucket_s))).alias("bucket"),
-    )
-    hit = (F.col("start_s") <= F.col("x")) & (F.col("x") <= F.col("end_s")) & (F.col("start_s") >= F.col("floor_s"))
-    return lookups.join(laid, ["service_id", "bucket"]).filter(hit).select("sample_at", "trip_id")
+    ).select("sample_at", "service_id", "x")
+
+
+def _own_day(spans: DataFrame) -> DataFrame:
+    """Spans cut at their day's end unless they start after it: the rest is not looked up under that date."""
+    cut = F.when(F.col("start_s") < DAY_S, F.least("end_s", F.lit(DAY_S - 1))).otherwise(F.col("end_s"))
+    return spans.filter(F.col("start_s") <= F.col("end_s")).withColumn("end_s", cut)
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The fewest aligned power-of-two blocks that make up ``start..end``: two per size at most."""
+    def of_size(level):
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        first, stop = F.ceil(start / size), F.floor((end + 1) / size)
+        odd = lambda c: c % 2 == 1
+        after = first + F.when(odd(first), 1).otherwise(0)
+        block = lambda n: F.struct(level.alias("level"), n.cast("bigint").alias("block"))
+        return F.array(F.when((first < stop) & odd(first), block(first)), F.when((after < stop) & odd(stop), block(stop - 1)))
+
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    return F.array_compact(F.flatten(F.transform(levels, of_size)))
+
+
+def scheduled_running(samples: DataFrame, spans: DataFrame, trips: DataFrame, active: DataFrame) -> DataFrame:
+    """Number and least id of the trips scheduled to be running at each sample that has any.
+
+    Uses local wall-clock seconds. A span is laid down once, as power-of-two blocks of seconds, whatever number of
+    samples and dates fall into it; per service and block only a count and the least id are kept. A sample
+    adds up the one block of each size that holds its second, so no (sample, trip) pair is made.
+    """
+    laid = _own_day(spans).join(trips.select("trip_id", "service_id"), "trip_id").select(
+        "service_id", "trip_id", F.explode(_blocks(F.col("start_s"), F.col("end_s"))).alias("_b")
+    ).groupBy("service_id", "_b.level", "_b.block").agg(F.count(F.lit(1)).alias("_n"), F.min("trip_id").alias("_first"))
+    looks = _looks(samples, active)
+    # at most the seconds of two days per service, however many dates are looked at
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    asked = looks.select("service_id", "x").distinct().select("service_id", "x", levels).withColumn(
+        "block", F.call_function("shiftright", F.col("x"), F.col("level")))
+    found = asked.join(laid, ["service_id", "level", "block"]).groupBy("service_id", "x").agg(
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    return looks.join(found, ["service_id", "x"]).groupBy("sample_at").agg(
+        F.sum("_n").alias("scheduled"), F.min("_first").alias("first_trip"))
 
 
 def nearest_poll(samples: DataFrame, polls: DataFrame, at: str = "at", tolerance_s: float = 60.0) -> DataFrame:
@@ -285,19 +318,24 @@ def nearest_poll(samples: DataFrame, polls: DataFrame, at: str = "at", tolerance
 
 
 def coverage_samples(
-    samples: DataFrame, live: DataFrame, running: DataFrame, tolerance_s: float = 60.0
+    samples: DataFrame, live: DataFrame, spans: DataFrame, trips: DataFrame, active: DataFrame, tolerance_s: float = 60.0
 ) -> DataFrame:
-    """Percentage of scheduled trips seen live at each sample that has any scheduled trip.
+    """Percentage of scheduled trips seen live at each sample that has any scheduled trip and a poll nearby.
 
-    ``live`` is (at, trip_id), at least one row per poll, trip_id null for an empty poll.
+    ``live`` is (at, trip_id), at least one row per poll, trip_id null for an empty poll. The
+    scheduled trips are counted, not listed; only live trips are looked up one by one.
     """
     nearest = nearest_poll(samples, live, tolerance_s=tolerance_s)
-    seen = live.filter(F.col("trip_id").isNotNull()).select(F.col("at").alias("poll_at"), "trip_id").distinct().withColumn(
-        "_live", F.lit(True)
-    )
+    seen = live.filter(F.col("trip_id").isNotNull()).select(F.col("at").alias("poll_at"), "trip_id").distinct()
+    known = _own_day(spans).join(trips.select("trip_id", "service_id"), "trip_id")
+    inside = (F.col("start_s") <= F.col("x")) & (F.col("x") <= F.col("end_s")) & ((F.col("x") >= DAY_S) == (F.col("start_s") >= DAY_S))
+    # a live trip's own service decides on which of the sample's two dates it may run
+    hits = seen.join(nearest, "poll_at").join(known, "trip_id").join(
+        _looks(samples, active), ["sample_at", "service_id"]).filter(inside).groupBy("sample_at").agg(F.count(F.lit(1)).alias("live"))
     return (
-        running.join(nearest, "sample_at").join(seen, ["poll_at", "trip_id"], "left")
-        .groupBy("sample_at").agg(F.count(F.lit(1)).alias("scheduled"), F.count("_live").alias("live"))
+        scheduled_running(samples, spans, trips, active).select("sample_at", "scheduled")
+        .join(nearest.select("sample_at"), "sample_at").join(hits, "sample_at", "left")
+        .withColumn("live", F.coalesce("live", F.lit(0).cast("bigint")))
         .withColumn("coverage_pct", F.col("live") * 100.0 / F.col("scheduled"))
         .withColumn("band", time_band(local_hour(F.timestamp_seconds("sample_at"))))
     )

@@ -316,18 +316,17 @@ def skip_stop_counts(
 ) -> DataFrame:
     """Stops each trip leaves out against the commonest pattern of comparable trips.
 
-    A trip's ordered stop list is reduced to a 128-bit sum of position/stop hashes and a
-    count, so no list is ever gathered; stop sets are compared once per distinct
-    pattern, through one representative trip.  Ties take the lowest trip id.
+    A trip's stop list is reduced to a 128-bit sum of position/stop hashes and a count in one pass
+    over the calls. Stop sets are compared once per distinct pattern, through one representative trip, whose calls alone are
+    read again. Ties take the lowest trip id. The calls of one trip are bounded by what a vehicle can serve in a run, so
+    a trip is ranked as one partition of the window.
     """
     loop = stops.filter(F.col("parent_station").isin(*loop_stations)).select("stop_id", F.lit(True).alias("_loop"))
     running = trips.join(
         routes.filter(is_replacement("short_name")).select("route_id"), "route_id", "left_anti"
     ).select("trip_id", "route_id", "direction_id")
-    ranked = ordered_scan(
-        stop_times.select("trip_id", "stop_sequence", "stop_id"), ["trip_id"], ["stop_sequence"],
-        F.floor(F.col("stop_sequence") / 1024), sums={"_rank": F.lit(1)},
-    ).join(loop, "stop_id", "left")
+    calls = stop_times.select("trip_id", "stop_sequence", "stop_id").join(loop, "stop_id", "left")
+    ranked = calls.withColumn("_rank", F.row_number().over(Window.partitionBy("trip_id").orderBy("stop_sequence")))
     code = lambda salt: F.sum(F.xxhash64(F.lit(salt), "_rank", "stop_id").cast("decimal(20,0)"))
     patterns = ranked.groupBy("trip_id").agg(
         code("a").alias("_h1"), code("b").alias("_h2"), F.count(F.lit(1)).alias("_n"),
@@ -345,31 +344,19 @@ def skip_stop_counts(
         F.count(F.lit(1)).alias("_trips"), F.min("trip_id").alias("_sample")
     )
     # among equally common patterns the one with the lowest sample trip is normal
-    ties = variants.groupBy(*group, "_trips").agg(F.min("_sample").alias("_first"), F.sum("_trips").alias("_sum"))
-    normal = ties.groupBy(*group).agg(
-        F.max_by("_first", "_trips").alias("_normal"), F.sum("_sum").alias("_group_trips")
-    )
+    ties = variants.groupBy(*group, "_trips").agg(F.min("_sample").alias("_sample"), F.sum("_trips").alias("_sum"))
+    normal = ties.groupBy(*group).agg(F.max_by("_sample", "_trips").alias("_normal"), F.sum("_sum").alias("_group_trips"))
     compared = variants.join(normal, group)
-    calls = stop_times.select("trip_id", "stop_id")
-    normal_calls = (
-        compared.filter(F.col("_group_trips") >= 2).select("_normal").distinct()
-        .join(calls.withColumnRenamed("trip_id", "_normal"), "_normal").distinct()
-    )
-    sizes = normal_calls.groupBy("_normal").agg(F.count(F.lit(1)).alias("_normal_stops"))
-    pairs = compared.filter(F.col("_group_trips") >= 2).select("_sample", "_normal").distinct()
-    sample_calls = pairs.join(calls.withColumnRenamed("trip_id", "_sample"), "_sample").distinct()
-    shared = (
-        sample_calls.join(normal_calls, ["_normal", "stop_id"], "left_semi")
-        .groupBy("_sample", "_normal").agg(F.count(F.lit(1)).alias("_shared"))
-    )
-    skipped = (
-        compared.join(sizes, "_normal", "left").join(shared, ["_sample", "_normal"], "left")
-        .select(
-            *group, *pattern,
-            F.when(F.col("_group_trips") >= 2, F.col("_normal_stops") - F.coalesce("_shared", F.lit(0)))
-            .alias("skipped_stop_count"),
-        )
-    )
+    # a group of one pattern leaves nothing out, a single trip has nothing to compare with
+    pairs = checkpointed(compared.filter((F.col("_group_trips") >= 2) & (F.col("_sample") != F.col("_normal"))).select("_sample", "_normal"))
+    wanted = pairs.select(F.explode(F.array("_sample", "_normal")).alias("trip_id")).distinct()
+    sets = stop_times.select("trip_id", "stop_id").join(wanted, "trip_id", "left_semi").groupBy("trip_id").agg(
+        F.collect_set("stop_id").alias("_stops"))  # the stops of one trip
+    sets = checkpointed(sets)
+    missing = pairs.join(sets.toDF("_sample", "_own"), "_sample").join(sets.toDF("_normal", "_usual"), "_normal").select(
+        "_sample", F.size(F.array_except("_usual", "_own")).cast("bigint").alias("_missing"))
+    skipped = compared.join(missing, "_sample", "left").select(
+        *group, *pattern, F.when(F.col("_group_trips") >= 2, F.coalesce("_missing", F.lit(0).cast("bigint"))).alias("skipped_stop_count"))
     return keyed.join(skipped, [*group, *pattern]).select("trip_id", "skipped_stop_count")
 
 

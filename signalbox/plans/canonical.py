@@ -9,18 +9,16 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalbox.functions.gtfstime import gtfs_text
 from signalbox.functions.punctuality import punctuality_status
-from signalbox.operators.ordered import ordered_scan
 from signalbox.schemas import CAPTURE, struct
 
 # request instants used by the point-in-time queries
 SCHEDULE_NOW = datetime(1998, 6, 15, 2, 0, 0, tzinfo=timezone.utc)  # a Monday, local noon
 FEED_NOW = datetime(2024, 1, 16, 0, 0, 0, tzinfo=timezone.utc)
-SPLIT_BITS = 1 << 40
 
 _CALENDAR = """
 SELECT * FROM VALUES
@@ -103,15 +101,11 @@ class Tables:
         """lineitem with ``seq`` (1-based position within the order) and ``is_last``."""
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
         lines = self.raw("lineitem").select("l_orderkey", *order)
-        return ordered_scan(
-            lines,
-            ["l_orderkey"],
-            order,
-            F.col("l_linenumber") * F.lit(SPLIT_BITS) + F.floor(F.col("l_partkey") / 1024),
-            sums={"seq": F.lit(1)},
-            leads={"_next": F.lit(True)},
-        ).select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "seq", F.col("_next").isNull().alias("is_last")
+        # the calls of one trip are few by their meaning: ranked as one window partition
+        ahead = Window.partitionBy("l_orderkey").orderBy(*order)
+        return lines.select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", F.row_number().over(ahead).cast("bigint").alias("seq"),
+            F.lead(F.lit(True)).over(ahead).isNull().alias("is_last"),
         )
 
     @cached_property

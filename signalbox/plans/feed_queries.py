@@ -406,18 +406,17 @@ def _samples(t: Tables):
     return qu.sample_grid(_live(t))
 
 
-def _running(t: Tables):
-    active = sc.active_services(t.calendar, t.calendar_dates)
-    return qu.scheduled_running(_samples(t), qu.trip_spans(t.stop_times), t.trips, active)
+def _schedule(t: Tables):
+    return qu.trip_spans(t.stop_times), t.trips, sc.active_services(t.calendar, t.calendar_dates)
 
 
 def _coverage(t: Tables):
-    return qu.coverage_samples(_samples(t), _live(t), _running(t), tolerance_s=1500)
+    return qu.coverage_samples(_samples(t), _live(t), *_schedule(t), tolerance_s=1500)
 
 
 @query("join14_scheduled_running", "select sample_at, count(*) as scheduled, min(trip_id) as first_trip from v_running group by 1")
 def _(t):
-    return _running(t).groupBy("sample_at").agg(F.count(F.lit(1)).alias("scheduled"), F.min("trip_id").alias("first_trip"))
+    return qu.scheduled_running(_samples(t), *_schedule(t))
 
 
 _NEAREST = """
@@ -553,8 +552,16 @@ def _(t):
     requests = t.latest_snapshots.select(
         F.col("trip_id").alias("request_id"), "route_id", F.get("stop_time_updates", 0)["stop_id"].alias("stop_id"),
         (F.col("trip_id").cast("bigint") % 2).cast("int").alias("direction_id"))
-    found = al.match_alerts(t.alert_rows, requests, _now())
-    return found.groupBy("request_id").agg(F.count(F.lit(1)).alias("alerts"), F.sum(F.col("id").cast("bigint")).alias("pos_sum"))
+    pairs, classes = al.match_by_shape(t.alert_rows, requests, _now())
+    value = F.col("id").cast("bigint")
+    own = pairs.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    # one row per shape of requests, eight at most
+    common = classes.groupBy("shape").agg(F.count(F.lit(1)).alias("_cn"), F.sum(value).alias("_cs"))
+    zero = F.lit(0).cast("bigint")
+    counted = requests.select("request_id", al.shape_of().alias("shape")).join(F.broadcast(common), "shape", "left").join(own, "request_id", "left")
+    return counted.select(
+        "request_id", (F.coalesce("_n", zero) + F.coalesce("_cn", zero)).alias("alerts"), (F.coalesce("_s", zero) + F.coalesce("_cs", zero)).alias("pos_sum"),
+    ).filter("alerts > 0")
 
 
 @query("join12_alerts_for_line", """

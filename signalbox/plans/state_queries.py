@@ -201,12 +201,6 @@ def _(t):
     return _episodes(t).filter(F.col("reason") == "flushed").select("trip_id", "emitted_at")
 
 
-@query("str05_resolved_episodes")
-def _(t):
-    return _episodes(t, co.resolutions_of(_completions(t))).groupBy("reason").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("ghost_duration_s").alias("total_s"))
-
-
 _TRACKED = f"""{_LINE}, tr as (select e.trip_id,
   case when own_c = final_c then 'live' when own_c is null then 'ghost' when l.a - o.a >= {COAST} then 'ghost'
    else 'coasting' end as status, own_c as last_seen_at, e.c as last_touched_at, l.a as now_a, o.a as own_a
@@ -302,6 +296,77 @@ left join q o on o.trip_id = f.trip_id and o.c = f.fin and o.run = f.run and o.o
 """
 
 
+KEEP = 259_200  # outcomes wait for a trip to turn into a ghost for so long
+
+
+def _outcomes(t: Tables):
+    """Known outcomes, at the poll cycle in which they became known."""
+    known = co.resolutions_of(_completions(t))
+    return known.select("trip_id", (F.floor(F.col("at") / CYCLE_S) * CYCLE_S).cast("bigint").alias("at"), "reason")
+
+
+def _resolved_sql() -> str:
+    """Each trip stepped through each cycle: one row of state per trip and tick, and what the tick emitted."""
+    return f"""
+with recursive ln as (select row_number() over (order by c) as i, c, backoff, coalesce(c - lag(c) over (order by c), 0) as d
+  from (select ts_us // 21600000000 * {CYCLE_S} as c, count(*) filter (not ok) * 100 > 24 * count(*) as backoff from v_polls group by 1)),
+ tc as (select trip_id, i, in_vp as pos from v_merged join ln on ln.c = cycle * {CYCLE_S}),
+ rs as (select trip_id, i, case when status = 'cancelled' then 'cancelled' else 'completed' end as reason
+  from ({_COMPLETION}) o join ln on ln.c = finalized_at // {CYCLE_S} * {CYCLE_S} where status <> 'undetermined_gap'),
+ st as (
+  select trip_id, 0::bigint as i, null::varchar as status, null::bigint as touched, null::bigint as seen, 0::bigint as elapsed,
+   false as froze, null::bigint as start, null::varchar as res, null::bigint as res_at,
+   null::varchar as ev, null::bigint as ev_at, null::bigint as ev_seen, null::bigint as ev_start, false as ev_froze
+  from (select trip_id from tc union select trip_id from rs)
+  union all
+  select trip_id, i, case when marked then null else status end, case when marked then null else touched end,
+   case when marked then null else seen end, case when marked then 0 else elapsed end, case when marked then false else froze end,
+   case when marked then null else start end, case when r is not null and not marked then r else res end,
+   case when r is not null and not marked then c else res_at end,
+   case when marked then r else ev end, c, case when marked then seen else ev_seen end, case when marked then start else ev_start end,
+   case when marked then froze else ev_froze end
+  from (
+   select trip_id, i, c, r, case when not gone then status end as status, case when not gone then touched end as touched,
+    case when not gone then seen end as seen, case when gone then 0 else elapsed end as elapsed, not gone and froze as froze,
+    case when not gone then start end as start, case when not gone and c - res_at < {KEEP} then res end as res,
+    case when not gone and c - res_at < {KEEP} then res_at end as res_at,
+    case when gone and status = 'ghost' then 'timed_out' else ev end as ev, case when gone then seen else ev_seen end as ev_seen,
+    case when gone then start else ev_start end as ev_start, case when gone then froze else ev_froze end as ev_froze,
+    r is not null and not gone and coalesce(status = 'ghost', false) as marked
+   from (
+    select trip_id, i, c, r, coalesce(c - touched >= {EVICT} and not out, false) as gone,
+     case when out then null when pos then 'live' when not tracked then null when seen is null then 'ghost'
+      when elapsed >= {COAST} then 'ghost' else 'coasting' end as status,
+     case when not out then touched end as touched, case when out then null when pos then c else seen end as seen,
+     case when out or pos then 0 else elapsed end as elapsed, not out and not pos and froze as froze,
+     case when out or pos then null when elapsed >= {COAST} and seen is not null then coalesce(start, c) end as start,
+     case when not out and not pos then res end as res, case when not out and not pos then res_at end as res_at,
+     case when pos and was = 'ghost' then 'reappeared' when out then res end as ev, seen as ev_seen, start as ev_start,
+     case when pos then was_froze else froze end as ev_froze
+    from (
+     select *, tracked and not pos and res is not null and (seen is null or elapsed >= {COAST}) as out from (
+      select st.trip_id, ln.i, ln.c, rs.reason as r, st.status as was, st.seen, st.start, st.res, st.res_at, st.froze as was_froze,
+       st.touched is not null or tc.trip_id is not null as tracked, coalesce(tc.pos, false) as pos,
+       case when tc.trip_id is not null then ln.c else st.touched end as touched,
+       case when st.seen is not null and not ln.backoff then st.elapsed + ln.d else st.elapsed end as elapsed,
+       st.froze or (st.seen is not null and ln.backoff) as froze
+      from st join ln on ln.i = st.i + 1 left join tc on tc.trip_id = st.trip_id and tc.i = ln.i
+       left join rs on rs.trip_id = st.trip_id and rs.i = ln.i))))),
+ ep as (select trip_id, ev as reason, ev_at as emitted_at, ev_seen as last_seen_at, ev_start as ghost_started_at, ev_froze as backoff_overlapped
+   from st where ev is not null
+  union all select trip_id, 'flushed', (select max(c) from ln), seen, start, froze from st
+   where i = (select max(i) from ln) and status = 'ghost')
+"""
+
+
+@query("str05_resolved_episodes", f"""
+{_resolved_sql()} select trip_id, reason, emitted_at, last_seen_at, ghost_started_at,
+ cast(emitted_at - ghost_started_at as double) as ghost_duration_s, backoff_overlapped from ep""")
+def _(t):
+    found = lc.ghost_episodes(_touches(t), _cycles(t), _outcomes(t), coasting_s=COAST, max_age_s=EVICT, retention_s=KEEP)
+    return found.select("trip_id", "reason", "emitted_at", "last_seen_at", "ghost_started_at", "ghost_duration_s", "backoff_overlapped")
+
+
 @query("str06_trip_completions", _COMPLETION)
 def _(t):
     return _completions(t).select("trip_id", F.col("service_date").cast("string").alias("service_date"), "finalized_at",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalbox.functions import punctuality as pu
@@ -17,6 +18,7 @@ from signalbox.plans.canonical import Tables
 from signalbox.plans.feed_queries import merged
 from signalbox.plans.registry import query
 from signalbox.plans.schedule_queries import NEXT_DAY, _active, _today
+from signalbox.plans.state_queries import _ARRIVALS, _LINE, COAST, EVICT, KEEP, _cycles, _dwell_states, _outcomes, _resolved_sql, _touches
 from signalbox.session import scratch_path
 from signalbox.sources import store
 from signalbox.streaming import jobs, trips
@@ -24,58 +26,57 @@ from signalbox.streaming import jobs, trips
 NOW = datetime(2024, 1, 16, 2, 0, tzinfo=timezone.utc)  # 13:00 local on a Tuesday
 
 
-SLICES = 3
+SLICES, SLICE_ROWS = 3, 5_000_000  # at least so many slices, at most about so many rows in one
+SPARSE_S = 21_600  # rows of a key are hours apart in these tables, so its buckets are wider
 END_DAYS = 30  # beyond every time-out and retention of the queries
 
 
-def _arriving(t: Tables) -> str:
-    """The event table as files that arrive one after the other, each a slice of time."""
-    events, path = t.raw("events"), scratch_path(t.spark, "arriving")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = events.select(at.alias("at")).stat.approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.01)
-    part = sum((F.when(at > int(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    for i in range(SLICES):
-        events.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+def _played(t: Tables, table: DataFrame, kinds: str, build, ended: bool = True, delay: str = "30 minutes"):
+    """Run a stream over a whole table and read what it wrote.
 
-
-def _end(t: Tables, path: str) -> None:
-    """A marker row of each event type, far later than the table, so that the watermark passes every row of it.
-
-    Filters may be pushed below the watermark, hence one of each type. The watermark stays below the
-    markers themselves, so they wait in state and are never part of an answer.
+    The table (with the instant ``ev``) arrives slice of time by slice of time, as many as its size asks for, and the stream is
+    resumed from its checkpoint after each. Then a marker row of each ``kinds``, far later than the table,
+    moves the watermark past every row of it. Filters may be pushed below the watermark, hence one of each
+    kind; the watermark stays below the markers themselves, so they wait in state and are never part of an answer.
     """
-    events = t.raw("events")
-    last = events.agg(F.max("ts").alias("last"))
-    markers = events.groupBy("event_type").agg(F.first(F.struct(*events.columns)).alias("r")).select("r.*").crossJoin(F.broadcast(last))
-    at = (F.col("last") + F.expr(f"interval {END_DAYS} days")).cast(events.schema["ts"].dataType)
-    markers.withColumn("ts", at).select(events.columns).write.mode("append").parquet(path)
-
-
-def _stream(t: Tables, build, ended: bool = True):
-    """Run a stream over the whole event table, a few files a micro-batch, to its end and read what it wrote."""
-    spark, arriving = trips.use_state_store(t.spark), _arriving(t)
-    events = spark.readStream.schema(t.raw("events").schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.select(
-        "event_id", "event_type", "user_id", k.alias("k"), F.floor(at / 1_000_000).cast("bigint").alias("at_s"),
-        F.col("ts").cast("timestamp").alias("ev"),
-    ).withWatermark("ev", "30 minutes")
-    out = build(rows)
-    path, done = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
+    spark = trips.use_state_store(t.spark)
+    staged, arriving, path, done = (scratch_path(spark, name) for name in ("staged", "arriving", "stream", "stream-checkpoint"))
+    at = F.unix_micros("ev")
+    slices = max(SLICES, -(-table.count() // SLICE_ROWS))
+    cuts = table.select(at.alias("at")).stat.approxQuantile("at", [i / slices for i in range(1, slices)], 0.01 / slices)
+    cut = sum((F.when(at > int(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    table.withColumn("_slice", cut).write.partitionBy("_slice").parquet(staged)
+    stored = spark.read.schema(table.schema).parquet(*[f"{staged}/_slice={i}" for i in range(slices)])
+    out = None
 
     def run():
+        nonlocal out
+        if out is None:  # the folder is there now
+            out = build(spark.readStream.schema(table.schema).parquet(arriving).withWatermark("ev", delay))
         out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", done).trigger(
             availableNow=True).start(path).awaitTermination()
 
-    run()
-    if ended:  # a second run, as files of one folder have no sure order
-        _end(t, arriving)
+    for i in range(slices):
+        spark.read.schema(table.schema).parquet(f"{staged}/_slice={i}").write.mode("append").parquet(arriving)
+        run()
+    if ended:
+        last = stored.agg((F.max("ev") + F.expr(f"interval {END_DAYS} days")).alias("_end"))
+        markers = stored.groupBy(kinds).agg(F.first(F.struct(*table.columns)).alias("r")).select("r.*").crossJoin(F.broadcast(last))
+        markers.withColumns({"ev": F.col("_end"), "at_s": F.unix_seconds("_end")}).select(table.columns).write.mode("append").parquet(arriving)
         run()
     return spark.read.schema(out.schema).parquet(path)
 
 
+def _stream(t: Tables, build, ended: bool = True):
+    """Run a stream over the whole event table."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    ev = F.col("ts").cast("timestamp")
+    rows = t.raw("events").select(
+        "event_id", "event_type", "user_id", k.alias("k"), F.floor(F.unix_micros(ev) / 1_000_000).cast("bigint").alias("at_s"), ev.alias("ev"),
+    )
+    return _played(t, rows, "event_type", build, ended)
+
+
 _FEED = """case event_id % 3 when 0 then 'vehicle_positions' when 1 then 'trip_updates' else 'service_alerts' end"""
 _CONTENT = f"""
 select feed, s as at_s, header, max(case when is_change then s end) over (partition by feed order by s, event_id
@@ -93,7 +94,7 @@ def _feed():
 @query("str01_header_content_stream", _CONTENT)
 def _(t):
     header = (F.floor(F.col("at_s") / 3600) * 3600).cast("bigint")
-    return _stream(t, lambda rows: trips.header_changes(rows.select(_feed().alias("feed"), "at_s", header.alias("header"), "ev")))
+    return _stream(t, lambda rows: trips.header_changes(rows.select(_feed().alias("feed"), "at_s", header.alias("header"), "ev"), SPARSE_S))
 
 
 @query("str01_header_content_batch", _CONTENT)
@@ -112,7 +113,7 @@ select cast(user_id as varchar) as trip_id, unnest(list_reduce(l, lambda acc, x:
 def _(t):
     wanted = F.col("event_type").isin("purchase", "signup")
     return _stream(t, lambda rows: trips.paced(
-        rows.filter(wanted).select(F.col("user_id").cast("string").alias("trip_id"), "at_s", "ev"), 43_200))
+        rows.filter(wanted).select(F.col("user_id").cast("string").alias("trip_id"), "at_s", "ev"), 43_200, SPARSE_S))
 
 
 @query("str10_edge_trigger_stream", """
@@ -122,7 +123,7 @@ where p is null or cycle - p > 1""")
 def _(t):
     cycle = F.floor(F.col("at_s") / 21_600).cast("bigint")
     return _stream(t, lambda rows: trips.newly_raised(rows.select(
-        F.col("user_id").cast("string").alias("trip_id"), F.col("event_type").alias("discrepancy_type"), cycle.alias("cycle"), "at_s", "ev"), keep_s=2 * 21_600))
+        F.col("user_id").cast("string").alias("trip_id"), F.col("event_type").alias("discrepancy_type"), cycle.alias("cycle"), "at_s", "ev"), keep_s=2 * 21_600, bucket_s=SPARSE_S))
 
 
 @query("str09_dwell_stream", """
@@ -138,7 +139,7 @@ def _(t):
         F.concat(F.lit("S"), (F.col("k") % 3).cast("string")).alias("at_stop_id"), F.lit("R").alias("route_id"),
         (F.col("user_id") % 2).cast("int").alias("direction_id"))
     first = t.polls.agg(F.floor(F.min("ts_us") / 1_000_000).alias("s")).first().s
-    return _stream(t, lambda rows: trips.arrivals(states(rows), first, retention_s=172_800)).select(
+    return _stream(t, lambda rows: trips.arrivals(states(rows), first, 172_800, SPARSE_S)).select(
         "trip_id", "stop_id", "direction_id", "at_s")
 
 
@@ -149,7 +150,54 @@ def _(t):
         F.col("user_id").cast("string").alias("trip_id"), "at_s", "ev", F.lit(True).alias("has_terminus"),
         F.lit("2024").alias("service_date"), F.lit("R").alias("route_id"), outcome.alias("outcome"),
         F.col("at_s").alias("actual_s"), F.col("k").alias("delay_seconds"))
-    return _stream(t, lambda r: trips.completions(rows(r), timeout_s=259_200, retention_s=345_600))
+    return _stream(t, lambda r: trips.completions(rows(r), timeout_s=259_200, retention_s=345_600, bucket_s=SPARSE_S))
+
+
+@query("str09_headway_stream", f"""
+{_ARRIVALS}, n as (select *, row_number() over w as rn, lag(arrived_at, 5) over w as six, first_value(arrived_at) over w as f from ar
+  window w as (partition by stop_id, route_id, direction_id order by arrived_at, trip_id))
+select stop_id, route_id, direction_id, trip_id, arrived_at as at_s, cast(least(rn, 6) as integer) as sample_size,
+ case when rn > 1 then round((arrived_at - coalesce(six, f))::double / (least(rn, 6) - 1), 6) end as average_headway_seconds from n""")
+def _(t):
+    """Dwells per trip, then the last arrivals per stop, route and direction: two stateful operators in one stream."""
+    states = _dwell_states(t).withColumnRenamed("at", "at_s").withColumn("ev", F.timestamp_seconds("at_s"))
+    first = states.agg(F.min("at_s").alias("s")).first().s
+    found = _played(t, states, "status", lambda rows: trips.rolling_headways(trips.arrivals(rows, first, bucket_s=SPARSE_S), bucket_s=SPARSE_S))
+    return found.withColumn("average_headway_seconds", F.round("average_headway_seconds", 6))
+
+
+def _lifecycle_rows(t: Tables, outcomes=None):
+    """Cycles, touches and known outcomes of the whole table as one stream's rows."""
+    rows = _cycles(t).select("at", F.lit(trips.CYCLE).alias("kind"), "backoff").unionByName(
+        _touches(t).withColumn("kind", F.lit(trips.TOUCH)), allowMissingColumns=True)
+    if outcomes is not None:
+        rows = rows.unionByName(outcomes.select("trip_id", "at", "reason", F.lit(trips.OUTCOME).alias("kind")), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("reason", F.lit(None).cast("string"))
+    return rows.withColumns({"at_s": F.col("at"), "ev": F.timestamp_seconds("at")}).drop("at")
+
+
+def _ghost_stream(t: Tables, outcomes=None):
+    """Polls of a cycle are hours apart here, so buckets hold a day."""
+    build = lambda rows: trips.ghost_episodes(
+        rows, coasting_s=COAST, max_age_s=EVICT, retention_s=KEEP, shards=int(t.spark.conf.get("spark.sql.shuffle.partitions")), bucket_s=86_400)
+    return _played(t, _lifecycle_rows(t, outcomes), "kind", build)
+
+
+@query("str02_ghost_stream", f"""
+{_LINE} select trip_id, reason, emitted_at as emitted_s, last_seen_at as last_seen_s, ghost_started_at as ghost_started_s,
+ cast(emitted_at - ghost_started_at as double) as ghost_duration_s, backoff_overlapped from ep where reason <> 'flushed'""")
+def _(t):
+    return _ghost_stream(t).select(
+        "trip_id", "reason", "emitted_s", "last_seen_s", "ghost_started_s", "ghost_duration_s", "backoff_overlapped")
+
+
+@query("str05_resolved_stream", f"""
+{_resolved_sql()} select trip_id, reason, emitted_at as emitted_s, last_seen_at as last_seen_s, ghost_started_at as ghost_started_s,
+ cast(emitted_at - ghost_started_at as double) as ghost_duration_s, backoff_overlapped from ep where reason <> 'flushed'""")
+def _(t):
+    return _ghost_stream(t, _outcomes(t)).select(
+        "trip_id", "reason", "emitted_s", "last_seen_s", "ghost_started_s", "ghost_duration_s", "backoff_overlapped")
 
 
 @query("agg28_windowed_counter_stream", """

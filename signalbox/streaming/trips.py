@@ -1,20 +1,22 @@
 """Keyed streaming state: lifecycle, completion, pacing, dwell, headway and edge triggers.
 
-Rows of a key wait in state until the watermark has passed them and are then applied in event-time order,
-whatever order files and micro-batches bring them in; what arrives within the declared delay is never
-out of place. Each processor otherwise keeps a few numbers per key. They need the RocksDB state store
-(``use_state_store``) and an upstream watermark; state leaves by event-time timers, so nothing grows with the
-length of the stream.
+Rows of a key wait in state by buckets of event time. Each bucket has a timer of its own, and when the watermark has
+passed its end, its rows are taken out and applied in event-time order, whatever order files and micro-batches brought them in;
+what arrives within the declared delay is never out of place. The work of a call is bounded by the rows of one bucket. Each
+processor otherwise keeps a few numbers per key. They need the RocksDB state store (``use_state_store``) and an upstream
+watermark; what a key keeps ends at a bucket's end too, so nothing grows with the length of the stream.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from signalbox.operators.completion import FINALIZED_RETENTION_S, UNDETERMINED_TIMEOUT_S
@@ -23,6 +25,7 @@ from signalbox.operators.lifecycle import COASTING_TIMEOUT_S, MAX_GHOST_AGE_S, R
 from signalbox.operators.observe import OBSERVATION_INTERVAL_S
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKET_S = 3600
 
 
 def use_state_store(spark: SparkSession) -> SparkSession:
@@ -36,62 +39,91 @@ def _plain(value):
 
 
 class _Keyed(StatefulProcessor):
-    """Rows that wait for the watermark, one JSON value of state, and one timer for whatever is due first."""
+    """Rows that wait in buckets for the watermark, and one JSON value of state."""
 
     columns: tuple[str, ...] = ()
+    bucket_s = BUCKET_S
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("s", "data string")
-        self.waiting = handle.getListState("w", "at_s long, data string")
+        # rows of a bucket come in parts, one per call, so that adding to a bucket does not read it
+        self.parts = handle.getMapState("n", "bucket long", "parts int")
+        self.waiting = handle.getMapState("w", "bucket long, part int", "data string")
 
     def load(self) -> dict[str, Any]:
-        return json.loads(self.value.get()[0]) if self.value.exists() else {}
+        held = self.value.get()
+        self.loaded = held[0] if held else None
+        return json.loads(held[0]) if held else {}
 
-    def save(self, state: dict[str, Any], first_waiting_s: float | None) -> None:
-        if state:
-            self.value.update((json.dumps(state),))
-        else:
+    def save(self, state: dict[str, Any]) -> None:
+        data = json.dumps(state) if state else None
+        if data is None and self.loaded is not None:
             self.value.clear()
-        due = [s for s in (first_waiting_s, self.expiry(state) if state else None) if s is not None]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if due:
-            self.handle.registerTimer(int(min(due) * 1000))
+        elif data != self.loaded:
+            self.value.update((data,))
 
     def frame(self, rows: list[dict]) -> Iterator[pd.DataFrame]:
         if rows:
             yield pd.DataFrame(rows, columns=list(self.columns))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
         for part in rows:  # one bounded frame after the other
-            records = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in part.to_dict("records")]
-            self.waiting.appendList([(int(r["at_s"]), json.dumps(r, default=_plain)) for r in records])
-            first = min([r["at_s"] for r in records] + ([] if first is None else [first]))
-        # the least waiting instant is at the timer already, unless the state's own end is nearer
-        timers = [t / 1000 for t in self.handle.listTimers()]
-        self.save(self.load(), min([s for s in (first, *timers) if s is not None], default=None))
+            buckets: dict[int, list[dict]] = {}
+            for r in part.to_dict("records"):
+                row = {k: (None if pd.isna(v) else v) for k, v in r.items() if k != "ev"}
+                buckets.setdefault(int(row["at_s"]) // self.bucket_s, []).append(row)
+            for bucket, own in buckets.items():
+                held = self.parts.getValue((bucket,))
+                n = held[0] if held else 0
+                self.waiting.updateValue((bucket, n), (json.dumps(own, default=_plain),))
+                self.parts.updateValue((bucket,), (n + 1,))
+                if not n:
+                    self.handle.registerTimer((bucket + 1) * self.bucket_s * 1000)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_s = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) / 1000
-        state, out = self.load(), []
-        held = [(at, data) for at, data in self.waiting.get()] if self.waiting.exists() else []
-        ready = [json.loads(data) for at, data in held if at <= now_s]
-        held = [(at, data) for at, data in held if at > now_s]
-        ready.sort(key=lambda r: (r["at_s"], r.get("kind") or 0))
-        for row in ready:  # a step itself notices what has ended before its row
-            self.step(key, row, state, out)
-        while state and (end := self.expiry(state)) is not None and end <= now_s:
-            self.expire(key, end, state, out)
+    def _take(self, bucket: int) -> list[dict]:
+        held = self.parts.getValue((bucket,))
+        rows: list[dict] = []
+        for part in range(held[0] if held else 0):
+            rows += json.loads(self.waiting.getValue((bucket, part))[0])
+            self.waiting.removeKey((bucket, part))
         if held:
-            self.waiting.put(held)
-        else:
-            self.waiting.clear()
-        self.save(state, min((at for at, _ in held), default=None))
+            self.parts.removeKey((bucket,))
+        rows.sort(key=lambda r: (r["at_s"], r.get("kind") or 0))
+        return rows
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The bucket that ends now: its rows, then whatever of the state has ended with it."""
+        end_s, out = expiredTimerInfo.getExpiryTimeInMs() // 1000, []
+        rows, state = self._take(end_s // self.bucket_s - 1), self.load()
+        due = state.pop("_due", None)  # a timer that stands for the end of the state
+        self.release(key, rows, end_s, state, out)
+        due = due if due is not None and due > end_s else None
+        ends = self.expiry(state) if state else None
+        if ends is not None:
+            after = (int(ends // self.bucket_s) + 1) * self.bucket_s
+            if due is None or after < due:
+                due = after
+                self.handle.registerTimer(due * 1000)
+        if state and due is not None:
+            state["_due"] = due
+        self.save(state)
+        for row in out:
+            self.stamp(row, max(end_s * 1000, timerValues.getCurrentWatermarkInMs()))
         yield from self.frame(out)
 
+    def release(self, key, rows, end_s, state, out) -> None:
+        for row in rows:  # a step itself notices what has ended before its row
+            self.step(key, row, state, out)
+        while state and (ends := self.expiry(state)) is not None and ends <= end_s:
+            self.expire(key, ends, state, out)
+
+    def stamp(self, row: dict, ready_ms: int) -> None:
+        """Tell a following stateful operator when the row came out; its own instant is behind the watermark."""
+        if "ready_at" in self.columns:
+            row["ready_at"] = pd.Timestamp(ready_ms, unit="ms")
+
     def step(self, key, row, state, out) -> None:
         raise NotImplementedError
 
@@ -105,9 +137,10 @@ class _Keyed(StatefulProcessor):
         pass
 
 
-def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str, bucket_s: int, event_time: str = "") -> DataFrame:
+    processor.bucket_s = bucket_s
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName=event_time
     )
 
 
@@ -117,97 +150,168 @@ EPISODES = (
     "trip_id string, reason string, emitted_s long, last_seen_s long, last_lat double, last_lon double,"
     "reappeared_s long, lat double, lon double, ghost_started_s long, ghost_duration_s double, backoff_overlapped boolean"
 )
+#: Rows of the lifecycle: a poll cycle, a trip in a cycle, a known outcome. Outcomes count after the cycle's positions.
+CYCLE, TOUCH, OUTCOME = 0, 1, 2
+SHARDS = 64
+
+
+class _Clock:
+    """Poll cycles of a bucket with the running active seconds and backoffs; entry 0 is the last cycle before it."""
+
+    def __init__(self, state: dict, cycles: list[dict]):
+        self.at, self.active, self.backoffs = [state.get("at")], [state.get("active", 0)], [state.get("backoffs", 0)]
+        for c in cycles:
+            at, before = int(c["at_s"]), self.at[-1]
+            if at == before:
+                continue
+            step = 0 if c["backoff"] or before is None else at - before
+            self.at.append(at)
+            self.active.append(self.active[-1] + step)
+            self.backoffs.append(self.backoffs[-1] + bool(c["backoff"]))
+        self.last = len(self.at) - 1
+        self.place = {at: k for k, at in enumerate(self.at) if k}
+
+    def state(self) -> dict:
+        return dict(at=self.at[-1], active=self.active[-1], backoffs=self.backoffs[-1])
+
+
+class _Trip:
+    """One trip going through the cycles of a bucket."""
+
+    def __init__(self, rules: Lifecycle, trip: str, state: dict, clock: _Clock, out: list[dict]):
+        self.rules, self.trip, self.s, self.clock, self.out, self.done = rules, trip, state, clock, out, 0
+
+    def emit(self, reason, k, start=None, upto=None, back=None):
+        """``upto``: the last cycle whose backoff belongs to the gap."""
+        fix, at = self.s.get("fix"), self.clock.at[k]
+        overlapped = fix is not None and self.clock.backoffs[k if upto is None else upto] > fix["backoffs"]
+        seen = fix or {}
+        self.out.append(dict(
+            trip_id=self.trip, reason=reason, emitted_s=at, last_seen_s=seen.get("at"), last_lat=seen.get("lat"), last_lon=seen.get("lon"),
+            reappeared_s=at if back else None, lat=back["lat"] if back else None, lon=back["lon"] if back else None,
+            ghost_started_s=start, ghost_duration_s=None if start is None else float(at - start), backoff_overlapped=overlapped,
+        ))
+
+    def outcome(self, k) -> str | None:
+        """A stored outcome, unless a cycle before ``k`` found it too old."""
+        stored = self.s.pop("resolved", None)
+        return stored[0] if stored and self.clock.at[k - 1] - stored[1] < self.rules.retention_s else None
+
+    def absent(self, until: int) -> None:
+        """Cycles up to ``until`` that bring no position: ghost transition and eviction, at the cycle each is due."""
+        first, self.done, s = self.done + 1, max(self.done, until), self.s
+        if first > until or "touched" not in s:
+            return
+        gone = bisect_left(self.clock.at, s["touched"] + self.rules.max_age_s, first, until + 1)
+        if s.get("fix") and not s["ghost"]:
+            k = bisect_left(self.clock.active, s["fix"]["active"] + self.rules.coasting_s, first, until + 1)
+            if k <= until and k <= gone:
+                if (reason := self.outcome(k)) is not None:
+                    self.emit(reason, k)
+                    s.clear()
+                    return
+                s.update(ghost=True, start=self.clock.at[k])
+        if gone <= until:
+            if s["ghost"]:
+                self.emit("timed_out", gone, s.get("start"))
+            s.clear()
+
+    def present(self, k: int, row: dict) -> None:
+        self.absent(k - 1)
+        s = self.s
+        if row["has_position"]:
+            if s.get("ghost"):
+                self.emit("reappeared", k, s.get("start"), upto=k - 1, back=row)
+            s.clear()
+            s.update(touched=self.clock.at[k], ghost=False, fix=dict(
+                at=self.clock.at[k], lat=row["lat"], lon=row["lon"], active=self.clock.active[k], backoffs=self.clock.backoffs[k]))
+            self.done = k
+            return
+        s["touched"] = self.clock.at[k]
+        if s.get("fix"):
+            self.absent(k)
+        elif (reason := self.outcome(k)) is not None:
+            self.emit(reason, k)
+            s.clear()
+        else:
+            s["ghost"] = True
+        self.done = k
+
+    def resolved(self, k: int, row: dict) -> None:
+        self.absent(k)
+        if self.s.get("ghost"):
+            self.emit(row["reason"], k, self.s.get("start"))
+            self.s.clear()
+        else:
+            self.s["resolved"] = [row["reason"], self.clock.at[k]]
+
+    def play(self, rows: list[dict]) -> dict:
+        seen = None
+        for row in rows:
+            k = self.clock.place.get(int(row["at_s"]))
+            if k is None or (row["kind"] == TOUCH and k == seen):
+                continue
+            if row["kind"] == TOUCH:
+                seen = k
+                self.present(k, row)
+            else:
+                self.resolved(k, row)
+        self.absent(self.clock.last)
+        stored = self.s.get("resolved")
+        if stored and self.clock.at[-1] - stored[1] >= self.rules.retention_s:
+            del self.s["resolved"]
+        return self.s
 
 
 class Lifecycle(_Keyed):
-    """Ghost episodes of one trip from its touches (kind 0) and known outcomes (kind 1).
+    """Ghost episodes of the trips of one shard.
 
-    Rows carry the running active seconds and backoff count of their cycle and of the
-    cycle before, so no state is shared between trips.
+    Each shard gets every poll cycle, so it knows the active seconds at each: the clock of a missing trip stands still in a
+    backoff, also while the trip itself brings no rows. A trip is looked at once per bucket, and jumps to the cycles at
+    which it turns into a ghost or is forgotten. Its ghost start is kept when it happens. Nothing happens without
+    cycles; a trip that is not touched for ``max_age_s`` leaves the state.
     """
 
     columns = tuple(c.strip().split(" ")[0] for c in EPISODES.split(","))
 
-    def __init__(self, coasting_s: float, max_age_s: float, retention_s: float, cycle_s: int):
-        self.coasting_s, self.max_age_s, self.retention_s, self.cycle_s = coasting_s, max_age_s, retention_s, cycle_s
+    def __init__(self, coasting_s: float, max_age_s: float, retention_s: float):
+        self.coasting_s, self.max_age_s, self.retention_s = coasting_s, max_age_s, retention_s
 
-    def _ghost_start(self, fix: dict, frozen_s: float) -> int:
-        """Timeout after the last fix, put off by frozen time and moved up to the cycle grid."""
-        wait = self.coasting_s + frozen_s
-        return int(fix["at"] + -(-wait // self.cycle_s) * self.cycle_s)
+    def init(self, handle):
+        super().init(handle)
+        self.trips = handle.getMapState("t", "trip_id string", "data string")
 
-    def _emit(self, out, trip, reason, at, state, start=None, frozen=False, back=None):
-        fix = state.get("fix") or {}
-        out.append(dict(
-            trip_id=trip, reason=reason, emitted_s=at, last_seen_s=fix.get("at"), last_lat=fix.get("lat"),
-            last_lon=fix.get("lon"), reappeared_s=at if back else None, lat=back["lat"] if back else None,
-            lon=back["lon"] if back else None, ghost_started_s=start,
-            ghost_duration_s=None if start is None else float(at - start), backoff_overlapped=bool(frozen),
-        ))
-
-    def step(self, key, row, state, out):
-        trip, at, fix = key[0], row["at_s"], state.get("fix")
-        touched = state.get("touched")
-        if touched is not None and row["prev_s"] is not None and row["prev_s"] - touched >= self.max_age_s:
-            self.expire(key, touched + self.max_age_s, state, out)
-            fix = None
-        active = row["prev_active_s"] if row["kind"] == 0 and row["has_position"] else row["active_s"]
-        backoffs = row["prev_backoffs"] if row["kind"] == 0 and row["has_position"] else row["backoffs"]
-        missing = None if fix is None else active - fix["active_s"]
-        is_ghost = state.get("touched") is not None and (fix is None or missing >= self.coasting_s)
-        elapsed = 0 if fix is None else (row["prev_s"] if row["has_position"] else at) - fix["at"]
-        frozen_s = 0 if fix is None else max(0, elapsed - missing)
-        start = None if fix is None or not is_ghost else self._ghost_start(fix, frozen_s)
-        frozen = fix is not None and backoffs > fix["backoffs"]
-        if row["kind"] == 1:
-            if is_ghost:
-                self._emit(out, trip, row["reason"], at, state, start, frozen)
-                state.clear()
-            else:
-                state["resolved"] = [row["reason"], at]
-            return
-        resolved = state.get("resolved")
-        if resolved and row["prev_s"] is not None and row["prev_s"] - resolved[1] >= self.retention_s:
-            resolved = state.pop("resolved") and None
-        if resolved and is_ghost and fix is not None:
-            # the outcome was applied when the trip turned into a ghost, before this row
-            self._emit(out, trip, resolved[0], start, state, None, frozen)
-            state.clear()
-            fix, is_ghost = None, False
-            resolved = None
-        if row["has_position"]:
-            if is_ghost:
-                self._emit(out, trip, "reappeared", at, state, start, frozen, dict(lat=row["lat"], lon=row["lon"]))
-            state.clear()
-            state["fix"] = dict(at=at, lat=row["lat"], lon=row["lon"], active_s=row["active_s"], backoffs=row["backoffs"])
-        elif resolved and fix is None:
-            self._emit(out, trip, resolved[0], at, state)
-            state.clear()
+    def release(self, key, rows, end_s, state, out):
+        clock = _Clock(state, [r for r in rows if r["kind"] == CYCLE])
+        if not clock.last:
             return
-        state["touched"] = at
-
-    def expiry(self, state):
-        if state.get("touched") is not None:
-            return state["touched"] + self.max_age_s
-        return state["resolved"][1] + self.retention_s if state.get("resolved") else None
-
-    def expire(self, key, now_s, state, out):
-        if state.get("touched") is not None:
-            fix, resolved, closes = state.get("fix"), state.get("resolved"), int(-(-now_s // self.cycle_s) * self.cycle_s)
-            start = None if fix is None else self._ghost_start(fix, 0)
-            if resolved and start is not None:
-                self._emit(out, key[0], resolved[0], start, state)
-            else:
-                self._emit(out, key[0], "timed_out", closes, state, start)
-        state.clear()
+        by_trip: dict[str, list[dict]] = {}
+        for r in sorted((r for r in rows if r["kind"] != CYCLE), key=lambda r: (r["at_s"], r["kind"], not r["has_position"])):
+            by_trip.setdefault(r["trip_id"], []).append(r)
+        known = {k[0]: v[0] for k, v in self.trips.iterator()}
+        for trip in sorted(known.keys() | by_trip.keys()):
+            before = known.get(trip)
+            after = _Trip(self, trip, json.loads(before) if before else {}, clock, out).play(by_trip.get(trip, []))
+            if not after:
+                if before:
+                    self.trips.removeKey((trip,))
+            elif (data := json.dumps(after)) != before:
+                self.trips.updateValue((trip,), (data,))
+        state.update(clock.state())
 
 
 def ghost_episodes(
-    touches: DataFrame, *, coasting_s: float = COASTING_TIMEOUT_S, max_age_s: float = MAX_GHOST_AGE_S,
-    retention_s: float = RESOLUTION_RETENTION_S, cycle_s: int = 10,
+    rows: DataFrame, *, coasting_s: float = COASTING_TIMEOUT_S, max_age_s: float = MAX_GHOST_AGE_S,
+    retention_s: float = RESOLUTION_RETENTION_S, shards: int = SHARDS, bucket_s: int = BUCKET_S,
 ) -> DataFrame:
-    """``touches``: trip_id, at_s, prev_s, kind, has_position, lat, lon, reason, active_s, prev_active_s, backoffs, prev_backoffs."""
-    return _run(touches, ["trip_id"], Lifecycle(coasting_s, max_age_s, retention_s, cycle_s), EPISODES)
+    """``rows``: kind, at_s, backoff (of cycles), trip_id, has_position, lat, lon (of touches), reason (of outcomes), with a watermark.
+
+    Touches and outcomes carry the instant of their cycle. An episode still open when the stream stops is not reported.
+    """
+    own = F.array(F.pmod(F.xxhash64("trip_id"), F.lit(shards)).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.lit(shards - 1))
+    dealt = rows.withColumn("shard", F.explode(F.when(F.col("kind") == CYCLE, everywhere).otherwise(own)))
+    return _run(dealt, ["shard"], Lifecycle(coasting_s, max_age_s, retention_s), EPISODES, bucket_s)
 
 
 # --- completion ---
@@ -261,10 +365,11 @@ class Completion(_Keyed):
 
 
 def completions(
-    rows: DataFrame, *, timeout_s: float = UNDETERMINED_TIMEOUT_S, retention_s: float = FINALIZED_RETENTION_S
+    rows: DataFrame, *, timeout_s: float = UNDETERMINED_TIMEOUT_S, retention_s: float = FINALIZED_RETENTION_S,
+    bucket_s: int = BUCKET_S,
 ) -> DataFrame:
     """``rows``: trip_id, at_s, has_terminus, service_date (text), route_id, outcome, actual_s, delay_seconds."""
-    return _run(rows, ["trip_id"], Completion(timeout_s, retention_s), OUTCOMES)
+    return _run(rows, ["trip_id"], Completion(timeout_s, retention_s), OUTCOMES, bucket_s)
 
 
 # --- paced observations ---
@@ -287,20 +392,22 @@ class Pacing(_Keyed):
         return state["last"] + self.interval_s if state else None
 
 
-def paced(rows: DataFrame, interval_s: float = OBSERVATION_INTERVAL_S) -> DataFrame:
-    return _run(rows, ["trip_id"], Pacing(interval_s), PACED)
+def paced(rows: DataFrame, interval_s: float = OBSERVATION_INTERVAL_S, bucket_s: int = BUCKET_S) -> DataFrame:
+    return _run(rows, ["trip_id"], Pacing(interval_s), PACED, bucket_s)
 
 
 # --- headway: dwell per trip, then the last arrivals per group ---
 
-ARRIVALS = "trip_id string, stop_id string, route_id string, direction_id int, at_s long"
-HEADWAYS = "stop_id string, route_id string, direction_id int, at_s long, sample_size int, average_headway_seconds double"
+HEADWAY_KEPT_S = 172_800  # a group without arrivals for so long starts anew
+
+ARRIVALS = "trip_id string, stop_id string, route_id string, direction_id int, at_s long, ready_at timestamp"
+HEADWAYS = "stop_id string, route_id string, direction_id int, trip_id string, at_s long, sample_size int, average_headway_seconds double"
 
 
 class Dwell(_Keyed):
     """First row of each dwell; rows up to ``first_s`` only prime."""
 
-    columns = ("trip_id", "stop_id", "route_id", "direction_id", "at_s")
+    columns = ("trip_id", "stop_id", "route_id", "direction_id", "at_s", "ready_at")
 
     def __init__(self, first_s: float, retention_s: float):
         self.first_s, self.retention_s = first_s, retention_s
@@ -321,22 +428,39 @@ class Dwell(_Keyed):
 
 
 class Headway(_Keyed):
-    columns = ("stop_id", "route_id", "direction_id", "at_s", "sample_size", "average_headway_seconds")
+    """Mean distance of the last arrivals of a group, forgotten ``keep_s`` after the last one."""
+
+    columns = ("stop_id", "route_id", "direction_id", "trip_id", "at_s", "sample_size", "average_headway_seconds")
+
+    def __init__(self, keep_s: float):
+        self.keep_s = keep_s
+
+    def release(self, key, rows, end_s, state, out):
+        super().release(key, sorted(rows, key=lambda r: (r["at_s"], r["trip_id"])), end_s, state, out)
 
     def step(self, key, row, state, out):
+        if state and row["at_s"] - state["times"][-1] >= self.keep_s:
+            state.clear()
         times = (state.get("times") or [])[-(MAX_ARRIVALS - 1):] + [row["at_s"]]
         state["times"] = times
         average = (times[-1] - times[0]) / (len(times) - 1) if len(times) > 1 else None
-        out.append(dict(zip(self.columns, (key[0], key[1], int(key[2]), row["at_s"], len(times), average))))
+        out.append(dict(zip(self.columns, (key[0], key[1], int(key[2]), row["trip_id"], row["at_s"], len(times), average))))
+
+    def expiry(self, state):
+        return state["times"][-1] + self.keep_s if state else None
+
 
+def arrivals(states: DataFrame, first_s: float, retention_s: float = DWELL_RETENTION_S, bucket_s: int = BUCKET_S) -> DataFrame:
+    """``states``: trip_id, at_s, status, at_stop_id, route_id, direction_id.
 
-def arrivals(states: DataFrame, first_s: float, retention_s: float = DWELL_RETENTION_S) -> DataFrame:
-    """``states``: trip_id, at_s, status, at_stop_id, route_id, direction_id."""
-    return _run(states, ["trip_id"], Dwell(first_s, retention_s), ARRIVALS)
+    ``ready_at`` tells when an arrival left this operator; it carries the watermark on to a following one.
+    """
+    return _run(states, ["trip_id"], Dwell(first_s, retention_s), ARRIVALS, bucket_s, "ready_at")
 
 
-def rolling_headways(arrived: DataFrame) -> DataFrame:
-    return _run(arrived, ["stop_id", "route_id", "direction_id"], Headway(), HEADWAYS)
+def rolling_headways(arrived: DataFrame, keep_s: float = HEADWAY_KEPT_S, bucket_s: int = BUCKET_S) -> DataFrame:
+    """``arrived``: the stream that ``arrivals`` gives, with buckets of the same size."""
+    return _run(arrived, ["stop_id", "route_id", "direction_id"], Headway(keep_s), HEADWAYS, bucket_s)
 
 
 # --- edge triggers and header dedupe ---
@@ -377,11 +501,11 @@ class HeaderChange(_Keyed):
         out.append(dict(zip(self.columns, (key[0], row["at_s"], row["header"], state["content"], changed))))
 
 
-def newly_raised(rows: DataFrame, keep_s: float = 3600) -> DataFrame:
+def newly_raised(rows: DataFrame, keep_s: float = 3600, bucket_s: int = BUCKET_S) -> DataFrame:
     """``rows``: trip_id, discrepancy_type, cycle, at_s."""
-    return _run(rows, ["trip_id", "discrepancy_type"], Raised(keep_s), RAISED)
+    return _run(rows, ["trip_id", "discrepancy_type"], Raised(keep_s), RAISED, bucket_s)
 
 
-def header_changes(polls: DataFrame) -> DataFrame:
+def header_changes(polls: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     """``polls``: feed, at_s, header."""
-    return _run(polls, ["feed"], HeaderChange(), CHANGED)
+    return _run(polls, ["feed"], HeaderChange(), CHANGED, bucket_s)

@@ -155,28 +155,29 @@ def play(spark, tmp_path, data, schema, build, name, files=4, order=None, delay_
     return spark.table(name).filter("trip_id != 'end'")
 
 
-TOUCH = ("trip_id string, at_s long, prev_s long, kind int, has_position boolean, lat double, lon double, reason string,"
-         "active_s long, prev_active_s long, backoffs long, prev_backoffs long")
-
-
-def test_lifecycle_stream_equals_batch(spark, tmp_path):
-    cycles, touches, _ = capture(11, False, backoff_rate=0.0)
-    t, c, _r = frames(spark, cycles, touches, {})
-    line = lc.timeline(c)
-    enriched = t.join(line, "at").select(
-        "trip_id", F.col("at").alias("at_s"), F.col("prev_at").alias("prev_s"), F.lit(0).alias("kind"), "has_position", "lat",
-        "lon", F.lit(None).cast("string").alias("reason"), "active_s", "prev_active_s", "backoffs", "prev_backoffs")
-    data = [r.asDict() for r in enriched.collect()]
-    got = play(spark, tmp_path, data, TOUCH, stream.ghost_episodes, "ghosts")
-    batch = lc.ghost_episodes(t, c, flush=False)
-    picked = ["trip_id", "reason", "last_seen_s", "reappeared_s"]
-    want = batch.select("trip_id", "reason", F.col("last_seen_at").alias("last_seen_s"), F.col("reappeared_at").alias("reappeared_s"))
-    # the stream runs on past the end of the capture, so trips still open there time out as well
-    extra = {r for r in rows(got, *picked)} - {r for r in rows(want)}
-    assert {r for r in rows(want)} <= {r for r in rows(got, *picked)}
-    assert all(r[1] == "timed_out" for r in extra)
-    starts = lambda df, a, b: {(r[0], r[1]): r[2] for r in rows(df.filter("reason = 'reappeared'"), "trip_id", a, b)}
-    assert starts(got, "reappeared_s", "ghost_started_s") == starts(batch, "reappeared_at", "ghost_started_at")
+LIFE = "kind int, at_s long, backoff boolean, trip_id string, has_position boolean, lat double, lon double, reason string"
+
+
+@pytest.mark.parametrize("seed,resolved,backoff_rate", [(11, False, 0.0), (12, False, 0.04), (13, True, 0.04), (14, True, 0.2)])
+def test_lifecycle_stream_equals_simulation(spark, tmp_path, seed, resolved, backoff_rate):
+    """Backoffs freeze the clock of trips that bring no rows themselves; outcomes come after the positions of their cycle."""
+    cycles, touches, resolutions = capture(seed, resolved, backoff_rate)
+    if resolved:  # some trips with several outcomes, and outcomes in cycles in which the trip is seen
+        rng = random.Random(seed)
+        for n in range(14):
+            for at, _ in rng.sample(cycles, 3):
+                resolutions.setdefault(at, []).append((f"t{n}", rng.choice(["completed", "cancelled"])))
+        resolutions = {at: list({t: (t, r) for t, r in found}.values()) for at, found in resolutions.items()}
+    none = dict.fromkeys(("backoff", "trip_id", "has_position", "lat", "lon", "reason"))
+    data = [none | dict(kind=stream.CYCLE, at_s=at, backoff=b) for at, b in cycles]
+    data += [none | dict(kind=stream.TOUCH, at_s=at, trip_id=t, has_position=pos, lat=1.0, lon=2.0) for at, here in touches.items() for t, pos in here.items()]
+    data += [none | dict(kind=stream.OUTCOME, at_s=at, trip_id=t, reason=r) for at, rs in resolutions.items() for t, r in rs]
+    got = play(spark, tmp_path, data, LIFE, lambda df: stream.ghost_episodes(df, shards=3), f"ghosts{seed}", order=(1, 0, 3, 2), delay_s=20_000)
+    found = rows(got, "trip_id", "reason", "emitted_s", "last_seen_s", "ghost_started_s", "ghost_duration_s", "backoff_overlapped")
+    want, _ = simulate_ghosts(cycles, touches, resolutions)
+    assert found == [w for w in want if w[1] != "flushed"]
+    seen = {f[1] for f in found}
+    assert "reappeared" in seen and ({"completed", "cancelled"} & seen if resolved else "timed_out" in seen)
 
 
 def simulate_completions(cycles, seen):
@@ -298,6 +299,42 @@ def test_headway_stream_equals_batch(spark, tmp_path, order):
     assert rows(got, "trip_id", "stop_id", "at_s") == rows(want, "trip_id", "stop_id", "arrived_at")
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (2, 0, 3, 1)])
+def test_two_operator_headway_stream_equals_batch(spark, tmp_path, order):
+    """Dwells per trip and the last arrivals per group as one stream, files in any order."""
+    rng = random.Random(8)
+    data = []
+    for n in range(12):
+        at = 100 + n
+        for _ in range(80):
+            data.append(dict(trip_id=f"t{n}", at_s=at, status=rng.choice(["at", "at", "between"]), at_stop_id=rng.choice(["A", "B"]),
+                             route_id="R", direction_id=None if n == 5 else n % 2))
+            at += rng.choice([10, 30, 900])
+    schema = "trip_id string, at_s long, status string, at_stop_id string, route_id string, direction_id int"
+    first = min(r["at_s"] for r in data)
+    chain = lambda df: stream.rolling_headways(stream.arrivals(df, first))
+    got = play(spark, tmp_path, data, schema, chain, f"headways_{order[0]}", order=order, delay_s=60_000)
+    want = hw.rolling_headways(hw.arrivals(spark.createDataFrame(data, schema).withColumnRenamed("at_s", "at")), chunk_s=600)
+    names = ["stop_id", "direction_id", "trip_id"]
+    assert rows(got, *names, "at_s", "sample_size", "average_headway_seconds") == rows(want, *names, "arrived_at", "sample_size", "average_headway_seconds")
+    assert got.count() > 200
+
+
+def test_waiting_rows_lie_in_buckets():
+    """A timer reads the rows of its own bucket only, and a part is written without reading the others."""
+    class Map(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+    keyed = stream.Pacing(120)
+    keyed.parts, keyed.waiting, timers = Map(), Map(), []
+    keyed.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    import pandas as pd
+    for batch in ([10, 3700], [3599, 20], [7300]):
+        list(keyed.handleInputRows(("t",), iter([pd.DataFrame({"trip_id": "t", "at_s": batch})]), None))
+    assert timers == [3_600_000, 7_200_000, 10_800_000] and len(keyed.waiting) == 4
+    assert [r["at_s"] for r in keyed._take(0)] == [10, 20, 3599] and len(keyed.waiting) == 2 and keyed._take(0) == []
+
+
 def test_edge_trigger(spark):
     df = spark.createDataFrame([("a", "x", c) for c in (1, 2, 3, 5, 9, 10)], "trip_id string, discrepancy_type string, cycle long")
     assert [r[2] for r in rows(newly_raised(df, "cycle"))] == [1, 5, 9]
