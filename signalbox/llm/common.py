@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,7 +81,20 @@ def shingles_of(text: str | None, size: int = 5) -> np.ndarray:
 
 
 def row_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that long texts are not held as Python objects all at once."""
+    """The same rows in small batches, so that long texts are not held as Python objects all at once.
+
+    What a task has freed goes back to the system at its end, as its worker is kept for others.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    released()
+
+
+def released() -> None:
+    """Give memory that freed objects held back to the system: workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

@@ -9,8 +9,8 @@ What a segment costs decides how it is used:
 
 - empty segments would meet everywhere and are passed over; a set with too few others also indexes the one-deletion
   neighbourhoods of its segments (each covers one difference more), and its empty ones only if that is not enough;
-- segments that more than ``HOT`` sets share are passed over by every set that has no more of them than it indexed
-  beyond ``H + 1``: such a set still shares another segment with each partner;
+- segments that more than ``HOT`` sets share are passed over by every set that has no more of them than any possible
+  partner indexed beyond ``H + 1``: such a set still shares another segment with each partner;
 - sets with more hot segments than that (passages that many documents share, large groups of near copies) are also
   indexed by single shingles, the finest partition: of ``n`` shingles the ``n - ceil(0.75 n) + 1`` rarest ones, of which two
   similar sets have one in common; how many shingles follow it in both limits what they can share.
@@ -44,6 +44,8 @@ from signalbox.llm.components import components
 HOT = 12
 #: Ratio of neighbouring size classes when what is left of large groups is compared.
 SIZE_STEP = 1.03
+#: The same when the least spare among possible partners is looked up.
+PARTNER_STEP = 1.1
 #: Words of 64 parity bits that a set is reduced to; each shingle in which two sets differ changes one bit at most.
 PARITY = tuple(f"p{k}" for k in range(8))
 #: Bits of the filter that keeps texts of documents without a candidate from being shuffled; its size is fixed.
@@ -118,7 +120,8 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, the set's key (``h1``, ``h2``) and its spare signatures in either scheme."""
+    """``doc_id``, hashes of the text (``x1``, ``x2``), ``n_shingles``, the set's key (``h1``, ``h2``) and its spare
+    signatures in either scheme."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches):
@@ -132,9 +135,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     out.append((0, None, None, None, None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "h1", "h2", "spare_own", "spare_next"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "x1", "x2", "n_shingles", "h1", "h2", "spare_own", "spare_next"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, spare_own int, spare_next int")
+    return docs.select(F.col("doc_id").cast("long"), "text", *text_hashes()).mapInArrow(
+        measure, "doc_id bigint, x1 bigint, x2 bigint, n_shingles bigint, h1 bigint, h2 bigint, spare_own int, spare_next int")
+
+
+def text_hashes() -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2")]
 
 
 def _index(docs: DataFrame) -> DataFrame:
@@ -206,7 +215,24 @@ def segment_candidates(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame,
     # a group has at most HOT members, so at most HOT / 2 pairs a row
     met = left.join(right, "sig").filter(near).groupBy("owner_a", "owner_b", F.col("sig").bitwiseAND(63).alias("scheme")).agg(F.count(F.lit(1)).alias("shared"), F.min(demand).alias("demand"))
     pairs = met.filter("shared >= demand").select(F.col("owner_a").alias("a"), F.col("owner_b").alias("b")).distinct()
-    return stored(pairs, "pairs"), known.filter("hot > spare").select("owner").distinct()
+    return stored(pairs, "pairs"), _burdened(known)
+
+
+def _burdened(known: DataFrame) -> DataFrame:
+    """Owners whose hot segments may be all that they share with some partner.
+
+    A pair shares more segments than the smaller spare of the two, one at least. If all of those are hot, both
+    sets have more hot ones than that spare, so each is held against the least spare among the sets that its size allows
+    as partners in the scheme, taken by classes of size: both sets of such a pair are found.
+    """
+    size_class = F.floor(F.log("n") / math.log(PARTNER_STEP)).cast("int")
+    reach = math.ceil(math.log(4 / 3) / math.log(PARTNER_STEP)) + 1  # classes up or down to the last allowed partner
+    classed = known.withColumn("_class", size_class)
+    own = classed.groupBy("scheme", "_class").agg(F.min("spare").alias("_spare"))
+    least = own.select("scheme", F.explode(F.sequence(F.col("_class") - reach, F.col("_class") + reach)).alias("_class"), "_spare").groupBy(
+        "scheme", "_class").agg(F.greatest(F.min("_spare"), F.lit(0)).alias("_least"))
+    # a few dozen classes in each of at most 64 schemes
+    return classed.join(F.broadcast(least), ["scheme", "_class"]).filter("hot > _least").select("owner").distinct()
 
 
 def rarest_shingles(texts: DataFrame) -> DataFrame:
@@ -289,17 +315,17 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         at = places.to_numpy(np.int64)
         return pd.Series((bitmap.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1)
 
-    near = docs.select(_id().alias("rep"), "text").withColumn("_place", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))).filter(maybe("_place")).drop("_place")
+    near = docs.select(_id().alias("rep"), "text").filter(maybe(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))).select("text")
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of one id may have different texts: take the one with this key
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches):
-            texts, h1, h2 = (batch.column(k).to_pylist() for k in range(3))
-            good = pa.array([set_key(shingles_of(t)) == (a, b) for t, a, b in zip(texts, h1, h2, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (1, 2, 0)], names=["owner", "h2", "text"]).filter(good)
+            keys = [set_key(h) if len(h := shingles_of(t)) else (None, None) for t in batch.column(0).to_pylist()]
+            columns = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0)], names=["h1", "h2", "text"])
 
-    found = near.join(wanted, "rep").select("text", "h1", "h2").mapInArrow(own, "owner bigint, h2 bigint, text string")
-    return found.groupBy("owner", "h2").agg(F.min("text").alias("text"))
+    # rows of one id, or of none, may have different texts: they meet their class by the set, not by the id
+    found = near.mapInArrow(keyed, "h1 bigint, h2 bigint, text string").join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    return found.groupBy(F.col("h1").alias("owner"), "h2").agg(F.min("text").alias("text"))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,8 +376,9 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return links.union(verified(pairs, texts))
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """A row per row of ``docs``: ``doc_id``, ``x1`` and ``x2`` of its text, ``n_shingles``, ``component`` (null
+    for an empty set) and ``name``, the least id in the component (null if it has none)."""
     docs = docs.select("doc_id", "text")
     sets = stored(shingle_sets(docs), "shingle-sets")
     full = sets.filter("n_shingles > 0")
@@ -361,6 +388,31 @@ def joined(docs: DataFrame) -> DataFrame:
     labels = components(linked(docs, classes))
     whole = classes.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     names = whole.groupBy("component").agg(F.min("rep").alias("name"))
-    named = whole.join(names, "component").select("h1", "h2", "name")
-    empty = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.when(F.col("name") < NO_ID, F.col("name")).alias("component_id")).union(empty)
+    named = whole.join(names, "component").select("h1", "h2", "component", F.when(F.col("name") < NO_ID, F.col("name")).alias("name"))
+    rows = ["doc_id", "x1", "x2", "n_shingles"]
+    empty = sets.filter("n_shingles = 0").select(*rows, F.lit(None).cast("bigint").alias("component"), F.col("doc_id").alias("name"))
+    return full.join(named, ["h1", "h2"]).select(*rows, "component", "name").union(empty)
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
+    return grouped(docs).select("doc_id", "n_shingles", F.col("name").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, one of each component: the one with the least id (null last), then by the hashes of its text.
+
+    Rows with equal ids and texts are interchangeable. Empty texts are linked with nothing, so all of them stay.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x1", "x2")
+    rows = stored(grouped(docs).filter("component IS NOT NULL").select("component", "doc_id", "x1", "x2"), "grouped")
+    best = rows.groupBy("component").agg(F.min(place).alias("_best"))
+    key = [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_id"), "x1", "x2"]
+    keys = rows.join(best, "component").groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(place == F.col("_best")).alias("_kept"))
+    # only what must go, and what must go down to one row
+    marks = stored(keys.filter(~F.col("_kept") | (F.col("_rows") > 1)), "marks")
+    names = ["_id", "x1", "x2"]
+    marked = docs.withColumns(dict(zip(names, [_id(), *text_hashes()], strict=True))).join(marks, names, "left").filter("coalesce(_kept, true)")
+    once = marked.filter("_rows > 1").dropDuplicates(names)
+    return marked.filter("_rows IS NULL").union(once).select(*docs.columns)

@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.common import row_batches, stored, text_of
+from signalbox.llm.common import released, row_batches, stored, text_of
 
-SEQUENCE, END_ID, SHARD_PIECES, CACHED_WORDS = 2048, 0, 20_000, 300_000
+SEQUENCE, END_ID, SHARD_PIECES, CACHED_WORDS = 2048, 0, 20_000, 120_000
 #: Numbers of size classes tried in turn, until a shard needs one sequence more than its tokens fill at most.
 SIZE_CLASSES = (8, 16, 32, 64, 128, 2048)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -114,6 +114,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
     """A row per piece of each document, with the checksum of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         tokens = word_tokens(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in row_batches(batches):

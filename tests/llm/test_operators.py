@@ -285,6 +285,53 @@ def test_join_matches_brute_force(docs, nothing):
     assert jaccard_join.joined(nothing).count() == 0
 
 
+def hot_pair(rng, big):
+    """Texts of which the first two are similar, while just the segments that both of them list are hot."""
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    small = rng.randint(16, 20)
+    large = rng.randint(21, min(26, 4 * small // 3))
+    words = fill(large + 4)
+    texts = [" ".join(words[: small + 4]), " ".join(words)]
+    sets = [common.shingles_of(t) for t in texts]
+    (sig_a, _), (sig_b, _) = map(jaccard_join.signatures, sets)
+    for sig in np.intersect1d(sig_a, sig_b):
+        # the windows of words that make up the segment, each in a text of its own kind
+        single = [common.shingles_of(" ".join(words[k : k + 5]))[0] for k in range(small)]
+        parts = [k for k in range(small) if sig not in jaccard_join.signatures(np.array(sorted(set(sets[0].tolist()) - {int(single[k])}), np.uint64))[0]]
+        made = 0
+        for _ in range(400):
+            text = []
+            for k in parts:
+                text += fill(rng.randint(1, 3)) + words[k : k + 5]
+            text += fill(max(0, rng.randint(20, 30) - len(text)))
+            h = common.shingles_of(" ".join(text))
+            if 16 <= len(h) < 32 and sig in jaccard_join.signatures(h)[0]:
+                texts.append(" ".join(text))
+                made += 1
+                if made > big:
+                    break
+    return texts
+
+
+def test_join_when_just_the_shared_segments_are_hot(spark):
+    rng, rows = random.Random(12), []
+    for _ in range(25):
+        rows += hot_pair(rng, jaccard_join.HOT + 1)
+    rows = [(i, t) for i, t in enumerate(rows)]
+    got = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter(map(tuple, got)) == plain_groups(rows)
+
+
+def test_join_of_many_rows_without_an_id(spark):
+    """Rows without an id, and rows of one id, are compared by their texts alone."""
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(3000)]
+    rows = [(None if i % 3 else 7, t) for i, t in enumerate(texts)] + [(None, t + " more") for t in texts[:300]]
+    got = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    named = collections.Counter((r.doc_id, r.component_id) for r in got)
+    assert len(got) == 3300 and named == {(7, 7): 1000, (None, 7): 100, (None, None): 2200}
+
+
 def test_join_with_hot_groups(spark):
     """Many copies of one text, a passage in many texts, chains of similar texts: more sets than a hot segment has."""
     rng = random.Random(6)
