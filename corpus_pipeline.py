@@ -7,7 +7,6 @@ writes what a stage returns to the shared folder and reads it back as the next o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from signalbox.llm import common, jaccard_join, mixing, packing, quality_model, quality_rules
 
@@ -25,18 +24,12 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least id; repeated rows of it once. Rows without an id stay."""
-    groups = jaccard_join.joined(docs)
-    dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    marks = common.stored(dropped.withColumn("_drop", F.lit(True)).join(repeated.withColumn("_again", F.lit(True)), "doc_id", "full"), "marks")
-    marked = docs.join(marks, "doc_id", "left").filter("_drop IS NULL")
-    once = marked.filter("_again").dropDuplicates(["doc_id", "text"])
-    return marked.filter("_again IS NULL").union(once).select(*docs.columns)
+    """Of each group of similar documents one row, that with the least id. Rows need no id, and ids may repeat."""
+    return jaccard_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes; the document at a source's cut has its first words only."""
+    """A row for each copy that the mix takes, texts whole."""
     return mixing.copies(docs)
 
 
