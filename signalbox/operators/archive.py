@@ -101,9 +101,9 @@ def record_empty_days(spark: SparkSession, base: str, entries: DataFrame) -> Non
 
 
 def archived_days(spark: SparkSession, base: str) -> DataFrame:
-    """(service_date, table) pairs done, from the partitions written and from the empty-day manifest."""
+    """(service_date, table) pairs done, from the listing of the files written and from the empty-day manifest."""
     listed = [
-        read_archive(spark, base, table).select("service_date").distinct().withColumn("table", F.lit(table))
+        store.listed_files(spark, archive_path(base, table)).select("service_date", F.lit(table).alias("table"))
         for table in EVENT_TABLES
     ]
     manifest = store.read_table(spark, f"{base.rstrip('/')}/_empty_days", MANIFEST)
@@ -133,32 +133,34 @@ def run_archive_pass(
 ) -> dict[str, DataFrame]:
     """Archive every closed day that is not complete yet, all days in one pass per table.
 
-    Days come from both registries; a day missing from the primary is read from the
-    backup and reported as recovered, one missing from both is reported as failed.
+    Days come from both registries. Each day's files are tried first, each on its own: a day that is missing from the primary, or
+    damaged there, is read from the backup and reported as recovered; one that neither side can give is reported as failed
+    and holds no other day up. Only files of the days of the pass are opened.
     """
     at = F.lit(now)
+    requested = store.read_table(spark, store.table_path(base, "_expected_days"), "service_date date")
+    registered = {root: checkpointed(store.read_registry(spark, root).select("service_date").distinct()) for root in (base, backup_base)}
+    candidates = reduce(DataFrame.unionByName, registered.values(), requested.select("service_date")).distinct()
+    open_days = candidates.filter(store.is_closed("service_date", at)).join(
+        fully_archived(archived_days(spark, archive_base)), "service_date", "left_anti")
+    pending = [r.service_date for r in open_days.collect()]  # one entry a calendar day
 
     def listed(root: str) -> DataFrame:
-        days = store.read_registry(spark, root).select("service_date").distinct()
-        return days.select("service_date", F.lit(root).alias("path"), F.lit(True).alias("is_readable"))
+        days = registered[root].filter(F.col("service_date").isin(pending))
+        damaged = store.unreadable_days(spark, root, pending).withColumn("_bad", F.lit(True))
+        return days.join(damaged, "service_date", "left").select("service_date", F.lit(root).alias("path"), F.col("_bad").isNull().alias("is_readable"))
 
-    requested = store.read_table(spark, store.table_path(base, "_expected_days"), "service_date date")
     known = store.choose_partitions(listed(base), listed(backup_base))
-    candidates = requested.select("service_date").unionByName(known.select("service_date")).distinct()
-    todo = checkpointed(
-        candidates.filter(store.is_closed("service_date", at))
-        .join(fully_archived(archived_days(spark, archive_base)), "service_date", "left_anti")
-        .join(known, "service_date", "left")
-    )
+    todo = checkpointed(spark.createDataFrame([(d,) for d in pending], "service_date date").join(known, "service_date", "left"))
     days = todo.filter(F.col("path").isNotNull())
+    found = days.select("service_date", "path").collect()
+    days_of = {root: [r.service_date for r in found if r.path == root] for root in (base, backup_base)}
 
     def rows_of(table: str) -> DataFrame:
         schema = f"{EVENT_TABLES[table]}, service_date date"
         parts = [
-            store.read_table(spark, store.table_path(root, table), schema).join(
-                days.filter(F.col("path") == root).select("service_date"), "service_date", "left_semi"
-            )
-            for root in (base, backup_base)
+            store.read_table(spark, store.table_path(root, table), schema).filter(F.col("service_date").isin(own))
+            for root, own in days_of.items()
         ]
         return parts[0].unionByName(parts[1])
 
@@ -167,7 +169,8 @@ def run_archive_pass(
     findings = checkpointed(drift(tables))
     for table, rows in tables.items():
         write_archive(rows, archive_base, table)
-        written = read_archive(spark, archive_base, table)
+        # the files now there tell which days have rows; nothing is read back
+        written = store.listed_files(spark, archive_path(archive_base, table))
         record_empty_days(spark, archive_base, empty_days(days, written, table))
 
     failed = todo.filter(F.col("path").isNull())

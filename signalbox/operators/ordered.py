@@ -125,6 +125,21 @@ def ordered_scan(
     return joined.withColumns(result).select(*out_names)
 
 
+def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add the 1-based place of each row in the order of the whole table; ``order`` must be unique.
+
+    Rows are dealt to ranges with sampled bounds, ranked inside their range, and moved up by the sizes of the ranges
+    before it: no task gets more than a range, whatever values are frequent.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(out, inside).join(F.broadcast(starts), "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -137,13 +137,18 @@ def geofence(states: DataFrame, stops: DataFrame, radius_m: float = GEOFENCE_RAD
     )
 
 
+CELL_ROWS = 50_000
+
+
 def nearby_trains(
     trains: DataFrame, stations: DataFrame, radius_m: float = NEARBY_RADIUS_M, hide_ghosts: bool = False
 ) -> DataFrame:
     """Positioned trains within the radius of each station.
 
     Trains are filed in grid cells, each station looks into its own and the eight
-    surrounding cells, so distance is only checked for neighbours.
+    surrounding cells, so distance is only checked for neighbours. A crowded cell is split further, into as many parts of about
+    ``CELL_ROWS`` trains as it needs; the few stations around it are then looked up in each part. This also holds where all
+    trains of a terminus report the very same position.
     """
     size = degrees_for(radius_m)
     seen = trains.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -156,9 +161,14 @@ def nearby_trains(
         .withColumn("_x", F.explode(F.transform(step, lambda d: F.col("_x") + d)))
         .withColumn("_y", F.explode(F.transform(step, lambda d: F.col("_y") + d)))
     )
+    filed = seen.withColumns({"_x": cx, "_y": cy})
+    crowded = filed.groupBy("_x", "_y").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    own = filed.join(crowded, ["_x", "_y"], "left").withColumn("_part", F.pmod(F.xxhash64(*trains.columns), parts)).drop("_parts")
+    looked = around.join(crowded, ["_x", "_y"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
     distance = haversine_m(F.col("_slat"), F.col("_slon"), F.col("lat"), F.col("lon"))
     return (
-        seen.withColumns({"_x": cx, "_y": cy}).join(around, ["_x", "_y"])
+        own.join(looked, ["_x", "_y", "_part"])
         .withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
-        .drop("_x", "_y", "_slat", "_slon")
+        .drop("_x", "_y", "_part", "_slat", "_slon")
     )

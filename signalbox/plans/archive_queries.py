@@ -6,8 +6,11 @@ scratch space and reads it back.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from datetime import date, datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from signalbox.functions import punctuality as pu
@@ -104,6 +107,49 @@ def _(t):
     return ss.parse_routes(_csv(t, files, "routes"))
 
 
+ARCHIVED_TRIPS = 4096  # trips of one archive
+_ODD = 'To "town",\nvia bridge'
+
+
+def _zipped(t: Tables):
+    """Timetable archives, each with one metro part of a few thousand trips and another mode beside it."""
+    bucket = F.floor(F.col("trip_no") / ARCHIVED_TRIPS).alias("bucket")
+    headsign = F.when(F.col("trip_no") % 11 == 0, _ODD).otherwise(F.col("headsign"))
+    trips = t.trips.select(bucket, "trip_id", "route_id", "service_id", headsign.alias("trip_headsign"), "direction_id", "shape_id")
+    calls = t.stop_times.select(bucket, "trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence")
+
+    def zipped(files: dict[str, bytes]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    def pack(trips: pd.DataFrame, calls: pd.DataFrame) -> pd.DataFrame:
+        text = lambda df: b"\xef\xbb\xbf" + df.drop(columns="bucket").to_csv(index=False, lineterminator="\r\n").encode()
+        metro = zipped({"trips.txt": text(trips), "stop_times.txt": text(calls), "notes.pdf": b"%PDF"})
+        other = zipped({"trips.txt": b"trip_id\nother\n"})
+        return pd.DataFrame({"content": [zipped({"1/google_transit.zip": other, "2/google_transit.zip": metro})]})
+
+    return trips.groupBy("bucket").cogroup(calls.groupBy("bucket")).applyInPandas(pack, "content binary")
+
+
+@query("src08_archive_ingest", """
+select t.trip_id, t.route_id, case when trip_no % 11 = 0 then 'To "town",' || chr(10) || 'via bridge' else coalesce(trim(headsign), '') end as headsign,
+ t.direction_id, t.shape_id, count(s.stop_id) as calls, min(s.arrival_time) as first_arrival, max(s.stop_sequence) as last_sequence
+from v_trips t join v_stop_times s using (trip_id) group by all""")
+def _(t):
+    path = scratch_path(t.spark, "archives")
+    _zipped(t).write.parquet(path)
+    lines = ss.unpacked(t.spark.read.parquet(path), members=("trips.txt", "stop_times.txt"), block_bytes=1 << 16)
+    trips = ss.parse_trips(ss.member_rows(lines, "trips.txt", ["trip_id", "route_id", "service_id", "trip_headsign", "direction_id", "shape_id"]))
+    calls = ss.parse_stop_times(ss.member_rows(lines, "stop_times.txt", ["trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence"]))
+    counted = calls.groupBy("digest", "trip_id").agg(
+        F.count("stop_id").alias("calls"), F.min("arrival_time").alias("first_arrival"), F.max("stop_sequence").alias("last_sequence"))
+    return trips.join(counted, ["digest", "trip_id"]).select(
+        "trip_id", "route_id", "headsign", "direction_id", "shape_id", "calls", "first_arrival", "last_sequence")
+
+
 # --- captures ---
 
 

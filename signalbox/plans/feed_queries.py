@@ -609,10 +609,10 @@ def _(t):
 select id, row_number() over (order by case when not no_period then start_at end desc nulls last, pos) as place
 from v_active_alerts""")
 def _(t):
-    from signalbox.operators.ordered import ordered_scan
+    from signalbox.operators.ordered import global_rank
     active = t.alert_rows.filter(al.is_active(_now())).select(
         "id", "pos", F.coalesce(-epoch(al.earliest_start()), F.lit(0).cast("bigint")).alias("age"))
-    return ordered_scan(active, [], ["age", "pos"], F.floor(F.col("age") / 86400), sums={"place": F.lit(1)}).select("id", "place")
+    return global_rank(active, ["age", "pos"], "place").select("id", "place")
 
 
 @query("str11_latest_alert_poll", f"""

@@ -1,7 +1,7 @@
 """Static timetable scans: delimited files and zipped archives.
 
 Both ways give string columns by header name; the ``parse_*`` functions turn those into
-typed tables.  ``pos`` keeps the file order where a last-row-wins rule needs it.
+typed tables. ``pos`` orders the rows by file name, place in the file and row, where a last-row-wins rule needs it.
 """
 
 from __future__ import annotations
@@ -11,25 +11,31 @@ import hashlib
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.operators.schedule import WEEKDAYS
+from signalbox.session import checkpointed
 
 # fixed values
 METRO_MODE = "2"
 INNER_ARCHIVE = "google_transit.zip"
-LINES_PER_BATCH = 20_000
-LINE_SCHEMA = "digest string, mode string, member string, pos bigint, fields map<string,string>"
+BLOCK_BYTES = 1 << 20
+BLOCK_SCHEMA = "digest string, mode string, member string, block bigint, header array<string>, records array<string>"
+FILE_POSITION = "struct<file: string, start: bigint, row: bigint>"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header-named string columns of one GTFS file (a byte-order mark is dropped)."""
-    return spark.read.option("header", True).option("escape", '"').csv(path).withColumn(
-        "pos", F.monotonically_increasing_id()
-    )
+    """Header-named string columns of one GTFS file or folder (a byte-order mark is dropped).
+
+    ``pos``: a split is read by one task from its start, so ids that rise in a task order its rows, whatever task it went to.
+    """
+    return spark.read.option("header", True).option("escape", '"').csv(path).withColumn("pos", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row")))
 
 
 def read_optional_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -38,53 +44,103 @@ def read_optional_csv(spark: SparkSession, path: str, columns: Sequence[str]) ->
     target = jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return read_csv(spark, path)
-    return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns) + ", pos bigint")
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns) + f", pos {FILE_POSITION}")
 
 
 def _members(content: bytes, modes: Sequence[str] | None) -> Iterator[tuple[str, str, str, zipfile.ZipFile]]:
     """(digest, mode, member, archive) for each text member, looking into one level of inner archives."""
     with zipfile.ZipFile(io.BytesIO(content)) as outer:
-        inner = [n for n in outer.namelist() if n.endswith("/" + INNER_ARCHIVE)]
+        inner = {n.split("/")[0]: n for n in outer.namelist() if n.endswith("/" + INNER_ARCHIVE)}
         if not inner:
             digest = hashlib.sha256(content).hexdigest()
             for name in outer.namelist():
                 if name.endswith(".txt"):
                     yield digest, "", name, outer
-        for entry in inner:
-            mode = entry.split("/")[0]
-            if modes is None or mode in modes:
-                for digest, _, name, archive in _members(outer.read(entry), None):
-                    yield digest, mode, name, archive
-
-
-def read_archives(
-    spark: SparkSession, path: str, modes: Sequence[str] | None = (METRO_MODE,), members: Sequence[str] | None = None
+            return
+        wanted = list(inner) if modes is None else list(modes)
+        if absent := sorted(set(wanted) - set(inner)):
+            raise ValueError(f"archive holds the modes {sorted(inner)}, asked for {absent}")
+        for mode in wanted:
+            for digest, _, name, archive in _members(outer.read(inner[mode]), None):
+                yield digest, mode, name, archive
+
+
+def _record_end(held: bytes) -> int:
+    """Where the last whole record ends: after a line end that is in no quotes."""
+    end = held.rfind(b"\n")
+    while end >= 0 and held.count(b'"', 0, end) % 2:
+        end = held.rfind(b"\n", 0, end)
+    return end + 1
+
+
+def _records(raw: IO[bytes], size: int = BLOCK_BYTES) -> Iterator[list[str]]:
+    """Records of a member, about ``size`` bytes of them at a time; a record may have line ends in quotes."""
+    held, more = b"", True
+    while more:
+        data = raw.read(size)
+        held, more = held + data, bool(data)
+        end = _record_end(held) if more else len(held)
+        lines, held = held[:end].decode("utf-8").split("\n"), held[end:]
+        if any(line.count('"') % 2 for line in lines):
+            whole: list[str] = []
+            for line in lines:
+                if whole and whole[-1].count('"') % 2:
+                    whole[-1] += "\n" + line
+                else:
+                    whole.append(line)
+            lines = whole
+        lines = [line.rstrip("\r") for line in lines if line.strip()]
+        if lines:
+            yield lines
+
+
+def _named(header: str) -> list[str]:
+    """Column names; those without one, or with one that occurred before, are numbered."""
+    names = next(csv.reader([header.removeprefix("\ufeff")]))
+    return [n if n and n not in names[:k] else f"_{k}" for k, n in enumerate(names)]
+
+
+def unpacked(
+    archives: DataFrame, modes: Sequence[str] | None = (METRO_MODE,), members: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Rows of the text members of zipped timetables, keyed by the digest of the archive they came from.
+    """Rows of the text members of zipped timetables (``content``), keyed by the digest of the archive they came from.
 
-    One task opens one archive (a zip cannot be split) and streams its lines out in small
-    batches; everything after that is ordinary columns.
+    A zip is inflated by one task, as it cannot be split, but only cut into blocks of whole records there; the
+    blocks are then dealt out and parsed on the JVM. ``pos`` is the place of a row in its member. An archive without one
+    of the ``modes`` is an error.
     """
     wanted = set(members) if members else None
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 for digest, mode, name, archive in _members(content, modes):
                     if wanted is not None and name not in wanted:
                         continue
                     with archive.open(name) as raw:
-                        reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
-                        rows: list[tuple] = []
-                        for pos, fields in enumerate(reader):
-                            rows.append((digest, mode, name, pos, {k: v for k, v in fields.items() if k}))
-                            if len(rows) == LINES_PER_BATCH:
-                                yield pd.DataFrame(rows, columns=["digest", "mode", "member", "pos", "fields"])
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=["digest", "mode", "member", "pos", "fields"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, LINE_SCHEMA)
+                        header = None
+                        for block, records in enumerate(_records(raw, block_bytes)):
+                            if header is None:
+                                header, records = _named(records[0]), records[1:]
+                            yield pd.DataFrame([(digest, mode, name, block, header, records)], columns=["digest", "mode", "member", "block", "header", "records"])
+
+    # inflated once: the widest header is asked for before the rows are parsed
+    blocks = checkpointed(archives.select("content").mapInPandas(cut, BLOCK_SCHEMA))
+    width = blocks.agg(F.max(F.size("header")).alias("n")).first().n or 0
+    places = [f"c{k}" for k in range(width)]
+    dealt = blocks.repartition("digest", "mode", "member", "block").select(
+        "digest", "mode", "member", "block", "header", F.posexplode("records").alias("row", "record"))
+    parsed = F.from_csv("record", F.lit(", ".join(f"{c} string" for c in places) or "c0 string"), {"escape": '"', "multiLine": "true"})
+    values = F.slice(F.array(*[F.col("_v")[c] for c in places]), F.lit(1), F.size("header")) if places else F.array().cast("array<string>")
+    return dealt.withColumn("_v", parsed).select(
+        "digest", "mode", "member", (F.shiftleft("block", 32) + F.col("row")).alias("pos"), F.map_from_arrays("header", values).alias("fields"))
+
+
+def read_archives(
+    spark: SparkSession, path: str, modes: Sequence[str] | None = (METRO_MODE,), members: Sequence[str] | None = None
+) -> DataFrame:
+    """``unpacked`` archive files."""
+    return unpacked(spark.read.format("binaryFile").load(path), modes, members)
 
 
 def member_rows(lines: DataFrame, member: str, columns: Sequence[str]) -> DataFrame:

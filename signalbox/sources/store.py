@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,47 @@ def _write(df: DataFrame, path: str, partitions: Sequence[str], mode: str) -> No
     ).parquet(path)
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``service_date`` and ``file`` name of each data file of a day-partitioned table: a listing, no file is opened."""
+    if not _present(spark, path):
+        return spark.createDataFrame([], "service_date date, file string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    day = F.regexp_extract("path", r"service_date=(\d{4}-\d{2}-\d{2})", 1)
+    return files.select(F.to_date(F.nullif(day, F.lit(""))).alias("service_date"), F.element_at(F.split("path", "/"), -1).alias("file")).filter(
+        "service_date IS NOT NULL")
+
+
+def unreadable_days(spark: SparkSession, base: str, days: Sequence[date]) -> DataFrame:
+    """Those of ``days`` with a file that cannot be read whole, in any event table; each file is tried on its own.
+
+    A file is good if its footer opens and all its rows can be decoded: damaged files are skipped or cut short by the
+    reader, so they have fewer rows than their footer says, or none where a file is listed.
+    """
+    wanted, bad = F.col("service_date").isin(list(days)), []
+    for table, columns in EVENT_TABLES.items():
+        path = table_path(base, table)
+        if not _present(spark, path):
+            continue
+        rows = spark.read.schema(f"{columns}, service_date date").option("ignoreCorruptFiles", True).parquet(path).filter(wanted)
+        per_file = rows.groupBy("service_date", F.col("_metadata.file_name").alias("file"))  # one write uses a name in several days
+        footers = per_file.agg(F.count(F.lit(1)).alias("rows"))
+        names = [f.name for f in rows.schema if f.name != "service_date"]
+        # the hash is asked for below, so that every column is decoded
+        decoded = per_file.agg(F.count(F.lit(1)).alias("decoded"), F.bit_xor(F.xxhash64(*names)).alias("hash"))
+        listed = listed_files(spark, path).filter(wanted)
+        # readers pass over files without a byte, which a listing by name still has
+        folders = {f"{path}/service_date={d}": d for d in days}
+        present = [f for f in folders if _present(spark, f)]
+        names_of = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(present).inputFiles() if present else []
+        sizes = {(r.service_date.isoformat(), r.file) for r in listed.collect()}  # the files of the days asked for
+        empty = {x for f in names_of if (x := (f.rsplit("service_date=", 1)[1].split("/")[0], f.rsplit("/", 1)[1])) not in sizes}
+        bad.append(spark.createDataFrame([(date.fromisoformat(d),) for d, _ in sorted(empty)], "service_date date"))
+        bad.append(listed.join(footers, ["service_date", "file"], "left").join(decoded, ["service_date", "file"], "left").filter(
+            "rows IS NULL OR decoded IS NULL OR decoded < rows OR hash IS NULL").select("service_date"))
+    none = spark.createDataFrame([], "service_date date")
+    return reduce(DataFrame.unionByName, bad, none).distinct()
+
+
 # --- event tables ---
 
 

@@ -52,6 +52,35 @@ def test_archive_ingest(spark, tmp_path):
     assert ss.new_snapshots(lines, lines.select("digest")).count() == 0
 
 
+def test_archive_blocks(spark):
+    """Records with quoted line ends and of any length come through blocks of any size; other modes do not."""
+    rng = random.Random(2)
+    names = [rng.choice(["plain", 'a "quoted", name', "two\nlines", "x" * 300, "", " padded "]) for _ in range(400)]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"'
+    text = '\ufeffstop_id,stop_name,,stop_id\r\n' + "".join(f"{i},{quoted(n)},z,y\r\n\r\n" for i, n in enumerate(names)) + "400,short"
+    content = archive({"2/google_transit.zip": archive({"stops.txt": text.encode()}), "1/google_transit.zip": archive({"stops.txt": b"no"})})
+    df = spark.createDataFrame([(bytearray(content),)], "content binary")
+    for size in (7, 100, 1 << 20):
+        lines = ss.unpacked(df, block_bytes=size)
+        got = lines.orderBy("pos").select(F.col("fields.stop_id").cast("int").alias("i"), F.coalesce("fields.stop_name", F.lit("")).alias("n")).collect()
+        assert [(r.i, r.n) for r in got] == [*enumerate(names), (400, "short")]
+    with pytest.raises(Exception, match="asked for"):
+        ss.unpacked(df, modes=("2", "7")).count()
+
+
+def test_last_row_follows_file_names(spark, tmp_path):
+    """A large file is read in several splits and before a small one, yet the row of the last file by name wins."""
+    big = "route_id,route_short_name,route_long_name\n" + "".join(f"R{i % 50},a{i},long name {i}\n" for i in range(40_000))
+    (tmp_path / "a.txt").write_text(big)
+    (tmp_path / "b.txt").write_text("route_id,route_short_name,route_long_name\nR1,old,x\nR1,new,x\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = {r.route_id: r.short_name for r in ss.parse_routes(ss.read_csv(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"R{i}": f"a{39_950 + i}" for i in range(50)} | {"R1": "new"}
+
+
 def test_plain_files(spark, tmp_path):
     path = tmp_path / "calendar.txt"
     path.write_text("﻿" + FILES["calendar.txt"])
@@ -167,6 +196,31 @@ def test_archive_pass(spark, tmp_path):
     assert store.prune_gap_report(spark, report, now + timedelta(days=200)) == 3
 
 
+def test_archive_pass_with_a_damaged_day(spark, tmp_path):
+    """A truncated file takes its own day from the backup; a day damaged on both sides fails alone."""
+    base, backup, out, report = (str(tmp_path / n) for n in ("a", "b", "arch", "report"))
+    days = [DAY + timedelta(days=i) for i in range(4)]
+    ghost = spark.createDataFrame([(d, f"t{i}", float(i)) for d in days for i in range(200)], "service_date date, trip_id string, ghost_duration_s double")
+    for root in (base, backup):
+        store._write(ghost, store.table_path(root, "ghost_events"), ["service_date"], "append")
+        store.register_days(spark, root, spark.createDataFrame([(d, "ghost_events", "d") for d in days], "service_date date, table string, digest string"))
+
+    def damage(root, day, keep):
+        for path in (tmp_path / root / "ghost_events" / f"service_date={day}").glob("*.parquet"):
+            data = path.read_bytes()
+            path.write_bytes(keep(data))
+            (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+
+    damage("a", days[1], lambda b: b[: len(b) // 2])  # no footer
+    damage("a", days[2], lambda b: b[:8] + b"\xff" * 400 + b[408:])  # a footer, but pages that do not decode
+    damage("b", days[2], lambda b: b"")
+    assert sorted(r[0] for r in rows(store.unreadable_days(spark, base, days))) == days[1:3]
+    result = ar.run_archive_pass(spark, base, backup, out, report, datetime(2026, 9, 1, tzinfo=UTC))
+    assert {k: [r[0] for r in rows(result[k])] for k in ("archived", "failed", "recovered")} == {
+        "archived": [days[0], days[1], days[3]], "failed": [days[2]], "recovered": [days[1]]}
+    assert ar.read_archive(spark, out, "ghost_events").groupBy("service_date").count().filter("count = 200").count() == 3
+
+
 def test_finalize_waits_for_the_day(spark, tmp_path, routes):
     base, out, now = str(tmp_path / "h"), str(tmp_path / "o"), datetime(2026, 7, 2, 2, tzinfo=UTC)
     assert not jobs.finalize_yesterday(spark, base, out, routes, now)
