@@ -40,7 +40,7 @@ def gtfs_seconds(text: Column | str, strict: bool = False) -> Column:
         return parsed
     return parsed.when(
         trimmed.isNotNull(),
-        F.raise_error(F.concat(F.lit("not a valid GTFS time string: "), trimmed)).cast("bigint"),
+        F.raise_error(F.concat(F.lit("timetable time must be hours:minutes:seconds, got "), trimmed)).cast("bigint"),
     )
 
 
@@ -71,7 +71,8 @@ def scheduled_instant(day: Column | str, seconds: Column | str, zone: str = ZONE
     return add_seconds(service_day_start(day, zone), seconds)
 
 
-def gtfs_time_to_utc(day: Column | str, text: Column | str, zone: str = ZONE) -> Column:
+def scheduled_instant_of(day: Column | str, text: Column | str, zone: str = ZONE) -> Column:
+    """Absolute instant of a timetable time given as text."""
     return scheduled_instant(day, gtfs_seconds(text), zone)
 
 

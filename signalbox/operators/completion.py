@@ -94,7 +94,7 @@ def trip_completions(
     )
     resume = F.col("finalized_at") + int(retention_s)
     chunk_s = max(int(timeout_s + retention_s), 86_400)
-    counted = greedy_chain(ended, ["trip_id"], "can_start", resume, span_s=chunk_s, chunk_s=chunk_s)
+    counted = greedy_chain(ended, ["trip_id"], "can_start", resume, chunk_s=chunk_s)
     counted = ordered_scan(
         counted, ["trip_id"], ["can_start"], F.floor(F.col("can_start") / 86_400), lags={"blocked_until": resume},
     )

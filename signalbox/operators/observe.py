@@ -60,7 +60,7 @@ def paced(
     chunk_s: int = 3600,
 ) -> DataFrame:
     """Keep a key's first row, then each first row at least ``interval_s`` after the last kept one."""
-    return greedy_chain(rows, keys, at, F.col(at) + interval_s, span_s=interval_s, chunk_s=chunk_s)
+    return greedy_chain(rows, keys, at, F.col(at) + interval_s, chunk_s=chunk_s)
 
 
 def with_last_good(

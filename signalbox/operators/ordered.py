@@ -37,12 +37,14 @@ def ordered_scan(
     fills: Mapping[str, Column | str] | None = None,
     fills_before: Mapping[str, Column | str] | None = None,
     fills_after: Mapping[str, Column | str] | None = None,
+    maxes_before: Mapping[str, Column | str] | None = None,
 ) -> DataFrame:
     """Add ordered columns per key.
 
     ``lags``/``leads``: value on the previous/next row.  ``sums``: running total up to and
     including the row.  ``fills``: last non-null value up to and including the row;
     ``fills_before``/``fills_after``: last/first non-null value strictly before/after it.
+    ``maxes_before``: greatest value strictly before it.
 
     ``order`` must be non-null and unique per key, and ``chunk`` an integer that never
     decreases along it.  Without keys every row belongs to one sequence; its carry table
@@ -50,8 +52,9 @@ def ordered_scan(
     """
     lags, leads, sums = dict(lags or {}), dict(leads or {}), dict(sums or {})
     fills, before, after = dict(fills or {}), dict(fills_before or {}), dict(fills_after or {})
+    maxes = dict(maxes_before or {})
     keys, order = list(keys), list(order)
-    out_names = [*df.columns, *lags, *leads, *sums, *fills, *before, *after]
+    out_names = [*df.columns, *lags, *leads, *sums, *fills, *before, *after, *maxes]
 
     base = df.withColumn("_chunk", chunk.cast("bigint"))
     group = [*keys, "_chunk"]
@@ -80,6 +83,8 @@ def ordered_scan(
         columns[f"_b_{name}"] = F.last(_col(c), ignorenulls=True).over(strictly_before)
     for name, c in after.items():
         columns[f"_a_{name}"] = F.last(_col(c), ignorenulls=True).over(strictly_after)
+    for name, c in maxes.items():
+        columns[f"_m_{name}"] = F.max(_col(c)).over(strictly_before)
     local = local_in.withColumns(columns)
 
     summary = []
@@ -93,6 +98,8 @@ def ordered_scan(
         summary.append(F.max_by(_col(c), F.when(_col(c).isNotNull(), position)).alias(f"_t_{kind}_{name}"))
     for name, c in after.items():
         summary.append(F.min_by(_col(c), F.when(_col(c).isNotNull(), position)).alias(f"_t_a_{name}"))
+    for name, c in maxes.items():
+        summary.append(F.max(_col(c)).alias(f"_t_m_{name}"))
     tails = local_in.groupBy(*group).agg(*summary)
 
     across = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
@@ -110,6 +117,8 @@ def ordered_scan(
         carry.append(F.last(f"_t_{kind}_{name}", ignorenulls=True).over(earlier).alias(f"_c_{kind}_{name}"))
     for name in after:
         carry.append(F.last(f"_t_a_{name}", ignorenulls=True).over(later).alias(f"_c_a_{name}"))
+    for name in maxes:
+        carry.append(F.max(f"_t_m_{name}").over(earlier).alias(f"_c_m_{name}"))
     joined = local.join(tails.select(*carry), group, "left")
 
     result: dict[str, Column] = {}
@@ -122,6 +131,8 @@ def ordered_scan(
     for names, kind in ((fills, "f"), (before, "b"), (after, "a")):
         for name in names:
             result[name] = F.coalesce(F.col(f"_{kind}_{name}"), F.col(f"_c_{kind}_{name}"))
+    for name in maxes:
+        result[name] = F.greatest(F.col(f"_m_{name}"), F.col(f"_c_m_{name}"))  # passes over nulls
     return joined.withColumns(result).select(*out_names)
 
 
@@ -199,58 +210,33 @@ def nearest_instant(
     )
 
 
-def greedy_chain(
-    rows: DataFrame, keys: Sequence[str], at: str, next_at: Column, *, span_s: int, chunk_s: int
-) -> DataFrame:
+def greedy_chain(rows: DataFrame, keys: Sequence[str], at: str, next_at: Column, *, chunk_s: int) -> DataFrame:
     """Per key, take the first row, then always the first row not before the taken row's ``next_at``.
 
-    Each choice depends on all earlier ones, so a chunk of a key is reduced to a small
-    table "first choice in the chunk -> where the chain resumes"; those tables are chained
-    per key, and each chunk then replays its own choices.  Only starts within ``span_s``
-    (the most ``next_at`` can reach past its row) of the chunk's begin can occur, plus the
-    first one after it.  ``at`` is whole seconds and unique per key, so a chunk list has at
-    most ``chunk_s`` entries however many rows a key has.
+    Each choice depends on the one before, so a row points to the row that would be taken after it. A row that no
+    earlier one's ``next_at`` reaches is taken in any case; chains start there and end where they meet the next such row. Pointers are
+    then doubled: after round ``k`` all rows up to ``2**k`` choices from a start are known, so the rounds grow with the logarithm of
+    the longest stretch without a gap, and no task sees more of a key than a chunk. ``at`` is unique per key.
     """
     keys = list(keys)
-    chunk = F.floor(F.col(at) / chunk_s)
-    item = F.struct(F.col(at).cast("bigint").alias("t"), next_at.cast("bigint").alias("n"))
-    lists = rows.groupBy(*keys, chunk.alias("_chunk")).agg(F.array_sort(F.collect_set(item)).alias("_t"))
-    begin = F.col("_chunk") * chunk_s
-
-    def choose(after: Column) -> Column:
-        """Choices in the chunk when nothing before ``after`` may be taken."""
-        start = F.struct(after.cast("bigint").alias("next"), F.array().cast("array<bigint>").alias("taken"))
-        step = lambda acc, i: F.when(
-            i["t"] >= acc["next"],
-            F.struct(i["n"].alias("next"), F.array_append(acc["taken"], i["t"]).alias("taken")),
-        ).otherwise(acc)
-        return F.aggregate("_t", start, step)
-
-    early = F.filter("_t", lambda i: i["t"] < begin + span_s)
-    late = F.slice(F.filter("_t", lambda i: i["t"] >= begin + span_s), 1, 1)
-    exits = F.transform(
-        F.concat(early, late), lambda i: F.struct(i["t"].alias("start"), choose(i["t"])["next"].alias("next"))
-    )
-    chained = lists.withColumn("_exits", exits).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_exits"))).alias("_all")
-    )
-    nothing = F.struct(
-        F.lit(None).cast("bigint").alias("next"), F.array().cast("array<struct<_chunk: bigint, _from: bigint>>").alias("entries")
-    )
-
-    def follow(acc, part):
-        usable = F.filter(part["_exits"], lambda e: acc["next"].isNull() | (e["start"] >= acc["next"]))
-        first = F.get(usable, 0)
-        entry = F.struct(part["_chunk"].alias("_chunk"), first["start"].alias("_from"))
-        return F.when(
-            F.size(usable) > 0,
-            F.struct(first["next"].alias("next"), F.array_append(acc["entries"], entry).alias("entries")),
-        ).otherwise(acc)
-
-    entries = chained.select(*keys, F.explode(F.aggregate("_all", nothing, follow)["entries"]).alias("_e")).select(
-        *keys, "_e.*"
-    )
-    kept = lists.join(entries, [*keys, "_chunk"]).select(
-        *keys, F.explode(choose(F.col("_from"))["taken"]).alias(at)
-    )
-    return rows.join(kept, [*keys, at], "left_semi")
+    chunk = lambda c: F.floor(F.col(c) / chunk_s)
+    base = rows.select(*keys, F.col(at).cast("bigint").alias("_at"), next_at.cast("bigint").alias("_next"))
+    opened = ordered_scan(base, keys, ["_at"], chunk("_at"), maxes_before={"_reached": "_next"})
+    opened = checkpointed(opened.withColumn("_taken", F.coalesce(F.col("_at") >= F.col("_reached"), F.lit(True))).drop("_reached"))
+    # the first row at or after each wanted instant: instants sort before rows of the same time
+    points = opened.select(*keys, F.col("_at").alias("_v"), F.lit(1).alias("_kind"), "_taken")
+    wanted = opened.select(*keys, F.col("_next").alias("_v")).distinct().withColumn("_kind", F.lit(0))
+    row = F.when(F.col("_kind") == 1, F.struct(F.col("_v").alias("at"), F.col("_taken").alias("taken")))
+    found = ordered_scan(
+        points.unionByName(wanted, allowMissingColumns=True), keys, ["_v", "_kind"], chunk("_v"), fills_after={"_to": row},
+    ).filter((F.col("_kind") == 0) & ~F.col("_to.taken")).select(*keys, F.col("_v").alias("_next"), F.col("_to.at").alias("_to"))
+    state = checkpointed(opened.join(found, [*keys, "_next"], "left").select(*keys, "_at", "_taken", "_to"))
+    while not state.filter("_to IS NOT NULL").isEmpty():
+        pointed = state.filter("_to IS NOT NULL")
+        taken = pointed.filter("_taken").select(*keys, F.col("_to").alias("_at"), F.lit(True).alias("_hit")).distinct()
+        jumps = pointed.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_jump"))
+        state = checkpointed(
+            state.join(taken, [*keys, "_at"], "left").join(jumps, [*keys, "_to"], "left")
+            .select(*keys, "_at", (F.col("_taken") | F.coalesce("_hit", F.lit(False))).alias("_taken"), F.col("_jump").alias("_to"))
+        )
+    return rows.join(state.filter("_taken").select(*keys, F.col("_at").alias(at)), [*keys, at], "left_semi")

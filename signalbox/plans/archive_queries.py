@@ -135,7 +135,7 @@ def _zipped(t: Tables):
 
 
 @query("src08_archive_ingest", """
-select t.trip_id, t.route_id, case when trip_no % 11 = 0 then 'To "town",' || chr(10) || 'via bridge' else coalesce(trim(headsign), '') end as headsign,
+select t.trip_id, t.route_id, case when t.trip_no % 11 = 0 then 'To "town",' || chr(10) || 'via bridge' else coalesce(trim(headsign), '') end as headsign,
  t.direction_id, t.shape_id, count(s.stop_id) as calls, min(s.arrival_time) as first_arrival, max(s.stop_sequence) as last_sequence
 from v_trips t join v_stop_times s using (trip_id) group by all""")
 def _(t):

@@ -184,7 +184,7 @@ def _exact_polls(t: Tables):
 
 @query("win05_header_changes", "select poll_id, feed, is_change, cast(step as bigint) as step from v_header_changes")
 def _(t):
-    return fd.header_changes(_exact_polls(t), "feed", "at", "header").select(
+    return fd.header_changes(_exact_polls(t), "feed", "at", "header", tie="poll_id").select(
         "poll_id", "feed", "is_change", F.col("interval").alias("step"))
 
 

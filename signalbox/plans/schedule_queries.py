@@ -367,7 +367,7 @@ select t.route_id, count(*) as n, min(x) as first_s, max(x) as last_s, cast(sum(
  (select trip_id, route_id, cast(epoch(timezone('Australia/Melbourne', cast(start_date as timestamp) + interval 12 hour))
    as bigint) - 43200 + arr_s as x from v_stop_times join v_trips using (trip_id)) t group by 1""")
 def _(t):
-    at = epoch(gt.gtfs_time_to_utc("start_date", "arrival_time"))
+    at = epoch(gt.scheduled_instant_of("start_date", "arrival_time"))
     joined = t.stop_times.join(t.trips.select("trip_id", "route_id", "start_date"), "trip_id")
     return joined.select("route_id", at.alias("x")).groupBy("route_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("first_s"), F.max("x").alias("last_s"),

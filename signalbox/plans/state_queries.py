@@ -260,7 +260,7 @@ def _termini(t: Tables):
 def _completions(t: Tables):
     rows = _update_rows(t)
     cycles = rows.select("at").distinct()
-    return co.trip_completions(rows, _termini(t), cycles, timeout_s=259_200, retention_s=345_600)
+    return co.trip_completions(rows, _termini(t), cycles, timeout_s=TRIP_LOST_S, retention_s=TRIP_KEPT_S)
 
 
 _COMPLETION = """
@@ -296,6 +296,7 @@ left join q o on o.trip_id = f.trip_id and o.c = f.fin and o.run = f.run and o.o
 """
 
 
+TRIP_LOST_S, TRIP_KEPT_S = 259_200, 345_600
 KEEP = 259_200  # outcomes wait for a trip to turn into a ghost for so long
 
 
@@ -367,6 +368,35 @@ def _(t):
     return found.select("trip_id", "reason", "emitted_at", "last_seen_at", "ghost_started_at", "ghost_duration_s", "backoff_overlapped")
 
 
+def _streamed_completion_sql() -> str:
+    """Each trip stepped through its rows: a gap ends a run at its time-out, not at the next poll."""
+    rows = _COMPLETION[_COMPLETION.index("tm as"):_COMPLETION.index(" fin as (")].rstrip().rstrip(",")
+    return f"""
+with recursive {rows},
+ s as (select trip_id, row_number() over (partition by trip_id order by c, event_id) as n, c, route_id, outcome, delay,
+   strftime(start_date, '%Y-%m-%d') as day from q),
+ st as (
+  select distinct trip_id, 0::bigint as n, null::bigint as touched, null::bigint as final, null::varchar as route, null::varchar as day,
+   null::bigint as gap_at, null::varchar as gap_route, null::varchar as gap_day, null::bigint as done_at, null::varchar as outcome, null::bigint as delay from s
+  union all
+  select trip_id, n, case when skip or outcome is not null then null else c end, case when skip then final when outcome is not null then c end,
+   case when not skip then coalesce(row_route, route) end, case when not skip then coalesce(day, row_day) end, gap_at, gap_route, gap_day,
+   case when not skip and outcome is not null then c end, case when not skip then outcome end, case when not skip then delay end
+  from (
+   select *, coalesce(c - final <= {TRIP_KEPT_S}, false) as skip from (
+    select st.trip_id, s.n, s.c, s.route_id as row_route, s.day as row_day, s.outcome, s.delay,
+     case when s.c - st.touched >= {TRIP_LOST_S} then st.touched + {TRIP_LOST_S} else st.final end as final,
+     case when s.c - st.touched < {TRIP_LOST_S} then st.route end as route, case when s.c - st.touched < {TRIP_LOST_S} then st.day end as day,
+     case when s.c - st.touched >= {TRIP_LOST_S} then st.touched + {TRIP_LOST_S} end as gap_at,
+     case when s.c - st.touched >= {TRIP_LOST_S} then st.route end as gap_route, case when s.c - st.touched >= {TRIP_LOST_S} then st.day end as gap_day
+    from st join s on s.trip_id = st.trip_id and s.n = st.n + 1)))
+select trip_id, gap_route as route_id, gap_day as service_date, gap_at as finalized_s, 'undetermined_gap' as status, null::bigint as delay_seconds
+ from st where gap_at is not null
+union all select trip_id, route, day, done_at, outcome, delay from st where done_at is not null
+union all select trip_id, route, day, touched + {TRIP_LOST_S}, 'undetermined_gap', null from st
+ where touched is not null and n = (select max(n) from s where s.trip_id = st.trip_id)"""
+
+
 @query("str06_trip_completions", _COMPLETION)
 def _(t):
     return _completions(t).select("trip_id", F.col("service_date").cast("string").alias("service_date"), "finalized_at",
@@ -680,6 +710,21 @@ def _(t):
     return md.evaluate(model, marked.filter("is_test"))
 
 
+def _terms_of(t: Tables, model):
+    terms = zip(("intercept", *md.FEATURES), (model.intercept, *model.weights))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.lit(round(w, 2)).alias("weight")) for n, w in terms]))
+    return t.spark.range(1).select(rows.alias("r")).select("r.*")
+
+
+@query("ml02_absolute_fit_recovers_line", f"""
+{_EXAMPLES} select 'intercept' as term, 5.0::double as weight union all select 'current_delay_s', 1.0
+union all select 'stops_remaining', 3.0 union all select 'active_alert_flag', -20.0""")
+def _(t):
+    """A line with an hour's error in every seventh example: a fit by squares would follow those, this one must not."""
+    off = F.when(F.pmod(F.xxhash64("trip_id", "seq"), F.lit(7)) == 0, 3600).otherwise(0)
+    return _terms_of(t, md.fit_least_absolute(t.observations.withColumn("final_delay_s", F.expr(f"5 + {_SIMPLE}") + off)))
+
+
 @query("agg35_model_error", f"""
 {_EXAMPLES} select round(avg(abs(final_delay_s - (10 + 0.5::double * current_delay_s + 2 * stops_remaining
  - 4 * cast(active_alert_flag as integer)))), 6) as model_mae, round(avg(abs(final_delay_s - current_delay_s)), 6) as baseline_mae,
@@ -696,6 +741,21 @@ def _(t):
                                    F.lit(g.test_examples).alias("test_examples"))
 
 
+@query("ml04_gate_decisions", f"""
+{_EXAMPLES}, n as (select count(*) filter (not is_test) as train_examples, count(*) filter (is_test) as test_examples from mk)
+select 'line' as kind, true as passed, train_examples, test_examples from n
+union all select 'unchanged', false, train_examples, test_examples from n""")
+def _(t):
+    """A model that explains the delay beats the baseline; where the delay just stays as it is, none can."""
+    examples = _examples(t)
+    gates = [(kind, md.train_and_gate(examples.withColumn("final_delay_s", F.expr(e).cast("bigint")), 300))
+             for kind, e in (("line", f"5 + {_SIMPLE}"), ("unchanged", "current_delay_s"))]
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(k).alias("kind"), F.lit(g.passed).alias("passed"), F.lit(g.train_examples).cast("bigint").alias("train_examples"),
+        F.lit(g.test_examples).cast("bigint").alias("test_examples")) for k, g in gates]))
+    return t.spark.range(1).select(rows.alias("r")).select("r.*")
+
+
 _SCORE = "10 + 0.5::double * current_delay_s + 2 * stops_remaining - 4 * cast(active_alert_flag as integer)"
 
 

@@ -9,18 +9,37 @@ from pyspark.sql import functions as F
 
 from signalbox.functions import punctuality as pu
 from signalbox.functions.gtfstime import service_date
+from signalbox.operators import completion as co
 from signalbox.operators import feeds as fd
 from signalbox.operators import model as md
 from signalbox.operators import rollups as ro
 from signalbox.operators import schedule as sc
 from signalbox.plans.archive_queries import _LOCAL_DAY, _STORED, _completion_events, _text
 from signalbox.plans.canonical import Tables
-from signalbox.plans.feed_queries import merged
+from signalbox.plans.feed_queries import _TU_ENTITIES, merged
 from signalbox.plans.registry import query
 from signalbox.plans.schedule_queries import NEXT_DAY, _active, _today
-from signalbox.plans.state_queries import _ARRIVALS, _LINE, COAST, EVICT, KEEP, _cycles, _dwell_states, _outcomes, _resolved_sql, _touches
+from signalbox.plans.state_queries import (
+    _ARRIVALS,
+    _LINE,
+    COAST,
+    CYCLE_S,
+    EVICT,
+    KEEP,
+    TRIP_KEPT_S,
+    TRIP_LOST_S,
+    _cycles,
+    _dwell_states,
+    _outcomes,
+    _resolved_sql,
+    _streamed_completion_sql,
+    _termini,
+    _touches,
+    _update_rows,
+)
+from signalbox.schemas import EVENT_TABLES
 from signalbox.session import scratch_path
-from signalbox.sources import store
+from signalbox.sources import captures, store
 from signalbox.streaming import jobs, trips
 
 NOW = datetime(2024, 1, 16, 2, 0, tzinfo=timezone.utc)  # 13:00 local on a Tuesday
@@ -143,14 +162,15 @@ def _(t):
         "trip_id", "stop_id", "direction_id", "at_s")
 
 
-@query("str06_completion_stream")
+@query("str06_completion_stream", _streamed_completion_sql())
 def _(t):
-    outcome = F.when(F.col("k") % 25 == 0, "cancelled").when(F.col("k") % 7 == 0, "on_time")
-    rows = lambda r: r.select(
-        F.col("user_id").cast("string").alias("trip_id"), "at_s", "ev", F.lit(True).alias("has_terminus"),
-        F.lit("2024").alias("service_date"), F.lit("R").alias("route_id"), outcome.alias("outcome"),
-        F.col("at_s").alias("actual_s"), F.col("k").alias("delay_seconds"))
-    return _stream(t, lambda r: trips.completions(rows(r), timeout_s=259_200, retention_s=345_600, bucket_s=SPARSE_S))
+    """Trip updates against the trips' own termini; a gap ends at its time-out."""
+    known = co.candidate_rows(_update_rows(t), _termini(t)).select(
+        "trip_id", F.col("at").alias("at_s"), F.timestamp_seconds("at").alias("ev"), "has_terminus", F.col("service_date").cast("string").alias("service_date"),
+        "route_id", "outcome", F.unix_seconds("actual_arrival").alias("actual_s"), F.col("delay_seconds").cast("bigint").alias("delay_seconds"))
+    found = _played(t, known, "has_terminus", lambda rows: trips.completions(
+        rows, timeout_s=TRIP_LOST_S, retention_s=TRIP_KEPT_S, bucket_s=SPARSE_S))
+    return found.select("trip_id", "route_id", "service_date", "finalized_s", "status", "delay_seconds")
 
 
 @query("str09_headway_stream", f"""
@@ -166,6 +186,33 @@ def _(t):
     return found.withColumn("average_headway_seconds", F.round("average_headway_seconds", 6))
 
 
+@query("snk01_discrepancy_event_stream", f"""
+with t as (select *, ts_us // 21600000000 as cycle from ({_TU_ENTITIES})
+  qualify row_number() over (partition by cycle, trip_id order by ts_us desc, pos desc) = 1),
+ v as (select ts_us // 21600000000 as cycle, cast(user_id as varchar) as trip_id,
+   case when k % 10 <> 0 then 'R'||(user_id % 20)||':' end as vr from v_events where event_type in ('view', 'click')
+  qualify row_number() over (partition by ts_us // 21600000000, user_id order by ts_us desc) = 1),
+ j as (select v.*, t.route_id, t.trip_id is not null as both from v left join t on t.cycle = v.cycle and t.trip_id = v.trip_id)
+select cycle * 21600 as observed_s, trip_id, 'vp_without_tu' as discrepancy_type, null::varchar as tu_value, vr as vp_value from j where not both
+union all select cycle * 21600, trip_id, 'route_id_mismatch', route_id, vr from j where both and vr <> route_id
+union all select cycle * 21600, trip_id, 'start_time_mismatch', '08:00:00', '' from j where both""")
+def _(t):
+    """Captured polls of both feeds as files that arrive half by half; merged, compared, and appended to their days."""
+    spark, (path, base, done) = t.spark, (scratch_path(t.spark, n) for n in ("captures", "history", "capture-checkpoint"))
+    polls = t.update_captures.unionByName(t.vehicle_captures)
+    ends = t.polls.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
+    instant = lambda us: datetime.fromtimestamp(us / 1_000_000, timezone.utc)
+    cuts = [ends.a, (ends.a + ends.b) // 2, ends.b + 1_000_000]
+    for start, end in zip(cuts, cuts[1:]):
+        captures.time_slice(polls, instant(start), instant(end)).write.mode("append").json(path)
+        jobs.discrepancy_stream(captures.stream_captures(spark, path), base, done, f"{CYCLE_S} seconds").awaitTermination()
+    late = F.date_format(F.lit(instant(ends.b)) + F.expr(f"interval {END_DAYS} days"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    polls.limit(1).withColumns({"fetch_timestamp": late, "feed": F.col("feed").withField("entity", F.slice("feed.entity", 1, 0))}).write.mode("append").json(path)
+    jobs.discrepancy_stream(captures.stream_captures(spark, path), base, done, f"{CYCLE_S} seconds").awaitTermination()
+    found = store.read_table(spark, store.table_path(base, "discrepancy_events"), f"{EVENT_TABLES['discrepancy_events']}, service_date date")
+    return found.select(F.unix_seconds("observed_at").alias("observed_s"), "trip_id", "discrepancy_type", "tu_value", "vp_value")
+
+
 def _lifecycle_rows(t: Tables, outcomes=None):
     """Cycles, touches and known outcomes of the whole table as one stream's rows."""
     rows = _cycles(t).select("at", F.lit(trips.CYCLE).alias("kind"), "backoff").unionByName(

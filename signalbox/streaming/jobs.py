@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from signalbox.functions.gtfstime import ZONE, service_date_of
 from signalbox.operators import rollups as ro
-from signalbox.operators.feeds import snapshot_diff
+from signalbox.operators.feeds import MISMATCH_FIELDS, discrepancies, snapshot_diff
 from signalbox.session import checkpointed
 from signalbox.sources import store
 
@@ -35,6 +35,34 @@ def append_stream(events: DataFrame, base: str, table: str, at: str, checkpoint:
     ).start()
 
 
+def merged_cycles(polls: DataFrame, width: str = "10 seconds") -> DataFrame:
+    """Both feeds' fields of each trip per poll cycle, from captured polls of either feed (``captures.stream_captures``).
+
+    The last entity of a trip in a cycle wins on each side. A cycle comes out when the watermark has passed it; one row per
+    trip and open cycle is kept until then.
+    """
+    sides = {"_t": F.col("_e.trip_update.trip"), "_v": F.col("_e.vehicle.trip")}
+    named = F.array_compact(F.array(*[F.when(trip["trip_id"].isNotNull(), F.struct(
+        trip["trip_id"].alias("trip_id"), F.lit(side).alias("side"), F.struct(*[trip[f].alias(f) for f in MISMATCH_FIELDS]).alias("fields"),
+        F.col("_e.vehicle.position.latitude").alias("lat"), F.col("_e.vehicle.position.longitude").alias("lon"),
+    )) for side, trip in sides.items()]))
+    rows = polls.select("fetched_at", F.posexplode("feed.entity").alias("_pos", "_e")).select(
+        "fetched_at", "_pos", F.explode(named).alias("_r"))
+    place = lambda side: F.when(F.col("_r.side") == side, F.struct("fetched_at", "_pos"))
+    latest = rows.groupBy(F.window("fetched_at", width).alias("_w"), F.col("_r.trip_id").alias("trip_id")).agg(
+        F.max_by("_r", place("_t")).alias("_t"), F.max_by("_r", place("_v")).alias("_v"))
+    return latest.select(
+        F.col("_w.start").alias("cycle_at"), "trip_id", *[F.col(f"_t.fields.{f}").alias(f) for f in MISMATCH_FIELDS],
+        *[F.col(f"_v.fields.{f}").alias(f"vp_{f}") for f in MISMATCH_FIELDS], F.col("_v.lat").alias("lat"), F.col("_v.lon").alias("lon"),
+        F.col("_t").isNotNull().alias("in_tu"), F.col("_v").isNotNull().alias("in_vp"))
+
+
+def discrepancy_stream(polls: DataFrame, base: str, checkpoint: str, width: str = "10 seconds", **trigger) -> StreamingQuery:
+    """From captured polls to stored events: merge each cycle, compare the feeds, append what differs to its day."""
+    events = discrepancies(merged_cycles(polls, width)).withColumnRenamed("cycle_at", "observed_at")
+    return append_stream(events, base, "discrepancy_events", "observed_at", checkpoint, **trigger)
+
+
 def window_counts(events: DataFrame, at: str, label: str, width: str = "5 minutes") -> DataFrame:
     """Events per time window and label; closes with the watermark of the input."""
     return events.groupBy(F.window(at, width).alias("w"), label).agg(F.count(F.lit(1)).alias("n")).select(

@@ -354,7 +354,7 @@ class Completion(_Keyed):
 
     def expiry(self, state):
         if state.get("final") is not None:
-            return state["final"] + self.retention_s
+            return state["final"] + self.retention_s + 1  # a row of that very second is still passed over
         return state["touched"] + self.timeout_s if state.get("touched") is not None else None
 
     def expire(self, key, now_s, state, out):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from signalbox.operators.ordered import exact_quantiles, nearest_instant, ordered_scan
+from signalbox.operators.ordered import exact_quantiles, global_rank, greedy_chain, nearest_instant, ordered_scan
 from tests.conftest import rows
 
 
@@ -57,3 +57,36 @@ def test_nearest_instant(spark):
     q = spark.createDataFrame([(5,), (20,), (100,), (5,)], "q long")
     p = spark.createDataFrame([(4,), (20,), (7200,)], "p long")
     assert rows(nearest_instant(q, "q", p, "p")) == [(100, 20, 7200), (20, 20, 20), (5, 4, 20)]
+
+
+def test_global_rank_where_most_rows_tie(spark):
+    rng = random.Random(4)
+    data = [(0 if rng.random() < 0.8 else rng.randrange(50), i) for i in rng.sample(range(10_000), 3000)]
+    got = global_rank(spark.createDataFrame(data, "age long, pos long").repartition(5), ["age", "pos"], "place")
+    ranges = got.select("place", "age", "pos").orderBy("place").collect()
+    assert [(r.age, r.pos) for r in ranges] == sorted(data) and [r.place for r in ranges] == list(range(1, 3001))
+
+
+def test_chain_of_choices_on_a_hot_key(spark):
+    """One key with a third of all rows and no gap, so that its chain is one long stretch; varying waits."""
+    rng = random.Random(5)
+    given = [("hot", at, at + rng.randint(3, 40)) for at in range(0, 1200)]
+    given += [(f"k{n}", at, at + rng.randint(1, 300)) for n in range(80) for at in rng.sample(range(4000), 30)]
+    want = []
+    for key in {r[0] for r in given}:
+        free = None
+        for _, at, then in sorted(r for r in given if r[0] == key):
+            if free is None or at >= free:
+                want.append((key, at))
+                free = then
+    df = spark.createDataFrame(given, "k string, at long, then long")
+    got = greedy_chain(df, ["k"], "at", F.col("then"), chunk_s=100)
+    assert sorted((r.k, r.at) for r in got.collect()) == sorted(want)
+
+
+def test_greatest_value_before(spark):
+    rng = random.Random(6)
+    given = [("a", i, rng.randrange(100) if i % 3 else None) for i in range(200)] + [("b", 5, 1)]
+    got = ordered_scan(spark.createDataFrame(given, "k string, i long, v long"), ["k"], ["i"], F.floor(F.col("i") / 7), maxes_before={"m": "v"})
+    for r in got.collect():
+        assert r.m == max((v for k, i, v in given if k == r.k and i < r.i and v is not None), default=None)
