@@ -192,10 +192,10 @@ with t as (select *, ts_us // 21600000000 as cycle from ({_TU_ENTITIES})
  v as (select ts_us // 21600000000 as cycle, cast(user_id as varchar) as trip_id,
    case when k % 10 <> 0 then 'R'||(user_id % 20)||':' end as vr from v_events where event_type in ('view', 'click')
   qualify row_number() over (partition by ts_us // 21600000000, user_id order by ts_us desc) = 1),
- j as (select v.*, t.route_id, t.trip_id is not null as both from v left join t on t.cycle = v.cycle and t.trip_id = v.trip_id)
-select cycle * 21600 as observed_s, trip_id, 'vp_without_tu' as discrepancy_type, null::varchar as tu_value, vr as vp_value from j where not both
-union all select cycle * 21600, trip_id, 'route_id_mismatch', route_id, vr from j where both and vr <> route_id
-union all select cycle * 21600, trip_id, 'start_time_mismatch', '08:00:00', '' from j where both""")
+ j as (select v.*, t.route_id, t.trip_id is not null as paired from v left join t on t.cycle = v.cycle and t.trip_id = v.trip_id)
+select cycle * 21600 as observed_s, trip_id, 'vp_without_tu' as discrepancy_type, null::varchar as tu_value, vr as vp_value from j where not paired
+union all select cycle * 21600, trip_id, 'route_id_mismatch', route_id, vr from j where paired and vr <> route_id
+union all select cycle * 21600, trip_id, 'start_time_mismatch', '08:00:00', '' from j where paired""")
 def _(t):
     """Captured polls of both feeds as files that arrive half by half; merged, compared, and appended to their days."""
     spark, (path, base, done) = t.spark, (scratch_path(t.spark, n) for n in ("captures", "history", "capture-checkpoint"))

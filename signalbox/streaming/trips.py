@@ -100,17 +100,24 @@ class _Keyed(StatefulProcessor):
         due = state.pop("_due", None)  # a timer that stands for the end of the state
         self.release(key, rows, end_s, state, out)
         due = due if due is not None and due > end_s else None
-        ends = self.expiry(state) if state else None
-        if ends is not None:
-            after = (int(ends // self.bucket_s) + 1) * self.bucket_s
-            if due is None or after < due:
-                due = after
-                self.handle.registerTimer(due * 1000)
+        passed_s = timerValues.getCurrentWatermarkInMs() // 1000
+        while state and (ends := self.expiry(state)) is not None:
+            bucket = int(ends // self.bucket_s)
+            after = (bucket + 1) * self.bucket_s
+            if after > passed_s:
+                if due is None or after < due:
+                    due = after
+                    self.handle.registerTimer(due * 1000)
+                break
+            # the watermark is past it already, and a timer set now would wait for the next batch
+            if any(waiting <= bucket for (waiting,) in self.parts.keys()):
+                break  # rows come first; their own timer follows in this batch
+            self.expire(key, ends, state, out)
         if state and due is not None:
             state["_due"] = due
         self.save(state)
         for row in out:
-            self.stamp(row, max(end_s * 1000, timerValues.getCurrentWatermarkInMs()))
+            self.stamp(row, max(end_s, passed_s) * 1000)
         yield from self.frame(out)
 
     def release(self, key, rows, end_s, state, out) -> None:
