@@ -208,8 +208,9 @@ def scheduled_departures(
 ) -> DataFrame:
     """Every call of today's trips after ``now``, once per station it belongs to."""
     seconds = gtfs_seconds(F.coalesce("departure_time", "arrival_time"))
+    # today's trips are few among all dates: times are only worked out for their calls
     calls = (
-        stop_times.select("trip_id", "stop_id", scheduled_instant(F.lit(day), seconds).alias("scheduled_at"))
+        stop_times.join(trips_today.select("trip_id"), "trip_id", "left_semi").select("trip_id", "stop_id", scheduled_instant(F.lit(day), seconds).alias("scheduled_at"))
         .filter(F.col("scheduled_at") > now)
         .join(trips_today.select("trip_id", "route_id", "direction_id", "headsign"), "trip_id")
     )
