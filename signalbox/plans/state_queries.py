@@ -633,7 +633,7 @@ def _(t):
     counts = parts["counts"].withColumn("_one", F.lit(1))
     cancelled = parts["cancelled"].agg(F.count(F.lit(1)).alias("cancelled"), one)
     alerts = parts["alerts"].agg(F.count(F.lit(1)).alias("alerts"), one)
-    return counts.join(cancelled, "_one").join(alerts, "_one").drop("_one")
+    return counts.join(F.broadcast(cancelled), "_one").join(F.broadcast(alerts), "_one").drop("_one")  # one row each
 
 
 # --- model ---

@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 SPREAD = (
     "agg03_line_day_rollup", "agg04_hour_day_rollup", "win03_next_per_direction", "join10_live_overlay", "agg14_skip_stop_counts",
     "win05_header_changes", "agg18_cadence", "join16_coverage", "str02_ghost_episodes", "str06_trip_completions", "join20_labelled_observations",
+    "join11_alert_match", "win08_rolling_headway", "src08_archive_ingest", "str05_resolved_episodes", "str02_ghost_stream", "str06_completion_stream", "snk01_discrepancy_event_stream",
 )
 
 
