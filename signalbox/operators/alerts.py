@@ -138,6 +138,27 @@ def match_by_shape(alerts: DataFrame, requests: DataFrame, now: Column, key: str
     return pairs.join(by_rule, ["_rs", "id"], "left_anti").select(key, "id"), classes
 
 
+def alike(alerts: DataFrame, now: Column, value: Column) -> DataFrame:
+    """Active alerts with the same informed entities as one, with their number ``n`` and the sum ``s`` of ``value``.
+
+    What matches one of them matches all. The rows are alerts to ``match_by_shape``: their ``id`` stands for the entities. Rows of
+    one alert id are one alert, with the entities of all of them.
+    """
+    axes = lambda e: F.struct(*[e[a].alias(a) for a in AXES])
+    nothing = F.struct(*[F.lit(None).cast(t).alias(a) for a, t in zip(AXES, ("string", "string", "int"))])
+    whole = F.when(F.size("informed_entities") == 0, F.array(nothing)).otherwise(F.transform("informed_entities", axes))
+    each = alerts.filter(is_active(now)).select("id", value.alias("_value"), whole.alias("_e")).groupBy("id").agg(
+        F.first("_value").alias("_value"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_e")))).alias("informed_entities"))
+    periods = F.array().cast("array<struct<start_at: timestamp, end_at: timestamp>>")
+    return each.groupBy("informed_entities").agg(F.count(F.lit(1)).alias("n"), F.sum("_value").alias("s")).select(
+        F.to_json("informed_entities", {"ignoreNullFields": "false"}).alias("id"), periods.alias("active_periods"), "informed_entities", "n", "s")
+
+
+def asked() -> Column:
+    """What a request asks for, as one value: equal for requests that the same alerts match."""
+    return F.to_json(F.struct(*AXES), {"ignoreNullFields": "false"})
+
+
 def match_alerts(alerts: DataFrame, requests: DataFrame, now: Column, key: str = "request_id") -> DataFrame:
     """(request, alert id) for many requests, written out in full: with many requests, work on ``match_by_shape`` instead."""
     pairs, classes = match_by_shape(alerts, requests, now, key)

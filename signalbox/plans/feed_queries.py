@@ -11,6 +11,7 @@ from signalbox.operators import quality as qu
 from signalbox.operators import schedule as sc
 from signalbox.plans.canonical import FEED_NOW, Tables, epoch, ts
 from signalbox.plans.registry import query
+from signalbox.session import checkpointed
 
 CYCLE_US = 21_600_000_000
 SHIFT_S = 806_198_400  # moves January 2024 onto the timetable's June/July 1998
@@ -552,13 +553,18 @@ def _(t):
     requests = t.latest_snapshots.select(
         F.col("trip_id").alias("request_id"), "route_id", F.get("stop_time_updates", 0)["stop_id"].alias("stop_id"),
         (F.col("trip_id").cast("bigint") % 2).cast("int").alias("direction_id"))
-    pairs, classes = al.match_by_shape(t.alert_rows, requests, _now())
+    # alerts of the same entities and requests for the same are each matched as one: pairs grow with what is named, not with the rows
     value = F.col("id").cast("bigint")
-    own = pairs.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    groups = checkpointed(al.alike(t.alert_rows, _now(), value))
+    kinds = checkpointed(requests.select(*al.AXES).distinct().withColumn("request_id", al.asked()))
+    pairs, classes = al.match_by_shape(groups, kinds, _now())
+    totals = groups.select("id", "n", "s")
+    own = pairs.join(totals, "id").groupBy(F.col("request_id").alias("asked")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
     # one row per shape of requests, eight at most
-    common = classes.groupBy("shape").agg(F.count(F.lit(1)).alias("_cn"), F.sum(value).alias("_cs"))
+    common = classes.join(totals, "id").groupBy("shape").agg(F.sum("n").alias("_cn"), F.sum("s").alias("_cs"))
     zero = F.lit(0).cast("bigint")
-    counted = requests.select("request_id", al.shape_of().alias("shape")).join(F.broadcast(common), "shape", "left").join(own, "request_id", "left")
+    counted = requests.select("request_id", al.asked().alias("asked"), al.shape_of().alias("shape")).join(
+        F.broadcast(common), "shape", "left").join(own, "asked", "left")
     return counted.select(
         "request_id", (F.coalesce("_n", zero) + F.coalesce("_cn", zero)).alias("alerts"), (F.coalesce("_s", zero) + F.coalesce("_cs", zero)).alias("pos_sum"),
     ).filter("alerts > 0")

@@ -175,3 +175,24 @@ def test_last_dwell_option(spark):
 def test_declared_capture_schema_keeps_quoted_numbers(spark):
     raw = spark.createDataFrame([(json.dumps(poll(0, tu("a"))),)], "j string").select(F.from_json("j", CAPTURE).alias("c"))
     assert raw.select("c.feed.header.timestamp").first()[0] == "1000"
+
+
+def test_alike_alerts_and_requests_are_matched_as_one(spark):
+    """Totals per request without a row per (request, alert): the pairs do not grow with alerts of the same entities."""
+    entity = "struct<route_id: string, stop_id: string, direction_id: int>"
+    schema = f"id string, active_periods array<struct<start_at: timestamp, end_at: timestamp>>, informed_entities array<{entity}>"
+    sets = [[], [("R1", None, None)], [("R1", None, None), (None, "S1", None)], [(None, None, 1)], [("R2", "S1", 0)]]
+    data = [(str(n), [], sets[n % 5]) for n in range(50)] + [("3", [], [("R2", None, None)])]  # a second row of alert 3
+    alerts = spark.createDataFrame(data, schema)
+    asks = [(str(n), ("R1", "R2", None)[n % 3], ("S1", "S2")[n % 2], n % 2) for n in range(60)]
+    requests = spark.createDataFrame(asks, "request_id string, route_id string, stop_id string, direction_id int")
+    value = F.col("id").cast("bigint")
+    want = rows(al.match_alerts(alerts, requests, at(18)).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s")))
+    groups = al.alike(alerts, at(18), value)
+    kinds = requests.select(*al.AXES).distinct().withColumn("request_id", al.asked())
+    assert kinds.count() == 6 and groups.count() == 6  # five sets, and alert 3 with that of its second row
+    pairs, classes = al.match_by_shape(groups, kinds, at(18))
+    assert pairs.count() <= 6 * 6
+    common = classes.withColumnRenamed("shape", "_rs").join(kinds.withColumn("_rs", al.shape_of()), "_rs").select("request_id", "id")
+    found = pairs.unionByName(common).join(groups, "id").groupBy(F.col("request_id").alias("asked")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    assert rows(requests.withColumn("asked", al.asked()).join(found, "asked"), "request_id", "n", "s") == want
