@@ -46,6 +46,7 @@ NOW = datetime(2024, 1, 16, 2, 0, tzinfo=timezone.utc)  # 13:00 local on a Tuesd
 
 
 SLICES, SLICE_ROWS = 3, 5_000_000  # at least so many slices, at most about so many rows in one
+SHARD_ROWS, SHARDS = 50_000, 16  # rows of a table for one shard of keys; at least so many shards
 SPARSE_S = 21_600  # rows of a key are hours apart in these tables, so its buckets are wider
 END_DAYS = 30  # beyond every time-out and retention of the queries
 
@@ -61,7 +62,8 @@ def _played(t: Tables, table: DataFrame, kinds: str, build, ended: bool = True,
     spark = trips.use_state_store(t.spark)
     staged, arriving, path, done = (scratch_path(spark, name) for name in ("staged", "arriving", "stream", "stream-checkpoint"))
     at = F.unix_micros("ev")
-    slices = max(SLICES, -(-table.count() // SLICE_ROWS))
+    n = table.count()
+    slices, shards = max(SLICES, -(-n // SLICE_ROWS)), max(SHARDS, -(-n // SHARD_ROWS))
     cuts = table.select(at.alias("at")).stat.approxQuantile("at", [i / slices for i in range(1, slices)], 0.01 / slices)
     cut = sum((F.when(at > int(c), 1).otherwise(0) for c in cuts), F.lit(0))
     table.withColumn("_slice", cut).write.partitionBy("_slice").parquet(staged)
@@ -71,7 +73,7 @@ def _played(t: Tables, table: DataFrame, kinds: str, build, ended: bool = True,
     def run():
         nonlocal out
         if out is None:  # the folder is there now
-            out = build(spark.readStream.schema(table.schema).parquet(arriving).withWatermark("ev", delay))
+            out = build(spark.readStream.schema(table.schema).parquet(arriving).withWatermark("ev", delay), shards)
         out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", done).trigger(
             availableNow=True).start(path).awaitTermination()
 
@@ -113,7 +115,7 @@ def _feed():
 @query("str01_header_content_stream", _CONTENT)
 def _(t):
     header = (F.floor(F.col("at_s") / 3600) * 3600).cast("bigint")
-    return _stream(t, lambda rows: trips.header_changes(rows.select(_feed().alias("feed"), "at_s", header.alias("header"), "ev"), SPARSE_S))
+    return _stream(t, lambda rows, shards: trips.header_changes(rows.select(_feed().alias("feed"), "at_s", header.alias("header"), "ev"), SPARSE_S, shards))
 
 
 @query("str01_header_content_batch", _CONTENT)
@@ -131,8 +133,8 @@ select cast(user_id as varchar) as trip_id, unnest(list_reduce(l, lambda acc, x:
  then list_prepend(x, acc) else acc end, [-1000000000])[:-2]) as at_s from s""")
 def _(t):
     wanted = F.col("event_type").isin("purchase", "signup")
-    return _stream(t, lambda rows: trips.paced(
-        rows.filter(wanted).select(F.col("user_id").cast("string").alias("trip_id"), "at_s", "ev"), 43_200, SPARSE_S))
+    return _stream(t, lambda rows, shards: trips.paced(
+        rows.filter(wanted).select(F.col("user_id").cast("string").alias("trip_id"), "at_s", "ev"), 43_200, SPARSE_S, shards))
 
 
 @query("str10_edge_trigger_stream", """
@@ -141,8 +143,8 @@ select trip_id, discrepancy_type, cycle from (select *, lag(cycle) over (partiti
 where p is null or cycle - p > 1""")
 def _(t):
     cycle = F.floor(F.col("at_s") / 21_600).cast("bigint")
-    return _stream(t, lambda rows: trips.newly_raised(rows.select(
-        F.col("user_id").cast("string").alias("trip_id"), F.col("event_type").alias("discrepancy_type"), cycle.alias("cycle"), "at_s", "ev"), keep_s=2 * 21_600, bucket_s=SPARSE_S))
+    return _stream(t, lambda rows, shards: trips.newly_raised(rows.select(
+        F.col("user_id").cast("string").alias("trip_id"), F.col("event_type").alias("discrepancy_type"), cycle.alias("cycle"), "at_s", "ev"), keep_s=2 * 21_600, bucket_s=SPARSE_S, shards=shards))
 
 
 @query("str09_dwell_stream", """
@@ -158,7 +160,7 @@ def _(t):
         F.concat(F.lit("S"), (F.col("k") % 3).cast("string")).alias("at_stop_id"), F.lit("R").alias("route_id"),
         (F.col("user_id") % 2).cast("int").alias("direction_id"))
     first = t.polls.agg(F.floor(F.min("ts_us") / 1_000_000).alias("s")).first().s
-    return _stream(t, lambda rows: trips.arrivals(states(rows), first, 172_800, SPARSE_S)).select(
+    return _stream(t, lambda rows, shards: trips.arrivals(states(rows), first, 172_800, SPARSE_S, shards)).select(
         "trip_id", "stop_id", "direction_id", "at_s")
 
 
@@ -168,8 +170,8 @@ def _(t):
     known = co.candidate_rows(_update_rows(t), _termini(t)).select(
         "trip_id", F.col("at").alias("at_s"), F.timestamp_seconds("at").alias("ev"), "has_terminus", F.col("service_date").cast("string").alias("service_date"),
         "route_id", "outcome", F.unix_seconds("actual_arrival").alias("actual_s"), F.col("delay_seconds").cast("bigint").alias("delay_seconds"))
-    found = _played(t, known, "has_terminus", lambda rows: trips.completions(
-        rows, timeout_s=TRIP_LOST_S, retention_s=TRIP_KEPT_S, bucket_s=SPARSE_S))
+    found = _played(t, known, "has_terminus", lambda rows, shards: trips.completions(
+        rows, timeout_s=TRIP_LOST_S, retention_s=TRIP_KEPT_S, bucket_s=SPARSE_S, shards=shards))
     return found.select("trip_id", "route_id", "service_date", "finalized_s", "status", "delay_seconds")
 
 
@@ -182,7 +184,8 @@ def _(t):
     """Dwells per trip, then the last arrivals per stop, route and direction: two stateful operators in one stream."""
     states = _dwell_states(t).withColumnRenamed("at", "at_s").withColumn("ev", F.timestamp_seconds("at_s"))
     first = states.agg(F.min("at_s").alias("s")).first().s
-    found = _played(t, states, "status", lambda rows: trips.rolling_headways(trips.arrivals(rows, first, bucket_s=SPARSE_S), bucket_s=SPARSE_S))
+    found = _played(t, states, "status", lambda rows, shards: trips.rolling_headways(
+        trips.arrivals(rows, first, bucket_s=SPARSE_S, shards=shards), bucket_s=SPARSE_S, shards=shards))
     return found.withColumn("average_headway_seconds", F.round("average_headway_seconds", 6))
 
 
@@ -227,8 +230,8 @@ def _lifecycle_rows(t: Tables, outcomes=None):
 
 def _ghost_stream(t: Tables, outcomes=None):
     """Polls of a cycle are hours apart here, so buckets hold a day."""
-    build = lambda rows: trips.ghost_episodes(
-        rows, coasting_s=COAST, max_age_s=EVICT, retention_s=KEEP, shards=int(t.spark.conf.get("spark.sql.shuffle.partitions")), bucket_s=86_400)
+    build = lambda rows, shards: trips.ghost_episodes(
+        rows, coasting_s=COAST, max_age_s=EVICT, retention_s=KEEP, shards=shards, bucket_s=86_400)
     return _played(t, _lifecycle_rows(t, outcomes), "kind", build)
 
 
@@ -252,7 +255,7 @@ def _(t):
 select ts_us // 3600000000 * 3600 as window_start_s, event_type, count(*) as n from v_events
 where ts_us // 3600000000 * 3600 + 3600 <= (select max(ts_us) // 1000000 - 1800 from v_events) group by all""")
 def _(t):
-    counted = _stream(t, lambda rows: jobs.window_counts(rows, "ev", "event_type", "1 hour"), ended=False)
+    counted = _stream(t, lambda rows, _: jobs.window_counts(rows, "ev", "event_type", "1 hour"), ended=False)
     return counted.select(F.unix_timestamp("window_start").alias("window_start_s"), "event_type", "n")
 
 

@@ -1,9 +1,9 @@
 """Keyed streaming state: lifecycle, completion, pacing, dwell, headway and edge triggers.
 
-Rows of a key wait in state by buckets of event time. Each bucket has a timer of its own, and when the watermark has
+Keys are dealt to shards, and a shard's rows wait in state by buckets of event time. Each bucket has a timer of its own, and when the watermark has
 passed its end, its rows are taken out and applied in event-time order, whatever order files and micro-batches brought them in;
-what arrives within the declared delay is never out of place. The work of a call is bounded by the rows of one bucket. Each
-processor otherwise keeps a few numbers per key. They need the RocksDB state store (``use_state_store``) and an upstream
+what arrives within the declared delay is never out of place. The work of a call is bounded by the rows of one bucket and
+the live keys of one shard. Each processor otherwise keeps a few numbers per key. They need the RocksDB state store (``use_state_store``) and an upstream
 watermark; what a key keeps ends at a bucket's end too, so nothing grows with the length of the stream.
 """
 
@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from signalbox.operators.observe import OBSERVATION_INTERVAL_S
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKET_S = 3600
+SHARDS = 64
 
 
 def use_state_store(spark: SparkSession) -> SparkSession:
@@ -38,10 +40,21 @@ def _plain(value):
     return value.item() if hasattr(value, "item") else str(value)
 
 
+def _values(column: pd.Series) -> list:
+    """A column as plain values, missing ones None."""
+    if not column.hasnans:
+        return column.tolist()
+    return [None if gone else v for v, gone in zip(column.tolist(), column.isna())]
+
+
 class _Keyed(StatefulProcessor):
-    """Rows that wait in buckets for the watermark, and one JSON value of state."""
+    """A shard of keys: rows that wait in buckets for the watermark, and one JSON value with the states of the shard's keys.
+
+    A call to the state store costs far more than a row, so it is made per shard and bucket, not per key.
+    """
 
     columns: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()
     bucket_s = BUCKET_S
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,8 +69,8 @@ class _Keyed(StatefulProcessor):
         self.loaded = held[0] if held else None
         return json.loads(held[0]) if held else {}
 
-    def save(self, state: dict[str, Any]) -> None:
-        data = json.dumps(state) if state else None
+    def save(self, states: dict[tuple, dict], due: int | None) -> None:
+        data = json.dumps({"due": due, "of": list(states.items())}) if states else None
         if data is None and self.loaded is not None:
             self.value.clear()
         elif data != self.loaded:
@@ -69,24 +82,30 @@ class _Keyed(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:  # one bounded frame after the other
-            buckets: dict[int, list[dict]] = {}
-            for r in part.to_dict("records"):
-                row = {k: (None if pd.isna(v) else v) for k, v in r.items() if k != "ev"}
-                buckets.setdefault(int(row["at_s"]) // self.bucket_s, []).append(row)
-            for bucket, own in buckets.items():
-                held = self.parts.getValue((bucket,))
+            bucket = (part["at_s"] // self.bucket_s).to_numpy().astype("int64")
+            order = np.argsort(bucket, kind="stable")
+            bucket, part = bucket[order], part.iloc[order]
+            named = [c for c in part.columns if not pd.api.types.is_datetime64_any_dtype(part[c])]  # instants are not used
+            values = [_values(part[c]) for c in named]
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                own = int(bucket[start])
+                held = self.parts.getValue((own,))
                 n = held[0] if held else 0
-                self.waiting.updateValue((bucket, n), (json.dumps(own, default=_plain),))
-                self.parts.updateValue((bucket,), (n + 1,))
+                self.waiting.updateValue((own, n), (json.dumps([named, [v[start:end] for v in values]], default=_plain),))
+                self.parts.updateValue((own,), (n + 1,))
                 if not n:
-                    self.handle.registerTimer((bucket + 1) * self.bucket_s * 1000)
+                    self.handle.registerTimer((own + 1) * self.bucket_s * 1000)
         yield from ()
 
     def _take(self, bucket: int) -> list[dict]:
         held = self.parts.getValue((bucket,))
         rows: list[dict] = []
         for part in range(held[0] if held else 0):
-            rows += json.loads(self.waiting.getValue((bucket, part))[0])
+            named, values = json.loads(self.waiting.getValue((bucket, part))[0])
+            rows += [dict(zip(named, r)) for r in zip(*values)]
             self.waiting.removeKey((bucket, part))
         if held:
             self.parts.removeKey((bucket,))
@@ -94,37 +113,43 @@ class _Keyed(StatefulProcessor):
         return rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The bucket that ends now: its rows, then whatever of the state has ended with it."""
+        """The bucket that ends now: its rows, then whatever of the states has ended with it."""
         end_s, out = expiredTimerInfo.getExpiryTimeInMs() // 1000, []
-        rows, state = self._take(end_s // self.bucket_s - 1), self.load()
-        due = state.pop("_due", None)  # a timer that stands for the end of the state
-        self.release(key, rows, end_s, state, out)
+        rows, held = self._take(end_s // self.bucket_s - 1), self.load()
+        states = {tuple(k): s for k, s in held.get("of", ())}
+        due = held.get("due")  # a timer that stands for the end of a state
         due = due if due is not None and due > end_s else None
+        self.release(rows, end_s, states, out)
         passed_s = timerValues.getCurrentWatermarkInMs() // 1000
-        while state and (ends := self.expiry(state)) is not None:
-            bucket = int(ends // self.bucket_s)
-            after = (bucket + 1) * self.bucket_s
-            if after > passed_s:
-                if due is None or after < due:
-                    due = after
-                    self.handle.registerTimer(due * 1000)
-                break
-            # the watermark is past it already, and a timer set now would wait for the next batch
-            if any(waiting <= bucket for (waiting,) in self.parts.keys()):
-                break  # rows come first; their own timer follows in this batch
-            self.expire(key, ends, state, out)
-        if state and due is not None:
-            state["_due"] = due
-        self.save(state)
+        ended_s = passed_s // self.bucket_s * self.bucket_s
+        if states and ended_s > end_s:
+            # the watermark is past these buckets already, and a timer set now would wait for the next batch; where rows wait,
+            # they come first, and their own timer follows in this batch
+            ended_s = min([ended_s, *(bucket * self.bucket_s for (bucket,) in self.parts.keys())])
+        first = None
+        for of in list(states):
+            state = states[of]
+            while state and (ends := self.expiry(state)) is not None:
+                if ends > end_s and ends >= ended_s:
+                    first = ends if first is None else min(first, ends)
+                    break
+                self.expire(of, ends, state, out)
+            if not state:
+                del states[of]
+        if first is not None:
+            after = int(first // self.bucket_s + 1) * self.bucket_s
+            if after > passed_s and (due is None or after < due):
+                due = after
+                self.handle.registerTimer(due * 1000)
+        self.save(states, due)
         for row in out:
             self.stamp(row, max(end_s, passed_s) * 1000)
         yield from self.frame(out)
 
-    def release(self, key, rows, end_s, state, out) -> None:
+    def release(self, rows, end_s, states, out) -> None:
         for row in rows:  # a step itself notices what has ended before its row
-            self.step(key, row, state, out)
-        while state and (ends := self.expiry(state)) is not None and ends <= end_s:
-            self.expire(key, ends, state, out)
+            of = tuple([row[k] for k in self.keys])
+            self.step(of, row, states.setdefault(of, {}), out)
 
     def stamp(self, row: dict, ready_ms: int) -> None:
         """Tell a following stateful operator when the row came out; its own instant is behind the watermark."""
@@ -144,9 +169,13 @@ class _Keyed(StatefulProcessor):
         pass
 
 
-def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str, bucket_s: int, event_time: str = "") -> DataFrame:
-    processor.bucket_s = bucket_s
-    return df.groupBy(*keys).transformWithStateInPandas(
+def _run(
+    df: DataFrame, keys: list[str], processor: _Keyed, schema: str, bucket_s: int, shards: int, event_time: str = ""
+) -> DataFrame:
+    """``shards`` bounds what one call holds, so it should grow with the stream: some ten thousand rows a shard and hour are well."""
+    processor.bucket_s, processor.keys = bucket_s, tuple(keys)
+    dealt = df if keys == ["shard"] else df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName=event_time
     )
 
@@ -159,7 +188,6 @@ EPISODES = (
 )
 #: Rows of the lifecycle: a poll cycle, a trip in a cycle, a known outcome. Outcomes count after the cycle's positions.
 CYCLE, TOUCH, OUTCOME = 0, 1, 2
-SHARDS = 64
 
 
 class _Clock:
@@ -284,27 +312,21 @@ class Lifecycle(_Keyed):
     def __init__(self, coasting_s: float, max_age_s: float, retention_s: float):
         self.coasting_s, self.max_age_s, self.retention_s = coasting_s, max_age_s, retention_s
 
-    def init(self, handle):
-        super().init(handle)
-        self.trips = handle.getMapState("t", "trip_id string", "data string")
-
-    def release(self, key, rows, end_s, state, out):
-        clock = _Clock(state, [r for r in rows if r["kind"] == CYCLE])
+    def release(self, rows, end_s, states, out):
+        """The states are those of the trips; that of the clock has the empty key."""
+        clock = _Clock(states.get((), {}), [r for r in rows if r["kind"] == CYCLE])
         if not clock.last:
             return
-        by_trip: dict[str, list[dict]] = {}
+        by_trip: dict[tuple, list[dict]] = {}
         for r in sorted((r for r in rows if r["kind"] != CYCLE), key=lambda r: (r["at_s"], r["kind"], not r["has_position"])):
-            by_trip.setdefault(r["trip_id"], []).append(r)
-        known = {k[0]: v[0] for k, v in self.trips.iterator()}
-        for trip in sorted(known.keys() | by_trip.keys()):
-            before = known.get(trip)
-            after = _Trip(self, trip, json.loads(before) if before else {}, clock, out).play(by_trip.get(trip, []))
-            if not after:
-                if before:
-                    self.trips.removeKey((trip,))
-            elif (data := json.dumps(after)) != before:
-                self.trips.updateValue((trip,), (data,))
-        state.update(clock.state())
+            by_trip.setdefault((r["trip_id"],), []).append(r)
+        for of in (states.keys() | by_trip.keys()) - {()}:
+            after = _Trip(self, of[0], states.get(of, {}), clock, out).play(by_trip.get(of, []))
+            if after:
+                states[of] = after
+            else:
+                states.pop(of, None)
+        states[()] = clock.state()
 
 
 def ghost_episodes(
@@ -318,7 +340,7 @@ def ghost_episodes(
     own = F.array(F.pmod(F.xxhash64("trip_id"), F.lit(shards)).cast("int"))
     everywhere = F.sequence(F.lit(0), F.lit(shards - 1))
     dealt = rows.withColumn("shard", F.explode(F.when(F.col("kind") == CYCLE, everywhere).otherwise(own)))
-    return _run(dealt, ["shard"], Lifecycle(coasting_s, max_age_s, retention_s), EPISODES, bucket_s)
+    return _run(dealt, ["shard"], Lifecycle(coasting_s, max_age_s, retention_s), EPISODES, bucket_s, shards)
 
 
 # --- completion ---
@@ -373,10 +395,10 @@ class Completion(_Keyed):
 
 def completions(
     rows: DataFrame, *, timeout_s: float = UNDETERMINED_TIMEOUT_S, retention_s: float = FINALIZED_RETENTION_S,
-    bucket_s: int = BUCKET_S,
+    bucket_s: int = BUCKET_S, shards: int = SHARDS,
 ) -> DataFrame:
     """``rows``: trip_id, at_s, has_terminus, service_date (text), route_id, outcome, actual_s, delay_seconds."""
-    return _run(rows, ["trip_id"], Completion(timeout_s, retention_s), OUTCOMES, bucket_s)
+    return _run(rows, ["trip_id"], Completion(timeout_s, retention_s), OUTCOMES, bucket_s, shards)
 
 
 # --- paced observations ---
@@ -399,8 +421,8 @@ class Pacing(_Keyed):
         return state["last"] + self.interval_s if state else None
 
 
-def paced(rows: DataFrame, interval_s: float = OBSERVATION_INTERVAL_S, bucket_s: int = BUCKET_S) -> DataFrame:
-    return _run(rows, ["trip_id"], Pacing(interval_s), PACED, bucket_s)
+def paced(rows: DataFrame, interval_s: float = OBSERVATION_INTERVAL_S, bucket_s: int = BUCKET_S, shards: int = SHARDS) -> DataFrame:
+    return _run(rows, ["trip_id"], Pacing(interval_s), PACED, bucket_s, shards)
 
 
 # --- headway: dwell per trip, then the last arrivals per group ---
@@ -442,8 +464,8 @@ class Headway(_Keyed):
     def __init__(self, keep_s: float):
         self.keep_s = keep_s
 
-    def release(self, key, rows, end_s, state, out):
-        super().release(key, sorted(rows, key=lambda r: (r["at_s"], r["trip_id"])), end_s, state, out)
+    def release(self, rows, end_s, states, out):
+        super().release(sorted(rows, key=lambda r: (r["at_s"], r["trip_id"])), end_s, states, out)
 
     def step(self, key, row, state, out):
         if state and row["at_s"] - state["times"][-1] >= self.keep_s:
@@ -457,17 +479,21 @@ class Headway(_Keyed):
         return state["times"][-1] + self.keep_s if state else None
 
 
-def arrivals(states: DataFrame, first_s: float, retention_s: float = DWELL_RETENTION_S, bucket_s: int = BUCKET_S) -> DataFrame:
+def arrivals(
+    states: DataFrame, first_s: float, retention_s: float = DWELL_RETENTION_S, bucket_s: int = BUCKET_S, shards: int = SHARDS
+) -> DataFrame:
     """``states``: trip_id, at_s, status, at_stop_id, route_id, direction_id.
 
     ``ready_at`` tells when an arrival left this operator; it carries the watermark on to a following one.
     """
-    return _run(states, ["trip_id"], Dwell(first_s, retention_s), ARRIVALS, bucket_s, "ready_at")
+    return _run(states, ["trip_id"], Dwell(first_s, retention_s), ARRIVALS, bucket_s, shards, "ready_at")
 
 
-def rolling_headways(arrived: DataFrame, keep_s: float = HEADWAY_KEPT_S, bucket_s: int = BUCKET_S) -> DataFrame:
+def rolling_headways(
+    arrived: DataFrame, keep_s: float = HEADWAY_KEPT_S, bucket_s: int = BUCKET_S, shards: int = SHARDS
+) -> DataFrame:
     """``arrived``: the stream that ``arrivals`` gives, with buckets of the same size."""
-    return _run(arrived, ["stop_id", "route_id", "direction_id"], Headway(keep_s), HEADWAYS, bucket_s)
+    return _run(arrived, ["stop_id", "route_id", "direction_id"], Headway(keep_s), HEADWAYS, bucket_s, shards)
 
 
 # --- edge triggers and header dedupe ---
@@ -508,11 +534,11 @@ class HeaderChange(_Keyed):
         out.append(dict(zip(self.columns, (key[0], row["at_s"], row["header"], state["content"], changed))))
 
 
-def newly_raised(rows: DataFrame, keep_s: float = 3600, bucket_s: int = BUCKET_S) -> DataFrame:
+def newly_raised(rows: DataFrame, keep_s: float = 3600, bucket_s: int = BUCKET_S, shards: int = SHARDS) -> DataFrame:
     """``rows``: trip_id, discrepancy_type, cycle, at_s."""
-    return _run(rows, ["trip_id", "discrepancy_type"], Raised(keep_s), RAISED, bucket_s)
+    return _run(rows, ["trip_id", "discrepancy_type"], Raised(keep_s), RAISED, bucket_s, shards)
 
 
-def header_changes(polls: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
+def header_changes(polls: DataFrame, bucket_s: int = BUCKET_S, shards: int = SHARDS) -> DataFrame:
     """``polls``: feed, at_s, header."""
-    return _run(polls, ["feed"], HeaderChange(), CHANGED, bucket_s)
+    return _run(polls, ["feed"], HeaderChange(), CHANGED, bucket_s, shards)

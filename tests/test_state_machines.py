@@ -335,6 +335,42 @@ def test_waiting_rows_lie_in_buckets():
     assert [r["at_s"] for r in keyed._take(0)] == [10, 20, 3599] and len(keyed.waiting) == 2 and keyed._take(0) == []
 
 
+def test_a_shard_calls_its_state_per_bucket_for_all_its_keys():
+    """Five hundred trips of a shard: a part per bucket, one read and one write of state per timer, the pace of each trip of its own."""
+    import pandas as pd
+
+    class Map(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.held = self.calls + 1, None
+
+    at = lambda s: type("At", (), {"getExpiryTimeInMs": staticmethod(lambda: s), "getCurrentWatermarkInMs": staticmethod(lambda: s)})
+    keyed = stream.Pacing(5000)
+    keyed.keys, timers = ("trip_id",), []
+    keyed.parts, keyed.waiting, keyed.value = Map(), Map(), Value()
+    keyed.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    data = pd.DataFrame([(f"t{n}", s + n % 7) for n in range(500) for s in (100, 3700, 5200, 8000)], columns=["trip_id", "at_s"])
+    list(keyed.handleInputRows((3,), iter([data]), None))
+    assert timers == [3_600_000, 7_200_000, 10_800_000] and len(keyed.waiting) == 3
+    found = pd.concat([f for end in timers[:3] for f in keyed.handleExpiredTimer((3,), at(end), at(end))])
+    assert sorted(zip(found.trip_id, found.at_s)) == sorted((f"t{n}", s + n % 7) for n in range(500) for s in (100, 5200))
+    assert keyed.value.calls <= 6 and not keyed.waiting and not keyed.parts
+    for end in timers[3:]:
+        list(keyed.handleExpiredTimer((3,), at(end), at(end)))
+    assert keyed.value.held is None  # every pace has ended
+
+
 def test_edge_trigger(spark):
     df = spark.createDataFrame([("a", "x", c) for c in (1, 2, 3, 5, 9, 10)], "trip_id string, discrepancy_type string, cycle long")
     assert [r[2] for r in rows(newly_raised(df, "cycle"))] == [1, 5, 9]
