@@ -18,6 +18,7 @@ from signalbox.plans.canonical import FEED_NOW, Tables, epoch, ts
 from signalbox.plans.feed_queries import merged
 from signalbox.plans.registry import query
 from signalbox.plans.schedule_queries import _SKIP, _departures, _today
+from signalbox.session import checkpointed
 
 CYCLE_S = 21_600
 COAST, EVICT = 21_600, 172_800  # events of one trip are hours apart, so thresholds scale with them
@@ -748,7 +749,7 @@ select 'line' as kind, true as passed, train_examples, test_examples from n
 union all select 'unchanged', false, train_examples, test_examples from n""")
 def _(t):
     """A model that explains the delay beats the baseline; where the delay just stays as it is, none can."""
-    examples = _examples(t)
+    examples = checkpointed(_examples(t).select("service_date", *md.FEATURES, "final_delay_s"))  # both gates read the join's rows
     gates = [(kind, md.train_and_gate(examples.withColumn("final_delay_s", F.expr(e).cast("bigint")), 300))
              for kind, e in (("line", f"5 + {_SIMPLE}"), ("unchanged", "current_delay_s"))]
     rows = F.explode(F.array(*[F.struct(
