@@ -82,6 +82,8 @@ class _Keyed(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:  # one bounded frame after the other
+            if part["at_s"].hasnans:
+                raise TypeError("a row of a keyed stream has no instant (at_s)")
             bucket = (part["at_s"] // self.bucket_s).to_numpy().astype("int64")
             order = np.argsort(bucket, kind="stable")
             bucket, part = bucket[order], part.iloc[order]
