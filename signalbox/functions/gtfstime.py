@@ -29,16 +29,17 @@ def _c(column: Column | str) -> Column:
 def gtfs_seconds(text: Column | str, strict: bool = False) -> Column:
     """``HH:MM:SS`` (hours may pass 24) to elapsed seconds; malformed is null, or an error when strict."""
     trimmed = F.trim(_c(text))
-    part = F.split(trimmed, ":")
-    seconds = (
-        F.get(part, 0).try_cast("bigint") * 3600
-        + F.get(part, 1).try_cast("bigint") * 60
-        + F.get(part, 2).try_cast("bigint")
-    )
-    parsed = F.when(trimmed.rlike(GTFS_TIME_PATTERN), seconds)
+
+    def parse(t: Column) -> Column:
+        hours, upto_minutes, seconds = F.substring_index(t, ":", 1), F.substring_index(t, ":", 2), F.substring_index(t, ":", -1)
+        parts = (hours.try_cast("bigint"), F.substring_index(upto_minutes, ":", -1).try_cast("bigint"), seconds.try_cast("bigint"))
+        return F.when(t.rlike(GTFS_TIME_PATTERN), parts[0] * 3600 + parts[1] * 60 + parts[2])
+
+    # a filter on the result repeats the text's own expression wherever it is named: it is named once
+    parsed = F.get(F.transform(F.array(trimmed), parse), 0)
     if not strict:
         return parsed
-    return parsed.when(
+    return F.when(parsed.isNotNull(), parsed).when(
         trimmed.isNotNull(),
         F.raise_error(F.concat(F.lit("timetable time must be hours:minutes:seconds, got "), trimmed)).cast("bigint"),
     )

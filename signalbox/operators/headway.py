@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalbox.operators.ordered import ordered_scan
-
 # fixed values
 MAX_ARRIVALS = 6
 MIN_FOR_GAP = 3
@@ -15,22 +13,32 @@ DWELL_RETENTION_S = 21_600
 GROUP = ("stop_id", "route_id", "direction_id")
 
 
-def arrivals(states: DataFrame, *, retention_s: float = DWELL_RETENTION_S) -> DataFrame:
+def arrivals(states: DataFrame, *, retention_s: float = DWELL_RETENTION_S, chunk_s: int = 3600) -> DataFrame:
     """First cycle of each dwell.
 
     ``states``: one row per (trip_id, at) with a schedule, with ``status``, ``at_stop_id``,
     ``route_id`` and ``direction_id``.  The very first cycle of the data only primes, and
     a trip of unknown direction is never recorded.
+
+    A trip is cut into chunks of time. All rows but a chunk's first find the row before them inside it; the first one's
+    is the last row of the chunk before, and only first and last rows meet per trip.
     """
     dwelling = F.when((F.col("status") == "at"), F.col("at_stop_id"))
     first = states.agg(F.min("at").alias("_first"), F.lit(1).alias("_one"))
-    scanned = ordered_scan(
-        states.withColumn("_stop", dwelling), ["trip_id"], ["at"], F.floor(F.col("at") / 3600),
-        lags={"_prev_stop": "_stop", "_prev_at": "at"},
-    )
-    resumed = F.equal_null("_stop", "_prev_stop") & (F.col("at") - F.col("_prev_at") < retention_s)
+    group = ["trip_id", "_chunk"]
+    cut = states.select(
+        "trip_id", "at", F.floor(F.col("at") / chunk_s).alias("_chunk"), dwelling.alias("_stop"), "route_id", "direction_id",
+    ).repartition(*[F.col(c) for c in group])
+    inside, here = Window.partitionBy(*group).orderBy("at"), F.struct("_stop", "at")
+    placed = cut.withColumns({"_prev": F.lag(here).over(inside), "_last": F.lead(F.lit(True)).over(inside).isNull()})
+    leads = F.col("_prev").isNull()
+    edges = placed.filter(leads | F.col("_last")).withColumn(
+        "_before", F.lag(here).over(Window.partitionBy("trip_id").orderBy("_chunk", ~leads)))
+    rows = placed.filter(~leads).drop("_last").unionByName(
+        edges.filter(leads).withColumn("_prev", F.col("_before")).drop("_last", "_before"))
+    resumed = F.equal_null("_stop", "_prev._stop") & (F.col("at") - F.col("_prev.at") < retention_s)
     return (
-        scanned.filter(F.col("_stop").isNotNull() & ~F.coalesce(resumed, F.lit(False)) & F.col("direction_id").isNotNull())
+        rows.filter(F.col("_stop").isNotNull() & ~F.coalesce(resumed, F.lit(False)) & F.col("direction_id").isNotNull())
         .withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").filter(F.col("at") > F.col("_first"))
         .select(F.col("_stop").alias("stop_id"), "route_id", "direction_id", "trip_id", F.col("at").alias("arrived_at"))
     )

@@ -299,6 +299,30 @@ def test_headway_stream_equals_batch(spark, tmp_path, order):
     assert rows(got, "trip_id", "stop_id", "at_s") == rows(want, "trip_id", "stop_id", "arrived_at")
 
 
+def test_arrivals_across_chunks(spark):
+    """Chunks of any width give the arrivals of a plain walk; only first and last rows of chunks meet, without a join of all."""
+    rng, data = random.Random(6), []
+    for n in range(8):
+        at = n
+        for _ in range(60):
+            data.append((f"t{n}", at, rng.choice(["at", "at", "between"]), rng.choice(["A", "B"]), "R", None if n == 5 else n % 2))
+            at += rng.choice([1, 30, 700, 30_000])
+    want, first = [], min(r[1] for r in data)
+    for n in range(8):
+        before = None
+        for trip, at, status, place, route, direction in (r for r in data if r[0] == f"t{n}"):
+            stop = place if status == "at" else None
+            resumed = before is not None and before[0] == stop and at - before[1] < hw.DWELL_RETENTION_S
+            if stop and not resumed and direction is not None and at > first:
+                want.append((trip, stop, at))
+            before = (stop, at)
+    states = spark.createDataFrame(data, "trip_id string, at long, status string, at_stop_id string, route_id string, direction_id int")
+    for chunk_s in (20, 3600, 10_000_000):
+        assert rows(hw.arrivals(states, chunk_s=chunk_s), "trip_id", "stop_id", "arrived_at") == sorted(want, key=repr)
+    plan = hw.arrivals(states)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 @pytest.mark.parametrize("order", [(0, 1, 2, 3), (2, 0, 3, 1)])
 def test_two_operator_headway_stream_equals_batch(spark, tmp_path, order):
     """Dwells per trip and the last arrivals per group as one stream, files in any order."""
