@@ -87,13 +87,12 @@ def pinned_dimension(dimension: DataFrame, pins: DataFrame, day: date) -> DataFr
 
 
 def trip_termini(stop_times: DataFrame, keys: Sequence[str] = ("trip_id",)) -> DataFrame:
-    """Row with the greatest stop_sequence per trip."""
-    value = F.struct("stop_id", "arrival_time", "departure_time", "stop_sequence")
-    return stop_times.groupBy(*keys).agg(F.max_by(value, "stop_sequence").alias("_t")).select(
-        *keys,
-        F.col("_t.stop_id").alias("terminus_stop_id"),
-        F.coalesce("_t.arrival_time", "_t.departure_time").alias("terminus_time"),
-        F.col("_t.stop_sequence").alias("terminus_sequence"),
+    """Row with the greatest stop_sequence per trip; columns that are not asked for are not worked out."""
+    last = lambda c: F.max_by(c, "stop_sequence")
+    return stop_times.groupBy(*keys).agg(
+        last(F.col("stop_id")).alias("terminus_stop_id"),
+        last(F.coalesce("arrival_time", "departure_time")).alias("terminus_time"),
+        F.max("stop_sequence").alias("terminus_sequence"),
     )
 
 
@@ -317,7 +316,7 @@ def skip_stop_counts(
 ) -> DataFrame:
     """Stops each trip leaves out against the commonest pattern of comparable trips.
 
-    A trip's stop list is reduced to a 128-bit sum of position/stop hashes and a count in one pass
+    A trip's stop list is reduced to 128 bits of position/stop hashes (positions differ, so nothing cancels out) and a count in one pass
     over the calls. Stop sets are compared once per distinct pattern, through one representative trip, whose calls alone are
     read again. Ties take the lowest trip id. The calls of one trip are bounded by what a vehicle can serve in a run, so
     a trip is ranked as one partition of the window.
@@ -328,7 +327,7 @@ def skip_stop_counts(
     ).select("trip_id", "route_id", "direction_id")
     calls = stop_times.select("trip_id", "stop_sequence", "stop_id").join(loop, "stop_id", "left")
     ranked = calls.withColumn("_rank", F.row_number().over(Window.partitionBy("trip_id").orderBy("stop_sequence")))
-    code = lambda salt: F.sum(F.xxhash64(F.lit(salt), "_rank", "stop_id").cast("decimal(20,0)"))
+    code = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "_rank", "stop_id"))
     patterns = ranked.groupBy("trip_id").agg(
         code("a").alias("_h1"), code("b").alias("_h2"), F.count(F.lit(1)).alias("_n"),
         F.max(F.coalesce("_loop", F.lit(False))).alias("via_loop"),
@@ -347,7 +346,8 @@ def skip_stop_counts(
     # among equally common patterns the one with the lowest sample trip is normal
     ties = variants.groupBy(*group, "_trips").agg(F.min("_sample").alias("_sample"), F.sum("_trips").alias("_sum"))
     normal = ties.groupBy(*group).agg(F.max_by("_sample", "_trips").alias("_normal"), F.sum("_sum").alias("_group_trips"))
-    compared = variants.join(normal, group)
+    # asked for pairs and again for the counts
+    compared = checkpointed(variants.join(normal, group))
     # a group of one pattern leaves nothing out, a single trip has nothing to compare with
     pairs = checkpointed(compared.filter((F.col("_group_trips") >= 2) & (F.col("_sample") != F.col("_normal"))).select("_sample", "_normal"))
     wanted = pairs.select(F.explode(F.array("_sample", "_normal")).alias("trip_id")).distinct()

@@ -60,6 +60,22 @@ def test_departures(spark, net):
     assert rows(soon, "heading", "trip_id") == [("0", "t1"), ("1", "t2")]
 
 
+def test_departure_times_are_parsed_once(spark, net):
+    """A filter on the parsed time holds the expression behind the text once, however long it is."""
+    padded = net["times"].withColumn("departure_time", F.concat(F.lit(" "), "departure_time"))
+    now = F.lit(datetime(2026, 6, 30, 22, 1, tzinfo=timezone.utc))
+    got, want = (sc.scheduled_departures(t, net["trips"], net["stops"], date(2026, 7, 1), now) for t in (padded, net["times"]))
+    assert rows(got) == rows(want) and got.count() > 0
+    filters = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and all(line.count("concat(") <= 1 for line in filters)
+
+
+def test_termini_work_out_what_is_asked_for(net):
+    """The stop number alone needs neither the stop nor its times."""
+    plan = sc.trip_termini(net["times"]).select("trip_id", "terminus_sequence")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "max(" in plan
+
+
 def test_added_and_overlay(spark, net):
     stu = "array<struct<stop_id: string, relationship: string, arr_time: string, dep_time: string, arr_delay: int, dep_delay: int>>"
     snaps = spark.createDataFrame(
