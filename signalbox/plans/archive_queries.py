@@ -11,6 +11,8 @@ import zipfile
 from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import functions as F
 
 from signalbox.functions import punctuality as pu
@@ -125,13 +127,23 @@ def _zipped(t: Tables):
                 z.writestr(name, data)
         return out.getvalue()
 
-    def pack(trips: pd.DataFrame, calls: pd.DataFrame) -> pd.DataFrame:
-        text = lambda df: b"\xef\xbb\xbf" + df.drop(columns="bucket").to_csv(index=False, lineterminator="\r\n").encode()
+    def text(rows: pa.Table) -> bytes:
+        rows = rows.drop_columns(["bucket"])
+        out = io.BytesIO()
+        try:
+            csv.write_csv(rows, out, csv.WriteOptions(include_header=False, quoting_style="none"))
+        except pa.ArrowInvalid:  # some value needs quotes
+            body = rows.to_pandas().to_csv(index=False, header=False, lineterminator="\r\n").encode()
+        else:
+            body = out.getvalue().replace(b"\n", b"\r\n")
+        return b"\xef\xbb\xbf" + ",".join(rows.column_names).encode() + b"\r\n" + body
+
+    def pack(trips: pa.Table, calls: pa.Table) -> pa.Table:
         metro = zipped({"trips.txt": text(trips), "stop_times.txt": text(calls), "notes.pdf": b"%PDF"})
         other = zipped({"trips.txt": b"trip_id\nother\n"})
-        return pd.DataFrame({"content": [zipped({"1/google_transit.zip": other, "2/google_transit.zip": metro})]})
+        return pa.table({"content": pa.array([zipped({"1/google_transit.zip": other, "2/google_transit.zip": metro})], pa.binary())})
 
-    return trips.groupBy("bucket").cogroup(calls.groupBy("bucket")).applyInPandas(pack, "content binary")
+    return trips.groupBy("bucket").cogroup(calls.groupBy("bucket")).applyInArrow(pack, "content binary")
 
 
 @query("src08_archive_ingest", """

@@ -81,7 +81,7 @@ def _records(raw: IO[bytes], size: int = BLOCK_BYTES) -> Iterator[list[str]]:
         held, more = held + data, bool(data)
         end = _record_end(held) if more else len(held)
         lines, held = held[:end].decode("utf-8").split("\n"), held[end:]
-        if any(line.count('"') % 2 for line in lines):
+        if any(line.count('"') % 2 for line in lines if '"' in line):
             whole: list[str] = []
             for line in lines:
                 if whole and whole[-1].count('"') % 2:
@@ -128,12 +128,21 @@ def unpacked(
     blocks = checkpointed(archives.select("content").mapInPandas(cut, BLOCK_SCHEMA))
     width = blocks.agg(F.max(F.size("header")).alias("n")).first().n or 0
     places = [f"c{k}" for k in range(width)]
+    nulls = F.array_repeat(F.lit(None).cast("string"), width)
+    schema = F.lit(", ".join(f"{c} string" for c in places) or "c0 string")
+
+    def cells(record: Column) -> Column:
+        """Values of a record, blank ones null. One without quotes is cut at its commas, which gives the same as the parser."""
+        parsed = F.from_csv(record, schema, {"escape": '"', "multiLine": "true"})
+        listed = F.flatten(F.transform(F.array(parsed), lambda v: F.array(*[v[c] for c in places]).cast("array<string>")))
+        odd = F.contains(record, F.lit('"')) | F.contains(record, F.lit("\r"))
+        return F.when(odd, listed).otherwise(F.transform(F.split(record, ",", -1), lambda v: F.nullif(v, F.lit(""))))
+
+    # worked out where the records are laid out, once each: a filter on a field is not turned into another parse below it
+    fields = F.transform("records", lambda r: F.map_from_arrays("header", F.slice(F.concat(cells(r), nulls), F.lit(1), F.size("header"))))
     dealt = blocks.repartition("digest", "mode", "member", "block").select(
-        "digest", "mode", "member", "block", "header", F.posexplode("records").alias("row", "record"))
-    parsed = F.from_csv("record", F.lit(", ".join(f"{c} string" for c in places) or "c0 string"), {"escape": '"', "multiLine": "true"})
-    values = F.slice(F.array(*[F.col("_v")[c] for c in places]), F.lit(1), F.size("header")) if places else F.array().cast("array<string>")
-    return dealt.withColumn("_v", parsed).select(
-        "digest", "mode", "member", (F.shiftleft("block", 32) + F.col("row")).alias("pos"), F.map_from_arrays("header", values).alias("fields"))
+        "digest", "mode", "member", "block", F.posexplode(fields).alias("row", "fields"))
+    return dealt.select("digest", "mode", "member", (F.shiftleft("block", 32) + F.col("row")).alias("pos"), "fields")
 
 
 def read_archives(

@@ -68,6 +68,20 @@ def test_archive_blocks(spark):
         ss.unpacked(df, modes=("2", "7")).count()
 
 
+def test_plain_and_quoted_records(spark):
+    """Records with and without quotes give the same values; a filter on a field parses no record a second time."""
+    text = 'stop_id,stop_name,code\n1,plain,x\n2,"quoted, name",\n3,, \n"4","",y\n5,short\n6,long,z,more\n7,"say ""hi""",\n'
+    content = archive({"2/google_transit.zip": archive({"stops.txt": text, "routes.txt": "route_id\nR\n"})})
+    lines = ss.unpacked(spark.createDataFrame([(bytearray(content),)], "content binary"))
+    stops = ss.member_rows(lines, "stops.txt", ["stop_id", "stop_name", "code"])
+    assert rows(stops, "stop_id", "stop_name", "code") == [
+        ("1", "plain", "x"), ("2", "quoted, name", None), ("3", None, " "), ("4", None, "y"), ("5", "short", None),
+        ("6", "long", "z"), ("7", 'say "hi"', None)]
+    assert rows(ss.member_rows(lines, "routes.txt", ["route_id"]), "route_id") == [("R",)]
+    plan = stops.filter("stop_id is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("from_csv(") for line in plan.splitlines() if "Filter" in line) == 0 and plan.count("from_csv(") == 1
+
+
 def test_last_row_follows_file_names(spark, tmp_path):
     """A large file is read in several splits and before a small one, yet the row of the last file by name wins."""
     big = "route_id,route_short_name,route_long_name\n" + "".join(f"R{i % 50},a{i},long name {i}\n" for i in range(40_000))
