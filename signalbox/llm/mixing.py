@@ -84,9 +84,17 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     )
 
 
-def copies(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row per copy taken, texts whole; the document at a cut is taken if that is nearer the target."""
+def copies(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
+    """The mix itself: a row per whole copy taken and one with the first words of the document at a cut.
+
+    ``whole``: no text is cut; the document at a cut is taken if that is nearer the target.
+    """
     plan = mixed(docs, **options).filter("taken > 0")
     rest = F.col("taken") % F.col("size")
+    if not whole:
+        words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, rest.cast("int"))
+        out = plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+        partial = (rest > 0) & (F.col("_copy") * F.col("size") > F.col("taken"))
+        return out.withColumn("text", F.when(partial, F.concat_ws(" ", words)).otherwise(F.col("text"))).select(*docs.columns)
     times = F.floor(F.col("taken") / F.col("size")) + F.when(2 * rest >= F.col("size"), 1).otherwise(0)
     return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
