@@ -97,17 +97,12 @@ class WordTokens:
         return b"".join(out)
 
 
-_LOADED: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str | None) -> WordTokens:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
@@ -127,6 +122,9 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        # an executor may keep more workers than it has tasks: none holds words or vocabulary beyond its task
+        del tokens
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, PIECES)
 

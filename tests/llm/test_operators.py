@@ -221,6 +221,18 @@ def test_word_tokens_equal_the_tokenizer():
     assert not wrong
 
 
+def test_workers_hold_no_tokens_after_packing(docs):
+    import gc
+
+    def held(batches):
+        for b in batches:
+            yield b.assign(id=sum(isinstance(x, packing.WordTokens) for x in gc.get_objects()))
+
+    assert packing.pieces(docs).count() > 0
+    spark = docs.sparkSession
+    assert {r.id for r in spark.range(0, 64, 1, 16).mapInPandas(held, "id long").collect()} == {0}
+
+
 def test_sum_of_squares_step():
     numbers, offsets = packing.place(np.array([6, 6, 4, 4, 10, 3]), 10)
     assert numbers.tolist()[:2] == [0, 1] and sorted(numbers.tolist()[2:4]) == [0, 1] and offsets.tolist()[2:4] == [6, 6]
