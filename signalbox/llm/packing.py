@@ -12,10 +12,12 @@ an empty table gives an empty result. Columns other than ``doc_id`` and ``text``
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 
 from signalbox.llm.common import released, row_batches, stored, text_of
 
-SEQUENCE, END_ID, SHARD_PIECES, CACHED_WORDS = 2048, 0, 20_000, 300_000
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+SEQUENCE, END_ID, SHARD_PIECES, CACHED_WORDS = 2048, 0, 20_000, 250_000
 #: Numbers of size classes tried in turn, until a shard needs one sequence more than its tokens fill at most.
 SIZE_CLASSES = (8, 16, 32, 64, 128, 2048)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -34,9 +39,9 @@ PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
 # Fixed values of the vocabulary file: how it splits words, and characters on which all libraries agree.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile(r"[!-~¡-ɏ]*\Z")
+PLAIN = re.compile(r"[!-~¡-ɏ]*\Z")
 # Python's split() takes these for white space, the tokenizer does not.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,55 +51,57 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class WordIds(dict):
+    """Ids of at most ``CACHED_WORDS`` words, worked out when they are first asked for. A part of a word is kept as a word."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.id_bytes = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._made(word)
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _made(self, word: str) -> bytes:
+        if not PLAIN.match(word):
+            return self.whole(word)
+        if not word.isalpha():
+            # most others are letters and one mark
+            parts = (word[:-1], word[-1]) if word[:-1].isalpha() else PARTS.findall(word)
+            if len(parts) > 1:
+                return b"".join([self[p] for p in parts])
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(word)])
+
+
 class WordTokens:
     """Token ids of texts, word by word with a bounded cache: no token crosses white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = WordIds(Tokenizer.from_file(path))
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         # a special token, which the library finds before it splits, may be there in the first case
         if "<|" in text or SEPARATORS.search(text):
-            return self._whole(text)
+            return self.words.whole(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         lower = text.replace("Σ", "σ").lower()
         if not unicodedata.is_normalized("NFC", lower):  # words would be composed again
-            return self._whole(text)
-        words = lower.split()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not PLAIN.match(word):
-            return self._whole(word)
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        out = []
-        for part in PARTS.findall(word):
-            ids = self.parts.get(part)
-            if ids is None:
-                tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-                ids = self.parts[part] = np.array([t.id for t in tokens], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+            return self.words.whole(text)
+        return b"".join(map(self.words.__getitem__, lower.split()))
 
 
 def word_tokens(path: str | None) -> WordTokens:

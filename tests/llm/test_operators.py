@@ -221,6 +221,33 @@ def test_word_tokens_equal_the_tokenizer():
     assert not wrong
 
 
+def test_word_cache_stays_bounded_and_exact(monkeypatch):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    real, mine = Tokenizer.from_file(path("word_bpe_49k.json")), packing.WordTokens(path("word_bpe_49k.json"))
+    heads = ["and", "it's", "naïve", "x1", "12", "don't", "a_b", "\xaa\xb5", "Σας", "...", "日本", "e\x07", "soft\xadly"]
+    for text in [" ".join(f"{h}{chr(97 + k % 26)}{m}" for h in heads for m in ["", ",", ".", "'", "'s", "7", "!?", "é", "\xad", "\x7f"] for k in range(30)), ", .,. ' 's 're' ''s"]:
+        assert np.frombuffer(mine.ids(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
+        assert len(mine.words) <= 20
+
+
+def test_pattern_cuts_few_words(monkeypatch):
+    from public_tokenizers import path
+
+    class Pattern:
+        cut = []
+
+        def findall(self, word, real=packing.PARTS):
+            self.cut.append(word)
+            return real.findall(word)
+
+    monkeypatch.setattr(packing, "PARTS", Pattern())
+    assert packing.WordTokens(path("word_bpe_49k.json")).ids("Plain words, naïve ones. And some, more: (these) here")
+    assert not [w for w in Pattern.cut if w.isalpha() or w[:-1].isalpha()] and "(these)" in Pattern.cut
+
+
 def test_workers_hold_no_tokens_after_packing(docs):
     import gc
 
