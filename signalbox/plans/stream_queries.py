@@ -51,6 +51,13 @@ SPARSE_S = 21_600  # rows of a key are hours apart in these tables, so its bucke
 END_DAYS = 30  # beyond every time-out and retention of the queries
 
 
+def _kept(t: Tables, table: DataFrame) -> DataFrame:
+    """The table written once and read back, so that its plan does not run again for each look at it."""
+    path = scratch_path(t.spark, "kept")
+    table.write.parquet(path)
+    return t.spark.read.schema(table.schema).parquet(path)
+
+
 def _played(t: Tables, table: DataFrame, kinds: str, build, ended: bool = True, delay: str = "30 minutes"):
     """Run a stream over a whole table and read what it wrote.
 
@@ -67,23 +74,33 @@ def _played(t: Tables, table: DataFrame, kinds: str, build, ended: bool = True,
     cuts = table.select(at.alias("at")).stat.approxQuantile("at", [i / slices for i in range(1, slices)], 0.01 / slices)
     cut = sum((F.when(at > int(c), 1).otherwise(0) for c in cuts), F.lit(0))
     table.withColumn("_slice", cut).write.partitionBy("_slice").parquet(staged)
-    stored = spark.read.schema(table.schema).parquet(*[f"{staged}/_slice={i}" for i in range(slices)])
-    out = None
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = folder(arriving).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder(arriving))
+    arrives = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").parquet(arriving).withWatermark("ev", delay)
+    out = build(arrives, shards)
 
     def run():
-        nonlocal out
-        if out is None:  # the folder is there now
-            out = build(spark.readStream.schema(table.schema).parquet(arriving).withWatermark("ev", delay), shards)
-        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", done).trigger(
-            availableNow=True).start(path).awaitTermination()
+        dealt = spark.conf.get("spark.sql.shuffle.partitions")
+        # a task of a stateful operator takes part of a second whatever its rows, and holds one shard at a time, so one per core does
+        spark.conf.set("spark.sql.shuffle.partitions", min(int(dealt), max(SHARDS, spark.sparkContext.defaultParallelism)))
+        try:
+            running = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", done).trigger(
+                availableNow=True).start(path)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", dealt)
+        running.awaitTermination()
 
     for i in range(slices):
-        spark.read.schema(table.schema).parquet(f"{staged}/_slice={i}").write.mode("append").parquet(arriving)
+        ready = folder(f"{staged}/_slice={i}")
+        if files.exists(ready) and not files.rename(ready, folder(f"{arriving}/{i}")):  # the files of a slice as they are, at once
+            raise OSError(f"slice {i} could not be moved to {arriving}")
         run()
     if ended:
-        last = stored.agg((F.max("ev") + F.expr(f"interval {END_DAYS} days")).alias("_end"))
-        markers = stored.groupBy(kinds).agg(F.first(F.struct(*table.columns)).alias("r")).select("r.*").crossJoin(F.broadcast(last))
-        markers.withColumns({"ev": F.col("_end"), "at_s": F.unix_seconds("_end")}).select(table.columns).write.mode("append").parquet(arriving)
+        end = F.lit(table.agg(F.max("ev")).first()[0]).cast("timestamp") + F.expr(f"interval {END_DAYS} days")
+        for row in table.select(kinds).distinct().collect():  # a handful
+            marker = table.filter(F.col(kinds).eqNullSafe(F.lit(row[0]))).limit(1)
+            marker.withColumns({"ev": end, "at_s": F.unix_seconds(end)}).select(table.columns).write.mode("append").parquet(arriving)
         run()
     return spark.read.schema(out.schema).parquet(path)
 
@@ -182,7 +199,7 @@ select stop_id, route_id, direction_id, trip_id, arrived_at as at_s, cast(least(
  case when rn > 1 then round((arrived_at - coalesce(six, f))::double / (least(rn, 6) - 1), 6) end as average_headway_seconds from n""")
 def _(t):
     """Dwells per trip, then the last arrivals per stop, route and direction: two stateful operators in one stream."""
-    states = _dwell_states(t).withColumnRenamed("at", "at_s").withColumn("ev", F.timestamp_seconds("at_s"))
+    states = _kept(t, _dwell_states(t).withColumnRenamed("at", "at_s").withColumn("ev", F.timestamp_seconds("at_s")))
     first = states.agg(F.min("at_s").alias("s")).first().s
     found = _played(t, states, "status", lambda rows, shards: trips.rolling_headways(
         trips.arrivals(rows, first, bucket_s=SPARSE_S, shards=shards), bucket_s=SPARSE_S, shards=shards))

@@ -2,7 +2,8 @@
 
 Keys are dealt to shards, and a shard's rows wait in state by buckets of event time. Each bucket has a timer of its own, and when the watermark has
 passed its end, its rows are taken out and applied in event-time order, whatever order files and micro-batches brought them in;
-what arrives within the declared delay is never out of place. The work of a call is bounded by the rows of one bucket and
+what arrives within the declared delay is never out of place. Rows travel and wait in packs, columns of many rows as one value, since Spark
+hands a stateful Python operator its input row by row. The work of a call is bounded by the rows of one bucket and
 the live keys of one shard. Each processor otherwise keeps a few numbers per key. They need the RocksDB state store (``use_state_store``) and an upstream
 watermark; what a key keeps ends at a bucket's end too, so nothing grows with the length of the stream.
 """
@@ -10,15 +11,19 @@ watermark; what a key keeps ends at a bucket's end too, so nothing grows with th
 from __future__ import annotations
 
 import json
+import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from signalbox.operators.completion import FINALIZED_RETENTION_S, UNDETERMINED_TIMEOUT_S
 from signalbox.operators.headway import DWELL_RETENTION_S, MAX_ARRIVALS
@@ -28,6 +33,8 @@ from signalbox.operators.observe import OBSERVATION_INTERVAL_S
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKET_S = 3600
 SHARDS = 64
+WATERMARK = "spark.watermarkDelayMs"  # Spark's mark on the column of event time
+HELD_ROWS, PACK_ROWS = 300_000, 20_000  # rows sorted into packs at a time, at most so many in one pack
 
 
 def use_state_store(spark: SparkSession) -> SparkSession:
@@ -35,20 +42,103 @@ def use_state_store(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _plain(value):
-    """Numbers of pandas as JSON, instants (not used by the processors) as text."""
-    return value.item() if hasattr(value, "item") else str(value)
+# --- packs ---
 
 
-def _values(column: pd.Series) -> list:
-    """A column as plain values, missing ones None."""
-    if not column.hasnans:
-        return column.tolist()
-    return [None if gone else v for v, gone in zip(column.tolist(), column.isna())]
+def _plain(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """Numbers, truth values and text; NaN is missing, other kinds become text."""
+    kind = column.type
+    if pa.types.is_floating(kind):
+        return pc.if_else(pc.is_nan(column), None, column)
+    known = (pa.types.is_integer, pa.types.is_boolean, pa.types.is_string, pa.types.is_large_string, pa.types.is_null)
+    return column if any(of(kind) for of in known) else column.cast(pa.string())
+
+
+def _bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()  # shuffle and state store compress; threads and codecs cost more than a pack
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(use_threads=False)) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _joined(packs: list[bytes]) -> bytes:
+    return b"".join(struct.pack("<q", len(p)) + p for p in packs)
+
+
+def _opened(data: bytes) -> Iterator[pa.Table]:
+    """The packs that ``_joined`` put into one value."""
+    whole, at = pa.py_buffer(data), 0
+    while at < whole.size:
+        (size,) = struct.unpack("<q", whole.slice(at, 8))
+        yield pa.ipc.open_stream(whole.slice(at + 8, size), options=pa.ipc.IpcReadOptions(use_threads=False)).read_all()
+        at += 8 + size
+
+
+def _packs(rows: pa.Table, bucket_s: int, instant: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Rows sorted by shard and bucket and cut into packs: places of the rows, begins of the packs, their buckets, their values.
+
+    Rows without an ``instant`` get packs of their own. Instants are not used by the processors and stay behind.
+    """
+    if rows["at_s"].null_count:
+        raise TypeError("a row of a keyed stream has no instant (at_s)")
+    bucket = (rows["at_s"].to_numpy() // bucket_s).astype("int64")
+    by = [rows[instant].is_null().to_numpy()] if instant else []
+    by += [bucket, *([rows["shard"].to_numpy()] if "shard" in rows.column_names else [])]
+    order = np.lexsort(by)
+    changed = np.zeros(len(order), bool)
+    changed[:1] = True
+    for key in by:
+        changed[1:] |= np.diff(key[order].astype("int64")) != 0
+    starts = np.flatnonzero(changed)
+    place = np.arange(len(order))
+    starts = np.flatnonzero((place - starts[np.cumsum(changed) - 1]) % PACK_ROWS == 0) if len(order) else starts
+    named = [c for c in rows.column_names if not pa.types.is_timestamp(rows[c].type)]
+    kept = pa.table({c: _plain(rows[c]) for c in named}).take(order).combine_chunks().to_batches()
+    ends = [*starts[1:].tolist(), len(order)]
+    return order, starts, bucket[order][starts], [_bytes(kept[0].slice(a, b - a)) for a, b in zip(starts.tolist(), ends)]
+
+
+def _packed(df: DataFrame, bucket_s: int) -> DataFrame:
+    """The stream as packs: a stateful Python operator costs far more for a row than all that is done with it.
+
+    A pack lies in one bucket and has the latest instant of its rows as event time. Rows that are later than the delay are dropped
+    as the pack is: for sure if their bucket has ended.
+    """
+    marked = [f for f in df.schema.fields if WATERMARK in f.metadata]
+    if len(marked) != 1:
+        return df  # Spark tells what is wrong
+    instant = marked[0].name
+
+    def cut(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        if not rows.num_rows:
+            return
+        order, starts, buckets, data = _packs(rows, bucket_s, instant)
+        none = np.iinfo("int64").min
+        at = rows[instant].cast(pa.int64()).fill_null(none).to_numpy()[order]
+        latest = np.maximum.reduceat(at, starts)
+        shard = rows["shard"].to_numpy()[order][starts]
+        columns = [pa.array(shard, pa.int32()), pa.array(latest, pa.int64(), mask=latest == none).cast(rows[instant].type),
+                   pa.array(buckets, pa.int64()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", instant, "bucket", "data"])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield from cut(held)
+                held, n = [], 0
+        if held:
+            yield from cut(held)
+
+    return df.mapInArrow(pack, StructType([
+        StructField("shard", IntegerType()), marked[0], StructField("bucket", LongType()), StructField("data", BinaryType())]))
 
 
 class _Keyed(StatefulProcessor):
-    """A shard of keys: rows that wait in buckets for the watermark, and one JSON value with the states of the shard's keys.
+    """A shard of keys: rows that wait in buckets for the watermark, and one value with the states of the shard's keys.
 
     A call to the state store costs far more than a row, so it is made per shard and bucket, not per key.
     """
@@ -59,75 +149,126 @@ class _Keyed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("s", "data string")
+        self.value = handle.getValueState("s", "due long, data binary")
         # rows of a bucket come in parts, one per call, so that adding to a bucket does not read it
         self.parts = handle.getMapState("n", "bucket long", "parts int")
-        self.waiting = handle.getMapState("w", "bucket long, part int", "data string")
+        self.waiting = handle.getMapState("w", "bucket long, part int", "data binary")
 
-    def load(self) -> dict[str, Any]:
+    def load(self) -> tuple[Any, int | None]:
         held = self.value.get()
-        self.loaded = held[0] if held else None
-        return json.loads(held[0]) if held else {}
+        self.loaded = (held[0], bytes(held[1])) if held else None
+        return self.states(self.loaded[1] if held else None), held[0] if held else None
 
-    def save(self, states: dict[tuple, dict], due: int | None) -> None:
-        data = json.dumps({"due": due, "of": list(states.items())}) if states else None
+    def save(self, states: Any, due: int | None) -> None:
+        data = (due, self.stored(states)) if self.any(states) else None
         if data is None and self.loaded is not None:
             self.value.clear()
         elif data != self.loaded:
-            self.value.update((data,))
-
-    def frame(self, rows: list[dict]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=list(self.columns))
+            self.value.update(data)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:  # one bounded frame after the other
-            if part["at_s"].hasnans:
-                raise TypeError("a row of a keyed stream has no instant (at_s)")
-            bucket = (part["at_s"] // self.bucket_s).to_numpy().astype("int64")
-            order = np.argsort(bucket, kind="stable")
-            bucket, part = bucket[order], part.iloc[order]
-            named = [c for c in part.columns if not pd.api.types.is_datetime64_any_dtype(part[c])]  # instants are not used
-            values = [_values(part[c]) for c in named]
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            for start, end in zip(cuts, cuts[1:]):
-                if start == end:
-                    continue
-                own = int(bucket[start])
+            found: dict[int, list[bytes]] = {}
+            if "data" in part and "at_s" not in part:
+                buckets, packs = part["bucket"].tolist(), part["data"].tolist()
+            else:
+                _, _, buckets, packs = _packs(pa.Table.from_pandas(part, preserve_index=False), self.bucket_s)
+            for own, pack in zip(buckets, packs):
+                found.setdefault(int(own), []).append(pack)
+            for own, packs in found.items():
                 held = self.parts.getValue((own,))
                 n = held[0] if held else 0
-                self.waiting.updateValue((own, n), (json.dumps([named, [v[start:end] for v in values]], default=_plain),))
+                self.waiting.updateValue((own, n), (_joined(packs),))
                 self.parts.updateValue((own,), (n + 1,))
                 if not n:
                     self.handle.registerTimer((own + 1) * self.bucket_s * 1000)
         yield from ()
 
-    def _take(self, bucket: int) -> list[dict]:
-        held = self.parts.getValue((bucket,))
-        rows: list[dict] = []
+    def _table(self, bucket: int) -> pa.Table | None:
+        """Takes the rows of a bucket out of the state, in the order in which they came."""
+        held, found = self.parts.getValue((bucket,)), []
         for part in range(held[0] if held else 0):
-            named, values = json.loads(self.waiting.getValue((bucket, part))[0])
-            rows += [dict(zip(named, r)) for r in zip(*values)]
+            found += _opened(self.waiting.getValue((bucket, part))[0])
             self.waiting.removeKey((bucket, part))
         if held:
             self.parts.removeKey((bucket,))
-        rows.sort(key=lambda r: (r["at_s"], r.get("kind") or 0))
-        return rows
+        return pa.concat_tables(found, promote_options="permissive").combine_chunks() if found else None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The bucket that ends now: its rows, then whatever of the states has ended with it."""
-        end_s, out = expiredTimerInfo.getExpiryTimeInMs() // 1000, []
-        rows, held = self._take(end_s // self.bucket_s - 1), self.load()
-        states = {tuple(k): s for k, s in held.get("of", ())}
-        due = held.get("due")  # a timer that stands for the end of a state
-        due = due if due is not None and due > end_s else None
-        self.release(rows, end_s, states, out)
+        end_s = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        rows, (states, due) = self.taken(end_s // self.bucket_s - 1), self.load()
+        due = due if due is not None and due > end_s else None  # a timer that stands for the end of a state
+        states, out = self.applied(rows, end_s, states)
         passed_s = timerValues.getCurrentWatermarkInMs() // 1000
         ended_s = passed_s // self.bucket_s * self.bucket_s
-        if states and ended_s > end_s:
+        if self.any(states) and ended_s > end_s:
             # the watermark is past these buckets already, and a timer set now would wait for the next batch; where rows wait,
             # they come first, and their own timer follows in this batch
             ended_s = min([ended_s, *(bucket * self.bucket_s for (bucket,) in self.parts.keys())])
+        states, first = self.settled(states, end_s, ended_s, out)
+        if first is not None:
+            after = int(first // self.bucket_s + 1) * self.bucket_s
+            if after > passed_s and (due is None or after < due):
+                due = after
+                self.handle.registerTimer(due * 1000)
+        self.save(states, due)
+        yield from self.frame(out, max(end_s, passed_s) * 1000)
+
+    def any(self, states: Any) -> bool:
+        """Whether there are states to keep."""
+        raise NotImplementedError
+
+    def states(self, data: bytes | None) -> Any:
+        raise NotImplementedError
+
+    def stored(self, states: Any) -> bytes:
+        raise NotImplementedError
+
+    def taken(self, bucket: int) -> Any:
+        raise NotImplementedError
+
+    def applied(self, rows: Any, end_s: int, states: Any) -> tuple[Any, Any]:
+        """States after the rows of a bucket, and what comes out."""
+        raise NotImplementedError
+
+    def settled(self, states: Any, end_s: int, ended_s: int, out: Any) -> tuple[Any, float | None]:
+        """States that have not ended, and when the first of them will."""
+        raise NotImplementedError
+
+    def frame(self, out: Any, ready_ms: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Stepped(_Keyed):
+    """Row after row, a dict of state per key."""
+
+    def any(self, states):
+        return bool(states)
+
+    def states(self, data):
+        return {tuple(k): s for k, s in json.loads(data)} if data else {}
+
+    def stored(self, states):
+        return json.dumps(list(states.items())).encode()
+
+    def _take(self, bucket: int) -> list[dict]:
+        table = self._table(bucket)
+        rows = table.to_pylist() if table is not None else []
+        rows.sort(key=lambda r: (r["at_s"], r.get("kind") or 0))
+        return rows
+
+    taken = _take
+
+    def applied(self, rows, end_s, states):
+        out: list[dict] = []
+        self.release(rows, end_s, states, out)
+        return states, out
+
+    def settled(self, states, end_s, ended_s, out):
         first = None
         for of in list(states):
             state = states[of]
@@ -138,26 +279,17 @@ class _Keyed(StatefulProcessor):
                 self.expire(of, ends, state, out)
             if not state:
                 del states[of]
-        if first is not None:
-            after = int(first // self.bucket_s + 1) * self.bucket_s
-            if after > passed_s and (due is None or after < due):
-                due = after
-                self.handle.registerTimer(due * 1000)
-        self.save(states, due)
-        for row in out:
-            self.stamp(row, max(end_s, passed_s) * 1000)
-        yield from self.frame(out)
+        return states, first
+
+    def frame(self, out, ready_ms):
+        if out:
+            yield pd.DataFrame(out, columns=list(self.columns))
 
     def release(self, rows, end_s, states, out) -> None:
         for row in rows:  # a step itself notices what has ended before its row
             of = tuple([row[k] for k in self.keys])
             self.step(of, row, states.setdefault(of, {}), out)
 
-    def stamp(self, row: dict, ready_ms: int) -> None:
-        """Tell a following stateful operator when the row came out; its own instant is behind the watermark."""
-        if "ready_at" in self.columns:
-            row["ready_at"] = pd.Timestamp(ready_ms, unit="ms")
-
     def step(self, key, row, state, out) -> None:
         raise NotImplementedError
 
@@ -167,8 +299,50 @@ class _Keyed(StatefulProcessor):
     def expire(self, key, now_s, state, out) -> None:
         state.clear()
 
-    def close(self) -> None:
-        pass
+
+class _Columnar(_Keyed):
+    """The rows of a bucket at once; states are rows with the instant ``ends`` at which they are forgotten."""
+
+    def any(self, states):
+        return states is not None and states.num_rows > 0
+
+    def states(self, data):
+        return pa.ipc.open_stream(data).read_all() if data else None
+
+    def stored(self, states):
+        return _bytes(states.combine_chunks().to_batches()[0])
+
+    def taken(self, bucket):
+        return self._table(bucket)
+
+    def settled(self, states, end_s, ended_s, out):
+        if not self.any(states):
+            return None, None
+        ends = states["ends"].to_numpy()
+        kept = (ends > end_s) & (ends >= ended_s)
+        if not kept.any():
+            return None, None
+        return states.filter(pa.array(kept)), ends[kept].min().item()
+
+    def frame(self, out, ready_ms):
+        """A following stateful operator is told when the rows came out; their own instants are behind the watermark."""
+        if out is not None and out.num_rows:
+            frame = out.to_pandas()
+            if "ready_at" in self.columns:
+                frame["ready_at"] = pd.Timestamp(ready_ms, unit="ms")
+            yield frame[list(self.columns)]
+
+
+def _codes(*columns: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where all values are, missing ones equal to each other."""
+    code, most = np.zeros(len(columns[0]), "int64"), 1
+    for column in columns:
+        found = column.combine_chunks().dictionary_encode(null_encoding="encode")
+        if most * len(found.dictionary) >= 2**62:
+            _, code = np.unique(code, return_inverse=True)
+            most = len(code)
+        code, most = code * len(found.dictionary) + found.indices.to_numpy(), most * len(found.dictionary)
+    return code
 
 
 def _run(
@@ -177,7 +351,7 @@ def _run(
     """``shards`` bounds what one call holds, so it should grow with the stream: some ten thousand rows a shard and hour are well."""
     processor.bucket_s, processor.keys = bucket_s, tuple(keys)
     dealt = df if keys == ["shard"] else df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").transformWithStateInPandas(
+    return _packed(dealt, bucket_s).groupBy("shard").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName=event_time
     )
 
@@ -300,7 +474,7 @@ class _Trip:
         return self.s
 
 
-class Lifecycle(_Keyed):
+class Lifecycle(_Stepped):
     """Ghost episodes of the trips of one shard.
 
     Each shard gets every poll cycle, so it knows the active seconds at each: the clock of a missing trip stands still in a
@@ -350,7 +524,7 @@ def ghost_episodes(
 OUTCOMES = "trip_id string, route_id string, service_date string, finalized_s long, status string, actual_s long, delay_seconds long"
 
 
-class Completion(_Keyed):
+class Completion(_Stepped):
     """Outcome of one trip id from its rows (see ``completion.candidate_rows``)."""
 
     columns = tuple(c.strip().split(" ")[0] for c in OUTCOMES.split(","))
@@ -408,7 +582,7 @@ def completions(
 PACED = "trip_id string, at_s long"
 
 
-class Pacing(_Keyed):
+class Pacing(_Stepped):
     columns = ("trip_id", "at_s")
 
     def __init__(self, interval_s: float):
@@ -435,50 +609,71 @@ ARRIVALS = "trip_id string, stop_id string, route_id string, direction_id int, a
 HEADWAYS = "stop_id string, route_id string, direction_id int, trip_id string, at_s long, sample_size int, average_headway_seconds double"
 
 
-class Dwell(_Keyed):
-    """First row of each dwell; rows up to ``first_s`` only prime."""
+class Dwell(_Columnar):
+    """First row of each dwell; rows up to ``first_s`` only prime. A state is the stop and instant of a trip's last row."""
 
     columns = ("trip_id", "stop_id", "route_id", "direction_id", "at_s", "ready_at")
 
     def __init__(self, first_s: float, retention_s: float):
         self.first_s, self.retention_s = first_s, retention_s
 
-    def step(self, key, row, state, out):
-        stop = row["at_stop_id"] if row["status"] == "at" else None
-        same = stop is not None and stop == state.get("stop") and row["at_s"] - state["at"] < self.retention_s
-        state.clear()
-        if stop is None:
-            return
-        if not same and row["at_s"] > self.first_s and row["direction_id"] is not None:
-            out.append(dict(trip_id=key[0], stop_id=stop, route_id=row["route_id"], direction_id=int(row["direction_id"]),
-                            at_s=row["at_s"]))
-        state.update(stop=stop, at=row["at_s"])
-
-    def expiry(self, state):
-        return state["at"] + self.retention_s if state else None
-
-
-class Headway(_Keyed):
-    """Mean distance of the last arrivals of a group, forgotten ``keep_s`` after the last one."""
+    def applied(self, rows, end_s, states):
+        if rows is None:
+            return states, None
+        stop = pc.if_else(pc.equal(rows["status"], "at"), rows["at_stop_id"], None)
+        new = pa.table({"trip_id": rows["trip_id"], "at_s": rows["at_s"], "stop_id": stop, "route_id": rows["route_id"],
+                        "direction_id": rows["direction_id"]})
+        n = states.num_rows if states is not None else 0
+        both = pa.concat_tables([*([states.drop_columns("ends")] if n else []), new], promote_options="permissive")
+        trip, at, fresh = _codes(both["trip_id"]), both["at_s"].to_numpy(), np.arange(both.num_rows) >= n
+        order = np.lexsort((at, fresh, trip))
+        trip, at, fresh = trip[order], at[order], fresh[order]
+        stops, dwells = _codes(both["stop_id"])[order], both["stop_id"].is_valid().to_numpy()[order]
+        follows = np.zeros(len(order), bool)
+        follows[1:] = trip[1:] == trip[:-1]
+        same = follows.copy()
+        same[1:] &= dwells[1:] & (stops[1:] == stops[:-1]) & (at[1:] - at[:-1] < self.retention_s)
+        arrives = fresh & dwells & ~same & both["direction_id"].is_valid().to_numpy()[order]
+        if arrives.any():
+            arrives &= at > self.first_s
+        last = dwells & ~np.append(follows[1:], False)
+        kept = both.select(["trip_id", "at_s", "stop_id"]).take(order[last])
+        return kept.append_column("ends", pa.array(at[last] + self.retention_s)), both.take(order[arrives])
+
+
+class Headway(_Columnar):
+    """Mean distance of the last arrivals of a group, forgotten ``keep_s`` after the last one. The states are a group's last arrivals."""
 
     columns = ("stop_id", "route_id", "direction_id", "trip_id", "at_s", "sample_size", "average_headway_seconds")
 
     def __init__(self, keep_s: float):
         self.keep_s = keep_s
 
-    def release(self, rows, end_s, states, out):
-        super().release(sorted(rows, key=lambda r: (r["at_s"], r["trip_id"])), end_s, states, out)
-
-    def step(self, key, row, state, out):
-        if state and row["at_s"] - state["times"][-1] >= self.keep_s:
-            state.clear()
-        times = (state.get("times") or [])[-(MAX_ARRIVALS - 1):] + [row["at_s"]]
-        state["times"] = times
-        average = (times[-1] - times[0]) / (len(times) - 1) if len(times) > 1 else None
-        out.append(dict(zip(self.columns, (key[0], key[1], int(key[2]), row["trip_id"], row["at_s"], len(times), average))))
-
-    def expiry(self, state):
-        return state["times"][-1] + self.keep_s if state else None
+    def applied(self, rows, end_s, states):
+        if rows is None:
+            return states, None
+        group, back = ["stop_id", "route_id", "direction_id"], MAX_ARRIVALS - 1
+        n = states.num_rows if states is not None else 0
+        new = rows.select([*group, "trip_id", "at_s"])
+        both = pa.concat_tables([*([states.drop_columns("ends")] if n else []), new], promote_options="permissive")
+        # kept arrivals of a group come first, as they were
+        place = np.arange(both.num_rows)
+        by = pa.table({"group": _codes(*(both[c] for c in group)), "fresh": (place >= n).astype("int8"),
+                       "at": np.where(place < n, place, both["at_s"].to_numpy()), "trip": both["trip_id"]})
+        order = pc.sort_indices(by, sort_keys=[(c, "ascending") for c in by.column_names]).to_numpy()
+        of, at, fresh = by["group"].to_numpy()[order], both["at_s"].to_numpy()[order], order >= n
+        begins, starts = np.ones(len(order), bool), np.ones(len(order), bool)
+        begins[1:] = of[1:] != of[:-1]
+        starts[1:] = begins[1:] | (at[1:] - at[:-1] >= self.keep_s)
+        start = np.maximum.accumulate(np.where(starts, place, 0))  # of the arrivals that are not forgotten
+        size = np.minimum(place - start, back) + 1
+        average = (at - at[place - size + 1]) / np.maximum(size - 1, 1)
+        out = both.select(["trip_id", *group, "at_s"]).take(order[fresh])
+        out = out.append_column("sample_size", pa.array(size[fresh].astype("int32"))).append_column(
+            "average_headway_seconds", pa.array(average[fresh], mask=size[fresh] == 1))
+        final = np.append(np.flatnonzero(begins)[1:], len(order))[np.cumsum(begins) - 1] - 1  # last row of the group
+        kept = (place > final - back) & (place >= start[final])
+        return both.select([*group, "at_s"]).take(order[kept]).append_column("ends", pa.array(at[final][kept] + self.keep_s)), out
 
 
 def arrivals(
@@ -504,7 +699,7 @@ RAISED = "trip_id string, discrepancy_type string, cycle long"
 CHANGED = "feed string, at_s long, header long, content_s long, is_change boolean"
 
 
-class Raised(_Keyed):
+class Raised(_Stepped):
     """Forgets a pair after ``keep_s``, which must be more than a cycle."""
 
     columns = ("trip_id", "discrepancy_type", "cycle")
@@ -521,7 +716,7 @@ class Raised(_Keyed):
         return state["at"] + self.keep_s if state else None
 
 
-class HeaderChange(_Keyed):
+class HeaderChange(_Stepped):
     """Whether a poll's header is new, and which poll's content stands for it.
 
     Works on light rows (feed, time, header), one per poll; a missing header is new.
